@@ -93,3 +93,126 @@ SELECT m.id, d.title, m.n_matches FROM (
   WHERE e.cited_id IN (SELECT id FROM ded)
   GROUP BY c.id ORDER BY n_matches DESC, c.id ASC LIMIT 50) m JOIN ded d ON d.id = m.id"""),
 }
+
+
+# ------------------------------------------------------------------ captures
+CAPTURES = """
+WITH caps AS (
+  SELECT page_id,
+         CASE WHEN page_id % 17 = 0 THEN NULL
+              ELSE url || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.ps' ELSE '' END END AS url,
+         length(html) AS length,
+         CASE WHEN page_id % 11 = 0 THEN html
+              ELSE 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: application/pdf'
+                   || chr(13) || chr(10) || chr(13) || chr(10) || html END AS payload
+  FROM pages),
+a AS (
+  SELECT page_id, CASE WHEN url = '' THEN NULL ELSE lower(url) END AS url,
+         CASE WHEN url IS NULL OR url = '' THEN 'MissingUrl' WHEN length < 5000 THEN 'TooSmall' ELSE 'Admitted' END AS status,
+         payload, instr(payload, chr(13) || chr(10) || chr(13) || chr(10)) AS pos
+  FROM caps),
+b AS (
+  SELECT *, CASE WHEN status = 'Admitted' THEN
+              CASE WHEN instr(url, '.pdf') > 0 THEN 'PDF' WHEN instr(url, '.ps') > 0 THEN 'PostScript' ELSE 'Unknown-PS' END
+            END AS filetype,
+         CASE WHEN pos > 0 THEN strlen(payload) - strlen(substr(payload, 1, pos - 1)) - 4 END AS body_len
+  FROM a),
+adm AS (
+  SELECT page_id, url, status, filetype,
+         CASE WHEN filetype IS NOT NULL THEN filetype ||
+              CASE WHEN pos > 0 AND strlen(payload) >= 5000 AND body_len > 100 THEN '.success' ELSE '.failure' END
+         END AS outcome, body_len
+  FROM b)
+"""
+
+ORACLE["capture_admission"] = CAPTURES + "SELECT * FROM adm"
+ORACLE["capture_status_counts"] = CAPTURES + "SELECT coalesce(outcome, status) AS status, count(*) AS n FROM adm GROUP BY 1"
+
+
+# ------------------------------------------------------------------ layout over the node table
+NODES = r"""
+lines AS (
+  SELECT doc_id, CAST(k AS BIGINT) AS i, ls[k + 1] AS line
+  FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+),
+nodes AS (
+  SELECT doc_id, i, CAST(i // 40 AS INTEGER) + 1 AS page, i + 1 AS node_id,
+         80 + 20 * CAST((i % 40) // 2 AS INTEGER) AS top, 100 + 320 * CAST(i % 2 AS INTEGER) AS lft,
+         CAST(least(8 * length(line), 300) AS INTEGER) AS width,
+         CASE WHEN i = 0 THEN 20 ELSE 12 END AS height,
+         CASE WHEN i = 0 THEN 34 ELSE 10 END AS font_size,
+         CASE WHEN i % 5 = 3 THEN line || '-' ELSE line END AS text
+  FROM lines WHERE i < 4000
+)"""
+
+LAYOUT_TEXT = r"""
+t AS (
+  SELECT doc_id, node_id, text, lft, width, top,
+         coalesce(lag(lft) OVER w, lft) AS pl, coalesce(lag(width) OVER w, width) AS pw,
+         coalesce(lag(top) OVER w, top) AS pt, coalesce(lag(text) OVER w, text) AS ptx,
+         max(lft + width) OVER (PARTITION BY doc_id) AS maxr
+  FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY node_id)),
+p AS (
+  SELECT doc_id, node_id,
+         CASE WHEN abs(top - pt) > 2 AND maxr > 50 AND NOT ends_with(ptx, '-') THEN chr(10) || text
+              WHEN abs(lft - (pl + pw)) > 2 AND NOT ends_with(ptx, '-') THEN ' ' || text
+              ELSE text END AS piece
+  FROM t),
+doc_text AS (
+  SELECT doc_id, string_agg(CASE WHEN ends_with(piece, '-') THEN substr(piece, 1, length(piece) - 1) ELSE piece END,
+                            '' ORDER BY node_id) AS text
+  FROM p GROUP BY doc_id)"""
+
+LAYOUT_TITLE = r"""
+pg AS (
+  SELECT doc_id, node_id, top, height, text,
+         CASE WHEN text = '' OR NOT regexp_matches(substr(text, 1, 1), '^\p{Lu}') THEN 0.0
+              ELSE font_size / (ln(10 + abs(100 - top)) * ln(10 + abs(400 - (lft + width // 2)))) END AS score
+  FROM nodes WHERE page = 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, node_id DESC) AS r FROM pg),
+cand AS (
+  SELECT c.doc_id, c.r, c.node_id AS cid, c.height AS ch, l.top AS ltop, l.height AS lh
+  FROM rk c JOIN rk l ON l.doc_id = c.doc_id AND l.r = 1 WHERE c.r <= 5),
+fail AS (
+  SELECT c.doc_id, c.r, min(m.node_id) AS end_id
+  FROM cand c JOIN pg m ON m.doc_id = c.doc_id
+  WHERE m.node_id >= c.cid + CASE WHEN c.r = 1 THEN 1 ELSE 0 END
+    AND NOT (abs(m.height - c.ch) < 2 AND (m.top = c.ltop OR abs(m.top - c.ltop - c.lh) < 20))
+  GROUP BY c.doc_id, c.r),
+runs AS (
+  SELECT c.doc_id, c.r,
+         coalesce(string_agg(regexp_replace(m.text, '^[\x01-\x20]+|[\x01-\x20]+$', '', 'g'), ' ' ORDER BY m.node_id), '') AS title
+  FROM cand c LEFT JOIN fail f ON f.doc_id = c.doc_id AND f.r = c.r
+  LEFT JOIN pg m ON m.doc_id = c.doc_id AND m.node_id >= c.cid AND (f.end_id IS NULL OR m.node_id < f.end_id)
+  GROUP BY c.doc_id, c.r),
+best AS (
+  SELECT doc_id, title FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS q FROM runs
+    WHERE length(title) > 10 AND length(title) < 150) WHERE q = 1),
+doc_title AS (SELECT d.doc_id, coalesce(b.title, '') AS title FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id)"""
+
+XML_LEN = r"""
+xml_len AS (
+  SELECT doc_id,
+         strlen('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">' || chr(10)
+                || '<pdf2xml>' || chr(10) || '<fontspec id="0" size="10" family="Times"/>' || chr(10)
+                || '<fontspec id="1" size="17" family="Times"/>' || chr(10) || '</page>' || chr(10) || '</pdf2xml>' || chr(10))
+         + sum(strlen(
+             CASE WHEN i % 40 = 0 THEN CASE WHEN i > 0 THEN '</page>' || chr(10) ELSE '' END
+                                       || '<page number="' || CAST(i // 40 + 1 AS VARCHAR) || '">' || chr(10) ELSE '' END
+             || '<text top="' || CAST(80 + 20 * ((i % 40) // 2) AS VARCHAR) || '" left="' || CAST(100 + 320 * (i % 2) AS VARCHAR)
+             || '" width="' || CAST(least(8 * length(line), 300) AS VARCHAR)
+             || '" height="' || CASE WHEN i = 0 THEN '20' ELSE '12' END || '" font="' || CASE WHEN i = 0 THEN '1' ELSE '0' END || '">'
+             || CASE WHEN i = 0 THEN '<b>' ELSE '' END
+             || replace(replace(replace(CASE WHEN i % 5 = 3 THEN line || '-' ELSE line END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+             || CASE WHEN i = 0 THEN '</b>' ELSE '' END || '</text>' || chr(10))) AS n
+  FROM lines GROUP BY doc_id)"""
+
+ORACLE["layout_text"] = "WITH " + NODES + "," + LAYOUT_TEXT + "\nSELECT doc_id, text FROM doc_text"
+ORACLE["layout_title"] = "WITH " + NODES + "," + LAYOUT_TITLE + "\nSELECT doc_id, title FROM doc_title"
+ORACLE["title_gate_counts"] = "WITH " + NODES + "," + LAYOUT_TITLE + "," + XML_LEN + """
+SELECT status, count(*) AS n FROM (
+  SELECT CASE WHEN x.n > 10000000 THEN 'TooLong' WHEN t.title = '' THEN 'NoTitle'
+              WHEN length(t.title) < 5 THEN 'ShortTitle' ELSE 'GoodTitle' END AS status
+  FROM doc_title t JOIN xml_len x ON x.doc_id = t.doc_id) GROUP BY status"""

@@ -12,10 +12,13 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegraph.functions import constants as K
 from citegraph.functions.text import extract_year, title_id
 from citegraph.operators import graph as G
 from citegraph.operators.citations import extract_citations
+from citegraph.operators.layout import analyze, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
+from citegraph.sources.captures import admit_captures, split_payload
 
 R6 = 6  # doubles are compared at 6 decimals
 
@@ -90,7 +93,53 @@ def q_top_cited_50(spark, sf):
     )
 
 
+# ------------------------------------------------------------------ captures
+def _admitted(spark, sf):
+    return split_payload(admit_captures(X.captures(spark, sf)))
+
+
+def q_capture_admission(spark, sf):
+    return _admitted(spark, sf).select("page_id", "url", "status", "filetype", "outcome", "body_len")
+
+
+def q_capture_status_counts(spark, sf):
+    d = _admitted(spark, sf)
+    label = F.coalesce(F.col("outcome"), F.col("status"))
+    return G.count_status(d.withColumn("status", label), "status")
+
+
+# ------------------------------------------------------------------ layout
+def _layout(spark, sf, sections=None):
+    d = with_layout(X.layout_documents(spark, sf), "xml", "pages")
+    return with_text_and_title(d, "pages", sections=sections)
+
+
+def q_layout_text(spark, sf):
+    return _layout(spark, sf).select("doc_id", "text")
+
+
+def q_layout_title(spark, sf):
+    return _layout(spark, sf).select("doc_id", "title")
+
+
+def q_title_gate_counts(spark, sf):
+    d = _layout(spark, sf)
+    t = F.col("title")
+    status = (
+        F.when(F.octet_length("xml") > K.MAX_RECORD_BYTES, F.lit("TooLong"))
+        .when(t == "", F.lit("NoTitle"))
+        .when(F.length(t) < K.SHORT_TITLE_LEN, F.lit("ShortTitle"))
+        .otherwise(F.lit("GoodTitle"))
+    )
+    return G.count_status(d.withColumn("status", status), "status")
+
+
 QUERIES = {
+    "capture_admission": q_capture_admission,
+    "capture_status_counts": q_capture_status_counts,
+    "layout_text": q_layout_text,
+    "layout_title": q_layout_title,
+    "title_gate_counts": q_title_gate_counts,
     "title_key": q_title_key,
     "title_key_dedup": q_title_key_dedup,
     "extract_year": q_extract_year,
