@@ -4,6 +4,8 @@ from citegraph.functions.text import (
     extract_year,
     histogram_bucket,
     index_terms,
+    index_tokens,
+    stop_gaps,
     jtrim,
     nb_ngrams,
     shingles,
@@ -17,7 +19,7 @@ from citegraph.functions.text import (
 )
 
 __all__ = [
-    "bow_tokens", "collapse_ws", "extract_year", "histogram_bucket", "index_terms", "jtrim",
+    "bow_tokens", "collapse_ws", "extract_year", "histogram_bucket", "index_terms", "index_tokens", "stop_gaps", "jtrim",
     "nb_ngrams", "shingles", "simplified_title", "strip_dtd", "title_id", "token_flags",
     "words", "xml_escape", "xml_unescape",
 ]

@@ -92,45 +92,58 @@ def words(text, lower: bool = False) -> Column:
     return F.regexp_extract_all(t, F.lit(WORD), 0)
 
 
-def _stop_nulled(tokens: Column, stop) -> Column:
+def stop_gaps(tokens, stop=K.ENGLISH_STOP_WORDS) -> Column:
+    """Replace stop words by null (a gap no shingle may span)."""
     if not stop:
-        return tokens
+        return _c(tokens)
     stop_arr = F.array(*[F.lit(s) for s in stop])
-    return F.transform(tokens, lambda w: F.when(F.array_contains(stop_arr, w), F.lit(None)).otherwise(w))
+    return F.transform(_c(tokens), lambda w: F.when(F.array_contains(stop_arr, w), F.lit(None)).otherwise(w))
 
 
-def shingles(tokens: Column, min_n: int = 2, max_n: int = 2, unigrams: bool = True, stop=()) -> Column:
-    """Unigrams plus word n-grams (``min_n``..``max_n``) of a token array.
+def _windows(w: Column, n: int) -> Column:
+    """All n-word windows of ``w`` (joined by a space) that contain no null."""
 
-    Stop words are removed; an n-gram never spans a removed stop word.
+    def valid(i: Column) -> Column:
+        return (i + n - 1 <= F.size(w)) & ~F.exists(F.slice(w, i, n), lambda x: x.isNull())
+
+    def join(i: Column) -> Column:
+        return F.array_join(F.slice(w, i, n), " ")
+
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), valid)
+    return F.transform(starts, join)
+
+
+def shingles(tokens, min_n: int = 2, max_n: int = 2, unigrams: bool = True) -> Column:
+    """Unigrams plus word n-grams (``min_n``..``max_n``) of a token array in which
+    null marks a removed stop word (see ``stop_gaps``); no n-gram spans a gap.
+
+    ``tokens`` should be a column reference (materialise the token array with
+    ``withColumn`` first): it is read once per window.
     """
-    w = _stop_nulled(tokens, stop)
+    w = _c(tokens)
     parts = []
     if unigrams:
         parts.append(F.filter(w, lambda x: x.isNotNull()))
     for n in range(min_n, max_n + 1):
-        starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))),
-            lambda i, n=n: (i + n - 1 <= F.size(w)) & ~F.exists(F.slice(w, i, n), lambda x: x.isNull()),
-        )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(w, i, n), " ")))
+        parts.append(_windows(w, n))
     if not parts:
         return F.array().cast("array<string>")
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def index_terms(text, max_shingle: int = 4) -> Column:
-    """P20: lower-case words, English stop words removed, unigrams + 2..4 shingles."""
-    return shingles(words(text, lower=True), 2, max_shingle, unigrams=True, stop=K.ENGLISH_STOP_WORDS)
+def index_tokens(text) -> Column:
+    """P20 tokens: lower-case words with English stop words as gaps (null)."""
+    return stop_gaps(words(text, lower=True))
 
 
-def index_unigrams(text) -> Column:
-    return shingles(words(text, lower=True), 2, 1, unigrams=True, stop=K.ENGLISH_STOP_WORDS)
+def index_terms(gapped_tokens, max_shingle: int = 4) -> Column:
+    """P20 terms over ``index_tokens``: unigrams + 2..``max_shingle`` shingles."""
+    return shingles(gapped_tokens, 2, max_shingle, unigrams=True)
 
 
-def nb_ngrams(text) -> Column:
-    """Case kept, unigrams + bigrams."""
-    return shingles(words(text, lower=False), 2, 2, unigrams=True)
+def nb_ngrams(tokens) -> Column:
+    """P19 over ``words(text)``: case kept, unigrams + bigrams."""
+    return shingles(_c(tokens), 2, 2, unigrams=True)
 
 
 # ---------------------------------------------------------------- P21 token predicates

@@ -216,3 +216,163 @@ SELECT status, count(*) AS n FROM (
   SELECT CASE WHEN x.n > 10000000 THEN 'TooLong' WHEN t.title = '' THEN 'NoTitle'
               WHEN length(t.title) < 5 THEN 'ShortTitle' ELSE 'GoodTitle' END AS status
   FROM doc_title t JOIN xml_len x ON x.doc_id = t.doc_id) GROUP BY status"""
+
+
+
+# ------------------------------------------------------------------ graph extras
+def ctes(*parts: str) -> str:
+    """More CTEs after the fixture CTEs."""
+    return "," + ",".join(parts)
+
+
+ORACLE["citation_histogram"] = with_graph(ctes(
+    """opd AS (SELECT coalesce(c.v, 0) AS v FROM papers p
+          LEFT JOIN (SELECT citing_id, count(*) AS v FROM edges GROUP BY 1) c ON c.citing_id = p.doc_id)""",
+    "cites AS (SELECT cited_id AS key, count(*) AS cites FROM edges GROUP BY 1)",
+    "dk AS (SELECT id AS key, count(*) AS docs FROM papers GROUP BY 1)",
+    """pk AS (SELECT coalesce(c.cites, 0) AS cites, coalesce(d.docs, 0) AS docs
+          FROM cites c FULL OUTER JOIN dk d ON c.key = d.key)""",
+) + """
+SELECT 'map-citations' AS metric, CAST(floor(ln(1 + v) / ln(1.1)) AS INTEGER) AS bucket, count(*) AS n FROM opd GROUP BY 2
+UNION ALL SELECT 'citation.count', CAST(floor(ln(1 + cites) / ln(1.1)) AS INTEGER), count(*) FROM pk GROUP BY 2
+UNION ALL SELECT 'doc.count', CAST(floor(ln(1 + docs) / ln(1.1)) AS INTEGER), count(*) FROM pk GROUP BY 2""")
+
+INVERTED = """inv AS (
+  SELECT d.id, d.doc_id, d.title, d.n_merged, coalesce(c.citations, 0) AS citations
+  FROM ded d LEFT JOIN (SELECT cited_id, count(*) AS citations FROM edges GROUP BY cited_id) c ON c.cited_id = d.id)"""
+
+ORACLE["test_set"] = with_graph(ctes(INVERTED) + """
+SELECT id, doc_id, title, citations FROM inv WHERE citations BETWEEN 20 AND 100""")
+
+ORACLE["matches_in_corpus"] = with_graph("""
+SELECT DISTINCT citing_id, cited_id FROM edges WHERE cited_id IN (SELECT id FROM ded)""")
+
+ORACLE["dangling_references"] = with_graph(ctes("""extra AS (
+  SELECT p.doc_id AS citing_id, t.cited_title
+  FROM (SELECT doc_id AS x_id, trim(regexp_replace(split_part(text, chr(10), 1), '[.?()\\s]+', ' ', 'g')) AS cited_title
+        FROM documents) t
+  JOIN papers p ON p.i = t.x_id % p.n
+  WHERE length(t.cited_title) >= 150)""") + f"""
+SELECT citing_id, cited_title, {tid('cited_title')} AS cited_id FROM extra
+WHERE {tid('cited_title')} NOT IN (SELECT id FROM ded)""")
+
+ORACLE["lookup_titles"] = with_graph(f"""
+SELECT e.cited_title, t.doc_id, {tid('t.title')} AS id
+FROM (SELECT DISTINCT cited_title FROM edges) e
+JOIN (SELECT title, max(doc_id) AS doc_id FROM papers GROUP BY title) t ON t.title = e.cited_title""")
+
+ORACLE["lookup_ids"] = with_graph("""
+SELECT r.shard, d.id, d.doc_id, d.title
+FROM (SELECT DISTINCT CAST(((cited_id % 100) + 100) % 100 AS INTEGER) AS shard, cited_id AS id FROM edges) r
+JOIN ded d ON d.id = r.id""")
+
+DENSE = """idx AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS UBIGINT) AS i,
+                    CAST(count(*) OVER () AS UBIGINT) AS n FROM ded)"""
+
+ORACLE["random_doc"] = with_graph(ctes(DENSE) + """
+SELECT d.id, d.doc_id, d.title FROM idx JOIN ded d ON d.id = idx.id
+WHERE idx.i = CAST('0x' || substr(md5('random:0'), 1, 15) AS UBIGINT) % idx.n""")
+
+
+# ------------------------------------------------------------------ term weights
+def bow(name: str, source: str, key: str) -> str:
+    """Tokenizer A as SQL: lower-case, strip trailing delimiters, split on each delimiter."""
+    d = "'[0-9\\t\\n\\x0B\\f\\r [:punct:]]'"
+    dt = "'[0-9\\t\\n\\x0B\\f\\r [:punct:]]+$'"
+    return f"""{name}_tok AS (
+  SELECT {key}, CASE WHEN low <> '' AND st = '' THEN []::VARCHAR[] ELSE string_split_regex(st, {d}) END AS ts
+  FROM (SELECT {key}, lower(text) AS low, regexp_replace(lower(text), {dt}, '') AS st FROM {source})),
+{name} AS (
+  SELECT {key}, term, CAST(count(*) AS DOUBLE) AS cnt FROM (SELECT {key}, unnest(ts) AS term FROM {name}_tok)
+  GROUP BY {key}, term)"""
+
+
+DOC_BOW = "WITH " + bow("dbow", "documents", "doc_id") + """,
+didf AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM dbow GROUP BY term)"""
+
+ORACLE["bag_of_words"] = DOC_BOW + "\nSELECT doc_id, term, cnt FROM dbow"
+ORACLE["idf"] = DOC_BOW + "\nSELECT term, df, round(idf, 6) AS idf FROM didf"
+ORACLE["tfidf"] = DOC_BOW + "\nSELECT b.doc_id, b.term, round(b.cnt * i.idf, 6) AS weight FROM dbow b JOIN didf i ON i.term = b.term"
+
+
+# ------------------------------------------------------------------ evaluation
+def ranked(name: str, weights: str) -> str:
+    return f"""{name} AS (
+  SELECT focus_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY focus_id ORDER BY round(score, 9) DESC NULLS LAST, id) AS rank FROM (
+      SELECT d.focus_id, d.id, CASE WHEN s.wsum = 0 THEN NULL ELSE d.dot / s.wsum END AS score
+      FROM (SELECT f.id AS focus_id, c.id, sum(f.weight * c.weight) AS dot
+            FROM {weights} f JOIN {weights} c ON c.term = f.term
+            WHERE f.id IN (SELECT id FROM focus) GROUP BY 1, 2) d
+      JOIN (SELECT id, sum(weight) AS wsum FROM {weights} GROUP BY id) s ON s.id = d.id))
+  WHERE rank <= 1000)"""
+
+
+EVAL = with_graph(ctes(
+    """pairs AS (SELECT DISTINCT c.id AS citing_key, e.cited_id FROM edges e JOIN ded c ON c.doc_id = e.citing_id
+             WHERE e.cited_id IN (SELECT id FROM ded))""",
+    """focus AS (SELECT citing_key AS id FROM (SELECT citing_key, count(*) AS n_matches FROM pairs GROUP BY 1
+                                             ORDER BY n_matches DESC, citing_key ASC LIMIT 50))""",
+    """real AS (SELECT citing_key AS focus_id, cited_id AS id,
+                    row_number() OVER (PARTITION BY citing_key ORDER BY cited_id) AS rrank
+             FROM pairs WHERE citing_key IN (SELECT id FROM focus))""",
+    "corpus AS (SELECT d.id, p.text FROM ded d JOIN papers p ON p.doc_id = d.doc_id)",
+    bow("cbow", "corpus", "id"),
+    "cidf AS (SELECT term, ln((SELECT count(*) FROM corpus) / count(*)) AS idf FROM cbow GROUP BY term)",
+    """wts AS (SELECT b.id, b.term, b.cnt * i.idf AS weight FROM cbow b JOIN cidf i ON i.term = b.term
+            WHERE b.cnt * i.idf <> 0)""",
+    "cnts AS (SELECT id, term, cnt AS weight FROM cbow)",
+    ranked("r_overlap", "cnts"),
+    ranked("r_tfidf", "wts"),
+))
+
+
+def curve(metric: str, rk: str) -> str:
+    return f"""
+SELECT '{metric}' AS metric, ns.n,
+  (SELECT count(*) FROM real r JOIN {rk} k ON k.focus_id = r.focus_id AND k.id = r.id
+   WHERE greatest(r.rrank, k.rank) <= ns.n) AS matched,
+  (SELECT count(*) FROM real r WHERE r.rrank <= ns.n) AS found
+FROM (SELECT CAST(range AS INTEGER) AS n FROM range(10, 100)) ns"""
+
+
+ORACLE["similar_overlap"] = EVAL + "\nSELECT focus_id, id, round(score, 6) AS score, rank FROM r_overlap"
+ORACLE["similar_tfidf"] = EVAL + "\nSELECT focus_id, id, round(score, 6) AS score, rank FROM r_tfidf"
+ORACLE["recall_curve"] = EVAL + curve("overlap", "r_overlap") + "\nUNION ALL" + curve("tfidf", "r_tfidf")
+ORACLE["evaluation_report"] = EVAL + """
+SELECT f.id, d.title, coalesce(a.matched, 0) AS matched, coalesce(a.found, 0) AS found, coalesce(t.total, 0) AS total,
+       round(CASE WHEN coalesce(a.found, 0) = 0 THEN NULL
+                  ELSE 100.0 * CAST(coalesce(a.matched, 0) AS DOUBLE) / a.found END, 6) AS percent
+FROM focus f JOIN ded d ON d.id = f.id
+LEFT JOIN (SELECT r.focus_id, sum(CASE WHEN k.rank <= 100 THEN 1 ELSE 0 END) AS matched, count(*) AS found
+           FROM real r LEFT JOIN r_tfidf k ON k.focus_id = r.focus_id AND k.id = r.id
+           WHERE r.rrank <= 100 GROUP BY 1) a ON a.focus_id = f.id
+LEFT JOIN (SELECT c.id, count(*) AS total FROM edges e JOIN ded c ON c.doc_id = e.citing_id GROUP BY 1) t ON t.id = f.id"""
+
+
+# ------------------------------------------------------------------ learning
+LEARN = with_graph(ctes(
+    DENSE,
+    """pos AS (SELECT e.cited_id AS id, p.id AS positive_id, count(*) AS mult
+            FROM edges e JOIN ded d ON d.id = e.cited_id
+            JOIN (SELECT title, arg_max(id, doc_id) AS id FROM ded GROUP BY title) p ON p.title = e.cited_title
+            GROUP BY 1, 2)""",
+    """neg AS (SELECT d.id, CAST(d.j AS INTEGER) AS draw, x.id AS sampled_id
+            FROM (SELECT id, n, unnest(range(50)) AS j FROM idx) d
+            JOIN idx x ON x.i = CAST('0x' || substr(md5(CAST(d.id AS VARCHAR) || ':' || CAST(d.j AS VARCHAR) || ':0'), 1, 15)
+                                     AS UBIGINT) % d.n)""",
+))
+
+ORACLE["nb_positives"] = LEARN + "\nSELECT id, positive_id, mult FROM pos"
+ORACLE["nb_negatives"] = LEARN + "\nSELECT id, draw, sampled_id FROM neg"
+ORACLE["nb_model"] = LEARN + ctes(
+    """mult AS (SELECT positive_id AS doc, 'good-cite' AS label, sum(mult) AS mult FROM pos GROUP BY 1
+             UNION ALL SELECT sampled_id, 'bad-cite', count(*) FROM neg GROUP BY 1)""",
+    "texts AS (SELECT d.id, p.text FROM ded d JOIN papers p ON p.doc_id = d.doc_id)",
+    """w AS (SELECT m.label, m.mult, regexp_extract_all(t.text, '[\\p{L}\\p{N}]+(?:[''’.][\\p{L}\\p{N}]+)*') AS ws
+          FROM mult m JOIN texts t ON t.id = m.doc)""",
+    """g AS (SELECT label, mult, unnest(ws) AS ngram FROM w
+          UNION ALL SELECT label, mult, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) FROM w)""",
+    "c AS (SELECT label, ngram, CAST(sum(mult) AS DOUBLE) AS cnt FROM g GROUP BY 1, 2)",
+    "tot AS (SELECT sum(cnt) AS total FROM c)",
+) + "\nSELECT label, ngram, cnt, total, cnt / total AS weight FROM c, tot WHERE cnt > 1"

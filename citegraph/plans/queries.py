@@ -16,6 +16,9 @@ from citegraph.functions import constants as K
 from citegraph.functions.text import extract_year, title_id
 from citegraph.operators import graph as G
 from citegraph.operators.citations import extract_citations
+from citegraph.operators import learn as L
+from citegraph.operators import similarity as S
+from citegraph.operators.sampling import random_doc
 from citegraph.operators.layout import analyze, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
 from citegraph.sources.captures import admit_captures, split_payload
@@ -134,6 +137,162 @@ def q_title_gate_counts(spark, sf):
     return G.count_status(d.withColumn("status", status), "status")
 
 
+# ------------------------------------------------------------------ graph
+def q_citation_histogram(spark, sf):
+    p, edges, ded = _graph(spark, sf)
+    out_per_doc = p.select(F.col("doc_id").alias("citing_id")).join(
+        edges.groupBy("citing_id").agg(F.count(F.lit(1)).alias("v")), "citing_id", "left"
+    ).select(F.coalesce("v", F.lit(0)).alias("v"))
+    cites = edges.groupBy(F.col("cited_id").alias("key")).agg(F.count(F.lit(1)).alias("cites"))
+    docs = _docs(p).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("docs"))
+    per_key = cites.join(docs, "key", "full").select(
+        F.coalesce("cites", F.lit(0)).alias("cites"), F.coalesce("docs", F.lit(0)).alias("docs")
+    )
+    return (
+        G.histogram(out_per_doc, "v", "map-citations")
+        .unionByName(G.histogram(per_key, "cites", "citation.count"))
+        .unionByName(G.histogram(per_key, "docs", "doc.count"))
+    )
+
+
+def q_test_set(spark, sf):
+    _, edges, ded = _graph(spark, sf)
+    inv = G.invert_citations(ded, edges)
+    return G.select_test_set(inv).select("id", "doc_id", "title", "citations")
+
+
+def q_matches_in_corpus(spark, sf):
+    _, edges, ded = _graph(spark, sf)
+    return G.matches(edges, ded)
+
+
+def _dangling_edges(spark, sf, p):
+    """Reference lists plus one extra citation of every document whose first line
+    is too long to be a paper title (those keys have no document)."""
+    docs = X.table(spark, sf, "documents")
+    extra = docs.select(F.col("doc_id").alias("x_id"), X.paper_title("text").alias("cited_title")).where(
+        F.length("cited_title") >= 150
+    )
+    n = p.select(F.max("n")).scalar()
+    extra = extra.withColumn("i", F.col("x_id") % n).join(p.select("i", F.col("doc_id").alias("citing_id")), "i")
+    extra = extra.select("citing_id", (F.lit(10) + F.col("x_id")).cast("int").alias("pos"), "cited_title")
+    return X.refs(p).unionByName(extra)
+
+
+def q_dangling_references(spark, sf):
+    p = _papers(spark, sf)
+    truth = _dangling_edges(spark, sf, p)
+    bib = X.bibliographies(p, truth, "acm")
+    edges = extract_citations(bib.withColumnRenamed("doc_id", "citing_id"), "bib", "acm", keys=("citing_id",))
+    ded = G.dedup_documents(_docs(p))
+    return G.dangling_references(edges, ded).select("citing_id", "cited_title", "cited_id")
+
+
+def q_lookup_titles(spark, sf):
+    p, edges, _ = _graph(spark, sf)
+    keys = edges.select("cited_title").distinct()
+    return G.lookup_titles(keys, "cited_title", _docs(p)).select("cited_title", "doc_id", "id")
+
+
+def q_lookup_ids(spark, sf):
+    _, edges, ded = _graph(spark, sf)
+    req = edges.select(G.shard_of("cited_id").alias("shard"), F.col("cited_id").alias("id")).distinct()
+    return G.lookup_ids(req, ded).select("shard", "id", "doc_id", "title")
+
+
+def q_random_doc(spark, sf):
+    _, _, ded = _graph(spark, sf)
+    return random_doc(ded, "id", seed=0).select("id", "doc_id", "title")
+
+
+# ------------------------------------------------------------------ term weights
+def q_bag_of_words(spark, sf):
+    d = X.table(spark, sf, "documents")
+    return S.bag_of_words(d, "doc_id")
+
+
+def q_idf(spark, sf):
+    d = X.table(spark, sf, "documents")
+    t = S.idf(S.bag_of_words(d, "doc_id"), d, "doc_id")
+    return t.select("term", "df", F.round("idf", R6).alias("idf"))
+
+
+def q_tfidf(spark, sf):
+    d = X.table(spark, sf, "documents")
+    bow = S.bag_of_words(d, "doc_id")
+    w = S.tfidf(bow, S.idf(bow, d, "doc_id"), "doc_id")
+    return w.select("doc_id", "term", F.round("weight", R6).alias("weight"))
+
+
+# ------------------------------------------------------------------ evaluation
+def _evaluation(spark, sf):
+    p, edges, ded = _graph(spark, sf)
+    corpus = ded.join(p.select("doc_id", "text"), "doc_id")
+    citing = edges.join(ded.select(F.col("doc_id").alias("citing_id"), F.col("id").alias("citing_key")), "citing_id")
+    pairs = G.matches(citing, ded, citing="citing_key")
+    focus = G.top_matched(pairs, citing="citing_key").select(F.col("citing_key").alias("id"))
+    bow = S.bag_of_words(corpus, "id")
+    counts = bow.select("id", "term", F.col("cnt").alias("weight"))
+    weights = S.tfidf(bow, S.idf(bow, corpus, "id"), "id", drop_zero=True)
+    real = S.real_matches(pairs, focus)
+    return dict(ded=ded, citing=citing, focus=focus, counts=counts, weights=weights, real=real)
+
+
+def _similar_query(kind):
+    def q(spark, sf):
+        ev = _evaluation(spark, sf)
+        r = S.similar(ev["focus"], ev["counts"] if kind == "overlap" else ev["weights"])
+        return r.select("focus_id", "id", F.round("score", R6).alias("score"), "rank")
+
+    q.__name__ = f"q_similar_{kind}"
+    return q
+
+
+def q_recall_curve(spark, sf):
+    ev = _evaluation(spark, sf)
+    out = None
+    for kind, w in (("overlap", ev["counts"]), ("tfidf", ev["weights"])):
+        c = S.recall_curve(S.similar(ev["focus"], w), ev["real"], metric=kind)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def q_evaluation_report(spark, sf):
+    ev = _evaluation(spark, sf)
+    ranked = S.similar(ev["focus"], ev["weights"])
+    at = S.evaluate_at(ranked, ev["real"], K.EVAL_N_UNTIL)
+    total = ev["citing"].groupBy(F.col("citing_key").alias("id")).agg(F.count(F.lit(1)).alias("total"))
+    rep = ev["focus"].join(at.withColumnRenamed("focus_id", "id"), "id", "left").join(total, "id", "left")
+    rep = rep.join(ev["ded"].select("id", "title"), "id")
+    m, f = F.coalesce("matched", F.lit(0)), F.coalesce("found", F.lit(0))
+    return rep.select(
+        "id", "title", m.alias("matched"), f.alias("found"), F.coalesce("total", F.lit(0)).alias("total"),
+        F.round(F.try_divide(100.0 * m, f.cast("double")), R6).alias("percent"),
+    )
+
+
+# ------------------------------------------------------------------ learning
+def _learning(spark, sf):
+    p, edges, ded = _graph(spark, sf)
+    docs = ded.join(p.select("doc_id", "text"), "doc_id")
+    return docs, edges
+
+
+def q_nb_positives(spark, sf):
+    docs, edges = _learning(spark, sf)
+    return L.positives(docs, edges)
+
+
+def q_nb_negatives(spark, sf):
+    docs, _ = _learning(spark, sf)
+    return L.negatives(docs).select("id", "draw", "sampled_id")
+
+
+def q_nb_model(spark, sf):
+    docs, edges = _learning(spark, sf)
+    return L.train(docs, edges)
+
+
 QUERIES = {
     "capture_admission": q_capture_admission,
     "capture_status_counts": q_capture_status_counts,
@@ -149,4 +308,21 @@ QUERIES = {
     "citation_best": _citation_query("best"),
     "invert_citations": q_invert_citations,
     "top_cited_50": q_top_cited_50,
+    "citation_histogram": q_citation_histogram,
+    "test_set": q_test_set,
+    "matches_in_corpus": q_matches_in_corpus,
+    "dangling_references": q_dangling_references,
+    "lookup_titles": q_lookup_titles,
+    "lookup_ids": q_lookup_ids,
+    "random_doc": q_random_doc,
+    "bag_of_words": q_bag_of_words,
+    "idf": q_idf,
+    "tfidf": q_tfidf,
+    "similar_overlap": _similar_query("overlap"),
+    "similar_tfidf": _similar_query("tfidf"),
+    "recall_curve": q_recall_curve,
+    "evaluation_report": q_evaluation_report,
+    "nb_positives": q_nb_positives,
+    "nb_negatives": q_nb_negatives,
+    "nb_model": q_nb_model,
 }
