@@ -100,7 +100,7 @@ def stop_gaps(tokens, stop=K.ENGLISH_STOP_WORDS) -> Column:
     return F.transform(_c(tokens), lambda w: F.when(F.array_contains(stop_arr, w), F.lit(None)).otherwise(w))
 
 
-def _windows(w: Column, n: int) -> Column:
+def ngram_windows(w: Column, n: int) -> Column:
     """All n-word windows of ``w`` (joined by a space) that contain no null."""
 
     def valid(i: Column) -> Column:
@@ -125,7 +125,7 @@ def shingles(tokens, min_n: int = 2, max_n: int = 2, unigrams: bool = True) -> C
     if unigrams:
         parts.append(F.filter(w, lambda x: x.isNotNull()))
     for n in range(min_n, max_n + 1):
-        parts.append(_windows(w, n))
+        parts.append(ngram_windows(w, n))
     if not parts:
         return F.array().cast("array<string>")
     return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -170,3 +170,21 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     first = F.trim(F.regexp_extract(F.col("text"), r"^[^.?!\n]*", 0))
     return b.select(F.col("item_id").alias("query_id"), first.alias("text"))
+
+
+def fielded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QUERY rows with the reachable query syntax: even ids search ``text``, odd ids
+    ``title``; ``must`` = first non-stop word, ``must_not`` = last non-stop word
+    (when there are two or more), every third query is a phrase."""
+    from citegraph.functions.text import index_tokens
+
+    q = search_queries(spark, sf_dir)
+    w = F.filter(index_tokens(F.col("text")), lambda x: x.isNotNull())
+    q = q.withColumn("_w", w)
+    return q.select(
+        "query_id", "text",
+        F.when(F.col("query_id") % 2 == 0, F.lit("text")).otherwise(F.lit("title")).alias("field"),
+        F.when(F.size("_w") > 0, F.array(F.get(F.col("_w"), 0))).otherwise(F.array().cast("array<string>")).alias("must"),
+        F.when(F.size("_w") > 1, F.array(F.element_at("_w", -1))).otherwise(F.array().cast("array<string>")).alias("must_not"),
+        (F.col("query_id") % 3 == 0).alias("phrase"),
+    )

@@ -376,3 +376,107 @@ ORACLE["nb_model"] = LEARN + ctes(
     "c AS (SELECT label, ngram, CAST(sum(mult) AS DOUBLE) AS cnt FROM g GROUP BY 1, 2)",
     "tot AS (SELECT sum(cnt) AS total FROM c)",
 ) + "\nSELECT label, ngram, cnt, total, cnt / total AS weight FROM c, tot WHERE cnt > 1"
+
+
+# ------------------------------------------------------------------ index and search
+_WORD = "[\\p{L}\\p{N}]+(?:[''’.][\\p{L}\\p{N}]+)*"
+
+
+def _stops() -> str:
+    from citegraph.functions.constants import ENGLISH_STOP_WORDS
+
+    return ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
+
+
+def gapped(expr: str) -> str:
+    """Lower-case words with stop words as NULL gaps."""
+    return (f"list_transform(regexp_extract_all(lower({expr}), '{_WORD}'), "
+            f"lambda x: CASE WHEN x IN ({_stops()}) THEN NULL ELSE x END)")
+
+
+def win(w: str, n: int) -> str:
+    """Gap-free n-word windows of list ``w``."""
+    return (f"list_transform(list_filter(range(1, len({w}) - {n} + 2), lambda i: list_count({w}[i:i + {n} - 1]) = {n}), "
+            f"lambda i: array_to_string({w}[i:i + {n} - 1], ' '))")
+
+
+def all_terms(w: str) -> str:
+    uni = f"list_filter({w}, lambda x: x IS NOT NULL)"
+    return f"list_concat({uni}, list_concat({win(w, 2)}, list_concat({win(w, 3)}, {win(w, 4)})))"
+
+
+INDEX = with_graph(ctes(
+    INVERTED,
+    "idocs AS (SELECT i.id, p.text, i.title, i.citations FROM inv i JOIN papers p ON p.doc_id = i.doc_id)",
+    f"""gw AS (SELECT id, 'text' AS field, {gapped('text')} AS w FROM idocs
+           UNION ALL SELECT id, 'title' AS field, {gapped('title')} AS w FROM idocs)""",
+    f"tw AS (SELECT id, field, len(list_filter(w, lambda x: x IS NOT NULL)) AS field_len, {all_terms('w')} AS ts FROM gw)",
+    """post AS (SELECT field, term, id, CAST(((id % 100) + 100) % 100 AS INTEGER) AS shard, count(*) AS tf, field_len
+             FROM (SELECT id, field, field_len, unnest(ts) AS term FROM tw) GROUP BY field, term, id, field_len)""",
+    "q AS (SELECT item_id AS query_id, 'text' AS field, trim(regexp_extract(text, '^[^.?!\\n]*')) AS text FROM benchmark)",
+))
+
+
+def scores(qtable: str, per_shard: bool) -> str:
+    sh = ", shard" if per_shard else ""
+    return ctes(
+        f"qw AS (SELECT query_id, field, {gapped('text')} AS w FROM {qtable})",
+        f"qt AS (SELECT DISTINCT query_id, field, unnest({all_terms('w')}) AS term FROM qw)",
+        "nq AS (SELECT query_id, count(*) AS nq FROM qt GROUP BY 1)",
+        f"dfs AS (SELECT field, term{sh}, count(*) AS df FROM post GROUP BY field, term{sh})",
+        f"""nn AS (SELECT {'shard, ' if per_shard else ''}count(*) AS n
+               FROM (SELECT CAST(((id % 100) + 100) % 100 AS INTEGER) AS shard FROM idocs){' GROUP BY shard' if per_shard else ''})""",
+        f"""hits AS (SELECT q.query_id, p.id, p.shard, p.tf, p.field_len,
+                        1.0 + ln(CAST(nn.n AS DOUBLE) / (CAST(d.df AS DOUBLE) + 1.0)) AS idf
+                 FROM qt q JOIN post p ON p.field = q.field AND p.term = q.term
+                 JOIN dfs d ON d.field = q.field AND d.term = q.term{' AND d.shard = p.shard' if per_shard else ''}
+                 JOIN nn ON {'nn.shard = p.shard' if per_shard else 'true'})""",
+        """ts AS (SELECT h.query_id, h.id, h.shard,
+                      sum(sqrt(h.tf) * h.idf * h.idf / sqrt(CAST(h.field_len AS DOUBLE))) * count(*) / nq.nq AS text_score,
+                      count(*) AS matched
+               FROM hits h JOIN nq ON nq.query_id = h.query_id GROUP BY h.query_id, h.id, h.shard, nq.nq)""",
+    )
+
+
+def ranked_results(ts: str, part: str, n_cand: int, n_keep: int, scorer: str, shard_col: bool) -> str:
+    return f"""
+SELECT query_id{', shard' if shard_col else ''}, CAST(rank AS INTEGER) AS rank, id, title, citations,
+       round(text_score, 6) AS text_score, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round(score, 9) DESC, id) AS rank
+      FROM (SELECT c.query_id, c.shard, c.id, i.title, i.citations, c.text_score, {scorer} AS score
+            FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round(text_score, 9) DESC, id) AS cr
+                                 FROM {ts}) WHERE cr <= {n_cand}) c
+            JOIN idocs i ON i.id = c.id))
+WHERE rank <= {n_keep}"""
+
+
+_REFS_SCORER = "c.text_score * CAST(i.citations AS DOUBLE)"
+
+ORACLE["index_postings"] = INDEX + "\nSELECT field, term, id, shard, tf, field_len FROM post"
+ORACLE["search_text"] = INDEX + scores("q", False) + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(text_score, 6) AS text_score, matched FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, id) AS rank FROM ts)
+WHERE rank <= 100"""
+ORACLE["search_scored"] = INDEX + scores("q", False) + ranked_results("ts", "query_id", 100, 10, _REFS_SCORER, False)
+ORACLE["search_sharded"] = INDEX + scores("q", True) + ranked_results(
+    "ts", "query_id, shard", 100, 5, _REFS_SCORER, True)
+ORACLE["search_fielded"] = INDEX + ctes(
+    f"""fq AS (SELECT query_id, text, CASE WHEN query_id % 2 = 0 THEN 'text' ELSE 'title' END AS field,
+                   list_filter({gapped('text')}, lambda x: x IS NOT NULL) AS nw, query_id % 3 = 0 AS phrase FROM q)""",
+) + scores("fq", False) + ctes(
+    f"""req AS (SELECT DISTINCT query_id, field, term FROM (
+              SELECT query_id, field, nw[1] AS term FROM fq WHERE len(nw) > 0
+              UNION ALL
+              SELECT query_id, field, unnest(CASE WHEN len(w) >= 4 THEN {win('w', 4)} ELSE [array_to_string(w, ' ')] END)
+              FROM (SELECT query_id, field, {gapped('text')} AS w FROM fq WHERE phrase)))""",
+    "need AS (SELECT query_id, count(*) AS need FROM req GROUP BY 1)",
+    """sat AS (SELECT h.query_id, h.id FROM (
+               SELECT r.query_id, p.id, count(*) AS have FROM req r JOIN post p ON p.field = r.field AND p.term = r.term
+               GROUP BY 1, 2) h JOIN need n ON n.query_id = h.query_id WHERE h.have = n.need)""",
+    """exc AS (SELECT DISTINCT f.query_id, p.id FROM fq f JOIN post p ON p.field = f.field AND p.term = f.nw[len(f.nw)]
+             WHERE len(f.nw) > 1)""",
+    """tsf AS (SELECT t.* FROM ts t
+             WHERE (t.query_id NOT IN (SELECT query_id FROM need)
+                    OR EXISTS (SELECT 1 FROM sat s WHERE s.query_id = t.query_id AND s.id = t.id))
+               AND NOT EXISTS (SELECT 1 FROM exc e WHERE e.query_id = t.query_id AND e.id = t.id))""",
+) + ranked_results("tsf", "query_id", 100, 10, "c.text_score", False)

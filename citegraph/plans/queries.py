@@ -16,6 +16,7 @@ from citegraph.functions import constants as K
 from citegraph.functions.text import extract_year, title_id
 from citegraph.operators import graph as G
 from citegraph.operators.citations import extract_citations
+from citegraph.operators import index as Q
 from citegraph.operators import learn as L
 from citegraph.operators import similarity as S
 from citegraph.operators.sampling import random_doc
@@ -293,6 +294,45 @@ def q_nb_model(spark, sf):
     return L.train(docs, edges)
 
 
+# ------------------------------------------------------------------ index and search
+def _indexed(spark, sf):
+    p, edges, ded = _graph(spark, sf)
+    inv = G.invert_citations(ded, edges).join(p.select("doc_id", "text"), "doc_id")
+    return inv, Q.build_index(inv)
+
+
+def q_index_postings(spark, sf):
+    _, post = _indexed(spark, sf)
+    return post
+
+
+def q_search_text(spark, sf):
+    inv, post = _indexed(spark, sf)
+    ts = Q.text_scores(X.search_queries(spark, sf), post, inv)
+    top = Q._top(ts, ["query_id"], F.desc(F.round("text_score", 9)), "id", K.SEARCH_CANDIDATES, "rank")
+    return top.select("query_id", "rank", "id", F.round("text_score", R6).alias("text_score"), "matched")
+
+
+def _rounded(df):
+    return df.withColumn("text_score", F.round("text_score", R6)).withColumn("score", F.round("score", R6))
+
+
+def q_search_scored(spark, sf):
+    inv, post = _indexed(spark, sf)
+    return _rounded(Q.search(X.search_queries(spark, sf), post, inv, scorer=Q.DEFAULT_SCORER, k=10))
+
+
+def q_search_sharded(spark, sf):
+    inv, post = _indexed(spark, sf)
+    per = (K.SEARCH_CANDIDATES, K.SEARCH_KEEP)
+    return _rounded(Q.search(X.search_queries(spark, sf), post, inv, scorer=Q.DEFAULT_SCORER, per_shard=per))
+
+
+def q_search_fielded(spark, sf):
+    inv, post = _indexed(spark, sf)
+    return _rounded(Q.search(X.fielded_queries(spark, sf), post, inv, scorer="text_score", k=10))
+
+
 QUERIES = {
     "capture_admission": q_capture_admission,
     "capture_status_counts": q_capture_status_counts,
@@ -325,4 +365,9 @@ QUERIES = {
     "nb_positives": q_nb_positives,
     "nb_negatives": q_nb_negatives,
     "nb_model": q_nb_model,
+    "index_postings": q_index_postings,
+    "search_text": q_search_text,
+    "search_scored": q_search_scored,
+    "search_sharded": q_search_sharded,
+    "search_fielded": q_search_fielded,
 }
