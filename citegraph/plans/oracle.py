@@ -96,19 +96,22 @@ SELECT m.id, d.title, m.n_matches FROM (
 
 
 # ------------------------------------------------------------------ captures
-CAPTURES = """
+def captures_sql(length: str) -> str:
+    """Capture rows from ``pages`` and their admission; ``length`` is the record
+    length expression over (html, payload)."""
+    return f"""
 WITH caps AS (
   SELECT page_id,
          CASE WHEN page_id % 17 = 0 THEN NULL
               ELSE url || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.ps' ELSE '' END END AS url,
-         length(html) AS length,
+         html,
          CASE WHEN page_id % 11 = 0 THEN html
               ELSE 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: application/pdf'
                    || chr(13) || chr(10) || chr(13) || chr(10) || html END AS payload
   FROM pages),
 a AS (
-  SELECT page_id, CASE WHEN url = '' THEN NULL ELSE lower(url) END AS url,
-         CASE WHEN url IS NULL OR url = '' THEN 'MissingUrl' WHEN length < 5000 THEN 'TooSmall' ELSE 'Admitted' END AS status,
+  SELECT page_id, {length} AS length, CASE WHEN url = '' THEN NULL ELSE lower(url) END AS url,
+         CASE WHEN url IS NULL OR url = '' THEN 'MissingUrl' WHEN {length} < 5000 THEN 'TooSmall' ELSE 'Admitted' END AS status,
          payload, instr(payload, chr(13) || chr(10) || chr(13) || chr(10)) AS pos
   FROM caps),
 b AS (
@@ -118,14 +121,19 @@ b AS (
          CASE WHEN pos > 0 THEN strlen(payload) - strlen(substr(payload, 1, pos - 1)) - 4 END AS body_len
   FROM a),
 adm AS (
-  SELECT page_id, url, status, filetype,
+  SELECT page_id, length, url, status, filetype,
          CASE WHEN filetype IS NOT NULL THEN filetype ||
               CASE WHEN pos > 0 AND strlen(payload) >= 5000 AND body_len > 100 THEN '.success' ELSE '.failure' END
          END AS outcome, body_len
   FROM b)
 """
 
-ORACLE["capture_admission"] = CAPTURES + "SELECT * FROM adm"
+
+CAPTURES = captures_sql("length(html)")
+ORACLE["capture_admission"] = CAPTURES + "SELECT page_id, url, status, filetype, outcome, body_len FROM adm"
+# the archive record length is the payload's byte length
+ORACLE["archive_records"] = captures_sql("strlen(payload)") + (
+    "SELECT url, length, status, filetype, outcome, body_len FROM adm")
 ORACLE["capture_status_counts"] = CAPTURES + "SELECT coalesce(outcome, status) AS status, count(*) AS n FROM adm GROUP BY 1"
 
 
@@ -480,3 +488,29 @@ ORACLE["search_fielded"] = INDEX + ctes(
                     OR EXISTS (SELECT 1 FROM sat s WHERE s.query_id = t.query_id AND s.id = t.id))
                AND NOT EXISTS (SELECT 1 FROM exc e WHERE e.query_id = t.query_id AND e.id = t.id))""",
 ) + ranked_results("tsf", "query_id", 100, 10, "c.text_score", False)
+
+
+# ------------------------------------------------------------------ extract job over text + bibliography
+def _nodes_from(source: str) -> str:
+    """The NODES CTEs over an arbitrary (doc_id, text) relation."""
+    return NODES.replace("FROM documents))", f"FROM {source}))")
+
+
+_BIB_LINE = ("CASE WHEN pos % 2 = 0 THEN 'L. Lamport and B. Kemme. ' || cited_title || '. In Proceedings, 2004.' "
+             "ELSE 'LAMPORT, L., KEMME, B., AND KARGER, D. ' || cited_title || '. In Proceedings, 2004.' END")
+
+ORACLE["extract_documents"] = with_graph(ctes(
+    f"bibs AS (SELECT citing_id AS doc_id, string_agg({_BIB_LINE}, chr(10) ORDER BY pos) AS bib FROM edges GROUP BY 1)",
+    "xdocs AS (SELECT p.doc_id, p.text || chr(10) || b.bib AS text FROM papers p JOIN bibs b ON b.doc_id = p.doc_id)",
+    _nodes_from("xdocs").strip(),
+    LAYOUT_TEXT.strip(),
+    LAYOUT_TITLE.strip().replace("FROM documents d LEFT JOIN best b", "FROM xdocs d LEFT JOIN best b"),
+    XML_LEN.strip(),
+) + f"""
+SELECT t.doc_id,
+       CASE WHEN x.n > 10000000 THEN 'TooLong' WHEN t.title = '' THEN 'NoTitle'
+            WHEN length(t.title) < 5 THEN 'ShortTitle' ELSE 'GoodTitle' END AS status,
+       t.title, {tid('t.title')} AS id,
+       CAST(coalesce(list_filter(list_transform(regexp_extract_all(dt.text, '[0-9]{{4}}'), lambda v: CAST(v AS INTEGER)),
+                                 lambda y: y > 1990 AND y < 2013)[-1], 0) AS INTEGER) AS year
+FROM doc_title t JOIN xml_len x ON x.doc_id = t.doc_id JOIN doc_text dt ON dt.doc_id = t.doc_id""")

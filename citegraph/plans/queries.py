@@ -22,7 +22,9 @@ from citegraph.operators import similarity as S
 from citegraph.operators.sampling import random_doc
 from citegraph.operators.layout import analyze, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
-from citegraph.sources.captures import admit_captures, split_payload
+from citegraph.plans.pipeline import analyze_documents, extract
+from citegraph.session import scratch_path
+from citegraph.sources.captures import admit_captures, read_captures, split_payload, write_captures
 
 R6 = 6  # doubles are compared at 6 decimals
 
@@ -112,6 +114,39 @@ def q_capture_status_counts(spark, sf):
     return G.count_status(d.withColumn("status", label), "status")
 
 
+def q_archive_records(spark, sf):
+    """S1+S4: captures written as gzip web-archive files, read back record by record."""
+    path = scratch_path(spark, "archives")
+    write_captures(X.captures(spark, sf), path)
+    recs = read_captures(spark, path + "/*.gz")
+    d = split_payload(admit_captures(recs))
+    return d.select("url", "length", "status", "filetype", "outcome", "body_len")
+
+
+# ------------------------------------------------------------------ extract job
+def _extract_input(spark, sf):
+    """Papers whose text ends with their rendered bibliography, as layout XML."""
+    p = _papers(spark, sf)
+    bib = X.bibliographies(p, X.refs(p), "acm")
+    return p.join(bib.select("doc_id", "bib"), "doc_id").select(
+        "doc_id", "url", X.layout_xml(F.concat_ws("\n", "text", "bib")).alias("xml")
+    )
+
+
+def q_extract_documents(spark, sf):
+    a = analyze_documents(_extract_input(spark, sf), "acm")
+    return a.select("doc_id", "status", "title", "id", "year")
+
+
+def q_extract_edges(spark, sf):
+    """Edges of the whole extract job (layout -> last two pages -> citations).
+    The citation regex needs atomic groups and look-behind, which the SQL oracle
+    engine lacks, so this one is a rows-only check; the parser itself is checked
+    against rendered bibliographies by the citation_* queries."""
+    docs, edges = extract(_extract_input(spark, sf), "acm")
+    return edges.select("citing_id", "pos", "cited_title", "cited_id")
+
+
 # ------------------------------------------------------------------ layout
 def _layout(spark, sf, sections=None):
     d = with_layout(X.layout_documents(spark, sf), "xml", "pages")
@@ -336,6 +371,9 @@ def q_search_fielded(spark, sf):
 QUERIES = {
     "capture_admission": q_capture_admission,
     "capture_status_counts": q_capture_status_counts,
+    "archive_records": q_archive_records,
+    "extract_documents": q_extract_documents,
+    "extract_edges": q_extract_edges,
     "layout_text": q_layout_text,
     "layout_title": q_layout_title,
     "title_gate_counts": q_title_gate_counts,
