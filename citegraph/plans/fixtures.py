@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citegraph.functions.text import xml_escape
 from citegraph.operators.sampling import dense_index
+from citegraph.session import balance
 
 LINES_PER_PAGE = 40
 
@@ -24,8 +25,13 @@ TEMPLATES = {
 }
 
 
+# large text tables and their keys: their scans are spread over the cluster (see session.balance)
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
 
 
 def paper_title(text) -> F.Column:

@@ -23,6 +23,9 @@ _DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # rows here are CPU-heavy (whole texts): let AQE keep parallelism for small shuffles
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
@@ -63,6 +66,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/citegraph-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def balance(df: DataFrame, key: str) -> DataFrame:
+    """Spread CPU-heavy per-row work: when the input has fewer partitions than the
+    cluster can run at once (e.g. one large unsplittable file), hash-repartition
+    it by ``key`` to the default parallelism.  On a large input this is a no-op,
+    so no extra shuffle is added at scale."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n, key)
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     checkpoint_dir(df.sparkSession)
