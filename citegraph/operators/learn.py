@@ -53,17 +53,40 @@ def training_multiplicities(pos: DataFrame, neg: DataFrame, key: str = "id") ->
 
 
 def nb_counts(mults: DataFrame, docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``(label, ngram, cnt)`` with cnt = sum over docs of mult * occurrences."""
-    m = mults.join(docs.select(F.col(key).alias("doc"), text), "doc")
-    m = m.select("label", "mult", words(F.col(text)).alias("_w"))
-    grams = m.select("label", "mult", F.explode(nb_ngrams("_w")).alias("ngram"))
-    return grams.groupBy("label", "ngram").agg(F.sum("mult").cast("double").alias("cnt"))
+    """``(label, ngram, cnt)`` with cnt = sum over docs of mult * occurrences.
+
+    Each used document is tokenised once, carrying one multiplicity per label."""
+    per_doc = mults.groupBy("doc").agg(
+        *[F.sum(F.when(F.col("label") == lab, F.col("mult")).otherwise(0)).alias(f"_m{i}") for i, lab in enumerate(K.NB_LABELS)]
+    )
+    m = per_doc.join(docs.select(F.col(key).alias("doc"), text), "doc")
+    m = m.select("_m0", "_m1", words(F.col(text)).alias("_w"))
+    grams = m.select("_m0", "_m1", F.explode(nb_ngrams("_w")).alias("ngram"))
+    sums = grams.groupBy("ngram").agg(F.sum("_m0").alias("_c0"), F.sum("_m1").alias("_c1"))
+    long = sums.select(
+        "ngram",
+        F.explode(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"_c{i}").alias("cnt"))
+                            for i, lab in enumerate(K.NB_LABELS)])).alias("_x"),
+    )
+    return long.select("_x.label", "ngram", F.col("_x.cnt").cast("double").alias("cnt")).where(F.col("cnt") > 0)
+
+
+def nb_total(mults: DataFrame, docs: DataFrame, key: str = "id", text: str = "text"):
+    """Grand total of all n-gram updates as a scalar Column, from per-document word
+    counts (n words give n unigrams and n-1 bigrams), so the n-gram table is not
+    recomputed for it."""
+    per_doc = mults.groupBy("doc").agg(F.sum("mult").alias("_m"))
+    n = F.size(words(F.col(text)))
+    grams = F.when(n > 0, n * 2 - 1).otherwise(0)
+    d = per_doc.join(docs.select(F.col(key).alias("doc"), text), "doc")
+    return d.select(F.sum(F.col("_m") * grams).cast("double")).scalar()
 
 
-def nb_model(counts: DataFrame, min_count: float = 1.0) -> DataFrame:
+def nb_model(counts: DataFrame, min_count: float = 1.0, total=None) -> DataFrame:
     """Drop counts <= 1, weight = count / total, where the total covers all
     counts of both labels (including the dropped ones)."""
-    total = counts.select(F.sum("cnt")).scalar()
+    if total is None:
+        total = counts.select(F.sum("cnt")).scalar()
     return counts.where(F.col("cnt") > min_count).select(
         "label", "ngram", "cnt", total.alias("total"), (F.col("cnt") / total).alias("weight")
     )
@@ -73,7 +96,7 @@ def train(docs: DataFrame, edges: DataFrame, key: str = "id", k: int = K.NB_NEGA
           seed: int = 0) -> DataFrame:
     """L3+L4 end to end."""
     mults = training_multiplicities(positives(docs, edges, key), negatives(docs, key, k, seed), key)
-    return nb_model(nb_counts(mults, docs, key))
+    return nb_model(nb_counts(mults, docs, key), total=nb_total(mults, docs, key))
 
 
 def run_learner(learner: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:

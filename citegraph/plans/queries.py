@@ -23,7 +23,7 @@ from citegraph.operators.sampling import random_doc
 from citegraph.operators.layout import analyze, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import analyze_documents, extract
-from citegraph.session import scratch_path
+from citegraph.session import cut_lineage, scratch_path
 from citegraph.sources.captures import admit_captures, read_captures, split_payload, write_captures
 
 R6 = 6  # doubles are compared at 6 decimals
@@ -330,14 +330,21 @@ def q_nb_model(spark, sf):
 
 
 # ------------------------------------------------------------------ index and search
-def _indexed(spark, sf):
+def _indexed(spark, sf, stored: bool = True):
+    """Inverted documents and their postings.  Search queries read a stored index
+    (written once to the shared checkpoint folder, as the indexing job writes its
+    output); ``index_postings`` itself is the build."""
     p, edges, ded = _graph(spark, sf)
     inv = G.invert_citations(ded, edges).join(p.select("doc_id", "text"), "doc_id")
-    return inv, Q.build_index(inv)
+    post = Q.build_index(inv)
+    if stored:
+        inv = cut_lineage(inv.select("id", "doc_id", "title", "citations"))
+        post = cut_lineage(post)
+    return inv, post
 
 
 def q_index_postings(spark, sf):
-    _, post = _indexed(spark, sf)
+    _, post = _indexed(spark, sf, stored=False)
     return post
 
 
