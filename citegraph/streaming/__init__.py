@@ -1,0 +1,3 @@
+from citegraph.streaming.ingest import ingest_stream
+
+__all__ = ["ingest_stream"]
