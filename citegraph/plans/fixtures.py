@@ -39,7 +39,7 @@ def paper_title(text) -> F.Column:
     return F.trim(F.regexp_replace(first, r"[.?()\s]+", " "))
 
 
-def papers(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+def papers(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """``(doc_id, title, url, n_chars, i, n[, text])``: documents whose first line is a
     plausible title (11..149 chars), with a dense index ``i`` in doc_id order."""
     docs = table(spark, sf_dir, "documents")

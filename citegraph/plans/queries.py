@@ -45,10 +45,17 @@ def _docs(paper):
                         F.col("n_chars").alias("doc_len"))
 
 
+def _texts(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", "text")
+
+
 def _graph(spark, sf):
+    """Papers, their parsed citation edges and the deduplicated documents.  The
+    edge and document tables feed several branches of each query, so they are
+    checkpointed once (narrow columns only) instead of being recomputed."""
     p = _papers(spark, sf)
-    edges = _edges(spark, sf, "acm", p)
-    ded = G.dedup_documents(_docs(p))
+    edges = cut_lineage(_edges(spark, sf, "acm", p))
+    ded = cut_lineage(G.dedup_documents(_docs(p)))
     return p, edges, ded
 
 
@@ -128,7 +135,7 @@ def _extract_input(spark, sf):
     """Papers whose text ends with their rendered bibliography, as layout XML."""
     p = _papers(spark, sf)
     bib = X.bibliographies(p, X.refs(p), "acm")
-    return p.join(bib.select("doc_id", "bib"), "doc_id").select(
+    return p.join(bib.select("doc_id", "bib"), "doc_id").join(_texts(spark, sf), "doc_id").select(
         "doc_id", "url", X.layout_xml(F.concat_ws("\n", "text", "bib")).alias("xml")
     )
 
@@ -263,7 +270,7 @@ def q_tfidf(spark, sf):
 # ------------------------------------------------------------------ evaluation
 def _evaluation(spark, sf):
     p, edges, ded = _graph(spark, sf)
-    corpus = ded.join(p.select("doc_id", "text"), "doc_id")
+    corpus = ded.join(_texts(spark, sf), "doc_id")
     citing = edges.join(ded.select(F.col("doc_id").alias("citing_id"), F.col("id").alias("citing_key")), "citing_id")
     pairs = G.matches(citing, ded, citing="citing_key")
     focus = G.top_matched(pairs, citing="citing_key").select(F.col("citing_key").alias("id"))
@@ -310,7 +317,7 @@ def q_evaluation_report(spark, sf):
 # ------------------------------------------------------------------ learning
 def _learning(spark, sf):
     p, edges, ded = _graph(spark, sf)
-    docs = ded.join(p.select("doc_id", "text"), "doc_id")
+    docs = ded.join(_texts(spark, sf), "doc_id")
     return docs, edges
 
 
@@ -335,7 +342,7 @@ def _indexed(spark, sf, stored: bool = True):
     (written once to the shared checkpoint folder, as the indexing job writes its
     output); ``index_postings`` itself is the build."""
     p, edges, ded = _graph(spark, sf)
-    inv = G.invert_citations(ded, edges).join(p.select("doc_id", "text"), "doc_id")
+    inv = G.invert_citations(ded, edges).join(_texts(spark, sf), "doc_id")
     post = Q.build_index(inv)
     if stored:
         inv = cut_lineage(inv.select("id", "doc_id", "title", "citations"))
