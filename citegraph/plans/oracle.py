@@ -308,11 +308,15 @@ def ranked(name: str, weights: str) -> str:
     return f"""{name} AS (
   SELECT focus_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY focus_id ORDER BY round(score, 9) DESC NULLS LAST, id) AS rank FROM (
-      SELECT d.focus_id, d.id, CASE WHEN s.wsum = 0 THEN NULL ELSE d.dot / s.wsum END AS score
-      FROM (SELECT f.id AS focus_id, c.id, sum(f.weight * c.weight) AS dot
-            FROM {weights} f JOIN {weights} c ON c.term = f.term
-            WHERE f.id IN (SELECT id FROM focus) GROUP BY 1, 2) d
-      JOIN (SELECT id, sum(weight) AS wsum FROM {weights} GROUP BY id) s ON s.id = d.id))
+      SELECT f.id AS focus_id, u.id, coalesce(x.score, 0.0) AS score
+      FROM focus f CROSS JOIN (SELECT id FROM ded) u
+      LEFT JOIN (
+        SELECT d.focus_id, d.id, CASE WHEN s.wsum = 0 THEN NULL ELSE d.dot / s.wsum END AS score
+        FROM (SELECT f.id AS focus_id, c.id, sum(f.weight * c.weight) AS dot
+              FROM {weights} f JOIN {weights} c ON c.term = f.term
+              WHERE f.id IN (SELECT id FROM focus) GROUP BY 1, 2) d
+        JOIN (SELECT id, sum(weight) AS wsum FROM {weights} GROUP BY id) s ON s.id = d.id) x
+      ON x.focus_id = f.id AND x.id = u.id))
   WHERE rank <= 1000)"""
 
 

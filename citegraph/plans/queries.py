@@ -278,13 +278,14 @@ def _evaluation(spark, sf):
     counts = bow.select("id", "term", F.col("cnt").alias("weight"))
     weights = S.tfidf(bow, S.idf(bow, corpus, "id"), "id", drop_zero=True)
     real = S.real_matches(pairs, focus)
-    return dict(ded=ded, citing=citing, focus=focus, counts=counts, weights=weights, real=real)
+    universe = ded.select("id")
+    return dict(ded=ded, citing=citing, focus=focus, counts=counts, weights=weights, real=real, universe=universe)
 
 
 def _similar_query(kind):
     def q(spark, sf):
         ev = _evaluation(spark, sf)
-        r = S.similar(ev["focus"], ev["counts"] if kind == "overlap" else ev["weights"])
+        r = S.similar(ev["focus"], ev["counts"] if kind == "overlap" else ev["weights"], universe=ev["universe"])
         return r.select("focus_id", "id", F.round("score", R6).alias("score"), "rank")
 
     q.__name__ = f"q_similar_{kind}"
@@ -295,14 +296,14 @@ def q_recall_curve(spark, sf):
     ev = _evaluation(spark, sf)
     out = None
     for kind, w in (("overlap", ev["counts"]), ("tfidf", ev["weights"])):
-        c = S.recall_curve(S.similar(ev["focus"], w), ev["real"], metric=kind)
+        c = S.recall_curve(S.similar(ev["focus"], w, universe=ev["universe"]), ev["real"], metric=kind)
         out = c if out is None else out.unionByName(c)
     return out
 
 
 def q_evaluation_report(spark, sf):
     ev = _evaluation(spark, sf)
-    ranked = S.similar(ev["focus"], ev["weights"])
+    ranked = S.similar(ev["focus"], ev["weights"], universe=ev["universe"])
     at = S.evaluate_at(ranked, ev["real"], K.EVAL_N_UNTIL)
     total = ev["citing"].groupBy(F.col("citing_key").alias("id")).agg(F.count(F.lit(1)).alias("total"))
     rep = ev["focus"].join(at.withColumnRenamed("focus_id", "id"), "id", "left").join(total, "id", "left")

@@ -64,3 +64,13 @@ def test_histogram_bucket(spark):
     assert one(spark, histogram_bucket, 0, "long") == 0
     assert one(spark, lambda c: histogram_bucket(c, "asis"), 5, "long") in (5, 6)
     assert one(spark, histogram_bucket, 100, "long") == 48
+
+
+def test_token_flags(spark):
+    from citegraph.functions.text import token_flags
+
+    df = spark.createDataFrame([("In Proceedings 2004",), ("A",), ("and",)], "t string")
+    rows = df.select(token_flags("t").alias("f")).collect()
+    assert rows[0].f.is_conference and rows[0].f.has_date and rows[0].f.is_numeric
+    assert rows[1].f.is_initial and rows[1].f.is_upper
+    assert rows[2].f.is_key_word and not rows[2].f.is_initial
