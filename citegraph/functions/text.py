@@ -179,3 +179,19 @@ def xml_escape(s) -> Column:
     c = F.replace(_c(s), F.lit("&"), F.lit("&amp;"))
     c = F.replace(c, F.lit("<"), F.lit("&lt;"))
     return F.replace(c, F.lit(">"), F.lit("&gt;"))
+
+
+# ---------------------------------------------------------------- exploding computed arrays
+def explode_rows(df, keep, array_col, alias: str, with_pos: str | None = None):
+    """One row per element of a computed array (rows with empty arrays vanish).
+
+    ``explode`` makes Spark infer ``size(array) > 0`` and push that filter below the
+    projection that computes the array, which evaluates the array program twice;
+    ``explode_outer`` infers nothing, so it is used with a null filter instead."""
+    keep = list(keep)
+    arr = _c(array_col)
+    if with_pos:
+        out = df.select(*keep, F.posexplode_outer(arr).alias(with_pos, alias))
+    else:
+        out = df.select(*keep, F.explode_outer(arr).alias(alias))
+    return out.where(F.col(alias).isNotNull())

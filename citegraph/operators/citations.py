@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.functions import patterns as P
-from citegraph.functions.text import collapse_ws, title_id
+from citegraph.functions.text import collapse_ws, explode_rows, title_id
 
 CITATION_TYPE = "struct<title:string,authors:array<array<string>>,conference:string>"
 
@@ -97,7 +97,7 @@ def extract_citations(df: DataFrame, text: str = "text", style: str = "acm", key
                       sections: bool = False) -> DataFrame:
     """Edge rows ``(*keys, pos, cited_title, cited_id, authors, n_authors, style)``."""
     lst = with_citations(df.select(*keys, text), text, style, sections, out="_cites")
-    out = lst.select(*keys, F.posexplode("_cites").alias("pos", "c"))
+    out = explode_rows(lst, keys, "_cites", "c", with_pos="pos")
     return out.select(
         *keys,
         F.col("pos").cast("int").alias("pos"),

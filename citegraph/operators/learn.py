@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.functions import constants as K
-from citegraph.functions.text import nb_ngrams, words
+from citegraph.functions.text import explode_rows, nb_ngrams, words
 from citegraph.operators.graph import one_per_title
 from citegraph.operators.sampling import random_docs
 
@@ -61,7 +61,7 @@ def nb_counts(mults: DataFrame, docs: DataFrame, key: str = "id", text: str = "t
     )
     m = per_doc.join(docs.select(F.col(key).alias("doc"), text), "doc")
     m = m.select("_m0", "_m1", words(F.col(text)).alias("_w"))
-    grams = m.select("_m0", "_m1", F.explode(nb_ngrams("_w")).alias("ngram"))
+    grams = explode_rows(m, ["_m0", "_m1"], nb_ngrams("_w"), "ngram")
     sums = grams.groupBy("ngram").agg(F.sum("_m0").alias("_c0"), F.sum("_m1").alias("_c1"))
     long = sums.select(
         "ngram",

@@ -118,7 +118,7 @@ b AS (
   SELECT *, CASE WHEN status = 'Admitted' THEN
               CASE WHEN instr(url, '.pdf') > 0 THEN 'PDF' WHEN instr(url, '.ps') > 0 THEN 'PostScript' ELSE 'Unknown-PS' END
             END AS filetype,
-         CASE WHEN pos > 0 THEN strlen(payload) - strlen(substr(payload, 1, pos - 1)) - 4 END AS body_len
+         CAST(CASE WHEN pos > 0 THEN strlen(payload) - strlen(substr(payload, 1, pos - 1)) - 4 END AS INTEGER) AS body_len
   FROM a),
 adm AS (
   SELECT page_id, length, url, status, filetype,
@@ -352,7 +352,8 @@ ORACLE["similar_overlap"] = EVAL + "\nSELECT focus_id, id, round(score, 6) AS sc
 ORACLE["similar_tfidf"] = EVAL + "\nSELECT focus_id, id, round(score, 6) AS score, rank FROM r_tfidf"
 ORACLE["recall_curve"] = EVAL + curve("overlap", "r_overlap") + "\nUNION ALL" + curve("tfidf", "r_tfidf")
 ORACLE["evaluation_report"] = EVAL + """
-SELECT f.id, d.title, coalesce(a.matched, 0) AS matched, coalesce(a.found, 0) AS found, coalesce(t.total, 0) AS total,
+SELECT f.id, d.title, CAST(coalesce(a.matched, 0) AS BIGINT) AS matched, coalesce(a.found, 0) AS found,
+       coalesce(t.total, 0) AS total,
        round(CASE WHEN coalesce(a.found, 0) = 0 THEN NULL
                   ELSE 100.0 * CAST(coalesce(a.matched, 0) AS DOUBLE) / a.found END, 6) AS percent
 FROM focus f JOIN ded d ON d.id = f.id
@@ -422,7 +423,7 @@ INDEX = with_graph(ctes(
     "idocs AS (SELECT i.id, p.text, i.title, i.citations FROM inv i JOIN papers p ON p.doc_id = i.doc_id)",
     f"""gw AS (SELECT id, 'text' AS field, {gapped('text')} AS w FROM idocs
            UNION ALL SELECT id, 'title' AS field, {gapped('title')} AS w FROM idocs)""",
-    f"tw AS (SELECT id, field, len(list_filter(w, lambda x: x IS NOT NULL)) AS field_len, {all_terms('w')} AS ts FROM gw)",
+    f"tw AS (SELECT id, field, CAST(len(list_filter(w, lambda x: x IS NOT NULL)) AS INTEGER) AS field_len, {all_terms('w')} AS ts FROM gw)",
     """post AS (SELECT field, term, id, CAST(((id % 100) + 100) % 100 AS INTEGER) AS shard, count(*) AS tf, field_len
              FROM (SELECT id, field, field_len, unnest(ts) AS term FROM tw) GROUP BY field, term, id, field_len)""",
     "q AS (SELECT item_id AS query_id, 'text' AS field, trim(regexp_extract(text, '^[^.?!\\n]*')) AS text FROM benchmark)",
@@ -518,3 +519,30 @@ SELECT t.doc_id,
        CAST(coalesce(list_filter(list_transform(regexp_extract_all(dt.text, '[0-9]{{4}}'), lambda v: CAST(v AS INTEGER)),
                                  lambda y: y > 1990 AND y < 2013)[-1], 0) AS INTEGER) AS year
 FROM doc_title t JOIN xml_len x ON x.doc_id = t.doc_id JOIN doc_text dt ON dt.doc_id = t.doc_id""")
+
+
+# ------------------------------------------------------------------ node table, nested lists, report lines
+ORACLE["layout_nodes"] = "WITH " + NODES + """
+SELECT doc_id, page, CAST(node_id AS INTEGER) AS node_id, lft AS "left", width, top, height,
+       lft + width AS "right", top + height AS bottom, lft + width // 2 AS center,
+       CASE WHEN i = 0 THEN 1 ELSE 0 END AS font_id, i = 0 AS bold, font_size, text
+FROM nodes"""
+
+ORACLE["incoming_lists"] = with_graph(ctes(
+    """lst AS (SELECT cited_id AS id, citing_id, pos, cited_title,
+                   row_number() OVER (PARTITION BY cited_id ORDER BY citing_id, pos) AS k
+            FROM edges WHERE cited_id IN (SELECT id FROM ded))""",
+) + """
+SELECT d.id, CAST(coalesce(c.n, 0) AS BIGINT) AS citations, CAST(coalesce(c.n_listed, 0) AS INTEGER) AS n_listed,
+       c.first_citing, CAST(c.first_pos AS INTEGER) AS first_pos, CAST(coalesce(c.s, 0) AS BIGINT) AS citing_mod_sum,
+       coalesce(c.titles, '') AS titles
+FROM ded d LEFT JOIN (
+  SELECT id, count(*) AS n, count(*) FILTER (WHERE k <= 1000) AS n_listed,
+         min(citing_id) FILTER (WHERE k = 1) AS first_citing, min(pos) FILTER (WHERE k = 1) AS first_pos,
+         sum(citing_id % 1000) FILTER (WHERE k <= 1000) AS s,
+         string_agg(cited_title, '|' ORDER BY k) FILTER (WHERE k <= 1000) AS titles
+  FROM lst GROUP BY id) c ON c.id = d.id""")
+
+ORACLE["report_lines"] = ORACLE["evaluation_report"].replace(
+    "SELECT f.id, d.title,", "SELECT id, printf('%-60.60s %3d/%3d (%3d) %.2f%%', title, matched, found, total, "
+    "100.0 * matched / found) AS line FROM (\nSELECT f.id, d.title,", 1) + ")"

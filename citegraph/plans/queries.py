@@ -20,7 +20,7 @@ from citegraph.operators import index as Q
 from citegraph.operators import learn as L
 from citegraph.operators import similarity as S
 from citegraph.operators.sampling import random_doc
-from citegraph.operators.layout import analyze, with_layout, with_text_and_title
+from citegraph.operators.layout import analyze, layout_nodes, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import analyze_documents, extract
 from citegraph.session import cut_lineage, scratch_path
@@ -168,6 +168,13 @@ def q_layout_title(spark, sf):
     return _layout(spark, sf).select("doc_id", "title")
 
 
+def q_layout_nodes(spark, sf):
+    """P2-P7 (+P5 geometry): the NODE table of every rendered document."""
+    n = layout_nodes(X.layout_documents(spark, sf), "xml")
+    return n.select("doc_id", "page", "node_id", "left", "width", "top", "height", "right", "bottom", "center",
+                    "font_id", "bold", "font_size", "text")
+
+
 def q_title_gate_counts(spark, sf):
     d = _layout(spark, sf)
     t = F.col("title")
@@ -198,6 +205,19 @@ def q_citation_histogram(spark, sf):
     )
 
 
+def q_incoming_lists(spark, sf):
+    """A13 + W1: the nested incoming list (original per-key cap of 1000), summarised."""
+    _, edges, ded = _graph(spark, sf)
+    inv = G.invert_citations(ded, edges, nested=True, cap=K.INVERT_VALUES_PER_KEY)
+    lst = F.col("incoming")
+    return inv.select(
+        "id", "citations", F.size(lst).alias("n_listed"),
+        F.get(lst, 0)["citing_id"].alias("first_citing"), F.get(lst, 0)["pos"].alias("first_pos"),
+        F.aggregate(lst, F.lit(0).cast("bigint"), lambda a, x: a + x["citing_id"] % 1000).alias("citing_mod_sum"),
+        F.array_join(F.transform(lst, lambda x: x["title"]), "|").alias("titles"),
+    )
+
+
 def q_test_set(spark, sf):
     _, edges, ded = _graph(spark, sf)
     inv = G.invert_citations(ded, edges)
@@ -322,6 +342,12 @@ def _learning(spark, sf):
     return docs, edges
 
 
+def q_report_lines(spark, sf):
+    """Fixed-width report rows of the evaluation."""
+    rep = q_evaluation_report(spark, sf)
+    return rep.select("id", S.report_line().alias("line"))
+
+
 def q_nb_positives(spark, sf):
     docs, edges = _learning(spark, sf)
     return L.positives(docs, edges)
@@ -392,6 +418,7 @@ QUERIES = {
     "layout_text": q_layout_text,
     "layout_title": q_layout_title,
     "title_gate_counts": q_title_gate_counts,
+    "layout_nodes": q_layout_nodes,
     "title_key": q_title_key,
     "title_key_dedup": q_title_key_dedup,
     "extract_year": q_extract_year,
@@ -403,6 +430,7 @@ QUERIES = {
     "top_cited_50": q_top_cited_50,
     "citation_histogram": q_citation_histogram,
     "test_set": q_test_set,
+    "incoming_lists": q_incoming_lists,
     "matches_in_corpus": q_matches_in_corpus,
     "dangling_references": q_dangling_references,
     "lookup_titles": q_lookup_titles,
@@ -415,6 +443,7 @@ QUERIES = {
     "similar_tfidf": _similar_query("tfidf"),
     "recall_curve": q_recall_curve,
     "evaluation_report": q_evaluation_report,
+    "report_lines": q_report_lines,
     "nb_positives": q_nb_positives,
     "nb_negatives": q_nb_negatives,
     "nb_model": q_nb_model,
