@@ -10,7 +10,6 @@ records.  This record splitter is the only Python in the data path; admission
 from __future__ import annotations
 
 import gzip
-import io
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,60 +20,73 @@ from citegraph.functions import constants as K
 CAPTURE_SCHEMA = "path string, record int, url string, length bigint, payload binary"
 
 
-def _split_records(blob: bytes):
-    """Yield (url, length, payload) for each record of one (multi-member) gzip file.
+def _iter_records(stream):
+    """Yield (url, length, payload) for each record of one decompressed archive stream.
 
     Records start with a ``WARC/`` version line, then ``Name: value`` header lines,
     an empty line and ``Content-Length`` bytes of payload.  A damaged file ends
     quietly after its last good record (the original reader did the same).
     """
     try:
-        data = gzip.decompress(blob)
-    except (OSError, EOFError, zlib.error):
-        d = zlib.decompressobj(16 + zlib.MAX_WBITS)
-        try:
-            data = d.decompress(blob)
-        except zlib.error:
-            return
-    buf = io.BytesIO(data)
-    while True:
-        line = buf.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            continue
-        headers = {}
         while True:
-            h = buf.readline()
-            if not h or h in (b"\r\n", b"\n"):
-                break
-            k, _, v = h.decode("utf-8", "replace").partition(":")
-            headers[k.strip().lower()] = v.strip()
-        try:
-            n = int(headers.get("content-length", "0"))
-        except ValueError:
-            return
-        payload = buf.read(n)
-        if len(payload) < n:
-            return
-        url = headers.get("warc-target-uri") or None
-        yield url, n, payload
-
-
-def _records(batches):
+            line = stream.readline()
+            if not line:
+                return
+            if not line.startswith(b"WARC/"):
+                continue
+            headers = {}
+            while True:
+                h = stream.readline()
+                if not h or h in (b"\r\n", b"\n"):
+                    break
+                k, _, v = h.decode("utf-8", "replace").partition(":")
+                headers[k.strip().lower()] = v.strip()
+            try:
+                n = int(headers.get("content-length", "0"))
+            except ValueError:
+                return
+            payload = stream.read(n)
+            if len(payload) < n:
+                return
+            yield headers.get("warc-target-uri") or None, n, payload
+    except (OSError, EOFError, zlib.error):
+        return
+
+
+def _open(path: str):
+    """Open a (gzip) archive as a stream through the Arrow file systems, so local,
+    HDFS and object-store paths all work and the file is never held whole."""
+    from pyarrow import fs
+
+    filesystem, inner = fs.FileSystem.from_uri(path)
+    raw = filesystem.open_input_stream(inner, compression=None)
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+
+
+def _records(batches, batch_rows: int = 256):
+    """mapInPandas body: stream every listed file record by record (bounded memory)."""
     import pandas as pd
 
+    cols = ["path", "record", "url", "length", "payload"]
     for pdf in batches:
         out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            for k, (url, n, payload) in enumerate(_split_records(bytes(content))):
-                out.append((path, k, url, n, payload))
-        yield pd.DataFrame(out, columns=["path", "record", "url", "length", "payload"])
+        for path in pdf["path"]:
+            with _open(path) as stream:
+                for k, (url, n, payload) in enumerate(_iter_records(stream)):
+                    out.append((path, k, url, n, payload))
+                    if len(out) >= batch_rows:
+                        yield pd.DataFrame(out, columns=cols)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=cols)
 
 
 def read_captures(spark: SparkSession, glob: str) -> DataFrame:
-    """CAPTURE rows ``(path, record, url, length, payload)`` from gzip archives."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    """CAPTURE rows ``(path, record, url, length, payload)`` from gzip archives.
+
+    ``binaryFile`` only lists the files here (its ``content`` column is never read);
+    each task streams its files, so an archive is never materialised as one value."""
+    files = spark.read.format("binaryFile").load(glob).select("path")
     return files.mapInPandas(_records, CAPTURE_SCHEMA)
 
 
