@@ -294,9 +294,11 @@ def _evaluation(spark, sf):
     citing = edges.join(ded.select(F.col("doc_id").alias("citing_id"), F.col("id").alias("citing_key")), "citing_id")
     pairs = G.matches(citing, ded, citing="citing_key")
     focus = G.top_matched(pairs, citing="citing_key").select(F.col("citing_key").alias("id"))
-    bow = S.bag_of_words(corpus, "id")
+    # the bag of words and the tf-idf weights feed several branches: materialised once,
+    # as the original built them into its evaluation cache
+    bow = cut_lineage(S.bag_of_words(corpus, "id"))
     counts = bow.select("id", "term", F.col("cnt").alias("weight"))
-    weights = S.tfidf(bow, S.idf(bow, corpus, "id"), "id", drop_zero=True)
+    weights = cut_lineage(S.tfidf(bow, S.idf(bow, corpus, "id"), "id", drop_zero=True))
     real = S.real_matches(pairs, focus)
     universe = ded.select("id")
     return dict(ded=ded, citing=citing, focus=focus, counts=counts, weights=weights, real=real, universe=universe)
