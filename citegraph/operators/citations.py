@@ -40,17 +40,21 @@ def _authors(style: str, group: Column) -> Column:
 
 
 def parse_section(text: Column, style: str) -> Column:
-    """array<CITATION> of one section for one style."""
-    pat = F.lit(P.PATTERNS[style])
-    groups = F.regexp_extract_all(text, pat, 1)
-    titles = F.regexp_extract_all(text, pat, 2)
-    z = F.arrays_zip(groups.alias("g"), titles.alias("t"))
+    """array<CITATION> of one section for one style.
 
-    def one(e: Column) -> Column:
-        t = collapse_ws(e["t"]) if style == "acm" else F.regexp_replace(e["t"], r"^\s+", "")
-        return F.struct(t.alias("title"), _authors(style, e["g"]).alias("authors"), F.lit("").alias("conference"))
+    The (long) section is scanned once for whole matches; authors and title are
+    then re-extracted from each (short) match, which gives the same groups: the
+    look-behind holds at the start of a match and the title ends where it did."""
+    pat = P.PATTERNS[style]
+    matches = F.regexp_extract_all(text, F.lit(pat), 0)
 
-    return F.transform(z, one)
+    def one(m: Column) -> Column:
+        g = F.regexp_extract(m, pat, 1)
+        raw = F.regexp_extract(m, pat, 2)
+        t = collapse_ws(raw) if style == "acm" else F.regexp_replace(raw, r"^\s+", "")
+        return F.struct(t.alias("title"), _authors(style, g).alias("authors"), F.lit("").alias("conference"))
+
+    return F.transform(matches, one)
 
 
 def section_score(cites: Column) -> Column:
