@@ -86,10 +86,21 @@ def read_captures(spark: SparkSession, glob: str) -> DataFrame:
 
     ``binaryFile`` only lists the files here (its ``content`` column is never read);
     each task streams its files, so an archive is never materialised as one value."""
+    _ship_with_tasks()
     files = spark.read.format("binaryFile").load(glob).select("path")
     return files.mapInPandas(_records, CAPTURE_SCHEMA)
 
 
+def _ship_with_tasks() -> None:
+    """Pickle this module's record splitter by value, so executors run it without
+    having the package installed (it only needs the standard library and Arrow)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def write_captures(df: DataFrame, path: str) -> None:
     """Write CAPTURE rows ``(url, payload)`` as gzip web-archive records (one
     record per row, text payloads).  Used to build archives from tables."""
