@@ -364,15 +364,13 @@ def q_nb_model(spark, sf):
 
 # ------------------------------------------------------------------ index and search
 def _indexed(spark, sf, stored: bool = True):
-    """Inverted documents and their postings.  Search queries read a stored index
-    (written once to the shared checkpoint folder, as the indexing job writes its
-    output); ``index_postings`` itself is the build."""
+    """Inverted documents and their postings; ``index_postings`` is the build."""
     p, edges, ded = _graph(spark, sf)
     inv = G.invert_citations(ded, edges).join(_texts(spark, sf), "doc_id")
     post = Q.build_index(inv)
     if stored:
+        # search reads only the query terms' postings (materialised by the search itself)
         inv = cut_lineage(inv.select("id", "doc_id", "title", "citations"))
-        post = cut_lineage(post)
     return inv, post
 
 
