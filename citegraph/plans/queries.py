@@ -367,7 +367,7 @@ def _indexed(spark, sf, stored: bool = True):
     """Inverted documents and their postings; ``index_postings`` is the build."""
     p, edges, ded = _graph(spark, sf)
     inv = G.invert_citations(ded, edges).join(_texts(spark, sf), "doc_id")
-    post = Q.build_index(inv)
+    post = Q.build_index(inv, clustered_by="doc_id").drop("doc_id")
     if stored:
         # search reads only the query terms' postings (materialised by the search itself)
         inv = cut_lineage(inv.select("id", "doc_id", "title", "citations"))
