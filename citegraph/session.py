@@ -26,6 +26,8 @@ _DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # rows here are CPU-heavy (whole texts): let AQE keep parallelism for small shuffles
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # checkpoints cut lineage inside a query; remove their files once unreachable
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
