@@ -546,3 +546,8 @@ FROM ded d LEFT JOIN (
 ORACLE["report_lines"] = ORACLE["evaluation_report"].replace(
     "SELECT f.id, d.title,", "SELECT id, printf('%-60.60s %3d/%3d (%3d) %.2f%%', title, matched, found, total, "
     "100.0 * matched / found) AS line FROM (\nSELECT f.id, d.title,", 1) + ")"
+
+
+# ------------------------------------------------------------------ file round trips
+ORACLE["stored_index"] = ORACLE["index_postings"]
+ORACLE["epoch_documents"] = "SELECT doc_id, n_chars, CAST(doc_id % 3 + 1 AS VARCHAR) AS epoch FROM documents"

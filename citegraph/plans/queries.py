@@ -22,6 +22,7 @@ from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import analyze_documents, extract
 from citegraph.session import cut_lineage, scratch_path
 from citegraph.sources.captures import admit_captures, read_captures, split_payload, write_captures
+from citegraph.sources.files import load_epochs
 
 R6 = 6  # doubles are compared at 6 decimals
 
@@ -108,6 +109,17 @@ def _admitted(spark, sf):
     return split_payload(admit_captures(X.captures(spark, sf)))
 
 
+def q_epoch_documents(spark, sf):
+    """Documents written as three crawl epochs (epoch = doc_id mod 3 + 1) under
+    ``epoch-*/xml`` and read back through the glob with the epoch from the path."""
+    root = scratch_path(spark, "epochs")
+    docs = X.table(spark, sf, "documents").select("doc_id", "n_chars")
+    docs = docs.withColumn("_e", (F.col("doc_id") % 3 + 1).cast("string"))
+    for e in ("1", "2", "3"):
+        docs.where(F.col("_e") == e).drop("_e").write.parquet(f"{root}/epoch-{e}/xml")
+    return load_epochs(spark, f"{root}/epoch-*/xml").select("doc_id", "n_chars", "epoch")
+
+
 def q_capture_admission(spark, sf):
     return _admitted(spark, sf).select("page_id", "url", "status", "filetype", "outcome", "body_len")
 
@@ -379,6 +391,14 @@ def q_index_postings(spark, sf):
     return post
 
 
+def q_stored_index(spark, sf):
+    """Postings written one folder per shard (sorted by term) and read back."""
+    _, post = _indexed(spark, sf, stored=False)
+    path = scratch_path(spark, "index")
+    Q.write_index(post, path)
+    return spark.read.parquet(path).select("field", "term", "id", "shard", "tf", "field_len")
+
+
 def q_search_text(spark, sf):
     inv, post = _indexed(spark, sf)
     ts = Q.text_scores(X.search_queries(spark, sf), post, inv)
@@ -410,6 +430,7 @@ QUERIES = {
     "capture_admission": q_capture_admission,
     "capture_status_counts": q_capture_status_counts,
     "archive_records": q_archive_records,
+    "epoch_documents": q_epoch_documents,
     "extract_documents": q_extract_documents,
     "extract_edges": q_extract_edges,
     "layout_text": q_layout_text,
@@ -445,6 +466,7 @@ QUERIES = {
     "nb_negatives": q_nb_negatives,
     "nb_model": q_nb_model,
     "index_postings": q_index_postings,
+    "stored_index": q_stored_index,
     "search_text": q_search_text,
     "search_scored": q_search_scored,
     "search_sharded": q_search_sharded,
