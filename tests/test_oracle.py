@@ -4,7 +4,7 @@ driver contract of __spark_entry__."""
 import pytest
 
 import __spark_entry__ as E
-from citegraph.plans.check import compare, duck
+from tools.check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
