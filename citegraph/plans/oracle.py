@@ -308,7 +308,8 @@ def ranked(name: str, weights: str) -> str:
     return f"""{name} AS (
   SELECT focus_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY focus_id ORDER BY round(score, 9) DESC NULLS LAST, id) AS rank FROM (
-      SELECT f.id AS focus_id, u.id, coalesce(x.score, 0.0) AS score
+      SELECT f.id AS focus_id, u.id,
+             coalesce(x.score, CASE WHEN u.id IN (SELECT id FROM {weights}) THEN 0.0 ELSE 'NaN'::DOUBLE END) AS score
       FROM focus f CROSS JOIN (SELECT id FROM ded) u
       LEFT JOIN (
         SELECT d.focus_id, d.id, CASE WHEN s.wsum = 0 THEN NULL ELSE d.dot / s.wsum END AS score
