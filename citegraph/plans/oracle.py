@@ -440,15 +440,24 @@ def scores(qtable: str, per_shard: bool) -> str:
         f"dfs AS (SELECT field, term{sh}, count(*) AS df FROM post GROUP BY field, term{sh})",
         f"""nn AS (SELECT {'shard, ' if per_shard else ''}count(*) AS n
                FROM (SELECT CAST(((id % 100) + 100) % 100 AS INTEGER) AS shard FROM idocs){' GROUP BY shard' if per_shard else ''})""",
-        f"""hits AS (SELECT q.query_id, p.id, p.shard, p.tf, p.field_len,
+        f"""hits AS (SELECT q.query_id, q.term, p.id, p.shard, p.tf, p.field_len,
                         1.0 + ln(CAST(nn.n AS DOUBLE) / (CAST(d.df AS DOUBLE) + 1.0)) AS idf
                  FROM qt q JOIN post p ON p.field = q.field AND p.term = q.term
                  JOIN dfs d ON d.field = q.field AND d.term = q.term{' AND d.shard = p.shard' if per_shard else ''}
                  JOIN nn ON {'nn.shard = p.shard' if per_shard else 'true'})""",
-        """ts AS (SELECT h.query_id, h.id, h.shard,
-                      sum(sqrt(h.tf) * h.idf * h.idf / sqrt(CAST(h.field_len AS DOUBLE))) * count(*) / nq.nq AS text_score,
+        f"""qn AS (SELECT q.query_id{', s.shard' if per_shard else ''},
+                      1.0 / sqrt(coalesce(sum(x.idf2), 0.0) + (nq.nq - count(x.term)) * (1.0 + ln(CAST(s.n AS DOUBLE))) * (1.0 + ln(CAST(s.n AS DOUBLE)))) AS qnorm
+               FROM nq q JOIN nq ON nq.query_id = q.query_id
+               JOIN nn s ON {'true' if not per_shard else 'true'}
+               LEFT JOIN (SELECT DISTINCT query_id{', shard' if per_shard else ''}, term, idf * idf AS idf2 FROM hits) x
+                 ON x.query_id = q.query_id{' AND x.shard = s.shard' if per_shard else ''}
+               GROUP BY q.query_id{', s.shard' if per_shard else ''}, nq.nq, s.n)""",
+        f"""ts AS (SELECT h.query_id, h.id, h.shard,
+                      sum(sqrt(h.tf) * h.idf * h.idf / sqrt(CAST(h.field_len AS DOUBLE))) * count(*) / nq.nq * qn.qnorm AS text_score,
                       count(*) AS matched
-               FROM hits h JOIN nq ON nq.query_id = h.query_id GROUP BY h.query_id, h.id, h.shard, nq.nq)""",
+               FROM hits h JOIN nq ON nq.query_id = h.query_id
+               JOIN qn ON qn.query_id = h.query_id{' AND qn.shard = h.shard' if per_shard else ''}
+               GROUP BY h.query_id, h.id, h.shard, nq.nq, qn.qnorm)""",
     )
 
 
