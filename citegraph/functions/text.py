@@ -195,3 +195,16 @@ def explode_rows(df, keep, array_col, alias: str, with_pos: str | None = None):
     else:
         out = df.select(*keep, F.explode_outer(arr).alias(alias))
     return out.where(F.col(alias).isNotNull())
+
+
+# ---------------------------------------------------------------- Q3 length norm
+def length_norm(length) -> Column:
+    """``1/sqrt(length)`` as stored by the original index: rounded to a 32-bit float,
+    then kept in one byte per field and document, i.e. with the implicit leading bit
+    and 2 fraction bits.  For x = 2^e * m (1 <= m < 2) that is floor(m * 4) / 4 * 2^e,
+    all exact in doubles."""
+    x = (F.lit(1.0) / F.sqrt(_c(length).cast("double"))).cast("float").cast("double")
+    e = F.floor(F.log2(x))
+    e = F.when(F.pow(F.lit(2.0), e + 1) <= x, e + 1).when(F.pow(F.lit(2.0), e) > x, e - 1).otherwise(e)
+    p = F.pow(F.lit(2.0), e)
+    return F.when(x > 0, F.floor(x / p * 4) / 4 * p).otherwise(F.lit(0.0))

@@ -431,6 +431,14 @@ INDEX = with_graph(ctes(
 ))
 
 
+def length_norm_sql(length: str) -> str:
+    """One-byte length norm: 1/sqrt(len) as a 32-bit float with 2 fraction bits kept."""
+    x = f"CAST(CAST(1.0 / sqrt(CAST({length} AS DOUBLE)) AS FLOAT) AS DOUBLE)"
+    e0 = f"floor(log2({x}))"
+    e = f"(CASE WHEN pow(2.0, {e0} + 1) <= {x} THEN {e0} + 1 WHEN pow(2.0, {e0}) > {x} THEN {e0} - 1 ELSE {e0} END)"
+    return f"(floor({x} / pow(2.0, {e}) * 4) / 4 * pow(2.0, {e}))"
+
+
 def scores(qtable: str, per_shard: bool) -> str:
     sh = ", shard" if per_shard else ""
     return ctes(
@@ -440,7 +448,7 @@ def scores(qtable: str, per_shard: bool) -> str:
         f"dfs AS (SELECT field, term{sh}, count(*) AS df FROM post GROUP BY field, term{sh})",
         f"""nn AS (SELECT {'shard, ' if per_shard else ''}count(*) AS n
                FROM (SELECT CAST(((id % 100) + 100) % 100 AS INTEGER) AS shard FROM idocs){' GROUP BY shard' if per_shard else ''})""",
-        f"""hits AS (SELECT q.query_id, q.term, p.id, p.shard, p.tf, p.field_len,
+        f"""hits AS (SELECT q.query_id, q.term, p.id, p.shard, p.tf, p.field_len, {length_norm_sql('p.field_len')} AS fnorm,
                         1.0 + ln(CAST(nn.n AS DOUBLE) / (CAST(d.df AS DOUBLE) + 1.0)) AS idf
                  FROM qt q JOIN post p ON p.field = q.field AND p.term = q.term
                  JOIN dfs d ON d.field = q.field AND d.term = q.term{' AND d.shard = p.shard' if per_shard else ''}
@@ -453,7 +461,7 @@ def scores(qtable: str, per_shard: bool) -> str:
                  ON x.query_id = q.query_id{' AND x.shard = s.shard' if per_shard else ''}
                GROUP BY q.query_id{', s.shard' if per_shard else ''}, nq.nq, s.n)""",
         f"""ts AS (SELECT h.query_id, h.id, h.shard,
-                      sum(sqrt(h.tf) * h.idf * h.idf / sqrt(CAST(h.field_len AS DOUBLE))) * count(*) / nq.nq * qn.qnorm AS text_score,
+                      sum(sqrt(h.tf) * h.idf * h.idf * h.fnorm) * count(*) / nq.nq * qn.qnorm AS text_score,
                       count(*) AS matched
                FROM hits h JOIN nq ON nq.query_id = h.query_id
                JOIN qn ON qn.query_id = h.query_id{' AND qn.shard = h.shard' if per_shard else ''}

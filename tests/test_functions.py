@@ -74,3 +74,25 @@ def test_token_flags(spark):
     assert rows[0].f.is_conference and rows[0].f.has_date and rows[0].f.is_numeric
     assert rows[1].f.is_initial and rows[1].f.is_upper
     assert rows[2].f.is_key_word and not rows[2].f.is_initial
+
+
+def test_length_norm_matches_one_byte_encoding(spark):
+    from citegraph.functions.text import length_norm
+
+    def enc(f):  # the index's float -> byte encoding (3-bit mantissa incl. the implicit bit, exponent offset 15)
+        bits = struct.unpack(">i", struct.pack(">f", f))[0]
+        small = bits >> 21
+        if small <= (63 - 15) << 3:
+            return 0 if bits <= 0 else 1
+        if small >= ((63 - 15) << 3) + 0x100:
+            return -1
+        return small - ((63 - 15) << 3)
+
+    def dec(b):
+        bits = ((b & 0xFF) << 21) + ((63 - 15) << 24)
+        return struct.unpack(">f", struct.pack(">i", bits))[0] if b else 0.0
+
+    ns = list(range(1, 3000)) + [10**6, 123456789]
+    want = {n: dec(enc(struct.unpack(">f", struct.pack(">f", 1.0 / n ** 0.5))[0])) for n in ns}
+    df = spark.createDataFrame([(n,) for n in ns], "n long").select("n", length_norm("n").alias("v"))
+    assert {r.n: r.v for r in df.collect()} == want
