@@ -22,7 +22,7 @@ from citegraph.functions import constants as K
 from citegraph.functions.text import explode_rows, nb_ngrams, words
 from citegraph.operators.graph import one_per_title
 from citegraph.operators.sampling import random_docs
-from citegraph.session import cut_lineage
+from citegraph.session import reuse
 
 GOOD, BAD = K.NB_LABELS
 
@@ -96,8 +96,8 @@ def nb_model(counts: DataFrame, min_count: float = 1.0, total=None) -> DataFrame
 def train(docs: DataFrame, edges: DataFrame, key: str = "id", k: int = K.NB_NEGATIVES_PER_DOC,
           seed: int = 0) -> DataFrame:
     """L3+L4 end to end."""
-    # at most two rows per document, read by both the counts and the grand total: written once
-    mults = cut_lineage(training_multiplicities(positives(docs, edges, key), negatives(docs, key, k, seed), key))
+    # at most two rows per document, read by both the counts and the grand total: kept once
+    mults = reuse(training_multiplicities(positives(docs, edges, key), negatives(docs, key, k, seed), key))
     return nb_model(nb_counts(mults, docs, key), total=nb_total(mults, docs, key))
 
 

@@ -20,7 +20,7 @@ from citegraph.operators.sampling import random_doc
 from citegraph.operators.layout import layout_nodes, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import analyze_documents, extract
-from citegraph.session import cut_lineage, scratch_path
+from citegraph.session import cut_lineage, reuse, scratch_path
 from citegraph.sources.captures import admit_captures, read_captures, split_payload, write_captures
 from citegraph.sources.files import load_epochs
 
@@ -302,7 +302,7 @@ def _evaluation(spark, sf):
     corpus = ded.join(_texts(spark, sf), "doc_id")
     citing = edges.join(ded.select(F.col("doc_id").alias("citing_id"), F.col("id").alias("citing_key")), "citing_id")
     pairs = G.matches(citing, ded, citing="citing_key")
-    focus = cut_lineage(G.top_matched(pairs, citing="citing_key").select(F.col("citing_key").alias("id")))
+    focus = reuse(G.top_matched(pairs, citing="citing_key").select(F.col("citing_key").alias("id")))
     # the bag of words and the tf-idf weights feed several branches: materialised once,
     # as the original built them into its evaluation cache
     bow = cut_lineage(S.bag_of_words(corpus, "id"))
