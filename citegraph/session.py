@@ -79,18 +79,6 @@ def balance(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep a small intermediate table that several branches of one query read.
-
-    ``persist`` (memory, spilling to disk) is filled by the first branch that
-    needs it, inside the same job graph, and keeps its lineage: after an
-    executor loss the lost blocks are recomputed.  Use ``cut_lineage`` instead
-    when the lineage itself must be cut."""
-    from pyspark import StorageLevel
-
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     checkpoint_dir(df.sparkSession)
