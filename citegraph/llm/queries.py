@@ -3,14 +3,56 @@ its whole table(s) with production parameters."""
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import functions as F
+
 from citegraph.llm.common import table
+from citegraph.llm.decontaminate import contained_items
+from citegraph.llm.language_id import held_out, predict, train
+from citegraph.llm.mixing import mix_sources
 from citegraph.llm.ngram_join import ngram_jaccard_components
+from citegraph.llm.token_files import token_output
+
+#: id that ends a document in the token files
+END_ID = 2
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; $TOKENIZER_DIR overrides the installed package's folder."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    return predict(docs, train(docs.where(~F.col("held_out"))), ["doc_id", "held_out"])
 
 
 def op7_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark, sf_dir):
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_source_mixing(spark, sf_dir):
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
+
+
+def op10_token_output(spark, sf_dir):
+    return token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
+
+
 QUERIES = {
+    "op5_language_id": op5_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_token_output": op10_token_output,
 }
