@@ -7,8 +7,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from citegraph.llm.chat_format import chat_digests
 from citegraph.llm.common import table
 from citegraph.llm.decontaminate import contained_items
+from citegraph.llm.html_text import extract_pages
 from citegraph.llm.language_id import held_out, predict, train
 from citegraph.llm.mixing import mix_sources
 from citegraph.llm.ngram_join import ngram_jaccard_components
@@ -27,11 +29,22 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_html_extraction(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     return predict(docs, train(docs.where(~F.col("held_out"))), ["doc_id", "held_out"])
 
 
+def op6_chat_formatting(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digests(convs.union(trap), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -50,7 +63,9 @@ def op10_token_output(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_source_mixing": op9_source_mixing,
