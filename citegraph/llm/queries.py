@@ -15,6 +15,7 @@ from citegraph.llm.language_id import held_out, predict, train
 from citegraph.llm.mixing import mix_sources
 from citegraph.llm.ngram_join import ngram_jaccard_components
 from citegraph.llm.token_files import token_output
+from citegraph.llm.vector_graph import near_vectors
 
 #: id that ends a document in the token files
 END_ID = 2
@@ -29,6 +30,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_html_extraction(spark, sf_dir):
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ def op10_token_output(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
     "op6_chat_formatting": op6_chat_formatting,
