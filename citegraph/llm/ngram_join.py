@@ -40,8 +40,12 @@ from citegraph.llm.shingles import mix, shingle_set
 CLASS_RATIO = 1.5
 #: fragments whose overlaps are counted separately
 COUNT_FRAGMENTS = 8
-#: pairs of a key's group compared at once
+#: rows of a large group that are compared with as many others at once
 BLOCK = 512
+#: members of a key's group that are compared in one task
+GROUP = 4096
+#: members of a key's group up to which groups are compared together
+SMALL = 40
 
 
 def min_overlap(size_a, size_b, pct: int):
@@ -168,76 +172,136 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
 
 
+def _folded(parity: list[bytes], width: np.ndarray) -> np.ndarray:
+    """Parity vectors as rows of 64-bit words, row i folded to `width[i]` words (zeros behind).  Folding halves on
+    halves keeps what parities say: they differ in at most as many cells as the sets differ in shingles."""
+    size = np.fromiter(map(len, parity), np.int64, len(parity)) // 8
+    out = np.zeros((len(parity), int(width.max())), np.uint64)
+    for w, to in np.unique(np.stack((size, width), axis=1), axis=0):
+        at = np.flatnonzero((size == w) & (width == to))
+        words = np.frombuffer(b"".join([parity[i] for i in at]), np.uint64)
+        out[at, :to] = np.bitwise_xor.reduce(words.reshape(len(at), w // to, to), axis=1)
+    return out
+
+
+def _pairs_of_groups(comp, side, node, n, parity, starts, pct: int, all_pairs: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs (rows of the smaller and the larger node) of small groups, all groups at once.  A first
+    comparison of a few words per row leaves few pairs for the whole vectors."""
+    size = np.diff(starts)
+    words = np.fromiter(map(len, parity), np.int64, len(parity)) // 8
+    width = np.repeat(np.minimum(np.minimum.reduceat(words, starts[:-1]), 8), size)
+    short = _folded(parity, width)
+    found = []
+    place = np.arange(len(node)) - np.repeat(starts[:-1], size)
+    for d in range(1, int(size.max())):  # rows d apart in one group
+        y = np.flatnonzero(place >= d)
+        x = y - d
+        ask = (side[x] < 0) | (side[x] != side[y])
+        if all_pairs:
+            ask &= comp[x] != comp[y]
+        x, y = x[ask], y[ask]
+        need = max_difference(n[x], n[y], pct)
+        keep = (need >= 0) & (np.bitwise_count(short[x] ^ short[y]).sum(axis=1) <= need)
+        found.append((x[keep], y[keep], need[keep]))
+    x, y, need = (np.concatenate(z) for z in zip(*found))
+    both = np.minimum(words[x], words[y])
+    ok = np.zeros(len(x), bool)
+    for i in range(0, len(x), BLOCK):  # whole vectors of one block of pairs
+        part = slice(i, i + BLOCK)
+        a, b = _folded([parity[j] for j in x[part]], both[part]), _folded([parity[j] for j in y[part]], both[part])
+        ok[part] = np.bitwise_count(a ^ b).sum(axis=1) <= need[part]
+    x, y = x[ok], y[ok]
+    if not all_pairs:  # the smallest partner of each larger node
+        order = np.lexsort((x, y))
+        x, y = x[order], y[order]
+        first = np.diff(y, prepend=-1) > 0
+        x, y = x[first], y[first]
+    return [(node[x], node[y])]
+
+
+def _pairs_of_group(comp, side, node, n, parity, pct: int, all_pairs: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for one large group, by blocks of rows against blocks of earlier rows."""
+    words = np.fromiter(map(len, parity), np.int64, len(parity)) // 8
+    par, found = _folded(parity, np.full(len(parity), words.min())), []
+    for i in range(0, len(node), BLOCK):
+        lone = np.ones(min(BLOCK, len(node) - i), bool)  # without a partner so far
+        for j in range(0, i + 1, BLOCK):
+            x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            need = max_difference(n[x][:, None], n[y][None, :], pct)
+            ok = (need >= 0) & (node[x][:, None] > node[y][None, :])
+            ok &= (side[x][:, None] < 0) | (side[x][:, None] != side[y][None, :])
+            if all_pairs:
+                ok &= comp[x][:, None] != comp[y][None, :]
+            far = np.zeros(need.shape, np.int64)
+            for w in range(par.shape[1]):
+                far += np.bitwise_count(par[x, w][:, None] ^ par[y, w][None, :])
+            ok &= far <= need
+            if all_pairs:
+                r, c = np.nonzero(ok)
+            else:
+                r = np.flatnonzero(ok.any(axis=1) & lone)
+                c = ok[r].argmax(axis=1)
+                lone[r] = False
+            found.append((node[y][c], node[x][r]))
+    return found
+
+
 def _possible_pairs(members: DataFrame, pct: int, all_pairs: bool) -> DataFrame:
     """(a, b) with a < b within each key's group of (key, comp, node, n, parity) that sizes and parities
-    allow.  Without `all_pairs`: for each member its smallest possible partner only; with
-    it: all pairs of different components.  Groups are compared in blocks of `BLOCK` rows
-    against the rows before them, which are kept as arrays of ids, sizes and parity bits."""
-
-    def allowed(n_a, par_a, n_b, par_b):
-        need = max_difference(n_a[:, None], n_b[None, :], pct)
-        width = min(par_a.shape[1], par_b.shape[1])
-        dist = np.zeros(need.shape, np.int64)
-        for j in range(width):  # 64 cells at a time
-            dist += np.bitwise_count(par_a[:, j][:, None] ^ par_b[:, j][None, :])
-        return (need >= 0) & (dist <= need)
-
-    def fold(bits: list[bytes]) -> np.ndarray:
-        width = min(map(len, bits)) // 8
-        out = np.empty((len(bits), width), np.uint64)
-        for i, x in enumerate(bits):
-            out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0)
-        return out
-
-    def group(comp, node, n, bits):
-        par, found = fold(bits), []
-        for i in range(0, len(node), BLOCK):
-            lone = np.ones(min(BLOCK, len(node) - i), bool)  # without a partner so far
-            for j in range(0, i + 1, BLOCK):
-                x, y = slice(i, i + BLOCK), slice(j, min(j + BLOCK, len(node)))
-                ok = allowed(n[x], par[x], n[y], par[y]) & (node[x][:, None] > node[y][None, :])
-                if all_pairs:
-                    ok &= comp[x][:, None] != comp[y][None, :]
-                    r, c = np.nonzero(ok)
-                else:
-                    r = np.nonzero(ok.any(axis=1) & lone)[0]
-                    c = ok[r].argmax(axis=1)
-                    lone[r] = False
-                found.append((node[y][c], node[x][r]))
-        return [np.concatenate(z) for z in zip(*found)]
+    allow.  Without `all_pairs`: for each member its smallest possible partner only (of a split group's first
+    block); with it: all pairs of different components.
+
+    A group of more than `GROUP` members is split into blocks by a hash of the member, and pairs of blocks
+    become groups of their own, so that no task holds more than about twice `GROUP` members at once."""
+
+    def flush(rows: pa.Table):
+        key = rows.column(0).to_numpy()
+        comp, side, node, n = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
+        parity = rows.column(5).to_pylist()
+        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        size = np.diff(starts)
+        found = []
+        small = np.repeat((size > 1) & (size <= SMALL), size)
+        if small.any():
+            at = np.flatnonzero(small)
+            ends = np.concatenate(([0], np.cumsum(size[(size > 1) & (size <= SMALL)])))
+            found += _pairs_of_groups(comp[at], side[at], node[at], n[at], [parity[i] for i in at], ends, pct, all_pairs)
+        for g in np.flatnonzero(size > SMALL):
+            s = slice(starts[g], starts[g + 1])
+            found += _pairs_of_group(comp[s], side[s], node[s], n[s], parity[s], pct, all_pairs)
+        a, b = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found)) if found else ([], [])
+        if len(a):
+            pairs = np.unique(np.stack((a, b), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches):
         kept: list[pa.RecordBatch] = []  # of the open group
-
-        def flush(rows: pa.Table):
-            key = rows.column(0).to_numpy()
-            ends = np.concatenate(([0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]))
-            comp, node, n = (rows.column(i).to_numpy() for i in (1, 2, 3))
-            bits = rows.column(4).to_pylist()
-            a, b = [], []
-            for s, e in zip(ends[:-1], ends[1:]):
-                if e - s > 1:
-                    x, y = group(comp[s:e], node[s:e], n[s:e], bits[s:e])
-                    a.append(x)
-                    b.append(y)
-            if a and len(x := np.concatenate(a)):
-                pairs = np.unique(np.stack((x, np.concatenate(b)), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy()
             start = int(np.searchsorted(key, key[-1]))  # of the last group, which may go on
-            if kept and kept[0].column(0)[0].as_py() == key[-1]:
+            if kept and start == 0 and kept[0].column(0)[0].as_py() == key[-1]:
                 kept.append(batch)
                 continue
-            yield from flush(pa.Table.from_batches([*kept, batch.slice(0, start)]))
+            if kept or start:
+                yield from flush(pa.Table.from_batches([*kept, batch.slice(0, start)]))
             kept = [batch.slice(start)]
         if kept:
             yield from flush(pa.Table.from_batches(kept))
 
-    out = members.repartition("key").sortWithinPartitions("key", "node").select("key", "comp", "node", "n", "parity")
+    large = members.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    if not all_pairs:
+        others = F.when(F.col("block") == 0, others).otherwise(F.array(F.lit(0).cast("long")))
+    split = members.join(large, "key").withColumn("block", block).withColumn("other", F.explode(others))
+    split = split.select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "comp",
+        F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"), "node", "n", "parity",
+    )
+    whole = members.join(large, "key", "left_anti").select("key", "comp", F.lit(-1).cast("long").alias("side"), "node", "n", "parity")
+    out = whole.union(split).repartition("key").sortWithinPartitions("key", "node")
     return out.mapInArrow(run, "a long, b long").distinct()
 
 
