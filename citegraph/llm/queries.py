@@ -12,6 +12,7 @@ from citegraph.llm.common import table
 from citegraph.llm.decontaminate import contained_items
 from citegraph.llm.html_text import extract_pages
 from citegraph.llm.language_id import held_out, predict, train
+from citegraph.llm.lm_scoring import backoff_scores
 from citegraph.llm.mixing import mix_sources
 from citegraph.llm.ngram_join import ngram_jaccard_components
 from citegraph.llm.token_files import token_output
@@ -30,6 +31,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +73,7 @@ def op10_token_output(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
