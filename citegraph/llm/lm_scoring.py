@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from citegraph.llm.common import short_batches, stored
 from citegraph.llm.shingles import hash_words, mix, words_of
+from citegraph.session import scratch_path
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: words of a batch (a document is never cut) and entries of a shard, about
@@ -227,7 +228,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short_batches(spark)
     name = f"citegraph_batches_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _batches(docs, id_col, text_col).write.bucketBy(buckets, "task").saveAsTable(name)
+    _batches(docs, id_col, text_col).write.bucketBy(buckets, "task").option("path", scratch_path(spark, "batches")).saveAsTable(name)
     kept = spark.table(name)
     words = kept.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     shards = max(buckets, -(-words // SHARD_ENTRIES))

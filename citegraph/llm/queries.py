@@ -15,6 +15,7 @@ from citegraph.llm.language_id import held_out, predict, train
 from citegraph.llm.lm_scoring import backoff_scores
 from citegraph.llm.mixing import mix_sources
 from citegraph.llm.ngram_join import ngram_jaccard_components
+from citegraph.llm.quality import quality_by_perplexity
 from citegraph.llm.token_files import token_output
 from citegraph.llm.vector_graph import near_vectors
 
@@ -35,6 +36,10 @@ def op1_lm_scoring(spark, sf_dir):
     return backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality_by_perplexity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +79,7 @@ def op10_token_output(spark, sf_dir):
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
