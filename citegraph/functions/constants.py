@@ -8,9 +8,8 @@ values lives elsewhere.
 MIN_CAPTURE_LENGTH = 5000          # header length below this -> "TooSmall"
 MIN_CONVERTED_BYTES = 100          # converted output must be longer than this
 MAX_RECORD_BYTES = 10_000_000      # larger records -> "TooLong"
-MAX_PAGES = 100                    # only the first 100 pages are analysed
-SECTION_PAGES = 2                  # reference section = last two pages
-DTD_LINE = '<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">'
+MAX_PAGES = 100                    # optional limit: pages analysed
+SECTION_PAGES = 2                  # optional limit: pages at the end that hold the references
 
 # --- Fixed values: title scoring and acceptance ----------------------------------------
 TITLE_TOP_ANCHOR = 100             # vertical anchor of the title score
@@ -26,7 +25,6 @@ YEAR_HIGH_EXCLUSIVE = 2013
 
 # --- Fixed values: inversion, test set, evaluation, learning, search -----------------
 INVERT_VALUES_PER_KEY = 1000
-TEST_SET_VALUES_PER_KEY = 200
 TEST_SET_MIN_INCOMING = 20
 TEST_SET_MAX_INCOMING = 100
 EVAL_FOCUS_DOCS = 50

@@ -6,6 +6,8 @@ projection and stay in whole-stage codegen.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +26,15 @@ def simplified_title(title) -> Column:
     return F.lower(F.regexp_replace(t, r"[^a-zA-Z+]", ""))
 
 
-def title_id(title) -> Column:
-    """First 8 bytes of MD5(simplified title) as a signed big-endian long."""
-    h = F.substring(F.md5(simplified_title(title)), 1, 16)
-    return F.conv(h, 16, -10).cast("bigint")
+def title_id(title, shared_empty_key: bool = False) -> Column:
+    """First 8 bytes of MD5(simplified title) as a signed big-endian long.
+
+    A title without a Latin letter simplifies to nothing; its key is that of the title itself, so that such
+    documents do not all merge into one (``shared_empty_key=True`` gives them one key, as in the original)."""
+    simple = simplified_title(title)
+    if not shared_empty_key:
+        simple = F.when(simple == "", F.concat(F.lit("title:"), _c(title))).otherwise(simple)
+    return F.conv(F.substring(F.md5(simple), 1, 16), 16, -10).cast("bigint")
 
 
 # ---------------------------------------------------------------- trimming
@@ -37,7 +44,7 @@ def jtrim(s) -> Column:
 
 
 def collapse_ws(s) -> Column:
-    return F.regexp_replace(F.trim(_c(s)), r"\s+", " ")
+    return F.trim(F.regexp_replace(_c(s), r"\s+", " "))
 
 
 # ---------------------------------------------------------------- P11 year
@@ -164,15 +171,38 @@ def token_flags(token) -> Column:
 
 
 # ---------------------------------------------------------------- P1 / P7 XML helpers
+#: the document type line after which a layout starts (fixed value)
+DTD = '<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">'
+#: a character reference: decimal, hexadecimal or named
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
 def strip_dtd(xml) -> Column:
-    return F.regexp_replace(_c(xml), r"<!DOCTYPE pdf2xml[^>]*>", "")
+    """What stands after the last document type line, without variants of that line."""
+    return F.regexp_replace(F.substring_index(_c(xml), DTD, -1), r"<!DOCTYPE pdf2xml[^>]*>", "")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often and however deep in lambdas
+    ``body`` uses it (an expression used inside a lambda is computed anew for every element)."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def xml_unescape(s) -> Column:
+    """Character references decoded, each once; unknown names and impossible numbers stay."""
     c = _c(s)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    names = F.create_map(*[F.lit(x) for n, k in sorted({**name2codepoint, "apos": 39}.items()) for x in (n, chr(k))])
+
+    def char(ref: Column) -> Column:
+        body = F.substr(ref, F.lit(2), F.length(ref) - 2)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)).when(body.startswith("#"), F.substring(body, 2, 8)).cast("int")
+        ok = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        byte = F.unhex(F.lpad(F.hex(code), 8, "0"))
+        return F.coalesce(F.when(ok, F.decode(byte, "UTF-32")), F.try_element_at(names, body), ref)
+
+    parts = F.regexp_extract_all(c, F.lit(rf"[^&]+|{_REFERENCE}|&"), 0)
+    decoded = F.array_join(F.transform(parts, lambda x: F.when(x.startswith("&") & (F.length(x) > 1), char(x)).otherwise(x)), "")
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def xml_escape(s) -> Column:

@@ -34,20 +34,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return balance(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
 
 
-def paper_title(text) -> F.Column:
+def first_line(text) -> F.Column:
     first = F.split_part(F.col(text), F.lit("\n"), F.lit(1))
     return F.trim(F.regexp_replace(first, r"[.?()\s]+", " "))
 
 
+def paper_title(text, doc_id="doc_id") -> F.Column:
+    """The first line as a title of 11..149 characters: a longer one is cut, a shorter one gets the document's number."""
+    t = first_line(text)
+    short = F.trim(F.concat(t, F.lit(" Document number "), F.col(doc_id).cast("string")))
+    return F.when(F.length(t) > 149, F.trim(F.substring(t, 1, 149))).when(F.length(t) < 11, short).otherwise(t)
+
+
 def papers(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
-    """``(doc_id, title, url, n_chars, i, n[, text])``: documents whose first line is a
-    plausible title (11..149 chars), with a dense index ``i`` in doc_id order."""
+    """``(doc_id, title, url, n_chars, i, n[, text])``: every document as a paper, with a
+    dense index ``i`` in doc_id order."""
     docs = table(spark, sf_dir, "documents")
-    base = docs.select(
-        "doc_id",
-        paper_title("text").alias("title"),
-        "n_chars",
-    ).where(F.length("title").between(11, 149))
+    base = docs.select("doc_id", paper_title("text").alias("title"), "n_chars")
     base = base.withColumn(
         "url",
         F.concat(
@@ -156,6 +159,42 @@ def layout_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LONG_COPIES = 60
+
+
+def long_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, xml)``: each document's lines `LONG_COPIES` times, five lines a page, as an untidy layout: the text
+    behind an earlier document type line does not count, every 7th line is a self-closed node, every 11th a bold one,
+    every 12th has its bold part inside another element, every 10th ends with character references,
+    attributes have single quotes on odd pages, and every 13th document has a node without its top."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.split(F.concat_ws("\n", F.array_repeat(F.col("text"), LONG_COPIES)), "\n")
+    line_rows = docs.select("doc_id", lines.alias("ls"))
+
+    def node(line, i):
+        q = F.when(F.floor(i / 5) % 2 == 1, F.lit("'")).otherwise(F.lit('"'))
+
+        def attr(name, value):
+            return F.concat(F.lit(f" {name}="), q, value.cast("string"), q)
+
+        bad = (F.col("doc_id") % 13 == 0) & (i == 3)
+        attrs = F.concat(
+            F.when(bad, F.lit("")).otherwise(attr("top", 80 + 20 * (i % 5))), attr("left", 100 + 320 * (i % 2)),
+            attr("width", F.least(8 * F.length(line), F.lit(300))), attr("height", F.lit(12)), attr("font", F.lit(0)),
+        )
+        body = F.concat(xml_escape(line), F.when(i % 10 == 9, F.lit("&#233;&#x4e2d;&eacute;&amp;#38;&unknown;")).otherwise(F.lit("")))
+        body = F.when(i % 11 == 10, F.concat(F.lit("<b>"), body, F.lit("</b>"))).when(
+            i % 12 == 11, F.concat(F.lit("<i><b>"), body, F.lit("</b></i>"))).otherwise(body)
+        open_page = F.when(i % 5 == 0, F.concat(
+            F.when(i > 0, F.lit("</page>")).otherwise(F.lit("")), F.lit('<page number="'), (F.floor(i / 5) + 1).cast("string"), F.lit('">')))
+        whole = F.when(i % 7 == 6, F.concat(F.lit("<text"), attrs, F.lit("/>"))).otherwise(F.concat(F.lit("<text"), attrs, F.lit(">"), body, F.lit("</text>\n")))
+        return F.concat(F.coalesce(open_page, F.lit("")), whole)
+
+    dtd = '<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">'
+    head = F.lit(f'<pdf2xml>{dtd}<page number="1"><text top="1" left="1" width="1" height="1" font="0">lost</text></page>{dtd}<pdf2xml><fontspec id="0" size="10"/>')
+    return line_rows.select("doc_id", F.concat(head, F.array_join(F.transform("ls", node), ""), F.lit("</page></pdf2xml>")).alias("xml"))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CAPTURE rows ``(page_id, url, length, payload)`` from ``pages``: the URL gets a
     .pdf/.ps/no suffix and every 17th page loses its URL, so all admission branches occur."""

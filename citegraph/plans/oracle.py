@@ -9,11 +9,9 @@ from __future__ import annotations
 
 
 def tid(expr: str) -> str:
-    """Title key: MD5 of the simplified title, first 8 bytes as a signed long."""
-    v = (
-        "CAST('0x' || substr(md5(lower(regexp_replace(regexp_replace("
-        f"{expr}, '(proc\\..*|proceedings.*)', '', 'g'), '[^a-zA-Z+]', '', 'g'))), 1, 16) AS UBIGINT)"
-    )
+    """Title key: MD5 of the simplified title (of the title, if that is empty), first 8 bytes as a signed long."""
+    simple = f"lower(regexp_replace(regexp_replace({expr}, '(proc\\..*|proceedings.*)', '', 'g'), '[^a-zA-Z+]', '', 'g'))"
+    v = f"CAST('0x' || substr(md5(coalesce(nullif({simple}, ''), 'title:' || {expr})), 1, 16) AS UBIGINT)"
     return (
         f"CAST(CASE WHEN {v} >= 9223372036854775808 THEN CAST({v} AS HUGEINT) - 18446744073709551616 "
         f"ELSE CAST({v} AS HUGEINT) END AS BIGINT)"
@@ -27,8 +25,9 @@ papers AS (
          CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS i,
          count(*) OVER () AS n,
          {tid('title')} AS id
-  FROM (SELECT *, trim(regexp_replace(split_part(text, chr(10), 1), '[.?()\\s]+', ' ', 'g')) AS title FROM documents)
-  WHERE length(title) BETWEEN 11 AND 149
+  FROM (SELECT *, CASE WHEN length(line) > 149 THEN trim(substr(line, 1, 149))
+                       WHEN length(line) < 11 THEN trim(line || ' Document number ' || doc_id) ELSE line END AS title
+        FROM (SELECT *, trim(regexp_replace(split_part(text, chr(10), 1), '[.?()\\s]+', ' ', 'g')) AS line FROM documents))
 ),
 refs AS (
   SELECT e.doc_id AS citing_id, CAST(e.j AS INTEGER) AS pos, q.title AS cited_title, e.i AS citing_i
@@ -151,7 +150,7 @@ nodes AS (
          CASE WHEN i = 0 THEN 20 ELSE 12 END AS height,
          CASE WHEN i = 0 THEN 34 ELSE 10 END AS font_size,
          CASE WHEN i % 5 = 3 THEN line || '-' ELSE line END AS text
-  FROM lines WHERE i < 4000
+  FROM lines
 )"""
 
 LAYOUT_TEXT = r"""
@@ -221,9 +220,9 @@ ORACLE["layout_text"] = "WITH " + NODES + "," + LAYOUT_TEXT + "\nSELECT doc_id,
 ORACLE["layout_title"] = "WITH " + NODES + "," + LAYOUT_TITLE + "\nSELECT doc_id, title FROM doc_title"
 ORACLE["title_gate_counts"] = "WITH " + NODES + "," + LAYOUT_TITLE + "," + XML_LEN + """
 SELECT status, count(*) AS n FROM (
-  SELECT CASE WHEN x.n > 10000000 THEN 'TooLong' WHEN t.title = '' THEN 'NoTitle'
-              WHEN length(t.title) < 5 THEN 'ShortTitle' ELSE 'GoodTitle' END AS status
-  FROM doc_title t JOIN xml_len x ON x.doc_id = t.doc_id) GROUP BY status"""
+  SELECT CASE WHEN title = '' THEN 'NoTitle' WHEN length(title) < 5 THEN 'ShortTitle' ELSE 'GoodTitle' END AS status
+  FROM doc_title) GROUP BY status
+UNION ALL SELECT 'TooLong', count(*) FROM xml_len WHERE n > 10000000"""
 
 
 
@@ -528,15 +527,13 @@ ORACLE["extract_documents"] = with_graph(ctes(
     _nodes_from("xdocs").strip(),
     LAYOUT_TEXT.strip(),
     LAYOUT_TITLE.strip().replace("FROM documents d LEFT JOIN best b", "FROM xdocs d LEFT JOIN best b"),
-    XML_LEN.strip(),
 ) + f"""
 SELECT t.doc_id,
-       CASE WHEN x.n > 10000000 THEN 'TooLong' WHEN t.title = '' THEN 'NoTitle'
-            WHEN length(t.title) < 5 THEN 'ShortTitle' ELSE 'GoodTitle' END AS status,
+       CASE WHEN t.title = '' THEN 'NoTitle' WHEN length(t.title) < 5 THEN 'ShortTitle' ELSE 'GoodTitle' END AS status,
        t.title, {tid('t.title')} AS id,
        CAST(coalesce(list_filter(list_transform(regexp_extract_all(dt.text, '[0-9]{{4}}'), lambda v: CAST(v AS INTEGER)),
                                  lambda y: y > 1990 AND y < 2013)[-1], 0) AS INTEGER) AS year
-FROM doc_title t JOIN xml_len x ON x.doc_id = t.doc_id JOIN doc_text dt ON dt.doc_id = t.doc_id""")
+FROM doc_title t JOIN doc_text dt ON dt.doc_id = t.doc_id""")
 
 
 # ------------------------------------------------------------------ node table, nested lists, report lines
@@ -566,6 +563,24 @@ ORACLE["report_lines"] = ORACLE["evaluation_report"].replace(
     "100.0 * matched / found) AS line FROM (\nSELECT f.id, d.title,", 1) + ")"
 
 
+# ------------------------------------------------------------------ long, untidy layouts
+ORACLE["layout_long"] = r"""
+WITH lines AS (
+  SELECT doc_id, CAST(k AS BIGINT) AS i, ls[k + 1] AS line
+  FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k
+        FROM (SELECT doc_id, string_split(array_to_string(list_transform(range(60), lambda x: text), chr(10)), chr(10)) AS ls FROM documents))),
+nodes AS (
+  SELECT doc_id, i + 1 AS node_id, 80 + 20 * CAST(i % 5 AS INTEGER) AS top, 100 + 320 * CAST(i % 2 AS INTEGER) AS lft,
+         CAST(least(8 * length(line), 300) AS INTEGER) AS width, i % 11 = 10 AND i % 7 <> 6 AS bold,
+         CASE WHEN i % 7 = 6 THEN '' WHEN i % 10 = 9 THEN line || 'é中é&#38;&unknown;' ELSE line END AS text
+  FROM lines),""" + LAYOUT_TEXT + r""",
+n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE bold) AS b, count(*) FILTER (WHERE node_id = 4) > 0 AND doc_id % 13 = 0 AS bad FROM nodes GROUP BY doc_id)
+SELECT n.doc_id, CAST(CASE WHEN bad THEN 0 ELSE (n + 4) // 5 END AS INTEGER) AS n_pages, CAST(CASE WHEN bad THEN 0 ELSE n END AS INTEGER) AS n_nodes,
+       CAST(CASE WHEN bad THEN 0 ELSE n END AS INTEGER) AS last_id, CAST(CASE WHEN bad THEN 0 ELSE b END AS INTEGER) AS n_bold,
+       CAST(CASE WHEN bad THEN 0 ELSE length(t.text) END AS INTEGER) AS text_len, md5(CASE WHEN bad THEN '' ELSE t.text END) AS text_md5
+FROM n JOIN doc_text t ON t.doc_id = n.doc_id"""
+
+
 # ------------------------------------------------------------------ file round trips
 ORACLE["stored_index"] = ORACLE["index_postings"]
 ORACLE["epoch_documents"] = "SELECT doc_id, n_chars, CAST(doc_id % 3 + 1 AS VARCHAR) AS epoch FROM documents"

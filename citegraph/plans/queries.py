@@ -17,9 +17,9 @@ from citegraph.operators import index as Q
 from citegraph.operators import learn as L
 from citegraph.operators import similarity as S
 from citegraph.operators.sampling import random_doc
-from citegraph.operators.layout import layout_nodes, with_layout, with_text_and_title
+from citegraph.operators.layout import all_nodes, layout_nodes, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
-from citegraph.plans.pipeline import analyze_documents, extract
+from citegraph.plans.pipeline import analyze_documents, extract, is_too_long, title_status
 from citegraph.session import cut_lineage, scratch_path
 from citegraph.sources.captures import admit_captures, read_captures, split_payload, write_captures
 from citegraph.sources.files import load_epochs
@@ -164,17 +164,28 @@ def q_extract_edges(spark, sf):
 
 
 # ------------------------------------------------------------------ layout
-def _layout(spark, sf, sections=None):
+def _layout(spark, sf, **wanted):
     d = with_layout(X.layout_documents(spark, sf), "xml", "pages")
-    return with_text_and_title(d, "pages", sections=sections)
+    return with_text_and_title(d, "pages", **wanted)
 
 
 def q_layout_text(spark, sf):
-    return _layout(spark, sf).select("doc_id", "text")
+    return _layout(spark, sf, title=False).select("doc_id", "text")
 
 
 def q_layout_title(spark, sf):
-    return _layout(spark, sf).select("doc_id", "title")
+    return _layout(spark, sf, text=False).select("doc_id", "title")
+
+
+def q_layout_long(spark, sf):
+    """Layouts of more than 100 pages (each document's text repeated), with self-closed nodes, inline tags, character
+    references, single-quoted attributes, two document type lines and, in every 13th document, a malformed node (P1-P4, P6, P7)."""
+    d = with_layout(X.long_layouts(spark, sf), "xml", "pages")
+    d = with_text_and_title(d.withColumn("n_pages", F.size("pages")).withColumn("_all", all_nodes("pages")), "pages", title=False)
+    return d.select(
+        "doc_id", "n_pages", F.size("_all").alias("n_nodes"), F.coalesce(F.try_element_at("_all", F.lit(-1))["node_id"], F.lit(0)).alias("last_id"),
+        F.size(F.filter("_all", lambda n: n["bold"])).alias("n_bold"), F.length("text").alias("text_len"), F.md5("text").alias("text_md5"),
+    )
 
 
 def q_layout_nodes(spark, sf):
@@ -185,15 +196,10 @@ def q_layout_nodes(spark, sf):
 
 
 def q_title_gate_counts(spark, sf):
-    d = _layout(spark, sf)
-    t = F.col("title")
-    status = (
-        F.when(F.octet_length("xml") > K.MAX_RECORD_BYTES, F.lit("TooLong"))
-        .when(t == "", F.lit("NoTitle"))
-        .when(F.length(t) < K.SHORT_TITLE_LEN, F.lit("ShortTitle"))
-        .otherwise(F.lit("GoodTitle"))
-    )
-    return G.count_status(d.withColumn("status", status), "status")
+    d = _layout(spark, sf, text=False)
+    counts = G.count_status(d.withColumn("status", title_status()), "status")
+    too_long = d.where(is_too_long()).agg(F.lit("TooLong").alias("status"), F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(too_long)
 
 
 # ------------------------------------------------------------------ graph
@@ -240,9 +246,9 @@ def q_matches_in_corpus(spark, sf):
 
 def _dangling_edges(spark, sf, p):
     """Reference lists plus one extra citation of every document whose first line
-    is too long to be a paper title (those keys have no document)."""
+    is too long to be a paper title (most of those keys have no document)."""
     docs = X.table(spark, sf, "documents")
-    extra = docs.select(F.col("doc_id").alias("x_id"), X.paper_title("text").alias("cited_title")).where(
+    extra = docs.select(F.col("doc_id").alias("x_id"), X.first_line("text").alias("cited_title")).where(
         F.length("cited_title") >= 150
     )
     n = p.select(F.max("n")).scalar()
@@ -437,6 +443,7 @@ QUERIES = {
     "layout_title": q_layout_title,
     "title_gate_counts": q_title_gate_counts,
     "layout_nodes": q_layout_nodes,
+    "layout_long": q_layout_long,
     "title_key": q_title_key,
     "title_key_dedup": q_title_key_dedup,
     "extract_year": q_extract_year,
