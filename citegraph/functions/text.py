@@ -211,6 +211,20 @@ def xml_escape(s) -> Column:
     return F.replace(c, F.lit(">"), F.lit("&gt;"))
 
 
+# ---------------------------------------------------------------- counting within a row
+def term_counts(tokens, term: str = "term", cnt: str = "cnt") -> Column:
+    """array<struct<term, cnt>> of a token array: the tokens are sorted and the lengths of equal runs taken, so
+    a document's terms are counted in its own row, without a shuffle and in linear steps after the sort."""
+    def runs(w: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(w["s"]) - 1), lambda i: (i == 0) | (F.get(w["s"], i) != F.get(w["s"], i - 1)))
+        zipped = F.struct(w["s"].alias("s"), at.alias("at"))
+        return let(zipped, lambda z: F.transform(z["at"], lambda i, k: F.struct(
+            F.get(z["s"], i).alias(term), (F.coalesce(F.get(z["at"], k + 1), F.size(z["s"])) - i).cast("long").alias(cnt))))
+
+    none = F.array().cast(f"array<struct<{term}:string,{cnt}:bigint>>")
+    return F.when(F.size(_c(tokens)) > 0, let(F.struct(F.sort_array(_c(tokens)).alias("s")), runs)).otherwise(none)
+
+
 # ---------------------------------------------------------------- exploding computed arrays
 def explode_rows(df, keep, array_col, alias: str, with_pos: str | None = None):
     """One row per element of a computed array (rows with empty arrays vanish).

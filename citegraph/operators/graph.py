@@ -6,20 +6,23 @@ Scale notes.  A single title key may hold a large share of all citations
     shuffle), never by collecting a key's rows into one task;
   * joins are made between aggregated sides (one row per key), so a hot key
     cannot skew them; raw edge joins rely on AQE skew-join splitting;
-  * the nested ``incoming`` list is an optional view with the original per-key
-    cap, applied as ``row_number <= cap`` (a partial top-k before the shuffle);
-    the exact, uncapped relation is always the edge table itself.
+  * the nested ``incoming`` lists come in chunks of bounded size, so a hot key
+    has several rows; none of its citations is cut off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.functions import constants as K
 from citegraph.functions.text import histogram_bucket
 
 
+#: columns that hold whole documents
+WIDE = ("xml", "text", "outgoing")
+
+
 # ------------------------------------------------------------------ A1 counters
 def count_status(df: DataFrame, col: str = "status") -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
@@ -38,15 +41,17 @@ def dedup_documents(docs: DataFrame, key: str = "id", size: str = "doc_len", tie
     """One document per key: the largest ``size``; ties to the larger ``tie``.
 
     ``max_by`` is an aggregate, so each map task keeps one row per key before the
-    shuffle (a hot key costs one row per task, not one task for all its rows).
+    shuffle (a hot key costs one row per task, not one task for all its rows).  Where there are whole
+    texts (``WIDE``) the winner is chosen on narrow columns and its row joined back by ``tie``, which must be unique then.
     Adds ``n_merged`` = documents under the key.
     """
     cols = [c for c in docs.columns if c != key]
-    agg = docs.groupBy(key).agg(
-        F.max_by(F.struct(*cols), F.struct(F.col(size), F.col(tie))).alias("_best"),
-        F.count(F.lit(1)).alias("n_merged"),
-    )
-    return agg.select(key, "_best.*", "n_merged")
+    rank = F.struct(F.col(size), F.col(tie))
+    if not set(cols) & set(WIDE):
+        agg = docs.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_best"), F.count(F.lit(1)).alias("n_merged"))
+        return agg.select(key, "_best.*", "n_merged")
+    best = docs.groupBy(key).agg(F.max_by(F.col(tie), rank).alias(tie), F.count(F.lit(1)).alias("n_merged"))
+    return docs.join(best.select(tie, "n_merged"), tie).select(key, *cols, "n_merged")
 
 
 # ------------------------------------------------------------------ J1/A10/A13 inversion
@@ -54,29 +59,25 @@ def incoming_counts(edges: DataFrame, cited: str = "cited_id") -> DataFrame:
     return edges.groupBy(cited).agg(F.count(F.lit(1)).alias("citations"))
 
 
-def invert_citations(docs: DataFrame, edges: DataFrame, key: str = "id", nested: bool = False,
-                     cap: int | None = K.INVERT_VALUES_PER_KEY) -> DataFrame:
-    """Docs LEFT OUTER citations by title key.
-
-    Every document is kept (``citations`` = 0 when uncited); citations to keys
-    without a document are dropped.  ``nested=True`` adds ``incoming`` =
-    array<struct<citing_id, pos, title, authors>> ordered by (citing_id, pos),
-    with at most ``cap`` entries per key (the original per-key limit); the
-    uncapped count stays in ``citations``.
-    """
+def invert_citations(docs: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
+    """Docs LEFT OUTER citation counts by title key: every document is kept (``citations`` = 0 when uncited), citations to
+    keys without a document are dropped.  The citations themselves are ``incoming_chunks``."""
     cnt = incoming_counts(edges).withColumnRenamed("cited_id", key)
-    out = docs.join(cnt, key, "left").withColumn("citations", F.coalesce(F.col("citations"), F.lit(0)))
-    if not nested:
-        return out
+    return docs.join(cnt, key, "left").withColumn("citations", F.coalesce(F.col("citations"), F.lit(0)))
+
+
+def incoming_chunks(docs: DataFrame, edges: DataFrame, key: str = "id", chunk_size: int = K.INVERT_VALUES_PER_KEY) -> DataFrame:
+    """``(key, chunk, n_chunks, incoming)``: all citations of every cited document of ``docs`` as
+    array<struct<citing_id, pos, title, authors>> ordered by (citing_id, pos).
+
+    A key with more than ``chunk_size`` citations has several rows: its citing documents are dealt over
+    ``n_chunks`` = ceil(count / chunk_size) chunks by their id, so that no value and no task holds a hot key's whole
+    list, and nothing is cut off."""
     e = edges.select(F.col("cited_id").alias(key), "citing_id", "pos", F.col("cited_title").alias("title"), "authors")
-    if cap is not None:
-        w = Window.partitionBy(key).orderBy("citing_id", "pos")
-        e = e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
-    lists = e.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("citing_id", "pos", "title", "authors"))).alias("incoming")
-    )
-    out = out.join(lists, key, "left")
-    return out.withColumn("incoming", F.coalesce(F.col("incoming"), F.filter(F.array(), lambda x: F.lit(False))))
+    n = incoming_counts(edges).select(F.col("cited_id").alias(key), F.ceil(F.col("citations") / chunk_size).alias("n_chunks"))
+    n = n.join(docs.select(key), key, "left_semi")
+    dealt = e.join(n, key).withColumn("chunk", F.pmod(F.col("citing_id"), F.col("n_chunks")))
+    return dealt.groupBy(key, "chunk", "n_chunks").agg(F.array_sort(F.collect_list(F.struct("citing_id", "pos", "title", "authors"))).alias("incoming"))
 
 
 # ------------------------------------------------------------------ J2/J3
@@ -113,6 +114,14 @@ def test_set_status(inverted: DataFrame, lo: int = K.TEST_SET_MIN_INCOMING,
     )
 
 
+def test_set_counts(inverted: DataFrame, edges: DataFrame, key: str = "id", lo: int = K.TEST_SET_MIN_INCOMING,
+                    hi: int = K.TEST_SET_MAX_INCOMING) -> DataFrame:
+    """D4's counters ``(status, n)``: the documents by status, and the cited keys without one ("Missing Document")."""
+    missing = dangling_references(edges, inverted, key).select("cited_id").distinct()
+    labels = test_set_status(inverted, lo, hi).select("status").unionByName(missing.select(F.lit("Missing Document").alias("status")))
+    return count_status(labels, "status")
+
+
 def select_test_set(inverted: DataFrame, lo: int = K.TEST_SET_MIN_INCOMING, hi: int = K.TEST_SET_MAX_INCOMING) -> DataFrame:
     """Documents with lo <= incoming <= hi (one per key: the inverted table is deduplicated)."""
     return test_set_status(inverted, lo, hi).where(F.col("status") == "Selected").drop("status")

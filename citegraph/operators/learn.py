@@ -72,17 +72,6 @@ def nb_counts(mults: DataFrame, docs: DataFrame, key: str = "id", text: str = "t
     return long.select("_x.label", "ngram", F.col("_x.cnt").cast("double").alias("cnt")).where(F.col("cnt") > 0)
 
 
-def nb_total(mults: DataFrame, docs: DataFrame, key: str = "id", text: str = "text"):
-    """Grand total of all n-gram updates as a scalar Column, from per-document word
-    counts (n words give n unigrams and n-1 bigrams), so the n-gram table is not
-    recomputed for it."""
-    per_doc = mults.groupBy("doc").agg(F.sum("mult").alias("_m"))
-    n = F.size(words(F.col(text)))
-    grams = F.when(n > 0, n * 2 - 1).otherwise(0)
-    d = per_doc.join(docs.select(F.col(key).alias("doc"), text), "doc")
-    return d.select(F.sum(F.col("_m") * grams).cast("double")).scalar()
-
-
 def nb_model(counts: DataFrame, min_count: float = 1.0, total=None) -> DataFrame:
     """Drop counts <= 1, weight = count / total, where the total covers all
     counts of both labels (including the dropped ones)."""
@@ -96,12 +85,6 @@ def nb_model(counts: DataFrame, min_count: float = 1.0, total=None) -> DataFrame
 def train(docs: DataFrame, edges: DataFrame, key: str = "id", k: int = K.NB_NEGATIVES_PER_DOC,
           seed: int = 0) -> DataFrame:
     """L3+L4 end to end."""
-    # at most two rows per document, read by both the counts and the grand total: written once
+    # at most two rows per document; the n-gram sums feed the model and its grand total: each written once
     mults = cut_lineage(training_multiplicities(positives(docs, edges, key), negatives(docs, key, k, seed), key))
-    return nb_model(nb_counts(mults, docs, key), total=nb_total(mults, docs, key))
-
-
-def run_learner(learner: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
-    """A learner is any function from the document table to a result table
-    (the original ``apply``/``run``/``finish`` protocol collapses to one call)."""
-    return learner(docs)
+    return nb_model(cut_lineage(nb_counts(mults, docs, key)))

@@ -50,24 +50,25 @@ def with_graph(body: str) -> str:
     return "WITH " + PAPERS + "\n" + body
 
 
-# expected parse of the rendered bibliography lines (see plans.fixtures.TEMPLATES)
+# expected parse of the rendered bibliography lines (see plans.fixtures.TEMPLATES): authors and style
+_ACM = "'Lamport L.; Kemme B.'"
+_ACM_COMMA = "'KARGER D.; LAMPORT L.; KEMME B.'"
 _CITATION_EXPECT = {
-    "acm": ("CASE WHEN pos % 2 = 0 THEN 2 ELSE 3 END", "CASE WHEN pos % 2 = 0 THEN 'Lamport L.' ELSE 'KARGER D.' END", "'acm'"),
-    "ieee": ("2", "'L. Lamport'", "'ieee'"),
-    "springer": ("2", "'Lamport L.'", "'springer'"),
+    "acm": (f"CASE WHEN pos % 2 = 0 THEN {_ACM} ELSE {_ACM_COMMA} END", "'acm'"),
+    "ieee": ("'L. Lamport; B. Kemme'", "'ieee'"),
+    "springer": ("'Lamport L.; Kemme B.'", "'springer'"),
     "best": (
-        "CASE WHEN citing_i % 4 = 1 THEN 3 ELSE 2 END",
-        "CASE citing_i % 4 WHEN 0 THEN 'Lamport L.' WHEN 1 THEN 'KARGER D.' WHEN 2 THEN 'L. Lamport' ELSE 'Lamport L.' END",
+        f"CASE citing_i % 4 WHEN 0 THEN {_ACM} WHEN 1 THEN {_ACM_COMMA} WHEN 2 THEN 'L. Lamport; B. Kemme' ELSE 'Lamport L.; Kemme B.' END",
         "CASE citing_i % 4 WHEN 0 THEN 'acm' WHEN 1 THEN 'acm' WHEN 2 THEN 'ieee' ELSE 'springer' END",
     ),
 }
 
 
 def _citation_sql(style: str) -> str:
-    n, first, st = _CITATION_EXPECT[style]
+    authors, st = _CITATION_EXPECT[style]
     return with_graph(
-        f"SELECT citing_id, pos, cited_title, cited_id, CAST({n} AS INTEGER) AS n_authors, "
-        f"{first} AS first_author, {st} AS style FROM edges"
+        f"SELECT citing_id, pos, cited_title, cited_id, CAST(len(string_split(a, '; ')) AS INTEGER) AS n_authors, "
+        f"a AS author_list, style FROM (SELECT *, {authors} AS a, {st} AS style FROM edges)"
     )
 
 
@@ -86,6 +87,10 @@ FROM documents""",
 SELECT d.id, d.doc_id, d.title, d.n_merged, coalesce(c.citations, 0) AS citations
 FROM ded d LEFT JOIN (SELECT cited_id, count(*) AS citations FROM edges GROUP BY cited_id) c ON c.cited_id = d.id"""),
     "top_cited_50": with_graph("""
+SELECT d.id, d.title, coalesce(c.n, 0) AS citations FROM ded d
+LEFT JOIN (SELECT cited_id, count(*) AS n FROM edges GROUP BY 1) c ON c.cited_id = d.id
+ORDER BY citations DESC, d.id LIMIT 50"""),
+    "top_citing_50": with_graph("""
 SELECT m.id, d.title, m.n_matches FROM (
   SELECT c.id, count(DISTINCT e.cited_id) AS n_matches
   FROM edges e JOIN ded c ON c.doc_id = e.citing_id
@@ -131,6 +136,10 @@ adm AS (
 CAPTURES = captures_sql("length(html)")
 ORACLE["capture_admission"] = CAPTURES + "SELECT page_id, url, status, filetype, outcome, body_len FROM adm"
 # the archive record length is the payload's byte length
+ORACLE["archive_states"] = "SELECT count(*) AS records, CAST(0 AS BIGINT) AS errors FROM pages"
+ORACLE["ingest_documents"] = CAPTURES.replace("body_len\n  FROM b)", "body_len, payload, pos\n  FROM b)") + """
+SELECT url, CAST(length(xml) AS INTEGER) AS xml_len, md5(xml) AS xml_md5 FROM (
+  SELECT url, substr(payload, pos + 4) AS xml FROM adm WHERE ends_with(outcome, '.success'))"""
 ORACLE["archive_records"] = captures_sql("strlen(payload)") + (
     "SELECT url, length, status, filetype, outcome, body_len FROM adm")
 ORACLE["capture_status_counts"] = CAPTURES + "SELECT coalesce(outcome, status) AS status, count(*) AS n FROM adm GROUP BY 1"
@@ -263,6 +272,15 @@ ORACLE["dangling_references"] = with_graph(ctes("""extra AS (
 SELECT citing_id, cited_title, {tid('cited_title')} AS cited_id FROM extra
 WHERE {tid('cited_title')} NOT IN (SELECT id FROM ded)""")
 
+_DANGLING = ORACLE["dangling_references"].split("\nSELECT citing_id, cited_title")[0]
+ORACLE["test_set_counts"] = _DANGLING + f""",
+every AS (SELECT cited_id FROM edges UNION ALL SELECT {tid('cited_title')} FROM extra),
+n AS (SELECT cited_id, count(*) AS n FROM every GROUP BY 1)
+SELECT status, count(*) AS n FROM (
+  SELECT CASE WHEN coalesce(n.n, 0) < 20 THEN 'Too Few Citations' WHEN n.n > 100 THEN 'Too Many Citations' ELSE 'Selected' END AS status
+  FROM ded d LEFT JOIN n ON n.cited_id = d.id
+  UNION ALL SELECT 'Missing Document' FROM n WHERE cited_id NOT IN (SELECT id FROM ded)) GROUP BY status"""
+
 ORACLE["lookup_titles"] = with_graph(f"""
 SELECT e.cited_title, t.doc_id, {tid('t.title')} AS id
 FROM (SELECT DISTINCT cited_title FROM edges) e
@@ -487,7 +505,7 @@ ORACLE["search_text"] = INDEX + scores("q", False) + """
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(text_score, 6) AS text_score, matched FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, id) AS rank FROM ts)
 WHERE rank <= 100"""
-ORACLE["search_scored"] = INDEX + scores("q", False) + ranked_results("ts", "query_id", 100, 10, _REFS_SCORER, False)
+ORACLE["search_scored"] = INDEX + scores("q", False) + ranked_results("ts", "query_id", 10**9, 10, _REFS_SCORER, False)
 ORACLE["search_sharded"] = INDEX + scores("q", True) + ranked_results(
     "ts", "query_id, shard", 100, 5, _REFS_SCORER, True)
 ORACLE["search_fielded"] = INDEX + ctes(
@@ -509,7 +527,7 @@ ORACLE["search_fielded"] = INDEX + ctes(
              WHERE (t.query_id NOT IN (SELECT query_id FROM need)
                     OR EXISTS (SELECT 1 FROM sat s WHERE s.query_id = t.query_id AND s.id = t.id))
                AND NOT EXISTS (SELECT 1 FROM exc e WHERE e.query_id = t.query_id AND e.id = t.id))""",
-) + ranked_results("tsf", "query_id", 100, 10, "c.text_score", False)
+) + ranked_results("tsf", "query_id", 10**9, 10, "c.text_score", False)
 
 
 # ------------------------------------------------------------------ extract job over text + bibliography
@@ -521,13 +539,14 @@ def _nodes_from(source: str) -> str:
 _BIB_LINE = ("CASE WHEN pos % 2 = 0 THEN 'L. Lamport and B. Kemme. ' || cited_title || '. In Proceedings, 2004.' "
              "ELSE 'LAMPORT, L., KEMME, B., AND KARGER, D. ' || cited_title || '. In Proceedings, 2004.' END")
 
-ORACLE["extract_documents"] = with_graph(ctes(
+_EXTRACT = ctes(
     f"bibs AS (SELECT citing_id AS doc_id, string_agg({_BIB_LINE}, chr(10) ORDER BY pos) AS bib FROM edges GROUP BY 1)",
-    "xdocs AS (SELECT p.doc_id, p.text || chr(10) || b.bib AS text FROM papers p JOIN bibs b ON b.doc_id = p.doc_id)",
+    "xdocs AS (SELECT p.doc_id, translate(p.text, '.', ';') || chr(10) || b.bib AS text FROM papers p JOIN bibs b ON b.doc_id = p.doc_id)",
     _nodes_from("xdocs").strip(),
     LAYOUT_TEXT.strip(),
     LAYOUT_TITLE.strip().replace("FROM documents d LEFT JOIN best b", "FROM xdocs d LEFT JOIN best b"),
-) + f"""
+)
+ORACLE["extract_documents"] = with_graph(_EXTRACT + f"""
 SELECT t.doc_id,
        CASE WHEN t.title = '' THEN 'NoTitle' WHEN length(t.title) < 5 THEN 'ShortTitle' ELSE 'GoodTitle' END AS status,
        t.title, {tid('t.title')} AS id,
@@ -536,6 +555,20 @@ SELECT t.doc_id,
 FROM doc_title t JOIN doc_text dt ON dt.doc_id = t.doc_id""")
 
 
+ORACLE["extract_edges"] = with_graph(_EXTRACT + """
+SELECT e.citing_id, e.pos, e.cited_title, e.cited_id, CAST(CASE WHEN e.pos % 2 = 0 THEN 2 ELSE 3 END AS INTEGER) AS n_authors
+FROM edges e JOIN doc_title t ON t.doc_id = e.citing_id WHERE length(t.title) >= 5""")
+
+ORACLE["pipeline_records"] = with_graph(_EXTRACT + f""",
+good AS (SELECT t.doc_id, t.title, {tid('t.title')} AS id FROM doc_title t WHERE length(t.title) >= 5),
+sized AS (SELECT g.*, x.n AS size FROM good g JOIN xml_chars x ON x.doc_id = g.doc_id),
+merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY size DESC, doc_id DESC) AS rn, count(*) OVER (PARTITION BY id) AS n_merged FROM sized) WHERE rn = 1),
+cites AS (SELECT e.cited_id, count(*) AS n FROM edges e JOIN good g ON g.doc_id = e.citing_id GROUP BY 1)
+SELECT m.id, m.doc_id, m.title, m.n_merged, coalesce(c.n, 0) AS citations,
+       CAST((SELECT count(*) FROM edges e WHERE e.citing_id = m.doc_id) AS INTEGER) AS n_outgoing, coalesce(c.n, 0) AS n_listed
+FROM merged m LEFT JOIN cites c ON c.cited_id = m.id""").replace("sized AS (", XML_LEN.strip().replace("xml_len AS", "xml_chars AS").replace("strlen(", "length(") + ",\nsized AS (", 1)
+
+
 # ------------------------------------------------------------------ node table, nested lists, report lines
 ORACLE["layout_nodes"] = "WITH " + NODES + """
 SELECT doc_id, page, CAST(node_id AS INTEGER) AS node_id, lft AS "left", width, top, height,
@@ -544,19 +577,28 @@ SELECT doc_id, page, CAST(node_id AS INTEGER) AS node_id, lft AS "left", width,
 FROM nodes"""
 
 ORACLE["incoming_lists"] = with_graph(ctes(
-    """lst AS (SELECT cited_id AS id, citing_id, pos, cited_title,
-                   row_number() OVER (PARTITION BY cited_id ORDER BY citing_id, pos) AS k
-            FROM edges WHERE cited_id IN (SELECT id FROM ded))""",
+    """every AS (SELECT citing_id, pos, cited_id, cited_title FROM edges
+              UNION ALL SELECT p.doc_id, 100, f.id, f.title FROM papers p, (SELECT id, title FROM papers WHERE i = 0) f)""",
+    """lst AS (SELECT cited_id AS id, citing_id, pos, cited_title, CAST(ceil(count(*) OVER (PARTITION BY cited_id) / 1000.0) AS BIGINT) AS n_chunks
+            FROM every WHERE cited_id IN (SELECT id FROM ded))""",
 ) + """
-SELECT d.id, CAST(coalesce(c.n, 0) AS BIGINT) AS citations, CAST(coalesce(c.n_listed, 0) AS INTEGER) AS n_listed,
-       c.first_citing, CAST(c.first_pos AS INTEGER) AS first_pos, CAST(coalesce(c.s, 0) AS BIGINT) AS citing_mod_sum,
-       coalesce(c.titles, '') AS titles
-FROM ded d LEFT JOIN (
-  SELECT id, count(*) AS n, count(*) FILTER (WHERE k <= 1000) AS n_listed,
-         min(citing_id) FILTER (WHERE k = 1) AS first_citing, min(pos) FILTER (WHERE k = 1) AS first_pos,
-         sum(citing_id % 1000) FILTER (WHERE k <= 1000) AS s,
-         string_agg(cited_title, '|' ORDER BY k) FILTER (WHERE k <= 1000) AS titles
-  FROM lst GROUP BY id) c ON c.id = d.id""")
+SELECT id, citing_id % n_chunks AS chunk, n_chunks, CAST(count(*) AS INTEGER) AS n_listed,
+       arg_min(citing_id, citing_id * 1000 + pos) AS first_citing, CAST(arg_min(pos, citing_id * 1000 + pos) AS INTEGER) AS first_pos,
+       CAST(sum(citing_id % 1000) AS BIGINT) AS citing_mod_sum, md5(string_agg(cited_title, '|' ORDER BY citing_id, pos)) AS titles_md5
+FROM lst GROUP BY 1, 2, 3""")
+
+ORACLE["matches_all"] = with_graph("""
+SELECT citing_id, cited_id, count(*) AS n FROM (SELECT citing_id, cited_id FROM edges UNION ALL SELECT citing_id, cited_id FROM edges WHERE pos = 0)
+WHERE cited_id IN (SELECT id FROM ded) GROUP BY 1, 2""")
+
+ORACLE["first_references"] = with_graph("""
+SELECT citing_id, CAST(rank AS INTEGER) AS rank, cited_title, pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY citing_id ORDER BY cited_title, pos) AS rank FROM refs) WHERE rank <= 2""")
+
+ORACLE["token_flags"] = with_graph("""
+SELECT doc_id, pos, token, token = upper(token) AS is_upper, regexp_matches(token, '[0-9]') AS is_numeric,
+       token = upper(token) AND length(token) = 1 AS is_initial, regexp_matches(token, '[0-9]{4}') AS has_date
+FROM (SELECT doc_id, unnest(ts) AS token, CAST(unnest(range(len(ts))) AS INTEGER) AS pos FROM (SELECT doc_id, string_split(title, ' ') AS ts FROM papers))""")
 
 ORACLE["report_lines"] = ORACLE["evaluation_report"].replace(
     "SELECT f.id, d.title,", "SELECT id, printf('%-60.60s %3d/%3d (%3d) %.2f%%', title, matched, found, total, "

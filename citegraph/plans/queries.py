@@ -10,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citegraph.functions import constants as K
-from citegraph.functions.text import extract_year, title_id
+from citegraph.functions.text import extract_year, title_id, token_flags
 from citegraph.operators import graph as G
 from citegraph.operators.citations import extract_citations
 from citegraph.operators import index as Q
 from citegraph.operators import learn as L
 from citegraph.operators import similarity as S
-from citegraph.operators.sampling import random_doc
+from citegraph.operators.sampling import first_n, random_doc
 from citegraph.operators.layout import all_nodes, layout_nodes, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
-from citegraph.plans.pipeline import analyze_documents, extract, is_too_long, title_status
+from citegraph.plans.pipeline import analyze_documents, extract, is_too_long, run_pipeline, title_status
 from citegraph.session import cut_lineage, scratch_path
-from citegraph.sources.captures import admit_captures, read_captures, split_payload, write_captures
+from citegraph.sources.captures import admit_captures, archive_states, ingest, read_captures, split_payload, write_captures
 from citegraph.sources.files import load_epochs
 
 R6 = 6  # doubles are compared at 6 decimals
@@ -47,14 +47,27 @@ def _texts(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", "text")
 
 
+def _merged(spark, sf, paper=None):
+    """The deduplicated documents: narrow, read by several branches, so written once."""
+    return cut_lineage(G.dedup_documents(_docs(paper if paper is not None else _papers(spark, sf))))
+
+
+def _cited(spark, sf, paper=None):
+    """The parsed citation edges, written once."""
+    return cut_lineage(_edges(spark, sf, "acm", paper))
+
+
 def _graph(spark, sf):
-    """Papers, their parsed citation edges and the deduplicated documents.  The
-    edge and document tables feed several branches of each query, so they are
-    checkpointed once (narrow columns only) instead of being recomputed."""
+    """Papers, their parsed citation edges and the deduplicated documents, for queries that need all three."""
     p = _papers(spark, sf)
-    edges = cut_lineage(_edges(spark, sf, "acm", p))
-    ded = cut_lineage(G.dedup_documents(_docs(p)))
-    return p, edges, ded
+    return p, _cited(spark, sf, p), _merged(spark, sf, p)
+
+
+def _stored(df, name):
+    """A large table that several branches read, as Parquet in the scratch folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 # ------------------------------------------------------------------ sources / scalar queries
@@ -80,7 +93,7 @@ def _citation_query(style):
         e = _edges(spark, sf, style)
         return e.select(
             "citing_id", "pos", "cited_title", "cited_id", "n_authors",
-            F.array_join(F.get(F.col("authors"), 0), " ").alias("first_author"), "style",
+            F.array_join(F.transform("authors", lambda a: F.array_join(a, " ")), "; ").alias("author_list"), "style",
         )
 
     q.__name__ = f"q_citation_{style}"
@@ -95,6 +108,14 @@ def q_invert_citations(spark, sf):
 
 
 def q_top_cited_50(spark, sf):
+    """The 50 documents with the most incoming citations (ties by smaller key)."""
+    _, edges, ded = _graph(spark, sf)
+    inv = G.invert_citations(ded, edges)
+    return inv.orderBy(F.desc("citations"), F.asc("id")).limit(50).select("id", "title", "citations")
+
+
+def q_top_citing_50(spark, sf):
+    """The 50 documents with the most distinct references within the corpus."""
     _, edges, ded = _graph(spark, sf)
     citing = edges.join(ded.select(F.col("doc_id").alias("citing_id"), F.col("id").alias("citing_key")), "citing_id")
     pairs = G.matches(citing, ded, citing="citing_key")
@@ -139,12 +160,28 @@ def q_archive_records(spark, sf):
     return d.select("url", "length", "status", "filetype", "outcome", "body_len")
 
 
+def q_archive_states(spark, sf):
+    """Whether every written archive file reads back whole, summed over the files."""
+    path = scratch_path(spark, "archives")
+    write_captures(X.captures(spark, sf), path)
+    states = archive_states(spark, path + "/*.gz")
+    return states.agg(F.sum("records").alias("records"), F.count("error").alias("errors"))
+
+
+def q_ingest_documents(spark, sf):
+    """Admitted and split captures as documents."""
+    d = ingest(X.captures(spark, sf))
+    return d.select("url", F.length("xml").alias("xml_len"), F.md5("xml").alias("xml_md5"))
+
+
 # ------------------------------------------------------------------ extract job
 def _extract_input(spark, sf):
-    """Papers whose text ends with their rendered bibliography, as layout XML."""
+    """Papers whose text ends with their rendered bibliography, as layout XML.  The text has no full stops, so that
+    the bibliography's lines are the only citations and the edges are known."""
     p = _papers(spark, sf)
     bib = X.bibliographies(p, X.refs(p), "acm")
-    return p.join(bib.select("doc_id", "bib"), "doc_id").join(_texts(spark, sf), "doc_id").select(
+    texts = _texts(spark, sf).withColumn("text", F.translate("text", ".", ";"))
+    return p.join(bib.select("doc_id", "bib"), "doc_id").join(texts, "doc_id").select(
         "doc_id", "url", X.layout_xml(F.concat_ws("\n", "text", "bib")).alias("xml")
     )
 
@@ -155,12 +192,19 @@ def q_extract_documents(spark, sf):
 
 
 def q_extract_edges(spark, sf):
-    """Edges of the whole extract job (layout -> last two pages -> citations).
-    The citation regex needs atomic groups and look-behind, which the SQL oracle
-    engine lacks, so this one is a rows-only check; the parser itself is checked
-    against rendered bibliographies by the citation_* queries."""
+    """Edges of the whole extract job (layout -> all pages -> citations) of the documents with a good title."""
     docs, edges = extract(_extract_input(spark, sf), "acm")
-    return edges.select("citing_id", "pos", "cited_title", "cited_id")
+    return edges.select("citing_id", "pos", "cited_title", "cited_id", F.size("authors").alias("n_authors"))
+
+
+def q_pipeline_records(spark, sf):
+    """D6 end to end over stored inputs: the merged documents with their incoming and outgoing citations and postings."""
+    root = scratch_path(spark, "pipeline")
+    _extract_input(spark, sf).write.parquet(f"{root}/xml")
+    t = run_pipeline(spark, f"{root}/xml", f"{root}/out")
+    listed = t["incoming"].groupBy("id").agg(F.sum(F.size("incoming")).alias("n_listed"))
+    inv = t["inverted"].select("id", "doc_id", "title", "n_merged", "citations", F.size("outgoing").alias("n_outgoing"))
+    return inv.join(listed, "id", "left").withColumn("n_listed", F.coalesce("n_listed", F.lit(0)))
 
 
 # ------------------------------------------------------------------ layout
@@ -203,8 +247,9 @@ def q_title_gate_counts(spark, sf):
 
 
 # ------------------------------------------------------------------ graph
-def q_citation_histogram(spark, sf):
-    p, edges, ded = _graph(spark, sf)
+def _histograms(spark, sf, scale):
+    p = _papers(spark, sf)
+    edges = _cited(spark, sf, p)
     out_per_doc = p.select(F.col("doc_id").alias("citing_id")).join(
         edges.groupBy("citing_id").agg(F.count(F.lit(1)).alias("v")), "citing_id", "left"
     ).select(F.coalesce("v", F.lit(0)).alias("v"))
@@ -214,22 +259,29 @@ def q_citation_histogram(spark, sf):
         F.coalesce("cites", F.lit(0)).alias("cites"), F.coalesce("docs", F.lit(0)).alias("docs")
     )
     return (
-        G.histogram(out_per_doc, "v", "map-citations")
-        .unionByName(G.histogram(per_key, "cites", "citation.count"))
-        .unionByName(G.histogram(per_key, "docs", "doc.count"))
+        G.histogram(out_per_doc, "v", "map-citations", scale)
+        .unionByName(G.histogram(per_key, "cites", "citation.count", scale))
+        .unionByName(G.histogram(per_key, "docs", "doc.count", scale))
     )
 
 
+def q_citation_histogram(spark, sf):
+    return _histograms(spark, sf, "log")
+
+
 def q_incoming_lists(spark, sf):
-    """A13 + W1: the nested incoming list (original per-key cap of 1000), summarised."""
-    _, edges, ded = _graph(spark, sf)
-    inv = G.invert_citations(ded, edges, nested=True, cap=K.INVERT_VALUES_PER_KEY)
+    """A13 + W1: all incoming citations, in chunks; every paper also cites the first one, whose key is hot."""
+    p, edges, ded = _graph(spark, sf)
+    first = p.where("i = 0").select(title_id("title").alias("cited_id"), F.col("title").alias("cited_title"))
+    hot = p.select(F.col("doc_id").alias("citing_id"), F.lit(100).alias("pos")).crossJoin(F.broadcast(first))  # one row
+    hot = hot.withColumn("authors", F.lit(None).cast("array<array<string>>"))
+    every = edges.select("citing_id", "pos", "cited_id", "cited_title", "authors").unionByName(hot)
     lst = F.col("incoming")
-    return inv.select(
-        "id", "citations", F.size(lst).alias("n_listed"),
+    return G.incoming_chunks(ded, every).select(
+        "id", "chunk", "n_chunks", F.size(lst).alias("n_listed"),
         F.get(lst, 0)["citing_id"].alias("first_citing"), F.get(lst, 0)["pos"].alias("first_pos"),
         F.aggregate(lst, F.lit(0).cast("bigint"), lambda a, x: a + x["citing_id"] % 1000).alias("citing_mod_sum"),
-        F.array_join(F.transform(lst, lambda x: x["title"]), "|").alias("titles"),
+        F.md5(F.array_join(F.transform(lst, lambda x: x["title"]), "|")).alias("titles_md5"),
     )
 
 
@@ -239,6 +291,34 @@ def q_test_set(spark, sf):
     return G.select_test_set(inv).select("id", "doc_id", "title", "citations")
 
 
+def q_test_set_counts(spark, sf):
+    """D4's counters over the references and one dangling one of every document with a long first line."""
+    p = _papers(spark, sf)
+    bib = X.bibliographies(p, _dangling_edges(spark, sf, p), "acm")
+    edges = extract_citations(bib.withColumnRenamed("doc_id", "citing_id"), "bib", "acm", keys=("citing_id",))
+    ded = _merged(spark, sf, p)
+    return G.test_set_counts(G.invert_citations(ded, edges), edges)
+
+
+def q_matches_all(spark, sf):
+    """J2 keeping duplicates: the number of references to each document, with repeats."""
+    _, edges, ded = _graph(spark, sf)
+    twice = edges.unionByName(edges.where("pos = 0"))
+    return G.matches(twice, ded, distinct=False).groupBy("citing_id", "cited_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_first_references(spark, sf):
+    """The first two references of every document by title."""
+    r = X.refs(_papers(spark, sf))
+    return first_n(r, "citing_id", ["cited_title", "pos"], 2).select("citing_id", "rank", "cited_title", "pos")
+
+
+def q_token_flags(spark, sf):
+    """The token predicates over the words of all titles."""
+    p = _papers(spark, sf).select("doc_id", F.posexplode(F.split("title", " ")).alias("pos", "token"))
+    return p.select("doc_id", "pos", "token", token_flags("token").alias("f")).select("doc_id", "pos", "token", "f.is_upper", "f.is_numeric", "f.is_initial", "f.has_date")
+
+
 def q_matches_in_corpus(spark, sf):
     _, edges, ded = _graph(spark, sf)
     return G.matches(edges, ded)
@@ -267,8 +347,8 @@ def q_dangling_references(spark, sf):
 
 
 def q_lookup_titles(spark, sf):
-    p, edges, _ = _graph(spark, sf)
-    keys = edges.select("cited_title").distinct()
+    p = _papers(spark, sf)
+    keys = _edges(spark, sf, "acm", p).select("cited_title").distinct()
     return G.lookup_titles(keys, "cited_title", _docs(p)).select("cited_title", "doc_id", "id")
 
 
@@ -279,8 +359,7 @@ def q_lookup_ids(spark, sf):
 
 
 def q_random_doc(spark, sf):
-    _, _, ded = _graph(spark, sf)
-    return random_doc(ded, "id", seed=0).select("id", "doc_id", "title")
+    return random_doc(_merged(spark, sf), "id", seed=0).select("id", "doc_id", "title")
 
 
 # ------------------------------------------------------------------ term weights
@@ -303,26 +382,27 @@ def q_tfidf(spark, sf):
 
 
 # ------------------------------------------------------------------ evaluation
-def _evaluation(spark, sf):
+def _evaluation(spark, sf, *weights):
+    """What the similarity queries share; of the weight tables only those named are built, each stored once."""
     p, edges, ded = _graph(spark, sf)
     corpus = ded.join(_texts(spark, sf), "doc_id")
     citing = edges.join(ded.select(F.col("doc_id").alias("citing_id"), F.col("id").alias("citing_key")), "citing_id")
     pairs = G.matches(citing, ded, citing="citing_key")
     focus = cut_lineage(G.top_matched(pairs, citing="citing_key").select(F.col("citing_key").alias("id")))
-    # the bag of words and the tf-idf weights feed several branches: materialised once,
-    # as the original built them into its evaluation cache
-    bow = cut_lineage(S.bag_of_words(corpus, "id"))
-    counts = bow.select("id", "term", F.col("cnt").alias("weight"))
-    weights = cut_lineage(S.tfidf(bow, S.idf(bow, corpus, "id"), "id", drop_zero=True))
-    real = S.real_matches(pairs, focus)
-    universe = ded.select("id")
-    return dict(ded=ded, citing=citing, focus=focus, counts=counts, weights=weights, real=real, universe=universe)
+    bow = _stored(S.bag_of_words(corpus, "id"), "bow")
+    ev = dict(ded=ded, citing=citing, focus=focus, real=S.real_matches(pairs, focus), universe=ded.select("id"))
+    if "counts" in weights:
+        ev["counts"] = bow.select("id", "term", F.col("cnt").alias("weight"))
+    if "weights" in weights:
+        ev["weights"] = _stored(S.tfidf(bow, S.idf(bow, corpus, "id"), "id", drop_zero=True), "weights")
+    return ev
 
 
 def _similar_query(kind):
     def q(spark, sf):
-        ev = _evaluation(spark, sf)
-        r = S.similar(ev["focus"], ev["counts"] if kind == "overlap" else ev["weights"], universe=ev["universe"])
+        table = "counts" if kind == "overlap" else "weights"
+        ev = _evaluation(spark, sf, table)
+        r = S.similar(ev["focus"], ev[table], universe=ev["universe"])
         return r.select("focus_id", "id", F.round("score", R6).alias("score"), "rank")
 
     q.__name__ = f"q_similar_{kind}"
@@ -330,7 +410,7 @@ def _similar_query(kind):
 
 
 def q_recall_curve(spark, sf):
-    ev = _evaluation(spark, sf)
+    ev = _evaluation(spark, sf, "counts", "weights")
     out = None
     for kind, w in (("overlap", ev["counts"]), ("tfidf", ev["weights"])):
         c = S.recall_curve(S.similar(ev["focus"], w, universe=ev["universe"]), ev["real"], metric=kind)
@@ -339,7 +419,7 @@ def q_recall_curve(spark, sf):
 
 
 def q_evaluation_report(spark, sf):
-    ev = _evaluation(spark, sf)
+    ev = _evaluation(spark, sf, "weights")
     ranked = S.similar(ev["focus"], ev["weights"], universe=ev["universe"])
     at = S.evaluate_at(ranked, ev["real"], K.EVAL_N_UNTIL)
     total = ev["citing"].groupBy(F.col("citing_key").alias("id")).agg(F.count(F.lit(1)).alias("total"))
@@ -371,8 +451,7 @@ def q_nb_positives(spark, sf):
 
 
 def q_nb_negatives(spark, sf):
-    docs, _ = _learning(spark, sf)
-    return L.negatives(docs).select("id", "draw", "sampled_id")
+    return L.negatives(_merged(spark, sf)).select("id", "draw", "sampled_id")
 
 
 def q_nb_model(spark, sf):
@@ -383,13 +462,14 @@ def q_nb_model(spark, sf):
 # ------------------------------------------------------------------ index and search
 def _indexed(spark, sf, stored: bool = True):
     """Inverted documents and their postings; ``index_postings`` is the build."""
-    p, edges, ded = _graph(spark, sf)
-    inv = G.invert_citations(ded, edges).join(_texts(spark, sf), "doc_id")
-    post = Q.build_index(inv, clustered_by="doc_id").drop("doc_id")
-    if stored:
-        # search reads only the query terms' postings (materialised by the search itself)
-        inv = cut_lineage(inv.select("id", "doc_id", "title", "citations"))
-    return inv, post
+    if not stored:
+        ded = _merged(spark, sf).select("id", "doc_id", "title")
+        return None, Q.build_index(ded.join(_texts(spark, sf), "doc_id"))
+    _, edges, ded = _graph(spark, sf)
+    inv = G.invert_citations(ded, edges)
+    post = Q.build_index(inv.select("id", "doc_id", "title").join(_texts(spark, sf), "doc_id"))
+    # search reads only the query terms' postings (materialised by the search itself)
+    return cut_lineage(inv.select("id", "doc_id", "title", "citations")), post
 
 
 def q_index_postings(spark, sf):
@@ -436,6 +516,8 @@ QUERIES = {
     "capture_admission": q_capture_admission,
     "capture_status_counts": q_capture_status_counts,
     "archive_records": q_archive_records,
+    "archive_states": q_archive_states,
+    "ingest_documents": q_ingest_documents,
     "epoch_documents": q_epoch_documents,
     "extract_documents": q_extract_documents,
     "extract_edges": q_extract_edges,
@@ -453,8 +535,14 @@ QUERIES = {
     "citation_best": _citation_query("best"),
     "invert_citations": q_invert_citations,
     "top_cited_50": q_top_cited_50,
+    "top_citing_50": q_top_citing_50,
     "citation_histogram": q_citation_histogram,
     "test_set": q_test_set,
+    "test_set_counts": q_test_set_counts,
+    "matches_all": q_matches_all,
+    "first_references": q_first_references,
+    "token_flags": q_token_flags,
+    "pipeline_records": q_pipeline_records,
     "incoming_lists": q_incoming_lists,
     "matches_in_corpus": q_matches_in_corpus,
     "dangling_references": q_dangling_references,

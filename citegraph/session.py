@@ -31,12 +31,16 @@ _DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, **conf) -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, **conf) -> SparkSession:
+    """A session with the library's settings.  Partition count and driver memory are set for a local master only;
+    on a cluster they are the operator's."""
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     b = SparkSession.builder.master(master).appName("citegraph")
     merged = dict(_DEFAULT_CONF)
-    merged["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    merged.setdefault("spark.driver.memory", "16g")
+    if master.startswith("local"):
+        merged |= {"spark.sql.shuffle.partitions": str(shuffle_partitions or 8), "spark.driver.memory": "16g"}
+    elif shuffle_partitions:
+        merged["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     merged.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for k, v in merged.items():
         b = b.config(k, v)
@@ -53,8 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
-            # Local tests only: on a cluster the operator sets spark.checkpoint.dir.
-            d = tempfile.mkdtemp(prefix="citegraph-ckpt-")
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            d = tempfile.mkdtemp(prefix="citegraph-ckpt-")  # one machine: tests
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
     return d

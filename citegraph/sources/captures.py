@@ -20,13 +20,16 @@ from citegraph.functions import constants as K
 CAPTURE_SCHEMA = "path string, record int, url string, length bigint, payload binary"
 
 
-def _iter_records(stream):
+def _iter_records(stream, errors: list | None = None):
     """Yield (url, length, payload) for each record of one decompressed archive stream.
 
     Records start with a ``WARC/`` version line, then ``Name: value`` header lines,
-    an empty line and ``Content-Length`` bytes of payload.  A damaged file ends
-    quietly after its last good record (the original reader did the same).
+    an empty line and ``Content-Length`` bytes of payload.  A record without a usable length is left out and
+    reading goes on at the next ``WARC/`` line; a damaged or cut file ends after its last good
+    record.  Either is noted in ``errors``.
     """
+    errors = [] if errors is None else errors
+    n_records = 0
     try:
         while True:
             line = stream.readline()
@@ -41,16 +44,18 @@ def _iter_records(stream):
                     break
                 k, _, v = h.decode("utf-8", "replace").partition(":")
                 headers[k.strip().lower()] = v.strip()
-            try:
-                n = int(headers.get("content-length", "0"))
-            except ValueError:
-                return
-            payload = stream.read(n)
-            if len(payload) < n:
+            length = headers.get("content-length", "0")
+            n_records += 1
+            if not length.isdecimal():
+                errors.append(f"record {n_records}: bad length")
+                continue
+            payload = stream.read(int(length))
+            if len(payload) < int(length):
+                errors.append(f"record {n_records}: cut off")
                 return
-            yield headers.get("warc-target-uri") or None, n, payload
-    except (OSError, EOFError, zlib.error):
-        return
+            yield headers.get("warc-target-uri") or None, int(length), payload
+    except (OSError, EOFError, zlib.error) as e:
+        errors.append(f"damaged after record {n_records}: {type(e).__name__}")
 
 
 def _open(path: str):
@@ -63,24 +68,46 @@ def _open(path: str):
     return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
 
 
-def _records(batches, batch_rows: int = 256):
-    """mapInPandas body: stream every listed file record by record (bounded memory)."""
+def _records(batches, batch_rows: int = 256, batch_bytes: int = 8 << 20):
+    """mapInPandas body: stream every listed file record by record; a batch ends at so many rows or bytes."""
     import pandas as pd
 
     cols = ["path", "record", "url", "length", "payload"]
     for pdf in batches:
-        out = []
+        out, size = [], 0
         for path in pdf["path"]:
             with _open(path) as stream:
                 for k, (url, n, payload) in enumerate(_iter_records(stream)):
                     out.append((path, k, url, n, payload))
-                    if len(out) >= batch_rows:
+                    size += n
+                    if len(out) >= batch_rows or size >= batch_bytes:
                         yield pd.DataFrame(out, columns=cols)
-                        out = []
+                        out, size = [], 0
         if out:
             yield pd.DataFrame(out, columns=cols)
 
 
+def _states(batches):
+    """mapInPandas body: one row per file with its good records and what was wrong."""
+    import pandas as pd
+
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            errors: list = []
+            with _open(path) as stream:
+                n = sum(1 for _ in _iter_records(stream, errors))
+            rows.append((path, n, "; ".join(errors) or None))
+        yield pd.DataFrame(rows, columns=["path", "records", "error"])
+
+
+def archive_states(spark: SparkSession, glob: str) -> DataFrame:
+    """``(path, records, error)`` of every archive file: whether `read_captures` gets all of it."""
+    _ship_with_tasks()
+    files = spark.read.format("binaryFile").load(glob).select("path")
+    return files.mapInPandas(_states, "path string, records bigint, error string")
+
+
 def read_captures(spark: SparkSession, glob: str) -> DataFrame:
     """CAPTURE rows ``(path, record, url, length, payload)`` from gzip archives.
 
@@ -144,7 +171,7 @@ def split_payload(df: DataFrame, min_bytes: int = K.MIN_CAPTURE_LENGTH,
     library)."""
     latin = F.decode(F.col("payload"), "ISO-8859-1")  # one char per byte: positions are byte offsets
     pos = F.instr(latin, "\r\n\r\n")
-    body = F.when(pos > 0, F.encode(latin.substr(pos + 4, F.lit(1 << 30)), "ISO-8859-1"))
+    body = F.when(pos > 0, F.encode(F.substr(latin, pos + 4), "ISO-8859-1"))
     blen = F.octet_length(body)
     ok = (pos > 0) & (F.octet_length(F.col("payload")) >= min_bytes) & (blen > min_out)
     return (

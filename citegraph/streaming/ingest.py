@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from citegraph.plans.pipeline import analyze_documents
-from citegraph.session import checkpoint_dir
 
 XML_SCHEMA = "doc_id long, url string, xml string"
 
@@ -31,7 +30,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, style: str
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source_dir)
     docs = analyze_documents(src, style).withColumn("ingested_at", F.current_timestamp())
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/citegraph-stream-{abs(hash(out_dir))}"
+    ckpt = checkpoint or f"{out_dir.rstrip('/')}-checkpoint"  # the same for every run, so a restart goes on
     return (
         docs.writeStream.format("parquet")
         .option("path", out_dir)
