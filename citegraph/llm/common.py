@@ -11,8 +11,6 @@ from citegraph.session import scratch_path
 
 #: rows handed to a Python worker at once: texts may be long, so batches are kept short
 BATCH_ROWS = 1000
-#: a batch's texts are worked on in runs of at most this many characters (and one text at least)
-RUN_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,17 +33,16 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_runs(texts: list[str | None]) -> Iterator[range]:
-    """Index ranges over a batch whose texts together stay below `RUN_CHARS`."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > RUN_CHARS:
+def text_runs(sizes: list[int], most: int) -> Iterator[range]:
+    """Index ranges over a batch whose texts' sizes add up to at most `most` (or one text each)."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
             yield range(start, i)
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield range(start, len(texts))
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield range(start, len(sizes))
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -19,12 +19,18 @@ and stored as exceptions.  Any block can be decoded alone through the index.
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.llm.common import short_batches, stored, text_runs
@@ -32,8 +38,10 @@ from citegraph.llm.common import short_batches, stored, text_runs
 BLOCK = 256
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 20
-#: words whose ids a worker remembers; it starts anew beyond
+#: words whose ids a worker remembers; beyond, it forgets those that have not recurred
 WORD_CACHE = 300_000
+#: words encoded by one call, bytes of texts encoded together (one text at least)
+CALL_WORDS, RUN_BYTES = 2000, 4_000_000
 MAGIC, VERSION = 0x46505443, 1
 SCHEMA = "shard int, segment int, base long, n_ids long, payload binary"
 
@@ -132,47 +140,109 @@ def read_ids(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndar
 
 
 # ------------------------------------------------------------------ encoding
+#: signs, none of which starts a rule of its own
+_SIGNS = b"!#$%&()*+,-./:;=?@[]^_`{|}~"
+#: words of Latin letters with case, and with visible ASCII: their normal form and lower case are the same in Python
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: the vocabulary's rule (fixed by its file) for the pieces of such a word, in lower case
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class Encoder:
     """Ids of whole texts, word by word.  The vocabulary's tokenizer drops white space and never
     joins across it, so the ids of a text are those of its white-space-separated words in turn;
-    a word's ids are computed once by the tokenizers library and remembered."""
+    a word's ids are computed by the tokenizers library and remembered while the word recurs."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self):
         self.known: dict[bytes, int] = {}
-        self.flat, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.first, self.size, self.uses = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        # The vocabulary's model sees a word's pieces as printable characters for their bytes.
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs: dict[bytes, list[int]] = {}
+        self.printable = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each).  Words of plain Latin letters, digits and signs are cut as the
+        vocabulary's rules cut them and go to its model directly; others go through all its steps."""
+        ids: list[list[int]] = [[]] * len(words)
+        cut, whole, signs = self.tokenizer.model.tokenize, [], self.signs
+        for i, w in enumerate(words):
+            core = w.rstrip(_SIGNS)
+            text = core.decode("utf-8", "replace")
+            if _LETTERS.fullmatch(text):  # with signs behind them
+                text = text.lower()
+                ids[i] = [t.id for t in cut(text if text.isascii() else text.translate(self.printable))]
+                if len(core) < len(w):
+                    if (end := w[len(core) :]) not in signs:
+                        signs[end] = [t.id for t in cut(end.decode("ascii"))]
+                    ids[i] += signs[end]
+                continue
+            s = w.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(s) and "<|" not in s:
+                pieces = (x if x.isascii() else x.translate(self.printable) for x in _PIECES.findall(s.lower()))
+                ids[i] = [t.id for x in pieces for t in cut(x)]
+            else:
+                whole.append(i)
+        signs.clear()
+        for j in range(0, len(whole), CALL_WORDS):  # call by call: an encoding holds far more than its ids
+            part = whole[j : j + CALL_WORDS]
+            for i, e in zip(part, self.tokenizer.encode_batch([words[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)):
+                ids[i] = e.ids
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def _forget(self):
+        """Keep the words that have recurred since they were learned."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > WORD_CACHE // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: WORD_CACHE // 2]])
+        words = list(self.known)
+        self.known = {words[i]: n for n, i in enumerate(keep.tolist())}
+        size, first = self.size[keep], self.first[keep]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(first - ends + size, size) + np.arange(size.sum())]
+        self.first, self.size, self.uses = ends - size, size, np.zeros(len(keep), np.int64)
 
     def _learn(self, words: list[bytes]):
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, size = self._ids(words)
         self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.flat = np.concatenate((self.flat, np.array([x for i in ids for x in i], np.uint32)))
+        self.size, self.uses = np.concatenate((self.size, size)), np.concatenate((self.uses, np.zeros(len(size), np.int64)))
+        self.flat = np.concatenate((self.flat, ids))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        """The ids of each text and its end id; a null text is empty."""
-        words = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+    def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text of a string array and its end id; a null text is empty."""
+        texts = texts.fill_null("")
+        data = b"".join(x.to_pybytes() for x in texts.buffers()[2:] if x)
+        if b"\xcc" not in data and b"\xcd" not in data:  # else a mark might join a small letter only
+            texts = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(texts)
+        flat = words.flatten().dictionary_encode()
+        distinct = flat.dictionary.cast(pa.binary()).to_pylist()
         if len(self.known) > WORD_CACHE:
-            self._clear()
-        new = sorted({w for ws in words for w in ws} - self.known.keys())
-        if new:
-            self._learn(new)
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = np.full(total + 1, end_id, np.uint32)
-            ids[:total] = self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(total)]
-            out.append(ids)
-        return out
+            self._forget()
+        place = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([distinct[i] for i in new.tolist()])
+        at = flat.indices.to_numpy().astype(np.int64)
+        self.uses[place] += np.bincount(at, minlength=len(place))
+        at = place[at]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate(([0], ends))[np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))] if len(words) else []
+        return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(np.concatenate(([0], ends[:-1])).astype(np.int64), ends)] if len(words) else []
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> Encoder:
+    """The Python worker's encoder: what it has learned serves its later tasks."""
+    return Encoder(path)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,14 +251,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     tokenizer that parts words at white space and drops it."""
     short_batches(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = cols.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-
-    def run(batches):
-        import os
+    ranged = cols.repartitionByRange("id").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("id", "tie").select("id", "text")
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard = Encoder(tokenizer_path), TaskContext.get().partitionId()
-        segment = base = 0
+    def segments_of(batches):
+        encoder, shard = worker_encoder(tokenizer_path), TaskContext.get().partitionId()
+        segment = base = held = 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
 
@@ -198,13 +265,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["shard", "segment", "base", "n_ids", "payload"]), len(whole)
 
-        held = 0
         for b in batches:
-            names_b, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in text_runs(texts):
-                for i, x in zip(part, encoder.encode([texts[i] for i in part], end_id)):
+            for part in text_runs(pc.binary_length(b.column(1)).fill_null(0).to_pylist(), RUN_BYTES):
+                rows = b.slice(part.start, len(part))
+                for name, x in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1), end_id)):
                     ids.append(x)
-                    names.append(names_b[i])
+                    names.append(name)
                     held += len(x)
                     if held >= SEGMENT_IDS:
                         out, n = flush()
@@ -213,6 +279,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
         if ids:
             yield flush()[0]
 
+    def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # words and ids hold no cycles, but are many
+        try:
+            yield from segments_of(batches)
+        finally:
+            gc.enable()
+
     return ranged.mapInArrow(run, SCHEMA)
 
 
@@ -233,8 +307,6 @@ def token_index(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 )
 
     # one row per shard (a partition each): their running total is a small window
-    from pyspark.sql import Window
-
     sums = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
