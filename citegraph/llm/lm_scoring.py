@@ -8,7 +8,7 @@ Rows of (document, n-gram) would be many times the texts, so n-grams travel pre-
 
 1. Documents are read once and stored as batches: word numbers within the batch and the words' hashes.
 2. Level by level (words, pairs, ...) each batch sends its distinct n-gram hashes with their counts, cut into shards by
-   hash.  From pairs on only n-grams whose two parts were both kept are sent: no other can reach the count.
+   hash.  Only n-grams whose two parts were counted `MIN_COUNT` times are sent: no other can reach it.
 3. A shard adds up the counts of all batches (the count table, partitioned by hash) and answers each batch with the
    totals of what it sent, in the order sent.
 4. The answers are joined to the batches, which are stored bucketed by the scan's task, so batches are
@@ -33,7 +33,7 @@ from citegraph.session import scratch_path
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: words of a batch (a document is never cut) and entries of a shard, about
-BATCH_WORDS, SHARD_ENTRIES = 4_000_000, 4_000_000
+BATCH_WORDS, SHARD_ENTRIES = 2_000_000, 1_500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,57 +108,72 @@ def _batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Batch:
-    """A batch's words with the counts known so far: `counts[k]` per word of the k-gram that ends there,
-    0 if it was not kept."""
+    """A batch's words with the counts known so far: `counts[1]` per word of the vocabulary, `counts[k]` per position
+    of the k-gram that ends there, 0 if it was not kept."""
 
     def __init__(self, row: dict, order: int):
         self.docs, self.sizes = row["docs"], np.asarray(row["sizes"], np.int64)
         self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
-        number = np.frombuffer(row["low"], "<u2").astype(np.int64) | np.frombuffer(row["high"], "<u2").astype(np.int64) << 16
-        self.number, self.word = number, self.vocabulary[number]
-        starts = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.place = np.arange(len(number)) - starts
+        self.number = np.frombuffer(row["low"], "<u2").astype(np.int32) | np.frombuffer(row["high"], "<u2").astype(np.int32) << 16
+        self.place = np.arange(len(self.number), dtype=np.int32) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes).astype(np.int32)
         self.order, self.counts = order, {}
 
-    def candidates(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, hashes) of the k-grams whose two parts were kept."""
+    def candidates(self, k: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, hashes) of the k-grams whose two parts were kept; of k = 1, the words of the vocabulary."""
         if k == 1:
-            return np.arange(len(self.word)), mix(self.word)
+            return np.arange(len(self.vocabulary)), mix(self.vocabulary)
         if k == 2:
-            at = np.flatnonzero(self.place >= 1)
+            kept = self.counts[1][self.number] >= min_count
         else:
             kept = self.counts[k - 1] > 0
-            at = np.flatnonzero((self.place >= k - 1) & kept & np.concatenate(([False], kept[:-1])))
+        kept[1:] &= kept[:-1].copy()
+        at = np.flatnonzero(kept & (self.place >= k - 1))
         h = np.full(len(at), k, np.uint64)
         for j in range(k - 1, -1, -1):
-            h = mix(h * _STEP + self.word[at - j])
+            h *= _STEP
+            h += self.vocabulary[self.number[at - j]]
+            h = mix(h)
         return at, h
 
+    def distinct(self, k: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct k-gram hashes in order, and their counts."""
+        h = self.candidates(k, min_count)[1]
+        if k == 1:
+            order = h.argsort()
+            return h[order], np.bincount(self.number, minlength=len(h))[order]
+        h.sort()
+        starts = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), h[1:] != h[:-1])))
+        return h[starts], np.diff(starts, append=len(h))
+
     def learn(self, k: int, totals: np.ndarray, min_count: int):
         """Take the totals of the distinct k-grams in order of their hashes."""
-        at, h = self.candidates(k)
-        _, back = np.unique(h, return_inverse=True)
-        n = totals[back] if len(at) else totals
-        out = np.zeros(len(self.word), np.int64)
-        out[at] = n if k == 1 else np.where(n >= min_count, n, 0)
+        at, h = self.candidates(k, min_count)
+        order = h.argsort()
+        h = h[order]
+        rank = np.cumsum(np.concatenate((np.zeros(min(len(h), 1), bool), h[1:] != h[:-1])))
+        del h
+        out = np.zeros(len(self.vocabulary if k == 1 else self.number), np.int64)
+        n = totals[rank]
+        out[at[order]] = n if k == 1 else np.where(n >= min_count, n, 0)
         self.counts[k] = out
 
     def scores(self, words: int, backoff: float) -> np.ndarray:
         """Per document the sum of the words' log scores."""
-        if not len(self.word):
+        if not len(self.number):
             return np.zeros(len(self.sizes))
         top = np.minimum(self.place + 1, self.order)
-        out = np.log(self.counts[1] / words) + (top - 1) * np.log(backoff)
+        out = np.log(self.counts[1] / words)[self.number] + (top - 1) * np.log(backoff)
         for k in range(2, self.order + 1):
-            at = np.flatnonzero(self.counts[k] > 0)
-            out[at] = np.log(self.counts[k][at] / self.counts[k - 1][at - 1]) + (top[at] - k) * np.log(backoff)
+            at = np.flatnonzero(self.counts[k])
+            context = self.counts[1][self.number[at - 1]] if k == 2 else self.counts[k - 1][at - 1]
+            out[at] = np.log(self.counts[k][at] / context) + (top[at] - k) * np.log(backoff)
         ends = np.cumsum(self.sizes)
         return np.array([out[e - n : e].sum() for e, n in zip(ends, self.sizes)])
 
 
-def _sent(batch: Batch, task: int, seq: int, k: int, shards: int) -> pa.RecordBatch | None:
+def _sent(batch: Batch, task: int, seq: int, k: int, shards: int, min_count: int) -> pa.RecordBatch | None:
     """The distinct k-grams of a batch with their counts, a row per shard."""
-    h, n = np.unique(batch.candidates(k)[1], return_counts=True)
+    h, n = batch.distinct(k, min_count)
     if not len(h):
         return None
     cut = np.append(np.searchsorted(h, np.arange(shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)), len(h))
@@ -186,8 +201,14 @@ def _answers(sent: DataFrame) -> DataFrame:
     def add(t: pa.Table) -> pa.Table:
         hashes = [unpack_sorted(x.as_py()) for x in t.column("hashes")]
         counts = [unpack_counts(x.as_py()) for x in t.column("counts")]
-        every, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.zeros(len(every), np.int64)
+        every = np.concatenate(hashes)
+        order = every.argsort()
+        every = every[order]
+        rank = np.cumsum(np.concatenate((np.zeros(1, bool), every[1:] != every[:-1])))
+        back = np.empty_like(rank)
+        back[order] = rank
+        del every, order, rank
+        total = np.zeros(back.max() + 1, np.int64)
         np.add.at(total, back, np.concatenate(counts))
         ends = np.cumsum([len(h) for h in hashes])
         out = [pack_counts(total[back[e - len(h) : e]]) for e, h in zip(ends, hashes)]
@@ -228,7 +249,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short_batches(spark)
     name = f"citegraph_batches_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _batches(docs, id_col, text_col).write.bucketBy(buckets, "task").option("path", scratch_path(spark, "batches")).saveAsTable(name)
+    _batches(docs, id_col, text_col).write.bucketBy(buckets, "task").option("compression", "zstd").option("path", scratch_path(spark, "batches")).saveAsTable(name)
     kept = spark.table(name)
     words = kept.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     shards = max(buckets, -(-words // SHARD_ENTRIES))
@@ -238,13 +259,13 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = [_table(_SENT)]
         for row in batches.to_batches(max_chunksize=1):
             row = row.to_pylist()[0]
-            batch = Batch(row, order)
-            out += [pa.Table.from_batches([x]) for k in (1, 2)[:order] if (x := _sent(batch, row["task"], row["seq"], k, shards)) is not None]
+            if (x := _sent(Batch(row, order), row["task"], row["seq"], 1, shards, min_count)) is not None:
+                out.append(pa.Table.from_batches([x]))
         return pa.concat_tables(out)
 
     answers = stored(_answers(kept.groupBy("task").applyInArrow(first, _SENT)), "answers")
-    for k in range(3, order + 1):
-        more = _with_answers(kept, answers, order, min_count, k - 1, lambda b, task, seq, k=k: _sent(b, task, seq, k, shards), _SENT)
+    for k in range(2, order + 1):
+        more = _with_answers(kept, answers, order, min_count, k - 1, lambda b, task, seq, k=k: _sent(b, task, seq, k, shards, min_count), _SENT)
         answers = answers.union(stored(_answers(more), "answers"))
 
     def score(batch: Batch, task: int, seq: int) -> pa.RecordBatch:

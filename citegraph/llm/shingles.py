@@ -27,9 +27,12 @@ def hash_words(words: list[bytes]) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: spreads combined hashes over the whole range."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _MIX[0]
+    x ^= x >> np.uint64(27)
+    x *= _MIX[1]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
