@@ -29,13 +29,15 @@ from citegraph.llm.common import map_batches, short_batches, stored
 from citegraph.llm.components import connected_components
 
 #: nodes of a cell for which a centroid is drawn, and the most centroids (they are broadcast)
-PER_CENTROID, MAX_CENTROIDS = 500, 20_000
+PER_CENTROID, MAX_CENTROIDS = 300, 20_000
 #: centroids nearer to a kept one than this are left out, so that a dense group has one cell
 APART = 0.7
 #: cells of a node, nodes of a shard, queries of a task
-OVERLAP, SHARD = 3, 2048
+OVERLAP, SHARD = 3, 1024
 #: neighbours of a node, pruning factor, medoids and width of the beam
 DEGREE, ALPHA, MEDOIDS, BEAM = 16, 1.2, 16, 48
+#: similarities computed at once, entries of a task's table of visited nodes
+VISITS, SEEN = 20_000, 500_000
 #: audited queries and the share of links that must be found
 AUDIT, MIN_RECALL = 1000, 0.95
 #: tries with doubled overlap and beam
@@ -50,7 +52,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def prune_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
     """Neighbour lists (positions) of the unit vectors `x` by robust pruning, with reverse links."""
     m = len(x)
-    near = x @ x.T
+    near = x.astype(np.float32) @ x.astype(np.float32).T  # single precision does for the graph
     dist = np.maximum(1 - near, 0)
     np.fill_diagonal(near, -np.inf)
     rows = np.arange(m)
@@ -91,8 +93,8 @@ def range_search(q: np.ndarray, own: np.ndarray, x: np.ndarray, lists: list[np.n
     def visit(r, c):
         new = seen[r, c] == -np.inf
         r, c = r[new], c[new]
-        for s in range(0, len(r), 100_000):
-            a, b = r[s : s + 100_000], c[s : s + 100_000]
+        for s in range(0, len(r), VISITS):
+            a, b = r[s : s + VISITS], c[s : s + VISITS]
             seen[a, b] = np.einsum("ij,ij->i", q[a], x[b])
 
     start = medoids_of(x)
@@ -148,7 +150,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # ------------------------------------------------------------------ Spark jobs
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array([v.values.to_numpy(zero_copy_only=False) for v in column], np.float64)
+    """A list column of one length without nulls as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
 
 
 def _nodes(vectors: DataFrame) -> DataFrame:
@@ -228,17 +232,17 @@ def _search(shards: DataFrame, graph: DataFrame, least: float, beam: int) -> Dat
             return empty
         at = at[np.argsort(node[at])]
         ids = node[at]
-        near = t.column("near").to_pylist()
+        near = t.column("near").combine_chunks()
         lists = []
-        for i in at:
-            v = np.array(near[i] or [], np.int64)
+        for i in at.tolist():
+            v = near[i].values.to_numpy(zero_copy_only=False) if near[i].is_valid else np.empty(0, np.int64)
             p = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
             lists.append(p[ids[p] == v])
         place = np.minimum(np.searchsorted(ids, node[ask]), len(ids) - 1)
         own = np.where(ids[place] == node[ask], place, -1)
         copies = t.column("copies").to_numpy()[at]
         out = []
-        step = max(1, 4_000_000 // len(at))  # queries whose visited table stays small
+        step = max(1, SEEN // len(at))  # queries whose visited table stays small
         for s in range(0, len(ask), step):
             q = ask[s : s + step]
             r, c = range_search(vec[q], own[s : s + step], vec[at], lists, least, beam)
