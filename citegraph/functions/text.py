@@ -143,9 +143,9 @@ def index_tokens(text) -> Column:
     return stop_gaps(words(text, lower=True))
 
 
-def index_terms(gapped_tokens, max_shingle: int = 4) -> Column:
+def index_terms(gapped_tokens, max_shingle: int = 4, unigrams: bool = True) -> Column:
     """P20 terms over ``index_tokens``: unigrams + 2..``max_shingle`` shingles."""
-    return shingles(gapped_tokens, 2, max_shingle, unigrams=True)
+    return shingles(gapped_tokens, 2, max_shingle, unigrams=unigrams)
 
 
 def nb_ngrams(tokens) -> Column:
@@ -225,6 +225,28 @@ def term_counts(tokens, term: str = "term", cnt: str = "cnt") -> Column:
     return F.when(F.size(_c(tokens)) > 0, let(F.struct(F.sort_array(_c(tokens)).alias("s")), runs)).otherwise(none)
 
 
+def term_positions(gapped_tokens) -> Column:
+    """array<struct<term, tf, positions>> of a token array in which null marks a removed word: where in the
+    array (from 0, removed words counted) each word stands, in order."""
+    t = F.transform(_c(gapped_tokens), lambda x, i: F.struct(x.alias("term"), i.alias("pos")))
+    ordered = F.sort_array(F.filter(t, lambda x: x["term"].isNotNull()))
+
+    def runs(w: Column) -> Column:
+        def starts(i: Column) -> Column:
+            return (i == 0) | (F.get(w["s"], i)["term"] != F.get(w["s"], i - 1)["term"])
+
+        at = F.when(F.size(w["s"]) > 0, F.filter(F.sequence(F.lit(0), F.size(w["s"]) - 1), starts)).otherwise(F.array().cast("array<int>"))
+
+        def run(z: Column, i: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(z["at"], k + 1), F.size(z["s"])) - i
+            return F.struct(F.get(z["s"], i)["term"].alias("term"), n.cast("long").alias("tf"),
+                            F.transform(F.slice(z["s"], i + 1, n), lambda x: x["pos"]).alias("positions"))
+
+        return let(F.struct(w["s"].alias("s"), at.alias("at")), lambda z: F.transform(z["at"], lambda i, k: run(z, i, k)))
+
+    return let(F.struct(ordered.alias("s")), runs)
+
+
 # ---------------------------------------------------------------- exploding computed arrays
 def explode_rows(df, keep, array_col, alias: str, with_pos: str | None = None):
     """One row per element of a computed array (rows with empty arrays vanish).
@@ -243,12 +265,5 @@ def explode_rows(df, keep, array_col, alias: str, with_pos: str | None = None):
 
 # ---------------------------------------------------------------- Q3 length norm
 def length_norm(length) -> Column:
-    """``1/sqrt(length)`` as stored by the original index: rounded to a 32-bit float,
-    then kept in one byte per field and document, i.e. with the implicit leading bit
-    and 2 fraction bits.  For x = 2^e * m (1 <= m < 2) that is floor(m * 4) / 4 * 2^e,
-    all exact in doubles."""
-    x = (F.lit(1.0) / F.sqrt(_c(length).cast("double"))).cast("float").cast("double")
-    e = F.floor(F.log2(x))
-    e = F.when(F.pow(F.lit(2.0), e + 1) <= x, e + 1).when(F.pow(F.lit(2.0), e) > x, e - 1).otherwise(e)
-    p = F.pow(F.lit(2.0), e)
-    return F.when(x > 0, F.floor(x / p * 4) / 4 * p).otherwise(F.lit(0.0))
+    """``1/sqrt(length)``."""
+    return F.lit(1.0) / F.sqrt(_c(length).cast("double"))

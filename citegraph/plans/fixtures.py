@@ -232,3 +232,13 @@ def fielded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("_w") > 1, F.array(F.element_at("_w", -1))).otherwise(F.array().cast("array<string>")).alias("must_not"),
         (F.col("query_id") % 3 == 0).alias("phrase"),
     )
+
+
+def phrase_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QUERY rows: of every 20th document the words 3.. of its text, two to eight of them, as a phrase."""
+    from citegraph.functions.text import words
+
+    docs = table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    w = docs.select(F.col("doc_id").alias("query_id"), words(F.col("text"), lower=True).alias("w"))
+    w = w.select("query_id", F.array_join(F.slice("w", F.lit(3), (F.lit(2) + F.floor(F.col("query_id") / 20) % 7).cast("int")), " ").alias("text"))
+    return w.select("query_id", "text", F.lit("text").alias("field"), F.lit(True).alias("phrase"))

@@ -449,18 +449,14 @@ INDEX = with_graph(ctes(
 
 
 def length_norm_sql(length: str) -> str:
-    """One-byte length norm: 1/sqrt(len) as a 32-bit float with 2 fraction bits kept."""
-    x = f"CAST(CAST(1.0 / sqrt(CAST({length} AS DOUBLE)) AS FLOAT) AS DOUBLE)"
-    e0 = f"floor(log2({x}))"
-    e = f"(CASE WHEN pow(2.0, {e0} + 1) <= {x} THEN {e0} + 1 WHEN pow(2.0, {e0}) > {x} THEN {e0} - 1 ELSE {e0} END)"
-    return f"(floor({x} / pow(2.0, {e}) * 4) / 4 * pow(2.0, {e}))"
+    return f"(1.0 / sqrt(CAST({length} AS DOUBLE)))"
 
 
 def scores(qtable: str, per_shard: bool) -> str:
     sh = ", shard" if per_shard else ""
     return ctes(
         f"qw AS (SELECT query_id, field, {gapped('text')} AS w FROM {qtable})",
-        f"qt AS (SELECT DISTINCT query_id, field, unnest({all_terms('w')}) AS term FROM qw)",
+        "qt AS (SELECT DISTINCT query_id, field, unnest(list_filter(w, lambda x: x IS NOT NULL)) AS term FROM qw)",
         "nq AS (SELECT query_id, count(*) AS nq FROM qt GROUP BY 1)",
         f"dfs AS (SELECT field, term{sh}, count(*) AS df FROM post GROUP BY field, term{sh})",
         f"""nn AS (SELECT {'shard, ' if per_shard else ''}count(*) AS n
@@ -488,7 +484,7 @@ def scores(qtable: str, per_shard: bool) -> str:
 
 def ranked_results(ts: str, part: str, n_cand: int, n_keep: int, scorer: str, shard_col: bool) -> str:
     return f"""
-SELECT query_id{', shard' if shard_col else ''}, CAST(rank AS INTEGER) AS rank, id, title, citations,
+SELECT query_id{', shard, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS merged_rank' if shard_col else ''}, CAST(rank AS INTEGER) AS rank, id, title, citations,
        round(text_score, 6) AS text_score, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round(score, 9) DESC, id) AS rank
       FROM (SELECT c.query_id, c.shard, c.id, i.title, i.citations, c.text_score, {scorer} AS score
@@ -498,6 +494,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round(score, 9)
 WHERE rank <= {n_keep}"""
 
 
+def PHRASES(qtable: str, cond: str) -> str:
+    """CTEs phr (phrase queries with a word) and phm (documents that hold the phrase): token sequences compared
+    place by place, a removed stop word standing for any word."""
+    return f"""phr AS (SELECT query_id, field, w FROM (SELECT query_id, field, {gapped('text')} AS w FROM {qtable} WHERE {cond}) WHERE list_count(w) > 0),
+  phw AS (SELECT query_id, field, w, list_filter(w, lambda x: x IS NOT NULL)[1] AS lead FROM phr),
+  phm AS (SELECT DISTINCT q.query_id, d.id FROM phw q
+          JOIN (SELECT id, field, w AS dw, unnest(list_distinct(list_filter(w, lambda x: x IS NOT NULL))) AS term FROM gw) d ON d.field = q.field AND d.term = q.lead
+          WHERE len(list_filter(range(1, len(d.dw) + 1), lambda i:
+                len(list_filter(range(0, len(q.w)), lambda j: q.w[j + 1] IS NOT NULL AND (d.dw[i + j] IS NULL OR d.dw[i + j] <> q.w[j + 1]))) = 0)) > 0)"""
+
+
 _REFS_SCORER = "c.text_score * CAST(i.citations AS DOUBLE)"
 
 ORACLE["index_postings"] = INDEX + "\nSELECT field, term, id, shard, tf, field_len FROM post"
@@ -512,24 +519,32 @@ ORACLE["search_fielded"] = INDEX + ctes(
     f"""fq AS (SELECT query_id, text, CASE WHEN query_id % 2 = 0 THEN 'text' ELSE 'title' END AS field,
                    list_filter({gapped('text')}, lambda x: x IS NOT NULL) AS nw, query_id % 3 = 0 AS phrase FROM q)""",
 ) + scores("fq", False) + ctes(
-    f"""req AS (SELECT DISTINCT query_id, field, term FROM (
-              SELECT query_id, field, nw[1] AS term FROM fq WHERE len(nw) > 0
-              UNION ALL
-              SELECT query_id, field, unnest(CASE WHEN len(w) >= 4 THEN {win('w', 4)} ELSE [array_to_string(w, ' ')] END)
-              FROM (SELECT query_id, field, {gapped('text')} AS w FROM fq WHERE phrase)))""",
-    "need AS (SELECT query_id, count(*) AS need FROM req GROUP BY 1)",
-    """sat AS (SELECT h.query_id, h.id FROM (
-               SELECT r.query_id, p.id, count(*) AS have FROM req r JOIN post p ON p.field = r.field AND p.term = r.term
-               GROUP BY 1, 2) h JOIN need n ON n.query_id = h.query_id WHERE h.have = n.need)""",
+    "req AS (SELECT DISTINCT query_id, field, nw[1] AS term FROM fq WHERE len(nw) > 0)",
+    """musts AS (SELECT r.query_id, p.id FROM req r JOIN post p ON p.field = r.field AND p.term = r.term)""",
+    PHRASES("fq", "phrase"),
     """exc AS (SELECT DISTINCT f.query_id, p.id FROM fq f JOIN post p ON p.field = f.field AND p.term = f.nw[len(f.nw)]
              WHERE len(f.nw) > 1)""",
     """tsf AS (SELECT t.* FROM ts t
-             WHERE (t.query_id NOT IN (SELECT query_id FROM need)
-                    OR EXISTS (SELECT 1 FROM sat s WHERE s.query_id = t.query_id AND s.id = t.id))
+             WHERE (t.query_id NOT IN (SELECT query_id FROM req)
+                    OR EXISTS (SELECT 1 FROM musts s WHERE s.query_id = t.query_id AND s.id = t.id))
+               AND (t.query_id NOT IN (SELECT query_id FROM phr)
+                    OR EXISTS (SELECT 1 FROM phm s WHERE s.query_id = t.query_id AND s.id = t.id))
                AND NOT EXISTS (SELECT 1 FROM exc e WHERE e.query_id = t.query_id AND e.id = t.id))""",
 ) + ranked_results("tsf", "query_id", 10**9, 10, "c.text_score", False)
 
 
+ORACLE["search_stored"] = ORACLE["search_scored"]
+ORACLE["index_positions"] = INDEX + """
+SELECT field, term, id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions
+FROM (SELECT id, field, unnest(w) AS term, unnest(range(len(w))) AS pos FROM gw) WHERE term IS NOT NULL GROUP BY 1, 2, 3"""
+ORACLE["search_phrase"] = INDEX + ctes(
+    f"""pq AS (SELECT doc_id AS query_id, 'text' AS field, array_to_string(w[3:2 + CAST(2 + (doc_id // 20) % 7 AS INTEGER)], ' ') AS text
+        FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id % 20 = 0))""",
+) + scores("pq", False) + ctes(PHRASES("pq", "true")) + """
+SELECT query_id, id, round(text_score, 6) AS text_score, matched FROM ts t
+WHERE t.query_id NOT IN (SELECT query_id FROM phr) OR EXISTS (SELECT 1 FROM phm s WHERE s.query_id = t.query_id AND s.id = t.id)"""
+
+
 # ------------------------------------------------------------------ extract job over text + bibliography
 def _nodes_from(source: str) -> str:
     """The NODES CTEs over an arbitrary (doc_id, text) relation."""

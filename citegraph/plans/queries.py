@@ -272,9 +272,11 @@ def q_citation_histogram(spark, sf):
 def q_incoming_lists(spark, sf):
     """A13 + W1: all incoming citations, in chunks; every paper also cites the first one, whose key is hot."""
     p, edges, ded = _graph(spark, sf)
-    first = p.where("i = 0").select(title_id("title").alias("cited_id"), F.col("title").alias("cited_title"))
-    hot = p.select(F.col("doc_id").alias("citing_id"), F.lit(100).alias("pos")).crossJoin(F.broadcast(first))  # one row
-    hot = hot.withColumn("authors", F.lit(None).cast("array<array<string>>"))
+    first = p.where("i = 0").select("title").scalar()  # one value, planned as a scalar subquery
+    hot = p.select(
+        F.col("doc_id").alias("citing_id"), F.lit(100).alias("pos"), title_id(first).alias("cited_id"), first.alias("cited_title"),
+        F.lit(None).cast("array<array<string>>").alias("authors"),
+    )
     every = edges.select("citing_id", "pos", "cited_id", "cited_title", "authors").unionByName(hot)
     lst = F.col("incoming")
     return G.incoming_chunks(ded, every).select(
@@ -474,15 +476,37 @@ def _indexed(spark, sf, stored: bool = True):
 
 def q_index_postings(spark, sf):
     _, post = _indexed(spark, sf, stored=False)
-    return post
+    return post.drop("positions")
 
 
-def q_stored_index(spark, sf):
-    """Postings written one folder per shard (sorted by term) and read back."""
+def q_index_positions(spark, sf):
+    """Q1: where each word stands in its field."""
     _, post = _indexed(spark, sf, stored=False)
-    path = scratch_path(spark, "index")
+    return post.where("positions is not null").select("field", "term", "id", F.array_join("positions", ",").alias("positions"))
+
+
+def _written_index(post):
+    path = scratch_path(post.sparkSession, "index")
     Q.write_index(post, path)
-    return spark.read.parquet(path).select("field", "term", "id", "shard", "tf", "field_len")
+    return post.sparkSession.read.parquet(path)
+
+
+def q_stored_index(spark, sf):
+    """Postings written one folder per term bucket (sorted by term) and read back."""
+    _, post = _indexed(spark, sf, stored=False)
+    return _written_index(post).select("field", "term", "id", "shard", "tf", "field_len")
+
+
+def q_search_stored(spark, sf):
+    """Search over the index that was written: only the buckets of the batch's terms are read."""
+    inv, post = _indexed(spark, sf)
+    return _rounded(Q.search(X.search_queries(spark, sf), _written_index(post), inv, scorer=Q.DEFAULT_SCORER, k=10))
+
+
+def q_search_phrase(spark, sf):
+    """Phrase queries of two to eight words, stop words among them, taken from the documents' texts."""
+    inv, post = _indexed(spark, sf)
+    return Q.text_scores(X.phrase_queries(spark, sf), post, inv).select("query_id", "id", F.round("text_score", R6).alias("text_score"), "matched")
 
 
 def q_search_text(spark, sf):
@@ -561,7 +585,10 @@ QUERIES = {
     "nb_negatives": q_nb_negatives,
     "nb_model": q_nb_model,
     "index_postings": q_index_postings,
+    "index_positions": q_index_positions,
     "stored_index": q_stored_index,
+    "search_stored": q_search_stored,
+    "search_phrase": q_search_phrase,
     "search_text": q_search_text,
     "search_scored": q_search_scored,
     "search_sharded": q_search_sharded,

@@ -10,6 +10,7 @@ records.  This record splitter is the only Python in the data path; admission
 from __future__ import annotations
 
 import gzip
+import io
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,7 @@ def _open(path: str):
 
     filesystem, inner = fs.FileSystem.from_uri(path)
     raw = filesystem.open_input_stream(inner, compression=None)
-    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)
 
 
 def _records(batches, batch_rows: int = 256, batch_bytes: int = 8 << 20):

@@ -9,12 +9,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from citegraph.functions.text import bow_tokens, extract_year, histogram_bucket, index_terms, index_tokens, title_id
+from citegraph.functions.text import (
+    bow_tokens, extract_year, histogram_bucket, index_terms, index_tokens, strip_dtd, term_counts, title_id, xml_unescape,
+)
 
 
 def py_title_id(title: str) -> int:
     t = re.sub(r"(proc\..*|proceedings.*)", "", title)
-    t = re.sub(r"[^a-zA-Z+]", "", t).lower()
+    t = re.sub(r"[^a-zA-Z+]", "", t).lower() or "title:" + title
     return struct.unpack(">q", hashlib.md5(t.encode()).digest()[:8])[0]
 
 
@@ -54,6 +56,30 @@ def test_title_id_matches_python(spark_session_cached, titles):
     assert got == [py_title_id(t) for t in titles]
 
 
+def test_titles_without_latin_letters_keep_apart(spark):
+    df = spark.createDataFrame([("漢字",), ("漢字",), ("字",), ("12",)], "t string")
+    own = [r.k for r in df.select(title_id("t").alias("k")).collect()]
+    assert own[0] == own[1] and len(set(own)) == 3
+    assert len({r.k for r in df.select(title_id("t", shared_empty_key=True).alias("k")).collect()}) == 1
+
+
+def test_term_counts(spark):
+    rows = [(["b", "a", "b", ""],), ([],), (["x"] * 1000,)]
+    got = [r.c for r in spark.createDataFrame(rows, "t array<string>").select(term_counts("t").alias("c")).collect()]
+    assert [[tuple(x) for x in c] for c in got] == [[("", 1), ("a", 1), ("b", 2)], [], [("x", 1000)]]
+
+
+def test_character_references(spark):
+    text = "a&#38;b&#160;c &eacute; &#x4e2d; &lt;b&gt; &amp;#38; &unknown; &#0; &#1114112; &#xD800; & &; &amp"
+    assert one(spark, xml_unescape, text) == "a&b\xa0c é 中 <b> &#38; &unknown; &#0; &#1114112; &#xD800; & &; &amp"
+
+
+def test_text_after_the_last_document_type(spark):
+    d = '<!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd">'
+    assert one(spark, strip_dtd, f"a{d}b{d}c") == "c"
+    assert one(spark, strip_dtd, "a<!DOCTYPE pdf2xml>b") == "ab"
+
+
 def test_title_id_ignores_case_and_punctuation(spark):
     df = spark.createDataFrame([("Time, Clocks and Ordering!",), ("time clocks AND ordering",)], "t string")
     a, b = [r.k for r in df.select(title_id("t").alias("k")).collect()]
@@ -76,23 +102,8 @@ def test_token_flags(spark):
     assert rows[2].f.is_key_word and not rows[2].f.is_initial
 
 
-def test_length_norm_matches_one_byte_encoding(spark):
+def test_length_norm(spark):
     from citegraph.functions.text import length_norm
 
-    def enc(f):  # the index's float -> byte encoding (3-bit mantissa incl. the implicit bit, exponent offset 15)
-        bits = struct.unpack(">i", struct.pack(">f", f))[0]
-        small = bits >> 21
-        if small <= (63 - 15) << 3:
-            return 0 if bits <= 0 else 1
-        if small >= ((63 - 15) << 3) + 0x100:
-            return -1
-        return small - ((63 - 15) << 3)
-
-    def dec(b):
-        bits = ((b & 0xFF) << 21) + ((63 - 15) << 24)
-        return struct.unpack(">f", struct.pack(">i", bits))[0] if b else 0.0
-
-    ns = list(range(1, 3000)) + [10**6, 123456789]
-    want = {n: dec(enc(struct.unpack(">f", struct.pack(">f", 1.0 / n ** 0.5))[0])) for n in ns}
-    df = spark.createDataFrame([(n,) for n in ns], "n long").select("n", length_norm("n").alias("v"))
-    assert {r.n: r.v for r in df.collect()} == want
+    df = spark.createDataFrame([(n,) for n in (1, 2, 3, 10**6)], "n long").select("n", length_norm("n").alias("v"))
+    assert {r.n: r.v for r in df.collect()} == {n: 1 / n**0.5 for n in (1, 2, 3, 10**6)}

@@ -28,10 +28,29 @@ def test_dedup_keeps_longest_then_larger_tie(spark):
 
 
 def test_invert_left_outer(spark):
-    inv = G.invert_citations(G.dedup_documents(docs_df(spark)), edges_df(spark), nested=True, cap=1)
-    got = {r.id: (r.citations, [(x.citing_id, x.pos) for x in r.incoming]) for r in inv.collect()}
-    # the citation of key 99 has no document and is dropped; the cap only limits the nested list
-    assert got == {10: (1, [(4, 0)]), 20: (2, [(1, 0)])}
+    inv = G.invert_citations(G.dedup_documents(docs_df(spark)), edges_df(spark))
+    # the citation of key 99 has no document and is dropped
+    assert {r.id: r.citations for r in inv.collect()} == {10: 1, 20: 2}
+
+
+def test_incoming_chunks_hold_every_citation(spark):
+    ded = G.dedup_documents(docs_df(spark))
+    whole = {(r.id, r.chunk, r.n_chunks): [(x.citing_id, x.pos) for x in r.incoming] for r in G.incoming_chunks(ded, edges_df(spark)).collect()}
+    assert whole == {(10, 0, 1): [(4, 0)], (20, 0, 1): [(1, 0), (2, 0)]}
+    parts = G.incoming_chunks(ded, edges_df(spark), chunk_size=1).where("id = 20").collect()
+    assert {r.n_chunks for r in parts} == {2} and sorted(x.citing_id for r in parts for x in r.incoming) == [1, 2]
+
+
+def test_wide_documents_merge_like_narrow_ones(spark):
+    narrow = {r.id: (r.doc_id, r.n_merged) for r in G.dedup_documents(docs_df(spark)).collect()}
+    wide = G.dedup_documents(docs_df(spark).withColumn("text", F.lit("x"))).collect()
+    assert {r.id: (r.doc_id, r.n_merged) for r in wide} == narrow
+
+
+def test_test_set_counts(spark):
+    inv = G.invert_citations(G.dedup_documents(docs_df(spark)), edges_df(spark))
+    got = {r.status: r.n for r in G.test_set_counts(inv, edges_df(spark), lo=2, hi=2).collect()}
+    assert got == {"Too Few Citations": 1, "Selected": 1, "Missing Document": 1}
 
 
 def test_incoming_sum_equals_resolvable_outgoing(spark):

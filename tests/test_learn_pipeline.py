@@ -17,8 +17,7 @@ def test_nb_model_counts_and_total(spark):
     counts = {(r.label, r.ngram): r.cnt for r in L.nb_counts(mults, docs).collect()}
     assert counts[("good-cite", "Alpha")] == 2 and counts[("good-cite", "alpha")] == 2
     assert counts[("good-cite", "Alpha beta")] == 2 and counts[("bad-cite", "beta beta")] == 1
-    total = L.nb_total(mults, docs)
-    model = L.nb_model(L.nb_counts(mults, docs), total=total).collect()
+    model = L.nb_model(L.nb_counts(mults, docs)).collect()
     # 2 * (3 + 2) good updates + 1 * (2 + 1) bad updates
     assert {r.total for r in model} == {13.0}
     assert all(r.cnt > 1 for r in model)

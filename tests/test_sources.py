@@ -5,7 +5,7 @@ import gzip
 import os
 import tempfile
 
-from citegraph.sources.captures import admit_captures, read_captures, split_payload
+from citegraph.sources.captures import admit_captures, archive_states, read_captures, split_payload
 
 
 def record(url, payload: bytes) -> bytes:
@@ -32,6 +32,31 @@ def test_archive_records(spark):
     ]
     # a damaged archive yields the records before the damage only (here: none complete, or the one record)
     assert len(got) in (2, 3)
+    states = {os.path.basename(r.path): (r.records, r.error) for r in archive_states(spark, d + "/*.gz").collect()}
+    assert states["a.warc.gz"] == (2, None) and states["broken.warc.gz"][1] is not None
+
+
+def test_reading_goes_on_after_a_bad_header(spark):
+    d = tempfile.mkdtemp(prefix="citegraph-test-")
+    bad = record("http://e.org/bad", b"q" * 20).replace(b"Content-Length: 20", b"Content-Length: many")
+    with open(os.path.join(d, "a.warc.gz"), "wb") as f:
+        f.write(gzip.compress(record("http://e.org/1", b"x" * 10) + bad + record("http://e.org/2", b"y" * 10)))
+    assert [r.url for r in read_captures(spark, d + "/*.gz").orderBy("record").collect()] == ["http://e.org/1", "http://e.org/2"]
+    state = archive_states(spark, d + "/*.gz").first()
+    assert (state.records, state.error) == (2, "record 2: bad length")
+
+
+def test_batches_end_by_bytes():
+    from citegraph.sources import captures as C
+
+    d = tempfile.mkdtemp(prefix="citegraph-test-")
+    path = os.path.join(d, "a.warc")
+    with open(path, "wb") as f:
+        f.write(b"".join(record(f"http://e.org/{i}", b"x" * 1000) for i in range(10)))
+    import pandas as pd
+
+    sizes = [len(b) for b in C._records([pd.DataFrame({"path": ["file://" + path]})], batch_bytes=3000)]
+    assert sizes == [3, 3, 3, 1]
 
 
 def test_admission_branches(spark):

@@ -9,13 +9,15 @@ from citegraph.streaming import ingest_stream
 
 def test_incremental_epochs(spark):
     root = tempfile.mkdtemp(prefix="citegraph-stream-")
-    src, out, ck = os.path.join(root, "in"), os.path.join(root, "out"), os.path.join(root, "ck")
+    src, out = os.path.join(root, "in"), os.path.join(root, "out")
     docs = X.layout_documents(spark, "/root/testdata/sf0.001")
     docs.where("doc_id < 100").write.parquet(os.path.join(src, "epoch-1"))
-    ingest_stream(spark, src + "/*", out, checkpoint=ck).awaitTermination()
+    ingest_stream(spark, src + "/*", out).awaitTermination()
     first = spark.read.parquet(out).count()
     docs.where("doc_id >= 100").write.parquet(os.path.join(src, "epoch-2"))
-    ingest_stream(spark, src + "/*", out, checkpoint=ck).awaitTermination()
+    ingest_stream(spark, src + "/*", out).awaitTermination()
     total = spark.read.parquet(out)
     assert first == 100 and total.count() == docs.count()
+    ingest_stream(spark, src + "/*", out).awaitTermination()  # a restart with nothing new adds nothing
+    assert spark.read.parquet(out).count() == docs.count()
     assert total.select("doc_id").distinct().count() == docs.count()
