@@ -33,7 +33,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_lm_scoring(spark, sf_dir):
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    scored = backoff_scores(table(spark, sf_dir, "documents"))
+    return scored.withColumn("score", F.round("score", 3)).withColumn("mean_score", F.round("mean_score", 6))
 
 
 def op2_quality_classifier(spark, sf_dir):
