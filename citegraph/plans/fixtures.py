@@ -20,6 +20,7 @@ LINES_PER_PAGE = 40
 TEMPLATES = {
     "acm": "L. Lamport and B. Kemme. {t}. In Proceedings, 2004.",
     "acm_comma": "LAMPORT, L., KEMME, B., AND KARGER, D. {t}. In Proceedings, 2004.",
+    "acm_noisy": "  [17] LAMPORT, L., AND KEMME, B. 1994. {t}\n  (Canal Press, 27, 3), 17-28.",
     "ieee": "L. Lamport and B. Kemme, “{t}” vol. 1, 2004.",
     "springer": "Lamport, L., Kemme, B.: {t}. In: Proceedings (2004)",
 }

@@ -55,6 +55,7 @@ _ACM = "'Lamport L.; Kemme B.'"
 _ACM_COMMA = "'KARGER D.; LAMPORT L.; KEMME B.'"
 _CITATION_EXPECT = {
     "acm": (f"CASE WHEN pos % 2 = 0 THEN {_ACM} ELSE {_ACM_COMMA} END", "'acm'"),
+    "noisy": ("'KEMME B.; LAMPORT L.'", "'acm'"),
     "ieee": ("'L. Lamport; B. Kemme'", "'ieee'"),
     "springer": ("'Lamport L.; Kemme B.'", "'springer'"),
     "best": (
@@ -80,6 +81,7 @@ SELECT doc_id, CAST(coalesce(list_filter(list_transform(regexp_extract_all(text,
                                          lambda y: y > 1990 AND y < 2013)[-1], 0) AS INTEGER) AS year
 FROM documents""",
     "citation_acm": _citation_sql("acm"),
+    "citation_noisy": _citation_sql("noisy"),
     "citation_ieee": _citation_sql("ieee"),
     "citation_springer": _citation_sql("springer"),
     "citation_best": _citation_sql("best"),
@@ -640,4 +642,8 @@ FROM n JOIN doc_text t ON t.doc_id = n.doc_id"""
 
 # ------------------------------------------------------------------ file round trips
 ORACLE["stored_index"] = ORACLE["index_postings"]
+ORACLE["table_round_trip"] = "SELECT doc_id, n_chars, source FROM documents"
+ORACLE["epoch_refresh"] = """
+SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN -n_chars ELSE n_chars END AS n_chars, 'e' || CAST(doc_id % 3 + 1 AS VARCHAR) AS epoch,
+       CAST(CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS INTEGER) AS version FROM documents"""
 ORACLE["epoch_documents"] = "SELECT doc_id, n_chars, CAST(doc_id % 3 + 1 AS VARCHAR) AS epoch FROM documents"

@@ -22,7 +22,7 @@ from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import analyze_documents, extract, is_too_long, run_pipeline, title_status
 from citegraph.session import cut_lineage, scratch_path
 from citegraph.sources.captures import admit_captures, archive_states, ingest, read_captures, split_payload, write_captures
-from citegraph.sources.files import load_epochs
+from citegraph.sources.files import load_epochs, materialize, refresh_index, write_table
 
 R6 = 6  # doubles are compared at 6 decimals
 
@@ -88,15 +88,17 @@ def q_extract_year(spark, sf):
 
 
 # ------------------------------------------------------------------ citations
-def _citation_query(style):
+def _citation_query(style, template=None):
     def q(spark, sf):
-        e = _edges(spark, sf, style)
+        p = _papers(spark, sf)
+        bib = X.bibliographies(p, X.refs(p), template or style).withColumnRenamed("doc_id", "citing_id")
+        e = extract_citations(bib, "bib", style, keys=("citing_id",))
         return e.select(
             "citing_id", "pos", "cited_title", "cited_id", "n_authors",
             F.array_join(F.transform("authors", lambda a: F.array_join(a, " ")), "; ").alias("author_list"), "style",
         )
 
-    q.__name__ = f"q_citation_{style}"
+    q.__name__ = f"q_citation_{template or style}"
     return q
 
 
@@ -141,6 +143,28 @@ def q_epoch_documents(spark, sf):
     return load_epochs(spark, f"{root}/epoch-*/xml").select("doc_id", "n_chars", "epoch")
 
 
+def q_table_round_trip(spark, sf):
+    """Documents written by key into folders by source, and loaded through the build-or-load cache."""
+    root = scratch_path(spark, "tables")
+    docs = X.table(spark, sf, "documents").select("doc_id", "n_chars", "source")
+    write_table(docs, f"{root}/docs", key="doc_id", partition_by="source")
+    first = materialize(spark, f"{root}/copy", lambda: spark.read.parquet(f"{root}/docs"))
+    again = materialize(spark, f"{root}/copy", lambda: first.limit(0))  # it is there: not built again
+    return again.select("doc_id", "n_chars", "source")
+
+
+def q_epoch_refresh(spark, sf):
+    """An index of two epochs; then the second is delivered again, changed, and a third one comes."""
+    path = scratch_path(spark, "refreshed")
+    docs = X.table(spark, sf, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 3 + 1).alias("e"))
+    docs = docs.select("doc_id", "n_chars", F.concat(F.lit("e"), "e").alias("epoch"), F.lit(1).alias("version"))
+    refresh_index(spark, path, docs.where("epoch < 'e3'"), lambda d: d, version="version")
+    again = docs.withColumn("n_chars", F.when(F.col("epoch") == "e2", -F.col("n_chars")).otherwise(F.col("n_chars")))
+    again = again.withColumn("version", F.when(F.col("epoch") == "e2", 2).otherwise(1))
+    out = refresh_index(spark, path, again, lambda d: d, version="version")
+    return out.select("doc_id", "n_chars", "epoch", "version")
+
+
 def q_capture_admission(spark, sf):
     return _admitted(spark, sf).select("page_id", "url", "status", "filetype", "outcome", "body_len")
 
@@ -545,6 +569,8 @@ QUERIES = {
     "archive_states": q_archive_states,
     "ingest_documents": q_ingest_documents,
     "epoch_documents": q_epoch_documents,
+    "epoch_refresh": q_epoch_refresh,
+    "table_round_trip": q_table_round_trip,
     "extract_documents": q_extract_documents,
     "extract_edges": q_extract_edges,
     "layout_text": q_layout_text,
@@ -556,6 +582,7 @@ QUERIES = {
     "title_key_dedup": q_title_key_dedup,
     "extract_year": q_extract_year,
     "citation_acm": _citation_query("acm"),
+    "citation_noisy": _citation_query("acm", "acm_noisy"),
     "citation_ieee": _citation_query("ieee"),
     "citation_springer": _citation_query("springer"),
     "citation_best": _citation_query("best"),

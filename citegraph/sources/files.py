@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from citegraph import schemas
 from citegraph.functions import constants as K
+from citegraph.session import cut_lineage
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -73,6 +74,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
 
 
+def _has_folders(spark: SparkSession, path: str, column: str) -> bool:
+    """Whether a table partitioned by ``column`` has a committed folder (they appear when a write is committed)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}=*")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Build-or-load cache.  If a committed table exists at ``path`` it is read,
     otherwise ``build()`` is written there first.  Also cuts the lineage."""
@@ -82,15 +91,23 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame])
 
 
 def refresh_index(spark: SparkSession, index_path: str, docs: DataFrame,
-                  build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rebuild only what is new.  ``docs`` carries ``epoch``; epochs already in
-    the index (a left-anti join on ``epoch``) are skipped and the rest appended."""
-    if _exists(spark, index_path):
-        done = spark.read.parquet(index_path).select("epoch").distinct()
-        todo = docs.join(done, "epoch", "left_anti")
-    else:
-        todo = docs
-    build(todo).write.mode("append").partitionBy("epoch").parquet(index_path)
+                  build: Callable[[DataFrame], DataFrame], version: str | None = None) -> DataFrame:
+    """Rebuild only what is new.  ``docs`` carries ``epoch``; epochs the index does not have are built.
+
+    With ``version``, a column that grows when an epoch is delivered again and that ``build`` keeps, an epoch
+    whose newest version is above the index's is built anew and replaces its folder; other folders are not touched."""
+    todo = docs
+    if _has_folders(spark, index_path, "epoch"):
+        have = spark.read.parquet(index_path)
+        if version is None:
+            todo = docs.join(have.select("epoch").distinct(), "epoch", "left_anti")
+        else:
+            # one row per epoch, written before its folders are replaced
+            old = cut_lineage(have.groupBy("epoch").agg(F.max(version).alias("_old")))
+            new = docs.groupBy("epoch").agg(F.max(version).alias("_new"))
+            stale = new.join(old, "epoch", "left").where("_old is null or _new > _old").select("epoch")
+            todo = docs.join(stale, "epoch", "left_semi")
+    (build(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(index_path))
     return spark.read.parquet(index_path)
 
 

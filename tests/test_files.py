@@ -53,6 +53,20 @@ def test_materialize_and_refresh(spark):
     assert sorted(r.id for r in idx.collect()) == [1, 2, 3]  # e1 was not rebuilt
 
 
+def test_redelivered_epoch_replaces_the_old_one(spark):
+    path = tempfile.mkdtemp(prefix="citegraph-cache-") + "/idx"
+
+    def refresh(rows, mark):
+        docs = spark.createDataFrame(rows, "id long, epoch string, v int")
+        out = S.refresh_index(spark, path, docs, lambda d: d.withColumn("built", F.lit(mark)), version="v")
+        return sorted((r.id, r.epoch, r.v, r.built) for r in out.collect())
+
+    assert refresh([(1, "e1", 1), (2, "e2", 1)], "first") == [(1, "e1", 1, "first"), (2, "e2", 1, "first")]
+    assert refresh([(1, "e1", 1), (2, "e2", 1)], "same") == [(1, "e1", 1, "first"), (2, "e2", 1, "first")]
+    # e2 comes again with other rows, e3 is new
+    assert refresh([(1, "e1", 1), (5, "e2", 2), (6, "e3", 1)], "later") == [(1, "e1", 1, "first"), (5, "e2", 2, "later"), (6, "e3", 1, "later")]
+
+
 def test_write_table_partitions(spark):
     root = tempfile.mkdtemp(prefix="citegraph-sink-")
     S.write_table(spark.range(100).withColumn("k", F.col("id") % 7), root + "/t", key="k", partitions=4)
