@@ -2,13 +2,15 @@
 
 The library never creates a session implicitly; tests and bench use
 ``get_spark``.  Shared scratch space always comes from the session's
-``spark.checkpoint.dir`` (a shared folder on a cluster); a private temp folder
-is set only when the session has none, which only happens in local tests.
+``spark.checkpoint.dir`` (a shared folder on a cluster).  Where there is none, a local
+master gets a private temp folder; any other master is refused.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not d:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            d = tempfile.mkdtemp(prefix="citegraph-ckpt-")  # one machine: tests
+            d = tempfile.mkdtemp(prefix="citegraph-ckpt-")  # one machine: tests; gone with the process
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
     return d
