@@ -19,7 +19,7 @@ AUTHORS = {"acm": 2, "acm_comma": 3, "ieee": 2, "springer": 2}
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(TITLE, min_size=1, max_size=6), st.sampled_from(sorted(TEMPLATES)))
+@given(st.lists(TITLE, min_size=1, max_size=6), st.sampled_from(sorted(AUTHORS)))
 def test_render_then_parse(spark_session_cached, titles, style):
     spark = spark_session_cached
     bib = "\n".join(TEMPLATES[style].format(t=t) for t in titles)
