@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import short_batches, stored
+from citegraph.llm.common import short_batches, stored, tidy
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: turn numbers of a part
@@ -133,7 +133,7 @@ def format_conversations(convs: DataFrame, tokenizer_path: str) -> DataFrame:
         if whole:
             yield flush(whole)
 
-    return dealt.select("conv_id", "part", "role", "text").mapInArrow(run, "conv_id long, part long, formatted string, input_ids array<int>, loss_mask array<byte>")
+    return dealt.select("conv_id", "part", "role", "text").mapInArrow(tidy(run), "conv_id long, part long, formatted string, input_ids array<int>, loss_mask array<byte>")
 
 
 def conversation_digests(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -180,7 +180,7 @@ def conversation_digests(formatted: DataFrame, tokenizer_path: str) -> DataFrame
             yield batch()
 
     rows = formatted.select("conv_id", "formatted", "input_ids", "loss_mask", "part").repartition("conv_id").sortWithinPartitions("conv_id", "part").drop("part")
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def chat_digests(convs: DataFrame, tokenizer_path: str) -> DataFrame:

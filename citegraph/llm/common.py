@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citegraph.session import scratch_path
 
-#: rows handed to a Python worker at once: texts may be long, so batches are kept short
-BATCH_ROWS = 1000
+#: rows handed to a Python worker at once, and rows a scan decodes at once: texts may be long, so batches are kept short
+BATCH_ROWS, SCAN_ROWS = 1000, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to `BATCH_ROWS` (never raise it)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's batch sizes for Arrow and for scans (never raise them)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)):
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -45,6 +46,28 @@ def text_runs(sizes: list[int], most: int) -> Iterator[range]:
         yield range(start, len(sizes))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker lives on, and what its allocators keep counts
+    against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A ``mapInArrow`` function that gives its memory back at the end."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """`f` over each Arrow batch of `df`; results that are None are skipped."""
 
@@ -53,4 +76,4 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
             if b.num_rows and (out := f(b)) is not None:
                 yield out
 
-    return df.mapInArrow(each, schema)
+    return df.mapInArrow(tidy(each), schema)

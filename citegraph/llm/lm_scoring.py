@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import short_batches, stored
+from citegraph.llm.common import short_batches, stored, tidy
 from citegraph.llm.shingles import hash_words, mix, words_of
 from citegraph.session import scratch_path
 
@@ -104,7 +104,7 @@ def _batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield row()
 
     cols = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return cols.mapInArrow(run, "task int, seq int, docs array<long>, sizes array<long>, vocabulary binary, low binary, high binary")
+    return cols.mapInArrow(tidy(run), "task int, seq int, docs array<long>, sizes array<long>, vocabulary binary, low binary, high binary")
 
 
 class Batch:
