@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import map_batches, short_batches, stored
+from citegraph.llm.common import map_batches, short_batches, stored, tidy
 from citegraph.llm.components import connected_components
 from citegraph.llm.shingles import mix, shingle_set
 
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int) ->
             )
 
     cols = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return cols.mapInArrow(run, "doc long, n long, cls binary, node long, keys array<long>, parity binary")
+    return cols.mapInArrow(tidy(run), "doc long, n long, cls binary, node long, keys array<long>, parity binary")
 
 
 def _shared_keys(rows: DataFrame) -> DataFrame:
@@ -246,8 +246,8 @@ def _pairs_of_group(comp, side, node, n, parity, pct: int, all_pairs: bool) -> l
     return found
 
 
-def _possible_pairs(members: DataFrame, pct: int, all_pairs: bool) -> DataFrame:
-    """(a, b) with a < b within each key's group of (key, comp, node, n, parity) that sizes and parities
+def _possible_pairs(shared: DataFrame, sets: DataFrame, pct: int, all_pairs: bool) -> DataFrame:
+    """(a, b) with a < b within each key's group of `shared` (key, node, comp) that sizes and parities in `sets` (node, n, parity)
     allow.  Without `all_pairs`: for each member its smallest possible partner only (of a split group's first
     block); with it: all pairs of different components.
 
@@ -290,25 +290,25 @@ def _possible_pairs(members: DataFrame, pct: int, all_pairs: bool) -> DataFrame:
         if kept:
             yield from flush(pa.Table.from_batches(kept))
 
-    large = members.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).alias("blocks"))
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    large = shared.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).alias("blocks"))
+    dealt = shared.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    first = F.array(F.lit(0).cast("long"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     if not all_pairs:
-        others = F.when(F.col("block") == 0, others).otherwise(F.array(F.lit(0).cast("long")))
-    split = members.join(large, "key").withColumn("block", block).withColumn("other", F.explode(others))
-    split = split.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "comp",
-        F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"), "node", "n", "parity",
+        others = F.when(F.col("block") == 0, others).otherwise(first)
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), first).otherwise(others)))
+    dealt = dealt.select(
+        F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "comp",
+        F.when(F.col("blocks").isNull() | (F.col("block") == F.col("other")), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"), "node",
     )
-    whole = members.join(large, "key", "left_anti").select("key", "comp", F.lit(-1).cast("long").alias("side"), "node", "n", "parity")
-    out = whole.union(split).repartition("key").sortWithinPartitions("key", "node")
-    return out.mapInArrow(run, "a long, b long").distinct()
+    out = dealt.join(sets, "node").select("key", "comp", "side", "node", "n", "parity").repartition("key").sortWithinPartitions("key", "node")
+    return out.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, pct: int) -> DataFrame:
     """The pairs that link: overlaps are counted fragment by fragment and summed per pair."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = reps.select("node", "doc").join(nodes, "node", "left_semi").select("doc")
+    ids = stored(reps.select("node", "doc").join(nodes, "node", "left_semi").select("doc"), "verified")  # a short list is broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(ids, "doc", "left_semi")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -355,14 +355,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     shared = stored(_shared_keys(keys), "shared-keys")
     sets = reps.select("node", "n", "parity")
 
-    first = _possible_pairs(shared.join(sets, "node").withColumn("comp", F.col("node")), pct, all_pairs=False)
+    first = _possible_pairs(shared.withColumn("comp", F.col("node")), sets, pct, all_pairs=False)
     first = stored(first, "pairs")
     links = stored(_verified(first, reps, docs, id_col, text_col, k, pct), "links")
     comps = connected_components(links)
     joined = shared.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = joined.join(mixed, "key", "left_semi").join(sets, "node")
-    second = _possible_pairs(rest, pct, all_pairs=True).join(first, ["a", "b"], "left_anti")
+    rest = joined.join(mixed, "key", "left_semi")
+    second = _possible_pairs(rest, sets, pct, all_pairs=True).join(first, ["a", "b"], "left_anti")
     more = _verified(stored(second, "pairs"), reps, docs, id_col, text_col, k, pct)
     # an id that occurs with several texts joins their classes
     split = full.groupBy("doc").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc", "lo")
@@ -378,9 +378,11 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """The rows of `docs` without later copies: of each component one row stays, the one with the smallest id
     (ties: any one of the identical ids' rows, chosen by text); rows with a null id all stay."""
     comp = ngram_jaccard_components(docs, id_col, text_col, k, pct)
-    gone = comp.where(f"`{id_col}` <> component_id").select(id_col).distinct()
+    # the ids are written first: with their size known, a short list is broadcast and the texts are not shuffled
+    gone = stored(comp.where(f"`{id_col}` <> component_id").select(id_col).distinct(), "gone")
+    ids = docs.where(F.col(id_col).isNotNull()).select(id_col).join(gone, id_col, "left_anti")
+    twice = stored(ids.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
     left = docs.join(gone, id_col, "left_anti")
-    twice = left.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     w = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
     repeated = left.join(twice, id_col, "left_semi").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-    return left.join(twice, id_col, "left_anti").union(repeated)
+    return left.join(twice, id_col, "left_anti").unionByName(repeated)
