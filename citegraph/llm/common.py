@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from citegraph.session import scratch_path
 
 #: rows handed to a Python worker at once, and rows a scan decodes at once: texts may be long, so batches are kept short
-BATCH_ROWS, SCAN_ROWS = 1000, 512
+BATCH_ROWS, SCAN_ROWS = 500, 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,8 +23,9 @@ import gc
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import short_batches, stored, text_runs
+from citegraph.llm.common import give_back, short_batches, stored, text_runs, tidy
 
 BLOCK = 256
 PERCENTILE = 95
-SEGMENT_IDS = 1 << 20
-#: words whose ids a worker remembers; beyond, it forgets those that have not recurred
-WORD_CACHE = 300_000
-#: words encoded by one call, bytes of texts encoded together (one text at least)
-CALL_WORDS, RUN_BYTES = 2000, 4_000_000
+SEGMENT_IDS = 1 << 17
+
+
+class Memory(NamedTuple):
+    """What an encoding worker may hold.  It changes neither ids nor files."""
+
+    words: int  # words whose ids are remembered; beyond, those that have not recurred are forgotten
+    run_bytes: int  # of texts encoded together (one text at least)
+    kept: bool  # whether a worker keeps its encoder for its later tasks
+
+
+#: for a job of its own, and for one of several jobs of an application, whose executors hold other things too
+AMPLE, SPARING = Memory(500_000, 4_000_000, True), Memory(200_000, 2_000_000, False)
 MAGIC, VERSION = 0x46505443, 1
 SCHEMA = "shard int, segment int, base long, n_ids long, payload binary"
 
@@ -154,52 +163,47 @@ class Encoder:
     joins across it, so the ids of a text are those of its white-space-separated words in turn;
     a word's ids are computed by the tokenizers library and remembered while the word recurs."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = AMPLE.words):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, int] = {}
         self.flat, self.first, self.size, self.uses = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         # The vocabulary's model sees a word's pieces as printable characters for their bytes.
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.signs: dict[bytes, list[int]] = {}
         self.printable = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each).  Words of plain Latin letters, digits and signs are cut as the
         vocabulary's rules cut them and go to its model directly; others go through all its steps."""
-        ids: list[list[int]] = [[]] * len(words)
-        cut, whole, signs = self.tokenizer.model.tokenize, [], self.signs
-        for i, w in enumerate(words):
+        cut, whole, signs = self.tokenizer.model.tokenize, self.tokenizer.encode, {}
+        ids, ends = array("I"), []
+        for w in words:
             core = w.rstrip(_SIGNS)
             text = core.decode("utf-8", "replace")
             if _LETTERS.fullmatch(text):  # with signs behind them
                 text = text.lower()
-                ids[i] = [t.id for t in cut(text if text.isascii() else text.translate(self.printable))]
+                ids.extend([t.id for t in cut(text if text.isascii() else text.translate(self.printable))])
                 if len(core) < len(w):
                     if (end := w[len(core) :]) not in signs:
                         signs[end] = [t.id for t in cut(end.decode("ascii"))]
-                    ids[i] += signs[end]
-                continue
-            s = w.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(s) and "<|" not in s:
-                pieces = (x if x.isascii() else x.translate(self.printable) for x in _PIECES.findall(s.lower()))
-                ids[i] = [t.id for x in pieces for t in cut(x)]
+                    ids.extend(signs[end])
             else:
-                whole.append(i)
-        signs.clear()
-        for j in range(0, len(whole), CALL_WORDS):  # call by call: an encoding holds far more than its ids
-            part = whole[j : j + CALL_WORDS]
-            for i, e in zip(part, self.tokenizer.encode_batch([words[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)):
-                ids[i] = e.ids
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+                text = w.decode("utf-8", "replace")
+                if _PLAIN.fullmatch(text) and "<|" not in text:
+                    for x in _PIECES.findall(text.lower()):
+                        ids.extend([t.id for t in cut(x if x.isascii() else x.translate(self.printable))])
+                else:
+                    ids.extend(whole(text, add_special_tokens=False).ids)
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
 
     def _forget(self):
         """Keep the words that have recurred since they were learned."""
         keep = np.flatnonzero(self.uses > 1)
-        if len(keep) > WORD_CACHE // 2:
-            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: WORD_CACHE // 2]])
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: self.most // 2]])
         words = list(self.known)
         self.known = {words[i]: n for n, i in enumerate(keep.tolist())}
         size, first = self.size[keep], self.first[keep]
@@ -223,7 +227,7 @@ class Encoder:
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten().dictionary_encode()
         distinct = flat.dictionary.cast(pa.binary()).to_pylist()
-        if len(self.known) > WORD_CACHE:
+        if len(self.known) > self.most:
             self._forget()
         place = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
         if len(new := np.flatnonzero(place < 0)):
@@ -240,12 +244,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def worker_encoder(path: str) -> Encoder:
-    """The Python worker's encoder: what it has learned serves its later tasks."""
-    return Encoder(path)
+def kept_encoder(path: str, most: int) -> Encoder:
+    """The Python worker's encoder, for its later tasks."""
+    return Encoder(path, most)
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", memory: Memory = AMPLE) -> DataFrame:
     """The segment table of all rows of `docs` in ascending id order (nulls first; rows with one id by a hash of
     their text), not yet written.  `tokenizer_path` must name a file that every executor has, of a
     tokenizer that parts words at white space and drops it."""
@@ -254,7 +258,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     ranged = cols.repartitionByRange("id").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("id", "tie").select("id", "text")
 
     def segments_of(batches):
-        encoder, shard = worker_encoder(tokenizer_path), TaskContext.get().partitionId()
+        make = kept_encoder if memory.kept else Encoder
+        encoder, shard = make(tokenizer_path, memory.words), TaskContext.get().partitionId()
         segment = base = held = 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
@@ -266,7 +271,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["shard", "segment", "base", "n_ids", "payload"]), len(whole)
 
         for b in batches:
-            for part in text_runs(pc.binary_length(b.column(1)).fill_null(0).to_pylist(), RUN_BYTES):
+            for part in text_runs(pc.binary_length(b.column(1)).fill_null(0).to_pylist(), memory.run_bytes):
                 rows = b.slice(part.start, len(part))
                 for name, x in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1), end_id)):
                     ids.append(x)
@@ -286,6 +291,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
             yield from segments_of(batches)
         finally:
             gc.enable()
+            gc.collect()
+            give_back()
 
     return ranged.mapInArrow(run, SCHEMA)
 
@@ -310,15 +317,15 @@ def token_index(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
     sums = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = segments.select("shard", "base", "payload").mapInArrow(run, "shard int, id long, at long, n_tokens long, ids_crc32 long")
+    rows = segments.select("shard", "base", "payload").mapInArrow(tidy(run), "shard int, id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(shards, "shard").select(F.col("id").alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", memory: Memory = AMPLE) -> DataFrame:
     """Write the token ids of all rows of `docs` to the shared scratch folder and return what the files hold, one row
     per row of `docs`: `id_col`, start, n_tokens (with the end id), ids_crc32.
 
     Null and empty texts have the end id only; whole texts are encoded.  Repeated rows are documents of
     their own, next to each other; rows with a null id come first.  Further columns are not read; an empty table gives no rows.
     """
-    return token_index(stored(encode_documents(docs, tokenizer_path, end_id, id_col, text_col), "tokens"), id_col)
+    return token_index(stored(encode_documents(docs, tokenizer_path, end_id, id_col, text_col, memory), "tokens"), id_col)

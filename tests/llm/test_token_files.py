@@ -11,6 +11,7 @@ from citegraph.llm import token_files as T
 from citegraph.llm.queries import vocabulary
 
 PATH = vocabulary("word_bpe_49k.json")
+ENCODER = T.Encoder(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +21,9 @@ def tokenizer():
     return Tokenizer.from_file(PATH)
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture()
 def encoder():
-    return T.Encoder(PATH)
+    return ENCODER
 
 
 def whole(tokenizer, text):
@@ -43,14 +44,13 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, encoder):
 def test_any_text(texts):
     from tokenizers import Tokenizer
 
-    t, e = Tokenizer.from_file(PATH), T.worker_encoder(PATH)
+    t, e = Tokenizer.from_file(PATH), ENCODER
     texts = [x.encode("utf-8", "ignore").decode() for x in texts]
     assert [x.tolist() for x in e.encode(pa.array(texts, pa.string()), 2)] == [whole(t, x) for x in texts]
 
 
-def test_forgetting_changes_nothing(tokenizer, monkeypatch):
-    monkeypatch.setattr(T, "WORD_CACHE", 20)
-    e, r = T.Encoder(PATH), random.Random(4)
+def test_forgetting_changes_nothing(tokenizer):
+    e, r = T.Encoder(PATH, most=20), random.Random(4)
     for _ in range(30):
         texts = [" ".join(f"w{r.randint(0, 60)}" for _ in range(12)) for _ in range(5)]
         assert [x.tolist() for x in e.encode(pa.array(texts), 2)] == [whole(tokenizer, t) for t in texts]
@@ -81,7 +81,9 @@ def test_width_and_exceptions():
 def test_output_equals_direct_encoding(frame, tokenizer, texts, monkeypatch):
     monkeypatch.setattr(T, "SEGMENT_IDS", 200)
     rows = [(i * 3 - 5, t, "x") for i, t in enumerate(texts)]
-    got = {r.doc_id: r for r in T.token_output(frame(rows, "doc_id long, text string, base string").repartition(7), PATH).collect()}
+    df = frame(rows, "doc_id long, text string, base string").repartition(7)
+    got = {r.doc_id: r for r in T.token_output(df, PATH).collect()}
+    assert got == {r.doc_id: r for r in T.token_output(df, PATH, memory=T.Memory(10, 50, False)).collect()}
     start = 0
     for i, t, _ in sorted(rows):
         ids = whole(tokenizer, t)
