@@ -20,11 +20,16 @@ from citegraph.llm.common import map_batches, short_batches
 
 #: elements whose content is never text of the page
 _SKIPPED = "script|style|template|noscript|textarea|svg|math|iframe|object|select|datalist|canvas|audio|video|title"
+#: those of them that are raw text: without an end tag they run to the end of the page
+_RAW = frozenset("script style textarea title".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + _SKIPPED + r")\b[^>]*+>.*?(?:</(?P=skip)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + _SKIPPED + r")(?=[\s/>])(?P<skipped>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
+_SKIP_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in _SKIPPED.split("|")}
+#: an attribute's value without quotes at the end of a tag: a slash in it does not close the element
+_UNQUOTED = re.compile(r"=\s*[^\s\"']+\Z")
 _CLASS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: tags inside a line of text: they do not end a block
@@ -80,14 +85,25 @@ def blocks_of(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
             words_linked += len(text.split())
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # skipped elements that have no end tag from here on
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            if m["skip"] and m["skip"].lower() not in ("svg", "math", "title"):
-                pieces.append(" ")
+            if m["skip"]:
+                skip, attrs = m["skip"].lower(), m["skipped"]
+                empty = skip in ("svg", "math") and attrs.endswith("/") and not _UNQUOTED.search(attrs)
+                if not empty and skip not in unclosed:
+                    if stop := _SKIP_END[skip].search(page, at):
+                        at = stop.end()
+                    elif skip in _RAW:
+                        at = len(page)
+                    else:
+                        unclosed.add(skip)
+                if skip not in ("svg", "math", "title"):
+                    pieces.append(" ")
             continue
         end, attrs = m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
         if tag == "a":

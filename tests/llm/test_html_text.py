@@ -36,6 +36,25 @@ def test_main_text(tree, page, text):
     assert main_text(page, tree) == text.strip()
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>One <svg class="i"/> two</p><p>three</p></article>', "One two three"),
+        ("<article><p>One <math/>two <svg a='>' />three <svg b=/x/><path/>no</svg>four</p></article>", "One two three four"),
+        ("<article><p>One</p><video-player src=x></video-player><p>two</p><select-box><title-bar>t</title-bar><object-view a=b><p>three</p></article>", "One two t three"),
+        ("<article><p>One</p><video src=x><p>two</p><svg><p>three</p></article>", "One two three"),
+        ("<article><p>One</p><svg><title>no</title><path/></svg><video>no</video><select><option>no</select><p>two</p></article>", "One two"),
+        ("<article><p>One</p><style>never closed<p>two</p></article>", "One"),
+    ],
+)
+def test_skipped_elements_end_where_they_do(tree, page, text):
+    assert main_text(page, tree) == text
+
+
+def test_many_unclosed_elements_are_read_in_one_pass(tree):
+    assert main_text("<article><p>" + "<svg>a " * 200_000 + "</p></article>", tree) == " ".join(["a"] * 200_000)
+
+
 def test_long_page_is_read_whole(tree):
     body = " ".join(f"w{i}" for i in range(200_000))
     assert main_text(f"<nav>x</nav><article><p>{body}</p></article>", tree) == body
