@@ -222,7 +222,8 @@ class Encoder:
         """The ids of each text of a string array and its end id; a null text is empty."""
         texts = texts.fill_null("")
         data = b"".join(x.to_pybytes() for x in texts.buffers()[2:] if x)
-        if b"\xcc" not in data and b"\xcd" not in data:  # else a mark might join a small letter only
+        # else a mark might join a small letter only, or a control token come about, which has small letters in the text itself
+        if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
             texts = pc.ascii_lower(texts)
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten().dictionary_encode()

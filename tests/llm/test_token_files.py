@@ -39,6 +39,12 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, encoder):
         assert [x.tolist() for x in got] == [whole(tokenizer, t) for t in texts[i : i + 100]]
 
 
+def test_only_small_letters_make_a_control_token(tokenizer, encoder):
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> The End", "a<|STARTOFTEXT|>B", "<|endoftext|>", "Plain Words", "x <| Y |> Z", None]
+    for part in (texts, *([t] for t in texts)):
+        assert [x.tolist() for x in encoder.encode(pa.array(part, pa.string()), 2)] == [whole(tokenizer, t) for t in part]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=8))
 def test_any_text(texts):
