@@ -111,20 +111,21 @@ def node_of(cls: bytes) -> int:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int) -> DataFrame:
     """One pass over the whole texts: (doc, n, cls, node, keys, parity); keys and parity are
-    null for sets that cannot link to another one, and for a set that the same task has sent before."""
+    null for sets that cannot link to another one, for rows with a null id, and for a set that the same task has sent
+    before (with an id)."""
 
     def run(batches):
         np.seterr(over="ignore")
         seen: set[bytes] = set()  # 16 bytes a document of the task
         for b in batches:
             n, cls, node, keys, par = [], [], [], [], []
-            for text in b.column(1):
+            for doc, text in zip(b.column(0), b.column(1)):
                 s = shingle_set(text.as_py(), k)
                 c = set_class(s)
                 n.append(len(s))
                 cls.append(c)
                 node.append(node_of(c))
-                send = len(s) > 0 and max_difference(len(s), len(s) + 1, pct) >= 1 and c not in seen
+                send = doc.is_valid and len(s) > 0 and max_difference(len(s), len(s) + 1, pct) >= 1 and c not in seen
                 if not send:
                     keys.append(None)
                     par.append(None)

@@ -86,6 +86,15 @@ def test_repeated_ids_nulls_and_empty_table(frame):
     assert run(frame, []) == []
 
 
+def test_null_id_before_equal_text_loses_no_link(frame):
+    a = " ".join(f"a{i}" for i in range(30))
+    rows = [(None, a), (1, a), (2, a + " x"), (None, a + " x")]
+    df = frame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_jaccard_components(df).collect()), key=str)
+    assert got == brute(rows) and (2, 29, 1) in got
+    assert sorted(str(r.doc_id) for r in J.keep_one_per_component(df).collect()) == ["1", "None", "None"]
+
+
 def test_one_row_of_a_group_stays(frame):
     rows = [(1, "a b c d"), (2, "A b  c d"), (3, "other words here"), (3, "other words here"), (None, "a b c d"), (4, None), (5, None)]
     out = J.keep_one_per_component(frame([(d, t, 1) for d, t in rows], "doc_id long, text string, count int")).collect()
