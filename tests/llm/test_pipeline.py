@@ -56,6 +56,12 @@ def test_near_duplicates(stages):
     assert len(after) < len(before)
 
 
+def test_near_duplicates_share_80_percent_of_five_word_shingles(stages):
+    before, after = rows(stages[1]), rows(stages[2])
+    comps = brute_components([(d, t) for d, _, t in before], 5, 80)
+    assert sorted((d for d, _, _ in after), key=str) == sorted((d for d, _, c in comps if d is None or d == c), key=str)
+
+
 def test_decontamination(spark, stages):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = rows(stages[2]), rows(stages[3])
