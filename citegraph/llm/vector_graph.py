@@ -179,13 +179,14 @@ def _centroids(nodes: DataFrame, count: int) -> dict[tuple, np.ndarray]:
 
 
 def _cells(nodes: DataFrame, centroids: dict[tuple, np.ndarray], overlap: int) -> DataFrame:
-    """(node, label, x, copies, cell, home): a row for each of a node's cells; home marks the nearest one."""
+    """(node, label, x, copies, cell, home, nearest, around): a row for each of a node's cells; home marks the nearest
+    one, around holds all of them."""
     shared = nodes.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(b: pa.RecordBatch) -> pa.RecordBatch:
         labels, vecs = b.column(1).to_pylist(), b.column(2)
         sizes = [len(v) for v in vecs]
-        take, cell, home = [], [], []
+        take, cell, home, nearest, around = [], [], [], [], []
         for key in sorted({*zip(labels, sizes)}, key=str):
             at = np.array([i for i, k in enumerate(zip(labels, sizes)) if k == key])
             c = shared.value.get(key)
@@ -196,10 +197,14 @@ def _cells(nodes: DataFrame, centroids: dict[tuple, np.ndarray], overlap: int) -
             take.append(np.repeat(at, near.shape[1]))
             cell.append(near.ravel())
             home.append(np.tile(np.arange(near.shape[1]) == 0, len(at)))
+            nearest.append(np.repeat(near[:, 0], near.shape[1]))
+            around += list(np.repeat(near, near.shape[1], axis=0))
         out = b.take(pa.array(np.concatenate(take)))
-        return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cell), pa.int64()), pa.array(np.concatenate(home))], names=[*b.schema.names, "cell", "home"])
+        own = [pa.array(np.concatenate(cell), pa.int64()), pa.array(np.concatenate(home)), pa.array(np.concatenate(nearest), pa.int64()), pa.array(around, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*out.columns, *own], names=[*b.schema.names, "cell", "home", "nearest", "around"])
 
-    return map_batches(nodes.select("node", "label", "x", "copies"), assign, "node long, label string, x array<double>, copies long, cell long, home boolean")
+    schema = "node long, label string, x array<double>, copies long, cell long, home boolean, nearest long, around array<long>"
+    return map_batches(nodes.select("node", "label", "x", "copies"), assign, schema)
 
 
 def _build(shards: DataFrame) -> DataFrame:
@@ -215,12 +220,15 @@ def _build(shards: DataFrame) -> DataFrame:
 
 
 def _search(shards: DataFrame, graph: DataFrame, least: float, beam: int) -> DataFrame:
-    """Rows (query, n_links, null) and forest links (a, null, b) of all (group, block, queries) tasks."""
-    cols = ("group", "block", "part", "node", "x", "copies")
+    """Rows (node, n_links, null), to be summed, and forest links (a, null, b) of all (group, block, queries) tasks.
+
+    A query meets the nodes of its nearest cell, which may have their own queries elsewhere: a link with a node whose
+    nearest cell does not hold the query is counted for both ends."""
+    cols = ("group", "block", "part", "node", "x", "copies", "nearest")
     parts = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     base = shards.join(graph, "node", "left")
-    as_node = base.withColumn("part", F.explode(parts)).select(*cols, "near", F.lit(False).alias("asks"))
-    as_query = shards.where("home").withColumn("part", F.col("block")).withColumn("block", F.explode(parts)).select(*cols, F.lit(None).cast("array<long>").alias("near"), F.lit(True).alias("asks"))
+    as_node = base.withColumn("part", F.explode(parts)).select(*cols, "near", F.lit(None).cast("array<long>").alias("around"), F.lit(False).alias("asks"))
+    as_query = shards.where("home").withColumn("part", F.col("block")).withColumn("block", F.explode(parts)).select(*cols, F.lit(None).cast("array<long>").alias("near"), "around", F.lit(True).alias("asks"))
 
     def search(t: pa.Table) -> pa.Table:
         asks = t.column("asks").to_numpy()
@@ -240,7 +248,10 @@ def _search(shards: DataFrame, graph: DataFrame, least: float, beam: int) -> Dat
             lists.append(p[ids[p] == v])
         place = np.minimum(np.searchsorted(ids, node[ask]), len(ids) - 1)
         own = np.where(ids[place] == node[ask], place, -1)
-        copies = t.column("copies").to_numpy()[at]
+        held = t.column("copies").to_numpy()
+        copies, nearest = held[at], t.column("nearest").to_numpy()[at]
+        around = _matrix(t.column("around").combine_chunks().take(pa.array(ask)))
+        back = np.zeros(len(at), np.int64)  # links of the nodes that their own queries do not meet
         out = []
         step = max(1, SEEN // len(at))  # queries whose visited table stays small
         for s in range(0, len(ask), step):
@@ -250,8 +261,12 @@ def _search(shards: DataFrame, graph: DataFrame, least: float, beam: int) -> Dat
             r, c = r[other], c[other]
             a, b = forest(node[q][r], ids[c])
             n = np.bincount(r, weights=copies[c], minlength=len(q)).astype(np.int64)
+            unmet = (around[s : s + step][r] != nearest[c][:, None]).all(axis=1)
+            np.add.at(back, c[unmet], held[q][r[unmet]])
             out.append(pa.table({"a": node[q], "n": n, "b": pa.nulls(len(q), pa.int64())}))
             out.append(pa.table({"a": a, "n": pa.nulls(len(a), pa.int64()), "b": b}))
+        hit = np.flatnonzero(back)
+        out.append(pa.table({"a": ids[hit], "n": back[hit], "b": pa.nulls(len(hit), pa.int64())}))
         return pa.concat_tables(out)
 
     return as_node.union(as_query).groupBy("group", "block", "part").applyInArrow(search, "a long, n long, b long")

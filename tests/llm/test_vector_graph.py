@@ -73,6 +73,21 @@ def test_links_and_components_equal_brute_force(frame, vectors, monkeypatch, sha
         assert got[i].audit_recall >= V.MIN_RECALL
 
 
+def test_links_over_a_cell_border_count_for_both_ends(spark, frame, monkeypatch):
+    r = np.random.default_rng(8)
+    centroids = V.unit_rows(r.normal(size=(12, 8)))
+    x = V.unit_rows(np.repeat(V.unit_rows(r.normal(size=(25, 8))), 8, axis=0) + r.normal(size=(200, 8)) * 0.12)
+    nodes = frame([(i, "1", v.tolist(), 1 + i % 3) for i, v in enumerate(x)], "node long, label string, x array<double>, copies long")
+    cells = V._cells(nodes, {("1", 8): centroids}, 2).withColumn("group", V.F.col("cell")).withColumn("blocks", V.F.lit(1).cast("long")).withColumn("block", V.F.lit(0).cast("long"))
+    found = V._search(cells, V._build(cells), 0.9, 200).where("b is null").groupBy("a").agg(V.F.sum("n").alias("n"))
+    near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :2]
+    meets = (near[:, :1, None] == near.T[None].transpose(0, 2, 1)).any(axis=2)  # a query's nearest cell holds the node
+    links = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert (links & meets & ~meets.T).any()
+    want = ((links & (meets | meets.T)) * (1 + np.arange(len(x)) % 3)).sum(axis=1)
+    assert {a.a: a.n for a in found.collect()} == dict(enumerate(want.tolist()))
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(frame):
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [(1, 7, a, 5, "x"), (1, 7, a, 5, "x"), (None, 7, a, 5, "x"), (None, 7, b, 5, "x"), (3, 7, [2.0, 0.0, 0.0], 5, "x")]
