@@ -11,8 +11,10 @@ nearest to it (the shards overlap), a query is sent to its nearest cell.
    node within range is found the search spreads from all nodes in range until no new one appears.
 4. *Verify.*  Links are cosines in double precision of at least the threshold.  A task returns
    each query's number of links and a spanning forest of the links, never the pairs.
-5. *Audit.*  For a bounded sample of queries the links are counted by brute force over all nodes; if fewer than
-   `MIN_RECALL` were found, the overlap and the beam are doubled and the search is run again.
+5. *Audit.*  For a bounded sample of queries the links are counted by brute force over all nodes, and each query has a
+   recall of its own.  If the mean recall of queries with few or of those with many links is below `MIN_RECALL`, or
+   more of those with few have lost one, the overlap and the beam are doubled and the search is run again; after the last
+   try every block of a label's nodes is compared with every other exactly.
 
 Cells with more than `SHARD` nodes are split into blocks of nodes and of queries; every query block meets every
 node block, so a hot cell costs more tasks, not more memory, and loses nothing.
@@ -38,9 +40,9 @@ OVERLAP, SHARD = 3, 1024
 DEGREE, ALPHA, MEDOIDS, BEAM = 16, 1.2, 16, 48
 #: similarities computed at once, entries of a task's table of visited nodes
 VISITS, SEEN = 20_000, 500_000
-#: audited queries and the share of links that must be found
-AUDIT, MIN_RECALL = 1000, 0.95
-#: tries with doubled overlap and beam
+#: audited queries, the share of links that must be found, and the number of links from which a query counts as one of a dense group
+AUDIT, MIN_RECALL, DENSE = 1000, 0.95, 100
+#: tries with doubled overlap and beam, before everything is compared
 TRIES = 3
 
 
@@ -219,14 +221,15 @@ def _build(shards: DataFrame) -> DataFrame:
     return built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def _search(shards: DataFrame, graph: DataFrame, least: float, beam: int) -> DataFrame:
+def _search(shards: DataFrame, graph: DataFrame | None, least: float, beam: int) -> DataFrame:
     """Rows (node, n_links, null), to be summed, and forest links (a, null, b) of all (group, block, queries) tasks.
 
     A query meets the nodes of its nearest cell, which may have their own queries elsewhere: a link with a node whose
-    nearest cell does not hold the query is counted for both ends."""
+    nearest cell does not hold the query is counted for both ends.  Without a graph all nodes of a task are compared."""
     cols = ("group", "block", "part", "node", "x", "copies", "nearest")
     parts = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    base = shards.join(graph, "node", "left")
+    exact = graph is None
+    base = shards.withColumn("near", F.lit(None).cast("array<long>")) if exact else shards.join(graph, "node", "left")
     as_node = base.withColumn("part", F.explode(parts)).select(*cols, "near", F.lit(None).cast("array<long>").alias("around"), F.lit(False).alias("asks"))
     as_query = shards.where("home").withColumn("part", F.col("block")).withColumn("block", F.explode(parts)).select(*cols, F.lit(None).cast("array<long>").alias("near"), "around", F.lit(True).alias("asks"))
 
@@ -256,7 +259,7 @@ def _search(shards: DataFrame, graph: DataFrame, least: float, beam: int) -> Dat
         step = max(1, SEEN // len(at))  # queries whose visited table stays small
         for s in range(0, len(ask), step):
             q = ask[s : s + step]
-            r, c = range_search(vec[q], own[s : s + step], vec[at], lists, least, beam)
+            r, c = np.nonzero(vec[q] @ vec[at].T >= least) if exact else range_search(vec[q], own[s : s + step], vec[at], lists, least, beam)
             other = ids[c] != node[q][r]
             r, c = r[other], c[other]
             a, b = forest(node[q][r], ids[c])
@@ -272,8 +275,9 @@ def _search(shards: DataFrame, graph: DataFrame, least: float, beam: int) -> Dat
     return as_node.union(as_query).groupBy("group", "block", "part").applyInArrow(search, "a long, n long, b long")
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, count: int, least: float) -> float:
-    """Share of the audited queries' links that were found; 1 if they have none."""
+def _audit(nodes: DataFrame, counted: DataFrame, count: int, least: float) -> tuple[float, float]:
+    """Of the audited queries that have links: the mean share of a query's links that were found, the lower one of
+    queries with up to `DENSE` links and of those with more, and the share of the former that lost none (1 where there are none)."""
     draw = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 40)) < F.lit(int(min(1.0, AUDIT / max(count, 1)) * (1 << 40)))
     sample = nodes.where(draw).select("node", "label", "x").limit(2 * AUDIT)
     groups: dict[tuple, list] = {}
@@ -295,14 +299,17 @@ def _audit(nodes: DataFrame, counted: DataFrame, count: int, least: float) -> fl
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(n))], names=["node", "true"])
 
     true = map_batches(nodes.select("node", "label", "x", "copies"), brute, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    both = true.join(counted, "node").agg(F.sum("true").alias("true"), F.sum("n").alias("found")).first()
-    return 1.0 if not both.true else (both.found or 0) / both.true
+    share = F.least(F.coalesce("n", F.lit(0)) / F.col("true"), F.lit(1.0)).alias("share")
+    each = true.where(F.col("true") > 0).join(counted, "node", "left").select(share, (F.col("true") > DENSE).alias("dense"))
+    by_kind = {r.dense: r for r in each.groupBy("dense").agg(F.avg("share").alias("recall"), F.avg((F.col("share") == 1).cast("int")).alias("whole")).collect()}
+    return min([1.0, *(r.recall for r in by_kind.values())]), by_kind[False].whole if False in by_kind else 1.0
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
     """One row per row of `table`: `id_col`, n_links (other rows with an equal label and a cosine of at least `least`),
     component_id (smallest id reachable over links, itself included), kept (the id is that of its component) and
-    audit_recall (share of the audited queries' links that the search found).
+    audit_recall (mean share of an audited query's links that the search found, the lower one of queries with few and with
+    many links; 1 if all vectors were compared).
 
     Vectors that are null, empty, zero or hold a null, NaN or infinite component, and vectors with a null label, link
     with nothing; so do vectors of unequal lengths.  Repeated rows are copies that link with each other.  A row with a
@@ -316,14 +323,15 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     count = nodes.count()
     centroids = _centroids(nodes, count)
     overlap, beam = OVERLAP, BEAM
-    for attempt in range(TRIES):
-        cells = stored(_cells(nodes, centroids, overlap).withColumn("group", F.xxhash64("label", F.size("x"), "cell")), "cells")
+    for attempt in range(TRIES + 1):
+        exact = attempt == TRIES  # one cell a label: all blocks meet
+        cells = stored(_cells(nodes, {} if exact else centroids, overlap).withColumn("group", F.xxhash64("label", F.size("x"), "cell")), "cells")
         sizes = cells.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("blocks"))
         shards = stored(cells.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))), "shards")
-        found = stored(_search(shards, stored(_build(shards), "graph"), least, beam), "found")
+        found = stored(_search(shards, None if exact else stored(_build(shards), "graph"), least, beam), "found")
         counted = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-        recall = _audit(nodes, counted, count, least)
-        if recall >= MIN_RECALL:
+        recall, whole = (1.0, 1.0) if exact else _audit(nodes, counted, count, least)
+        if min(recall, whole) >= MIN_RECALL:
             break
         overlap, beam = 2 * overlap, 2 * beam
     comps = stored(connected_components(found.where("b is not null").select("a", "b")), "components")

@@ -88,6 +88,24 @@ def test_links_over_a_cell_border_count_for_both_ends(spark, frame, monkeypatch)
     assert {a.a: a.n for a in found.collect()} == dict(enumerate(want.tolist()))
 
 
+def test_dense_group_does_not_hide_lost_pairs(frame, monkeypatch):
+    r = np.random.default_rng(3)
+    heart = r.normal(size=16)
+    dense = [(heart + r.normal(size=16) * 0.1).tolist() for _ in range(120)]
+    ends = V.unit_rows(np.repeat(r.normal(size=(30, 16)), 2, axis=0) + r.normal(size=(60, 16)) * 0.1)  # pairs
+    rows = [(i, 1, v) for i, v in enumerate(dense + ends.tolist())]
+    want = brute(rows)
+    assert sum(n > V.DENSE for _, n, _ in want) > 100 and sum(0 < n < 5 for _, n, _ in want) > 40
+    # a cell for each end of a pair, and no second try
+    monkeypatch.setattr(V, "_centroids", lambda nodes, count: {("1", 16): np.vstack((V.unit_rows(heart[None]), ends))})
+    monkeypatch.setattr(V, "OVERLAP", 1)
+    monkeypatch.setattr(V, "TRIES", 1)
+    monkeypatch.setattr(V, "SHARD", 50)
+    df = frame(rows, "vec_id long, label int, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id, x.audit_recall) for x in V.near_vectors(df).collect()}
+    assert got == {i: (n, c, 1.0) for i, n, c in want}
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(frame):
     a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     rows = [(1, 7, a, 5, "x"), (1, 7, a, 5, "x"), (None, 7, a, 5, "x"), (None, 7, b, 5, "x"), (3, 7, [2.0, 0.0, 0.0], 5, "x")]
