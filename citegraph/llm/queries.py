@@ -17,11 +17,14 @@ from citegraph.llm.merkle import folded_roots, leaf_digest, merkle_manifest
 from citegraph.llm.mixing import mix_sources
 from citegraph.llm.ngram_join import ngram_jaccard_components
 from citegraph.llm.quality import quality_by_perplexity
+from citegraph.llm.token_counts import token_counts
 from citegraph.llm.token_files import token_output
 from citegraph.llm.vector_graph import near_vectors
 
 #: id that ends a document in the token files
 END_ID = 2
+#: tokens above which a document does not fit one context
+TOKEN_LIMIT = 2048
 
 
 def vocabulary(name: str) -> str:
@@ -79,6 +82,11 @@ def op10_token_output(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
 
 
+def op12_token_counts(spark, sf_dir):
+    counts = token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op13_merkle_manifest(spark, sf_dir):
     """Some texts are tampered with (their line ends deleted); their leaves no longer fold to the root."""
     docs = table(spark, sf_dir, "documents")
@@ -100,5 +108,6 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_output": op10_token_output,
+    "op12_token_counts": op12_token_counts,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
