@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citegraph.llm.chat_format import chat_digests
 from citegraph.llm.common import table
 from citegraph.llm.decontaminate import contained_items
+from citegraph.llm.hard_negatives import hard_negatives
 from citegraph.llm.html_text import extract_pages
 from citegraph.llm.language_id import held_out, predict, train
 from citegraph.llm.lm_scoring import backoff_scores
@@ -82,6 +83,12 @@ def op10_token_output(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
 
 
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 def op12_token_counts(spark, sf_dir):
     counts = token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -108,6 +115,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_output": op10_token_output,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_counts": op12_token_counts,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
