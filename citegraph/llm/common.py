@@ -6,7 +6,9 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from citegraph.session import scratch_path
 
@@ -31,7 +33,22 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables behind their last reader."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct: what an operator adds beside it cannot clash with their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def text_runs(sizes: list[int], most: int) -> Iterator[range]:
@@ -68,7 +85,7 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return run
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """`f` over each Arrow batch of `df`; results that are None are skipped."""
 
     def each(batches):

@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from citegraph.llm.common import map_batches, short_batches
 
@@ -138,7 +139,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns `keep` of `docs` with lang_pred and score (the predicted language's posterior probability), which
-    replace columns of these names.
+    replace columns of these names (in any case).
 
     Whole texts are scored, whatever their length.  A null text or one without a letter, or a model without
     languages, gives `und` with score 0; equal scores give the alphabetically first language."""
@@ -158,9 +159,8 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") ->
             score[known] = 1 / np.exp(s - s[np.arange(len(s)), best][:, None]).sum(axis=1)
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
-    cols = docs.select(*[F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score")], F.col(text_col).cast("string").alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]]
-    return map_batches(cols, label, ", ".join([*kinds, "lang_pred string", "score double"]))
+    cols = docs.select(*[F.col(f"`{c}`") for c in keep if c.lower() not in ("lang_pred", "score")], F.col(text_col).cast("string").alias("_text"))
+    return map_batches(cols, label, StructType([*cols.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):

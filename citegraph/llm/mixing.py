@@ -101,14 +101,16 @@ def mix_sources(
 
     A null source is a source of its own.  Documents without words cost nothing and their source's passes hold
     them like any other; a source of such documents only is passed once.  Repeated rows, and rows with one id, lie
-    in one block and are taken in the order of their length.  Null ids count as the empty id.  An empty table gives no rows.
+    in one block and are taken in the order of their length, then of their texts' hashes.  Rows with a null id are told apart
+    by their texts.  An empty table gives no rows.
     The limits bind sources, not documents: with the default budget every document is used in the first pass.
     """
     short_batches(docs.sparkSession)
-    id_text, name = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    text_mark = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    id_text, name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text|"), text_mark)), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_text.alias("id"), name.alias("source"),
-        n_words(F.col(text_col).cast("string")).alias("n_tokens"), F.substring(_md5(seed, id_text), 1, 3).alias("block"),
+        text_mark.alias("mark"), n_words(F.col(text_col).cast("string")).alias("n_tokens"), F.substring(_md5(seed, id_text), 1, 3).alias("block"),
     )
     blocks = stored(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens")), "blocks")  # at most `BLOCKS` rows a source
     plan = source_budgets(blocks, target_entropy, max_repeats, budget)
@@ -122,7 +124,7 @@ def mix_sources(
     plan = stored(plan.join(cut, "source", "left").select("source", "full", F.col("c.draw").alias("last"), "c.room"), "plan")
 
     ready = rows.join(plan, "source").withColumn("draw", draw)
-    by_doc = Window.partitionBy("source").orderBy(_md5(seed, (F.col("full") + 1).cast("string"), F.col("id")), "n_tokens")
+    by_doc = Window.partitionBy("source").orderBy(_md5(seed, (F.col("full") + 1).cast("string"), F.col("id")), "n_tokens", "mark")
     edge = ready.where("draw = last").withColumn("upto", F.sum("n_tokens").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     edge = edge.withColumn("times", F.col("full") + (F.col("upto") <= F.col("room")).cast("int")).drop("upto")
     rest = ready.where("not (draw <=> last)").withColumn("times", F.col("full") + F.coalesce(F.col("draw") < F.col("last"), F.lit(False)).cast("int"))

@@ -15,24 +15,25 @@ segments, and each fragment can be worked on without the others:
    empty segments, and such sets send keys for empty segments too: no link is lost.
 2. *Filter.*  Each set carries the parities of its shingles in ``B`` cells.  Two parity
    vectors differ in at most as many cells as the sets differ in shingles, so a
-   distance above ``D`` rules a pair out exactly, within the task and without emitting it.
+   distance above ``D`` rules a pair out exactly.
 3. *Counting.*  For the remaining pairs each fragment's overlap is counted on its own
    and the partial counts are summed per pair; the pair links if the sum says so.
 
 Identical sets are one class from the start.  Inside a key's group no full set of pairs is
-emitted: first each member is paired with its smallest possible partner only and verified
+emitted: first each node is paired with one other only, the head (smallest member) of most of its groups, and verified
 links are contracted to components; then only pairs that lie in different components
-are tried.
+are tried.  Small groups send pairs, which are merged before parities are attached, once a pair; members of large
+groups carry their parities and are compared in the task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import map_batches, short_batches, stored, tidy
+from citegraph.llm.common import discard, map_batches, short_batches, stored, tidy, whole_row
 from citegraph.llm.components import connected_components
 from citegraph.llm.shingles import mix, shingle_set
 
@@ -42,10 +43,10 @@ CLASS_RATIO = 1.5
 COUNT_FRAGMENTS = 8
 #: rows of a large group that are compared with as many others at once
 BLOCK = 512
-#: members of a key's group that are compared in one task
-GROUP = 4096
-#: members of a key's group up to which groups are compared together
-SMALL = 40
+#: members of a key's group that are compared in one task, and members of a head that are counted in one task
+GROUP = 512
+#: members of a key's group up to which its pairs are emitted before they are compared
+SMALL = 32
 
 
 def min_overlap(size_a, size_b, pct: int):
@@ -144,33 +145,35 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int) ->
 
 
 def _shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, node) of the keys that at least two nodes have.  Rows arrive sorted by key and node;
-    a task keeps one row back, whatever the size of a key's group."""
+    """(key, node, head) of the keys that at least two nodes have; head is the smallest of them.  Rows arrive sorted by
+    key and node; a task keeps one row back, whatever the size of a key's group."""
 
     def run(batches):
-        last_key = last_node = None
-        open_run = False  # whether the last row's run has been sent already
+        last = None  # key, node and head of the last row, and whether it has been sent
         for b in batches:
             if not b.num_rows:
                 continue
             key, node = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            if last_key is not None:
-                key, node = np.concatenate(([last_key], key)), np.concatenate(([last_node], node))
+            if last is not None:
+                key, node = np.concatenate(([last[0]], key)), np.concatenate(([last[1]], node))
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # repeated rows once
-            first_sent = open_run
             key, node = key[new], node[new]
-            same = np.concatenate((key[1:] == key[:-1], [False]))  # as the next row
-            shared = same.copy()
-            shared[1:] |= same[:-1]
-            last_key, last_node = key[-1], node[-1]
-            if first_sent:  # row 0 was sent with the batch before; what follows it in its run is shared
-                shared[0] = False
-            open_run = bool(shared[-1]) or (first_sent and len(key) == 1)
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            at = np.flatnonzero(first)
+            head = np.repeat(node[at], np.diff(np.append(at, len(key))))
+            same = np.append(~first[1:], False)  # as the next row
+            shared = same | ~first
+            if last is not None:
+                head[: at[1] if len(at) > 1 else len(key)] = last[2]
+                shared[0] = shared[0] and not last[3]
+            sent = bool(shared[-1]) or (last is not None and last[3] and len(key) == 1)
+            last = key[-1], node[-1], head[-1], sent
             if shared.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(node[shared])], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (key, node, head)], names=["key", "node", "head"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "key long, node long, head long")
 
 
 def _folded(parity: list[bytes], width: np.ndarray) -> np.ndarray:
@@ -185,154 +188,177 @@ def _folded(parity: list[bytes], width: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs_of_groups(comp, side, node, n, parity, starts, pct: int, all_pairs: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Possible pairs (rows of the smaller and the larger node) of small groups, all groups at once.  A first
-    comparison of a few words per row leaves few pairs for the whole vectors."""
-    size = np.diff(starts)
-    words = np.fromiter(map(len, parity), np.int64, len(parity)) // 8
-    width = np.repeat(np.minimum(np.minimum.reduceat(words, starts[:-1]), 8), size)
-    short = _folded(parity, width)
-    found = []
-    place = np.arange(len(node)) - np.repeat(starts[:-1], size)
-    for d in range(1, int(size.max())):  # rows d apart in one group
-        y = np.flatnonzero(place >= d)
-        x = y - d
-        ask = (side[x] < 0) | (side[x] != side[y])
-        if all_pairs:
-            ask &= comp[x] != comp[y]
-        x, y = x[ask], y[ask]
-        need = max_difference(n[x], n[y], pct)
-        keep = (need >= 0) & (np.bitwise_count(short[x] ^ short[y]).sum(axis=1) <= need)
-        found.append((x[keep], y[keep], need[keep]))
-    x, y, need = (np.concatenate(z) for z in zip(*found))
-    both = np.minimum(words[x], words[y])
-    ok = np.zeros(len(x), bool)
-    for i in range(0, len(x), BLOCK):  # whole vectors of one block of pairs
-        part = slice(i, i + BLOCK)
-        a, b = _folded([parity[j] for j in x[part]], both[part]), _folded([parity[j] for j in y[part]], both[part])
-        ok[part] = np.bitwise_count(a ^ b).sum(axis=1) <= need[part]
-    x, y = x[ok], y[ok]
-    if not all_pairs:  # the smallest partner of each larger node
-        order = np.lexsort((x, y))
-        x, y = x[order], y[order]
-        first = np.diff(y, prepend=-1) > 0
-        x, y = x[first], y[first]
-    return [(node[x], node[y])]
-
-
-def _pairs_of_group(comp, side, node, n, parity, pct: int, all_pairs: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The same for one large group, by blocks of rows against blocks of earlier rows."""
+def _pairs_of_group(comp, side, node, n, parity, pct: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs (the smaller and the larger node) of different components in one large group, by blocks of rows
+    against blocks of earlier rows."""
     words = np.fromiter(map(len, parity), np.int64, len(parity)) // 8
     par, found = _folded(parity, np.full(len(parity), words.min())), []
     for i in range(0, len(node), BLOCK):
-        lone = np.ones(min(BLOCK, len(node) - i), bool)  # without a partner so far
         for j in range(0, i + 1, BLOCK):
             x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
             need = max_difference(n[x][:, None], n[y][None, :], pct)
-            ok = (need >= 0) & (node[x][:, None] > node[y][None, :])
+            ok = (need >= 0) & (node[x][:, None] > node[y][None, :]) & (comp[x][:, None] != comp[y][None, :])
             ok &= (side[x][:, None] < 0) | (side[x][:, None] != side[y][None, :])
-            if all_pairs:
-                ok &= comp[x][:, None] != comp[y][None, :]
             far = np.zeros(need.shape, np.int64)
             for w in range(par.shape[1]):
                 far += np.bitwise_count(par[x, w][:, None] ^ par[y, w][None, :])
-            ok &= far <= need
-            if all_pairs:
-                r, c = np.nonzero(ok)
-            else:
-                r = np.flatnonzero(ok.any(axis=1) & lone)
-                c = ok[r].argmax(axis=1)
-                lone[r] = False
+            r, c = np.nonzero(ok & (far <= need))
             found.append((node[y][c], node[x][r]))
     return found
 
 
-def _possible_pairs(shared: DataFrame, sets: DataFrame, pct: int, all_pairs: bool) -> DataFrame:
-    """(a, b) with a < b within each key's group of `shared` (key, node, comp) that sizes and parities in `sets` (node, n, parity)
-    allow.  Without `all_pairs`: for each member its smallest possible partner only (of a split group's first
-    block); with it: all pairs of different components.
-
-    A group of more than `GROUP` members is split into blocks by a hash of the member, and pairs of blocks
-    become groups of their own, so that no task holds more than about twice `GROUP` members at once."""
-
-    def flush(rows: pa.Table):
-        key = rows.column(0).to_numpy()
-        comp, side, node, n = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
-        parity = rows.column(5).to_pylist()
-        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        size = np.diff(starts)
-        found = []
-        small = np.repeat((size > 1) & (size <= SMALL), size)
-        if small.any():
-            at = np.flatnonzero(small)
-            ends = np.concatenate(([0], np.cumsum(size[(size > 1) & (size <= SMALL)])))
-            found += _pairs_of_groups(comp[at], side[at], node[at], n[at], [parity[i] for i in at], ends, pct, all_pairs)
-        for g in np.flatnonzero(size > SMALL):
-            s = slice(starts[g], starts[g + 1])
-            found += _pairs_of_group(comp[s], side[s], node[s], n[s], parity[s], pct, all_pairs)
-        a, b = (np.concatenate([np.empty(0, np.int64), *z]) for z in zip(*found)) if found else ([], [])
-        if len(a):
-            pairs = np.unique(np.stack((a, b), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _groups(batches):
+    """Tables of rows whose groups (equal first columns) are whole, for rows that arrive sorted."""
+    kept: list[pa.RecordBatch] = []  # of the open group
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        start = int(np.searchsorted(key, key[-1]))  # of the last group, which may go on
+        if kept and start == 0 and kept[0].column(0)[0].as_py() == key[-1]:
+            kept.append(batch)
+            continue
+        if kept or start:
+            yield pa.Table.from_batches([*kept, batch.slice(0, start)])
+        kept = [batch.slice(start)]
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
+
+def _few_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of different components within each small group of `rows` (key, node, comp)."""
 
     def run(batches):
-        kept: list[pa.RecordBatch] = []  # of the open group
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            start = int(np.searchsorted(key, key[-1]))  # of the last group, which may go on
-            if kept and start == 0 and kept[0].column(0)[0].as_py() == key[-1]:
-                kept.append(batch)
-                continue
-            if kept or start:
-                yield from flush(pa.Table.from_batches([*kept, batch.slice(0, start)]))
-            kept = [batch.slice(start)]
-        if kept:
-            yield from flush(pa.Table.from_batches(kept))
-
-    large = shared.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).alias("blocks"))
-    dealt = shared.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
-    first = F.array(F.lit(0).cast("long"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    if not all_pairs:
-        others = F.when(F.col("block") == 0, others).otherwise(first)
-    dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), first).otherwise(others)))
+        for part in _groups(batches):
+            key, node, comp = (part.column(i).to_numpy() for i in range(3))
+            starts = _starts(key)
+            size = np.diff(starts)
+            place, found = np.arange(len(key)) - np.repeat(starts[:-1], size), []
+            for d in range(1, int(size.max())):  # rows d apart in one group
+                y = np.flatnonzero(place >= d)
+                y = y[comp[y] != comp[y - d]]
+                found.append(np.stack((node[y - d], node[y]), axis=1))
+            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.select("key", "node", "comp").repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs that sizes and parities in `sets` (node, n, parity) allow."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        n_a, n_b = b.column(2).to_numpy(), b.column(4).to_numpy()
+        need, ok = max_difference(n_a, n_b, pct), np.zeros(b.num_rows, bool)
+        par_a, par_b = b.column(3).to_pylist(), b.column(5).to_pylist()
+        at = np.flatnonzero(need >= 0)
+        if len(at):
+            x, y = [par_a[i] for i in at], [par_b[i] for i in at]
+            width = np.minimum(np.fromiter(map(len, x), np.int64, len(at)), np.fromiter(map(len, y), np.int64, len(at))) // 8
+            ok[at] = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(axis=1) <= need[at]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    one, two = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("par_a")), sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("par_b"))
+    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "par_a", "n_b", "par_b"), run, "a long, b long")
+
+
+def _many_pairs(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The possible pairs (a, b), a < b, of different components within each large group of `rows` (key, node, comp, count).
+
+    Members carry their parities.  A group of more than `GROUP` members is split into blocks by a hash of the member, and
+    pairs of blocks become groups of their own, so that no task holds more than about twice `GROUP` members at once."""
+
+    def run(batches):
+        for part in _groups(batches):
+            key, comp, side, node, n = (part.column(i).to_numpy() for i in range(5))
+            parity, starts = part.column(5).to_pylist(), _starts(key)
+            for s in map(slice, starts[:-1], starts[1:]):
+                pairs = np.concatenate([np.stack(p, axis=1) for p in _pairs_of_group(comp[s], side[s], node[s], n[s], parity[s], pct)])
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    blocks = F.ceil(F.col("count") / GROUP)
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(
-        F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "comp",
-        F.when(F.col("blocks").isNull() | (F.col("block") == F.col("other")), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"), "node",
+        F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "comp",
+        F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"), "node",
     )
     out = dealt.join(sets, "node").select("key", "comp", "side", "node", "n", "parity").repartition("key").sortWithinPartitions("key", "node")
     return out.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, pct: int) -> DataFrame:
-    """The pairs that link: overlaps are counted fragment by fragment and summed per pair."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = stored(reps.select("node", "doc").join(nodes, "node", "left_semi").select("doc"), "verified")  # a short list is broadcast
+    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair.
+
+    Each set travels once for each pair that it is `b` of, and once for all pairs that it is `a` of; a head `a` of
+    more than `GROUP` pairs is dealt over several tasks."""
+    many = pairs.groupBy("a").count().where(F.col("count") > GROUP).select("a", F.ceil(F.col("count") / GROUP).alias("blocks"))
+    dealt = pairs.join(many, "a", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")), F.lit(0)))
+    parts = dealt.select(F.col("b").alias("node"), F.col("a").alias("head"), "block").union(dealt.select(F.col("a").alias("node"), "a", "block").distinct())
+    parts = stored(parts.join(reps.select("node", "doc"), "node"), "parts")
+    ids = stored(parts.select("doc").distinct(), "verified")  # a short list is broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(ids, "doc", "left_semi")
 
-    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batches):
         np.seterr(over="ignore")
-        node, frag, size, seg = [], [], [], []
-        for text in b.column(1):
-            s = shingle_set(text.as_py(), k)
-            i = node_of(set_class(s))
-            at = segments(s, COUNT_FRAGMENTS)
-            for f in range(COUNT_FRAGMENTS):
-                node.append(i)
-                frag.append(f)
-                size.append(len(s))
-                seg.append(s[at[f] : at[f + 1]].view(np.int64))
-        arrays = [pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.array(size, pa.int64()), pa.array(seg, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["node", "fragment", "size", "seg"])
-
-    segs = map_batches(texts, cut, "node long, fragment int, size long, seg array<long>").dropDuplicates(["node", "fragment"])
-    segs = stored(segs, "segments")
-    one = segs.select(F.col("node").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("seg").alias("seg_a"))
-    two = segs.select(F.col("node").alias("b"), "fragment", F.col("size").alias("size_b"), F.col("seg").alias("seg_b"))
-    partial = pairs.join(one, "a").join(two, ["b", "fragment"])
-    partial = partial.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("seg_a", "seg_b")).alias("part"))
+        last, sent = (None, None, None), set()
+        for b in batches:
+            head, block, frag, member, node, size, seg = [], [], [], [], [], [], []
+            for text, i, h, part in zip(b.column(0).to_pylist(), *(b.column(j).to_pylist() for j in (1, 2, 3))):
+                if text != last[0]:  # a text's parts often follow each other
+                    s = shingle_set(text, k)
+                    last, sent = (text, node_of(set_class(s)), s), set()
+                if last[1] != i or (h, part) in sent:  # another text of a repeated id, or a repeated row
+                    continue
+                sent.add((h, part))
+                at = segments(last[2], COUNT_FRAGMENTS)
+                for f in range(COUNT_FRAGMENTS):
+                    head.append(h)
+                    block.append(part)
+                    frag.append(f)
+                    member.append(i != h)
+                    node.append(i)
+                    size.append(len(last[2]))
+                    seg.append(last[2][at[f] : at[f + 1]].view(np.int64))
+            columns = zip((head, block, frag, member, node, size, seg), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["head", "block", "fragment", "member", "node", "size", "seg"])
+
+    def overlaps(batches):
+        key, own, own_size, before = None, None, 0, None  # the head's segment, which comes before its members', and the row before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            head, block, frag, node, size = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+            member, ends, values = b.column(3).to_numpy(zero_copy_only=False), b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
+            out = []
+            again = np.append(False, (head[1:] == head[:-1]) & (block[1:] == block[:-1]) & (frag[1:] == frag[:-1]) & (node[1:] == node[:-1]))
+            again[0] = (head[0], block[0], frag[0], node[0]) == before  # a repeated row that lay in another task
+            before = head[-1], block[-1], frag[-1], node[-1]
+            starts = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (block[1:] != block[:-1]) | (frag[1:] != frag[:-1]))))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+                if (head[s], block[s], frag[s]) != key:
+                    key = head[s], block[s], frag[s]
+                    own, own_size = values[ends[s] : ends[s + 1]].view(np.uint64).copy(), int(size[s])
+                while s < e and not member[s]:
+                    s += 1
+                if s < e:
+                    theirs = values[ends[s] : ends[e]].view(np.uint64)
+                    hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs if len(own) else np.zeros(len(theirs), bool)
+                    part = np.diff(np.concatenate(([0], np.cumsum(hit)))[ends[s : e + 1] - ends[s]])
+                    once = ~again[s:e]
+                    out.append([x[once] for x in (np.full(e - s, key[0]), node[s:e], np.full(e - s, own_size), size[s:e], part)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["a", "b", "size_a", "size_b", "part"])
+
+    asked = texts.join(parts, "doc").select("text", "node", "head", "block").mapInArrow(tidy(cut), "head long, block long, fragment int, member boolean, node long, size long, seg array<long>")
+    key = ("head", "block", "fragment")
+    partial = asked.repartition(*key).sortWithinPartitions(*key, "member", "node").mapInArrow(tidy(overlaps), "a long, b long, size_a long, size_b long, part long")
     whole = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("overlap"))
     return whole.where(f"100 * overlap >= {pct} * (size_a + size_b - overlap)").select("a", "b")
 
@@ -347,24 +373,29 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     component.  Other columns of `docs`, whatever their names, are not read.  An empty table gives no rows.
     """
     short_batches(docs.sparkSession)
-    sig = stored(signatures(docs, id_col, text_col, k, pct), "signatures")
+    wide = stored(signatures(docs, id_col, text_col, k, pct), "signatures")
+    keys = wide.where("doc is not null and n > 0 and keys is not null").select(F.explode("keys").alias("key"), "node")
+    shared = stored(_shared_keys(keys), "shared-keys")
+    sig = stored(wide.drop("keys"), "sets")
+    discard(wide)  # the keys that no other node has are most of it
     full = sig.where("doc is not null and n > 0")
     # classes of equal sets with one document each: partial aggregates, so a hot class is one row per task
     reps = full.groupBy("cls").agg(F.first("node").alias("node"), F.min("doc").alias("doc"), F.max(F.struct("n", "parity")).alias("s"))
     reps = stored(reps.select("cls", "node", "doc", "s.n", "s.parity"), "classes")
-    keys = full.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    shared = stored(_shared_keys(keys), "shared-keys")
     sets = reps.select("node", "n", "parity")
 
-    first = _possible_pairs(shared.withColumn("comp", F.col("node")), sets, pct, all_pairs=False)
-    first = stored(first, "pairs")
-    links = stored(_verified(first, reps, docs, id_col, text_col, k, pct), "links")
+    # each node with the head of most of its groups
+    tried = shared.where("node <> head").groupBy("node", "head").count().groupBy("node").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("a"))
+    tried = stored(_plausible(tried.select("a", F.col("node").alias("b")), sets, pct), "pairs")
+    links = stored(_verified(tried, reps, docs, id_col, text_col, k, pct), "links")
     comps = connected_components(links)
     joined = shared.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = joined.join(mixed, "key", "left_semi")
-    second = _possible_pairs(rest, sets, pct, all_pairs=True).join(first, ["a", "b"], "left_anti")
-    more = _verified(stored(second, "pairs"), reps, docs, id_col, text_col, k, pct)
+    mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("count")).where("lo < hi").select("key", "count")
+    rest = stored(joined.join(mixed, "key"), "mixed")
+    few = _few_pairs(rest.where(F.col("count") <= SMALL)).join(tried, ["a", "b"], "left_anti")
+    more = _plausible(stored(few, "few"), sets, pct).union(_many_pairs(rest.where(F.col("count") > SMALL), sets, pct)).distinct().join(tried, ["a", "b"], "left_anti")
+    more = stored(_verified(stored(more, "more"), reps, docs, id_col, text_col, k, pct), "links")
+    discard(shared, rest)
     # an id that occurs with several texts joins their classes
     split = full.groupBy("doc").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc", "lo")
     same_id = full.join(split, "doc").select("lo", "node")
@@ -376,14 +407,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, pct: int = 90) -> DataFrame:
-    """The rows of `docs` without later copies: of each component one row stays, the one with the smallest id
-    (ties: any one of the identical ids' rows, chosen by text); rows with a null id all stay."""
+    """The rows of `docs` without later copies: of each component one row stays, the one with the smallest id (of rows
+    with that id the one with the first text, null texts last; equal texts: any).
+
+    Rows with a null id all stay, as do null and empty texts and texts without words, whose sets link with nothing, but
+    for repeats of their id.  Columns keep their names, order and values, whatever the names; an empty table stays empty."""
     comp = ngram_jaccard_components(docs, id_col, text_col, k, pct)
     # the ids are written first: with their size known, a short list is broadcast and the texts are not shuffled
     gone = stored(comp.where(f"`{id_col}` <> component_id").select(id_col).distinct(), "gone")
     ids = docs.where(F.col(id_col).isNotNull()).select(id_col).join(gone, id_col, "left_anti")
     twice = stored(ids.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
     left = docs.join(gone, id_col, "left_anti")
-    w = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    repeated = left.join(twice, id_col, "left_semi").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-    return left.join(twice, id_col, "left_anti").unionByName(repeated)
+    same = left.join(twice, id_col, "left_semi").select(F.col(id_col).alias("id"), whole_row(docs).alias("row"), F.struct(F.col(text_col).isNull(), F.col(text_col)).alias("order"))
+    first = same.groupBy("id").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return left.join(twice, id_col, "left_anti").select(whole_row(docs).alias("row")).select("row.*").unionByName(first)

@@ -57,7 +57,7 @@ FROM docs d JOIN items i ON i.sh = d.sh GROUP BY d.doc_id, i.item_id, i.n HAVING
 
 OP9 = r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, source, coalesce('=' || source, '') AS name, substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS block,
+  SELECT doc_id, source, coalesce('=' || source, '') AS name, substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'text|' || md5(coalesce(text, '')))), 1, 3) AS block, md5(coalesce(text, '')) AS mark,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
 sums AS (SELECT name, sum(n_tokens) AS tokens FROM docs GROUP BY name),
 shares AS (SELECT name, CAST(tokens AS BIGINT) AS tokens, tokens / (SELECT sum(tokens) FROM sums) AS p FROM sums WHERE tokens > 0),
@@ -83,7 +83,7 @@ cut AS (SELECT name, min(draw) AS draw, arg_min(room - upto + n, draw) AS room F
 chosen AS (
   SELECT d.*, p.full_passes, c.draw AS last, c.room, md5('mix|' || d.name || '|' || (p.full_passes + 1) || '|' || d.block) AS draw
   FROM docs d JOIN plan p ON p.name = d.name LEFT JOIN cut c ON c.name = d.name),
-edge AS (SELECT doc_id, sum(n_tokens) OVER (PARTITION BY name ORDER BY md5('mix|' || (full_passes + 1) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), n_tokens ROWS UNBOUNDED PRECEDING) <= room AS fits
+edge AS (SELECT doc_id, sum(n_tokens) OVER (PARTITION BY name ORDER BY md5('mix|' || (full_passes + 1) || '|' || coalesce(CAST(doc_id AS VARCHAR), 'text|' || mark)), n_tokens, mark ROWS UNBOUNDED PRECEDING) <= room AS fits
          FROM chosen WHERE draw = last),
 times AS (SELECT c.*, full_passes + CASE WHEN draw < last OR coalesce(e.fits, false) THEN 1 ELSE 0 END AS n FROM chosen c LEFT JOIN edge e ON e.doc_id = c.doc_id)
 SELECT doc_id, source, CAST(unnest(range(1, n + 1)) AS INTEGER) AS epoch, block, n_tokens FROM times

@@ -59,21 +59,22 @@ def brute_mix(rows, target, most, budget, seed=M.SEED):
         left = max(0, math.floor((e - full) * tokens[s] + 1e-6))
         blocks = defaultdict(list)
         for i, t in own:
-            blocks[md5(seed, "" if i is None else str(i))[:3]].append((i, words(t)))
+            name_of = f"text|{hashlib.md5((t or '').encode()).hexdigest()}" if i is None else str(i)
+            blocks[md5(seed, name_of)[:3]].append((i, words(t), name_of, hashlib.md5((t or "").encode()).hexdigest()))
             for k in range(full):
                 out[i, s, k + 1] += 1
         if not left:
             continue
         for b in sorted(blocks, key=lambda b: md5(seed, name, str(full + 1), b)):
-            size = sum(n for _, n in blocks[b])
+            size = sum(n for _, n, _, _ in blocks[b])
             if size > left:
-                for i, n in sorted(blocks[b], key=lambda x: (md5(seed, str(full + 1), "" if x[0] is None else str(x[0])), x[1])):
+                for i, n, _, _ in sorted(blocks[b], key=lambda x: (md5(seed, str(full + 1), x[2]), x[1], x[3])):
                     left -= n
                     if left >= 0:
                         out[i, s, full + 1] += 1
                 break
             left -= size
-            for i, _ in blocks[b]:
+            for i, _, _, _ in blocks[b]:
                 out[i, s, full + 1] += 1
     return out
 
