@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from citegraph.functions import constants as K
 from citegraph.functions.text import histogram_bucket
+from citegraph.operators.sampling import md5_uniform
 
 
 #: columns that hold whole documents
@@ -42,16 +43,32 @@ def dedup_documents(docs: DataFrame, key: str = "id", size: str = "doc_len", tie
 
     ``max_by`` is an aggregate, so each map task keeps one row per key before the
     shuffle (a hot key costs one row per task, not one task for all its rows).  Where there are whole
-    texts (``WIDE``) the winner is chosen on narrow columns and its row joined back by ``tie``, which must be unique then.
+    texts (``WIDE``) the winner is chosen on narrow columns and its row joined back.  ``tie`` need not be unique (a page
+    crawled twice has one id): rows that agree in key, ``tie`` and all narrow columns are merged by their texts.
     Adds ``n_merged`` = documents under the key.
     """
     cols = [c for c in docs.columns if c != key]
     rank = F.struct(F.col(size), F.col(tie))
-    if not set(cols) & set(WIDE):
-        agg = docs.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_best"), F.count(F.lit(1)).alias("n_merged"))
+    narrow = [c for c in cols if c not in WIDE]
+    if len(narrow) == len(cols):
+        agg = docs.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(rank, _mark(cols))).alias("_best"), F.count(F.lit(1)).alias("n_merged"))
         return agg.select(key, "_best.*", "n_merged")
-    best = docs.groupBy(key).agg(F.max_by(F.col(tie), rank).alias(tie), F.count(F.lit(1)).alias("n_merged"))
-    return docs.join(best.select(tie, "n_merged"), tie).select(key, *cols, "n_merged")
+    marked = docs.withColumn("_mark", _mark(narrow))
+    each = marked.groupBy(key, F.col(tie).alias("_tie"), "_mark").agg(F.max(size).alias("_size"), F.count(F.lit(1)).alias("_n"))
+    best = each.groupBy(F.col(key).alias("_key")).agg(
+        F.max_by(F.struct("_tie", "_mark", "_n"), F.struct("_size", "_tie", "_mark")).alias("_b"), F.sum("_n").alias("n_merged")
+    ).select("_key", "_b.*", "n_merged").withColumnRenamed("_mark", "_best_mark")
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(tie).eqNullSafe(F.col("_tie")) & (F.col("_mark") == F.col("_best_mark"))
+    won = marked.join(best, same).select(key, *cols, "n_merged", "_n")
+    # several rows with the winner's narrow columns: one of them, by its texts
+    texts = _mark([c for c in cols if c in WIDE])
+    again = won.where("_n > 1").groupBy(key).agg(F.max_by(F.struct(*cols, "n_merged"), texts).alias("_best")).select(key, "_best.*")
+    return won.where("_n = 1").drop("_n").unionByName(again)
+
+
+def _mark(cols) -> F.Column:
+    """A hash of columns, to order what else is equal."""
+    return F.xxhash64(*cols) if cols else F.lit(0)
 
 
 # ------------------------------------------------------------------ J1/A10/A13 inversion
@@ -70,13 +87,13 @@ def incoming_chunks(docs: DataFrame, edges: DataFrame, key: str = "id", chunk_si
     """``(key, chunk, n_chunks, incoming)``: all citations of every cited document of ``docs`` as
     array<struct<citing_id, pos, title, authors>> ordered by (citing_id, pos).
 
-    A key with more than ``chunk_size`` citations has several rows: its citing documents are dealt over
-    ``n_chunks`` = ceil(count / chunk_size) chunks by their id, so that no value and no task holds a hot key's whole
-    list, and nothing is cut off."""
+    A key with more than ``chunk_size`` citations has several rows: its citations are dealt over
+    ``n_chunks`` = ceil(count / chunk_size) chunks by a hash of document and place (whatever steps the ids have), so that
+    no value and no task holds a hot key's whole list, and nothing is cut off."""
     e = edges.select(F.col("cited_id").alias(key), "citing_id", "pos", F.col("cited_title").alias("title"), "authors")
     n = incoming_counts(edges).select(F.col("cited_id").alias(key), F.ceil(F.col("citations") / chunk_size).alias("n_chunks"))
     n = n.join(docs.select(key), key, "left_semi")
-    dealt = e.join(n, key).withColumn("chunk", F.pmod(F.col("citing_id"), F.col("n_chunks")))
+    dealt = e.join(n, key).withColumn("chunk", F.pmod(md5_uniform("citing_id", "pos"), F.col("n_chunks")))
     return dealt.groupBy(key, "chunk", "n_chunks").agg(F.array_sort(F.collect_list(F.struct("citing_id", "pos", "title", "authors"))).alias("incoming"))
 
 

@@ -1,4 +1,4 @@
-"""The Naive Bayes citation learner as joins and aggregates.
+"""The Naive Bayes citation learner as joins and aggregates.
 
 The original fetched each positive and negative document with one blocking
 remote call.  Here:
@@ -13,16 +13,14 @@ remote call.  Here:
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.functions import constants as K
-from citegraph.functions.text import explode_rows, nb_ngrams, words
+from citegraph.functions.text import explode_rows, nb_ngrams, term_counts, words
 from citegraph.operators.graph import one_per_title
-from citegraph.operators.sampling import random_docs
-from citegraph.session import cut_lineage
+from citegraph.operators.sampling import md5_uniform, random_docs
+from citegraph.session import cut_lineage, scratch_path
 
 GOOD, BAD = K.NB_LABELS
 
@@ -82,9 +80,59 @@ def nb_model(counts: DataFrame, min_count: float = 1.0, total=None) -> DataFrame
     )
 
 
+def ngram_total(mults: DataFrame, docs: DataFrame, key: str = "id", text: str = "text"):
+    """The sum of all counts of ``nb_counts``, as a scalar: a document with n words has n + max(n - 1, 0) n-grams, so
+    word counts per document give it, without the n-gram table."""
+    n = F.size(words(F.col(text))).cast("long")
+    per_doc = mults.groupBy("doc").agg(F.sum("mult").alias("_m")).join(docs.select(F.col(key).alias("doc"), text), "doc")
+    return per_doc.select(F.sum(F.col("_m") * (n + F.greatest(n - 1, F.lit(0)))).cast("double")).scalar()
+
+
 def train(docs: DataFrame, edges: DataFrame, key: str = "id", k: int = K.NB_NEGATIVES_PER_DOC,
-          seed: int = 0) -> DataFrame:
-    """L3+L4 end to end."""
-    # at most two rows per document; the n-gram sums feed the model and its grand total: each written once
-    mults = cut_lineage(training_multiplicities(positives(docs, edges, key), negatives(docs, key, k, seed), key))
-    return nb_model(cut_lineage(nb_counts(mults, docs, key)))
+          seed: int = 0, training: DataFrame | None = None) -> DataFrame:
+    """L3+L4 end to end; with ``training`` (keys) the texts of these documents only are learned from."""
+    mults = training_multiplicities(positives(docs, edges, key), negatives(docs, key, k, seed), key)
+    if training is not None:
+        mults = mults.join(training.select(F.col(key).alias("doc")), "doc", "left_semi")
+    # at most two rows per document, read by the counts and by their total
+    mults = cut_lineage(mults)
+    return nb_model(nb_counts(mults, docs, key), total=ngram_total(mults, docs, key))
+
+
+# ------------------------------------------------------------------ L4 applied
+def write_model(model: DataFrame, path: str) -> None:
+    """The model as a table with one row per n-gram ``(ngram, good, bad)``, dealt and sorted by n-gram."""
+    good, bad = (F.coalesce(F.sum(F.when(F.col("label") == lab, F.col("cnt"))), F.lit(0.0)) for lab in K.NB_LABELS)
+    model.groupBy("ngram").agg(good.alias("good"), bad.alias("bad")).sortWithinPartitions("ngram").write.mode("overwrite").parquet(path)
+
+
+def nb_score(model: DataFrame, docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """``(key, n_ngrams, n_known, log_odds)``: the log odds of the labels for every document, under a written model
+    (``write_model``).
+
+    An n-gram has the probability ``(count + 1) / (N + V + 1)`` under a label, where N is the sum of the label's stored
+    counts and V the number of stored n-grams: the one more stands for all n-grams that training has not kept, so unseen ones have
+    mass.  Every n-gram adds what an unseen one adds, and the known ones their difference to that: only those are
+    joined.  A document's n-grams are counted in its row, so that a frequent n-gram is one row a document; they are joined
+    to the model by n-gram and summed per document.  Null and empty texts have odds 0."""
+    sums = model.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("v"))
+    one = F.coalesce(F.col("good"), F.lit(0.0)) + F.col("v") + 1, F.coalesce(F.col("bad"), F.lit(0.0)) + F.col("v") + 1
+    unseen = sums.select((F.log(one[1]) - F.log(one[0]))).scalar()
+    ratio = F.log(F.col("good") + 1) - F.log(F.col("bad") + 1)  # to an unseen n-gram's odds
+    counted = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("_w")).withColumn("_g", term_counts(nb_ngrams("_w"), "ngram", "n"))
+    found = explode_rows(counted, [key], "_g", "g").select(key, "g.ngram", "g.n")
+    found = found.join(model.select("ngram", ratio.alias("ratio")), "ngram")
+    found = found.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("n_known"), F.sum(F.col("n") * F.col("ratio")).alias("known"))
+    size = F.size("_w").cast("long")
+    whole = counted.select(key, (size + F.greatest(size - 1, F.lit(0))).alias("n_ngrams"))
+    out = whole.join(found, F.col(key) == F.col("_key"), "left")
+    odds = F.col("n_ngrams") * unseen + F.coalesce("known", F.lit(0.0))
+    return out.select(key, "n_ngrams", F.coalesce("n_known", F.lit(0)).alias("n_known"), odds.alias("log_odds"))
+
+
+def score_held_out(docs: DataFrame, edges: DataFrame, key: str = "id", folds: int = 5) -> DataFrame:
+    """``nb_score`` of the documents of one fold (by a hash of their keys) under the model of the others."""
+    fold = F.pmod(md5_uniform(key), F.lit(folds))
+    path = scratch_path(docs.sparkSession, "model")
+    write_model(train(docs, edges, key, training=docs.where(fold != 0)), path)
+    return nb_score(docs.sparkSession.read.parquet(path), docs.where(fold == 0), key)

@@ -16,13 +16,13 @@ from citegraph.session import balance
 
 LINES_PER_PAGE = 40
 
-# --- Fixed values: bibliography line templates (t = cited title) -----------------------
+# bibliography line templates, one a form of the grammar (t = cited title)
 TEMPLATES = {
-    "acm": "L. Lamport and B. Kemme. {t}. In Proceedings, 2004.",
-    "acm_comma": "LAMPORT, L., KEMME, B., AND KARGER, D. {t}. In Proceedings, 2004.",
-    "acm_noisy": "  [17] LAMPORT, L., AND KEMME, B. 1994. {t}\n  (Canal Press, 27, 3), 17-28.",
-    "ieee": "L. Lamport and B. Kemme, “{t}” vol. 1, 2004.",
-    "springer": "Lamport, L., Kemme, B.: {t}. In: Proceedings (2004)",
+    "acm": "O. Niemi and R. Dahl. {t}. Harbour Notes, 2006.",
+    "acm_comma": "NIEMI, O., DAHL, R., AND FERRO, M. {t}. Harbour Notes, 2006.",
+    "acm_noisy": "  [8] NIEMI, O., AND DAHL, R. 2001. {t}\n  (Quay House, 5, 12), 340-352.",
+    "ieee": "O. Niemi and R. Dahl, “{t}” no. 6, 2006.",
+    "springer": "Niemi, O., Dahl, R.: {t}. Harbour Notes (2006)",
 }
 
 
@@ -82,6 +82,14 @@ def refs(paper: DataFrame) -> DataFrame:
     )
 
 
+def delivered_again(paper: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` as of a second delivery: those of every fifth document and second references are gone, and each
+    other document cites itself last."""
+    kept = edges.where("citing_id % 5 <> 0 and pos <> 1")
+    own = paper.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("citing_id"), F.lit(9).alias("pos"), F.col("title").alias("cited_title"))
+    return kept.unionByName(own)
+
+
 def _line(style: str, title) -> F.Column:
     a, b = TEMPLATES[style].split("{t}")
     return F.concat(F.lit(a), title, F.lit(b))
@@ -160,6 +168,10 @@ def layout_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: what a later capture of a page has more: one page with one line
+LAST_LINE = "captured later"
+LAST_PAGE = f'<page number="9999"><text top="80" left="100" width="100" height="12" font="0">{LAST_LINE}</text></page></pdf2xml>'
+
 LONG_COPIES = 60
 
 

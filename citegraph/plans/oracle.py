@@ -7,6 +7,9 @@ window functions, joins and grouping over exploded rows.
 
 from __future__ import annotations
 
+import re
+
+from citegraph.plans.fixtures import LAST_PAGE
 
 def tid(expr: str) -> str:
     """Title key: MD5 of the simplified title (of the title, if that is empty), first 8 bytes as a signed long."""
@@ -51,15 +54,15 @@ def with_graph(body: str) -> str:
 
 
 # expected parse of the rendered bibliography lines (see plans.fixtures.TEMPLATES): authors and style
-_ACM = "'Lamport L.; Kemme B.'"
-_ACM_COMMA = "'KARGER D.; LAMPORT L.; KEMME B.'"
+_ACM = "'Niemi O.; Dahl R.'"
+_ACM_COMMA = "'FERRO M.; NIEMI O.; DAHL R.'"
 _CITATION_EXPECT = {
     "acm": (f"CASE WHEN pos % 2 = 0 THEN {_ACM} ELSE {_ACM_COMMA} END", "'acm'"),
-    "noisy": ("'KEMME B.; LAMPORT L.'", "'acm'"),
-    "ieee": ("'L. Lamport; B. Kemme'", "'ieee'"),
-    "springer": ("'Lamport L.; Kemme B.'", "'springer'"),
+    "noisy": ("'DAHL R.; NIEMI O.'", "'acm'"),
+    "ieee": ("'O. Niemi; R. Dahl'", "'ieee'"),
+    "springer": ("'Niemi O.; Dahl R.'", "'springer'"),
     "best": (
-        f"CASE citing_i % 4 WHEN 0 THEN {_ACM} WHEN 1 THEN {_ACM_COMMA} WHEN 2 THEN 'L. Lamport; B. Kemme' ELSE 'Lamport L.; Kemme B.' END",
+        f"CASE citing_i % 4 WHEN 0 THEN {_ACM} WHEN 1 THEN {_ACM_COMMA} WHEN 2 THEN 'O. Niemi; R. Dahl' ELSE 'Niemi O.; Dahl R.' END",
         "CASE citing_i % 4 WHEN 0 THEN 'acm' WHEN 1 THEN 'acm' WHEN 2 THEN 'ieee' ELSE 'springer' END",
     ),
 }
@@ -398,17 +401,42 @@ LEARN = with_graph(ctes(
 
 ORACLE["nb_positives"] = LEARN + "\nSELECT id, positive_id, mult FROM pos"
 ORACLE["nb_negatives"] = LEARN + "\nSELECT id, draw, sampled_id FROM neg"
-ORACLE["nb_model"] = LEARN + ctes(
-    """mult AS (SELECT positive_id AS doc, 'good-cite' AS label, sum(mult) AS mult FROM pos GROUP BY 1
-             UNION ALL SELECT sampled_id, 'bad-cite', count(*) FROM neg GROUP BY 1)""",
-    "texts AS (SELECT d.id, p.text FROM ded d JOIN papers p ON p.doc_id = d.doc_id)",
-    """w AS (SELECT m.label, m.mult, regexp_extract_all(t.text, '[\\p{L}\\p{N}]+(?:[''’.][\\p{L}\\p{N}]+)*') AS ws
+def stored_once(sql: str) -> str:
+    """Every CTE that others share is computed once, however often it is read."""
+    return re.sub(r"(?m)^( *|WITH |,)(papers|refs|edges|ded|idx|pos|neg|w|g|c|fold) AS \(", r"\1\2 AS MATERIALIZED (", sql)
+
+
+def _nb(training: str) -> str:
+    return LEARN + ctes(
+        f"""
+mult AS (SELECT * FROM (SELECT positive_id AS doc, 'good-cite' AS label, sum(mult) AS mult FROM pos GROUP BY 1
+             UNION ALL SELECT sampled_id, 'bad-cite', count(*) FROM neg GROUP BY 1){training})""",
+        "texts AS (SELECT d.id, p.text FROM ded d JOIN papers p ON p.doc_id = d.doc_id)",
+        f"""
+w AS (SELECT m.label, m.mult, regexp_extract_all(t.text, '{_NB_WORD}') AS ws
           FROM mult m JOIN texts t ON t.id = m.doc)""",
-    """g AS (SELECT label, mult, unnest(ws) AS ngram FROM w
+        """
+g AS (SELECT label, mult, unnest(ws) AS ngram FROM w
           UNION ALL SELECT label, mult, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) FROM w)""",
-    "c AS (SELECT label, ngram, CAST(sum(mult) AS DOUBLE) AS cnt FROM g GROUP BY 1, 2)",
-    "tot AS (SELECT sum(cnt) AS total FROM c)",
-) + "\nSELECT label, ngram, cnt, total, cnt / total AS weight FROM c, tot WHERE cnt > 1"
+        """
+c AS (SELECT label, ngram, CAST(sum(mult) AS DOUBLE) AS cnt FROM g GROUP BY 1, 2)""",
+        "tot AS (SELECT sum(cnt) AS total FROM c)",
+    )
+
+
+_NB_WORD = "[\\p{L}\\p{N}]+(?:[''’.][\\p{L}\\p{N}]+)*"
+_FOLD = "CAST('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 15) AS UBIGINT) % 5"
+ORACLE["nb_model"] = stored_once(_nb("") + "\nSELECT label, ngram, cnt, total, cnt / total AS weight FROM c, tot WHERE cnt > 1")
+ORACLE["nb_score"] = stored_once(_nb(" WHERE " + _FOLD.format(x="doc") + " <> 0") + ctes(
+    "m AS (SELECT ngram, coalesce(sum(cnt) FILTER (WHERE label = 'good-cite'), 0) AS good, coalesce(sum(cnt) FILTER (WHERE label = 'bad-cite'), 0) AS bad FROM c WHERE cnt > 1 GROUP BY 1)",
+    "s AS (SELECT ln(sum(bad) + count(*) + 1) - ln(sum(good) + count(*) + 1) AS unseen FROM m)",
+    f"hw AS (SELECT id, regexp_extract_all(text, '{_NB_WORD}') AS ws FROM texts WHERE " + _FOLD.format(x="id") + " = 0)",
+    "hg AS (SELECT id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]))) AS ngram FROM hw)",
+    "k AS (SELECT id, count(*) AS n, sum(ln(good + 1) - ln(bad + 1)) AS known FROM hg JOIN m USING (ngram) GROUP BY 1)",
+) + """
+SELECT hw.id, CAST(len(ws) + greatest(len(ws) - 1, 0) AS BIGINT) AS n_ngrams, coalesce(k.n, 0) AS n_known,
+       round((len(ws) + greatest(len(ws) - 1, 0)) * s.unseen + coalesce(k.known, 0), 6) AS log_odds
+FROM hw CROSS JOIN s LEFT JOIN k ON k.id = hw.id""")
 
 
 # ------------------------------------------------------------------ index and search
@@ -553,8 +581,8 @@ def _nodes_from(source: str) -> str:
     return NODES.replace("FROM documents))", f"FROM {source}))")
 
 
-_BIB_LINE = ("CASE WHEN pos % 2 = 0 THEN 'L. Lamport and B. Kemme. ' || cited_title || '. In Proceedings, 2004.' "
-             "ELSE 'LAMPORT, L., KEMME, B., AND KARGER, D. ' || cited_title || '. In Proceedings, 2004.' END")
+_BIB_LINE = ("CASE WHEN pos % 2 = 0 THEN 'O. Niemi and R. Dahl. ' || cited_title || '. Harbour Notes, 2006.' "
+             "ELSE 'NIEMI, O., DAHL, R., AND FERRO, M. ' || cited_title || '. Harbour Notes, 2006.' END")
 
 _EXTRACT = ctes(
     f"bibs AS (SELECT citing_id AS doc_id, string_agg({_BIB_LINE}, chr(10) ORDER BY pos) AS bib FROM edges GROUP BY 1)",
@@ -586,6 +614,29 @@ SELECT m.id, m.doc_id, m.title, m.n_merged, coalesce(c.n, 0) AS citations,
 FROM merged m LEFT JOIN cites c ON c.cited_id = m.id""").replace("sized AS (", XML_LEN.strip().replace("xml_len AS", "xml_chars AS").replace("strlen(", "length(") + ",\nsized AS (", 1)
 
 
+# every third document again with one more page, every fifth again unchanged: the copies' citations count, their keys do not
+ORACLE["recrawled_records"] = with_graph(_EXTRACT + f""",
+good AS (SELECT t.doc_id, t.title, {tid('t.title')} AS id FROM doc_title t WHERE length(t.title) >= 5),
+caps AS (SELECT g.*, x.n + CASE WHEN k = 1 THEN {len(LAST_PAGE) - len("</pdf2xml>")} ELSE 0 END AS size, k
+         FROM good g JOIN xml_chars x ON x.doc_id = g.doc_id, (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR (k = 1 AND g.doc_id % 3 = 0) OR (k = 2 AND g.doc_id % 5 = 0)),
+merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY size DESC, doc_id DESC) AS rn, count(*) OVER (PARTITION BY id) AS n_merged FROM caps) WHERE rn = 1),
+cites AS (SELECT e.cited_id, count(*) AS n FROM edges e JOIN caps g ON g.doc_id = e.citing_id GROUP BY 1)
+SELECT m.id, m.doc_id, m.title, m.n_merged, coalesce(c.n, 0) AS citations, m.k = 1 AS longest
+FROM merged m LEFT JOIN cites c ON c.cited_id = m.id""").replace("caps AS (", XML_LEN.strip().replace("xml_len AS", "xml_chars AS").replace("strlen(", "length(") + ",\ncaps AS (", 1)
+
+
+# the final contents of the epochs, inverted from scratch (references are numbered anew in each bibliography)
+ORACLE["incremental_inversion"] = with_graph(f""",
+kept AS (SELECT citing_id, pos, cited_title FROM refs WHERE citing_id % 3 <> 1 OR (citing_id % 5 <> 0 AND pos <> 1)
+         UNION ALL SELECT doc_id, 9, title FROM papers WHERE doc_id % 3 = 1 AND doc_id % 5 <> 0),
+fedges AS (SELECT citing_id, row_number() OVER (PARTITION BY citing_id ORDER BY pos) - 1 AS pos, {tid('cited_title')} AS cited_id FROM kept),
+fdocs AS (SELECT doc_id, title, id, CASE WHEN doc_id % 3 = 1 AND doc_id % 7 = 0 THEN n_chars * 3 ELSE n_chars END AS size FROM papers WHERE doc_id % 3 <> 1 OR doc_id % 5 <> 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY size DESC, doc_id DESC) AS rn, count(*) OVER (PARTITION BY id) AS n_merged FROM fdocs) WHERE rn = 1),
+c AS (SELECT cited_id, count(*) AS n, CAST(sum(citing_id * 7 + pos) AS BIGINT) AS mark FROM fedges GROUP BY 1)
+SELECT b.id, b.doc_id, b.title, b.n_merged, coalesce(c.n, 0) AS citations, coalesce(c.n, 0) AS n_listed, coalesce(c.mark, 0) AS mark
+FROM best b LEFT JOIN c ON c.cited_id = b.id""")
+
+
 # ------------------------------------------------------------------ node table, nested lists, report lines
 ORACLE["layout_nodes"] = "WITH " + NODES + """
 SELECT doc_id, page, CAST(node_id AS INTEGER) AS node_id, lft AS "left", width, top, height,
@@ -593,16 +644,22 @@ SELECT doc_id, page, CAST(node_id AS INTEGER) AS node_id, lft AS "left", width,
        CASE WHEN i = 0 THEN 1 ELSE 0 END AS font_id, i = 0 AS bold, font_size, text
 FROM nodes"""
 
+def chunk_of(citing: str, pos: str) -> str:
+    """The chunk of `n_chunks` into which a citation is dealt."""
+    return f"CAST(CAST('0x' || substr(md5(CAST({citing} AS VARCHAR) || ':' || CAST({pos} AS VARCHAR)), 1, 15) AS UBIGINT) % n_chunks AS BIGINT)"
+
+
 ORACLE["incoming_lists"] = with_graph(ctes(
-    """every AS (SELECT citing_id, pos, cited_id, cited_title FROM edges
-              UNION ALL SELECT p.doc_id, 100, f.id, f.title FROM papers p, (SELECT id, title FROM papers WHERE i = 0) f)""",
+    """every AS (SELECT citing_id * 3000 AS citing_id, pos, cited_id, cited_title FROM edges
+              UNION ALL SELECT p.doc_id * 3000, 100, f.id, f.title FROM papers p, (SELECT id, title FROM papers WHERE i = 0) f)""",
     """lst AS (SELECT cited_id AS id, citing_id, pos, cited_title, CAST(ceil(count(*) OVER (PARTITION BY cited_id) / 1000.0) AS BIGINT) AS n_chunks
             FROM every WHERE cited_id IN (SELECT id FROM ded))""",
+    f"dealt AS (SELECT *, {chunk_of('citing_id', 'pos')} AS chunk FROM lst)",
 ) + """
-SELECT id, citing_id % n_chunks AS chunk, n_chunks, CAST(count(*) AS INTEGER) AS n_listed,
+SELECT id, chunk, n_chunks, CAST(count(*) AS INTEGER) AS n_listed,
        arg_min(citing_id, citing_id * 1000 + pos) AS first_citing, CAST(arg_min(pos, citing_id * 1000 + pos) AS INTEGER) AS first_pos,
-       CAST(sum(citing_id % 1000) AS BIGINT) AS citing_mod_sum, md5(string_agg(cited_title, '|' ORDER BY citing_id, pos)) AS titles_md5
-FROM lst GROUP BY 1, 2, 3""")
+       CAST(sum(citing_id % 1001) AS BIGINT) AS citing_mod_sum, md5(string_agg(cited_title, '|' ORDER BY citing_id, pos)) AS titles_md5
+FROM dealt GROUP BY 1, 2, 3""")
 
 ORACLE["matches_all"] = with_graph("""
 SELECT citing_id, cited_id, count(*) AS n FROM (SELECT citing_id, cited_id FROM edges UNION ALL SELECT citing_id, cited_id FROM edges WHERE pos = 0)

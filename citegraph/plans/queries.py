@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from citegraph.functions import constants as K
 from citegraph.functions.text import extract_year, title_id, token_flags
 from citegraph.operators import graph as G
+from citegraph.operators.incremental import Inversion
 from citegraph.operators.citations import extract_citations
 from citegraph.operators import index as Q
 from citegraph.operators import learn as L
@@ -231,6 +232,40 @@ def q_pipeline_records(spark, sf):
     return inv.join(listed, "id", "left").withColumn("n_listed", F.coalesce("n_listed", F.lit(0)))
 
 
+def q_recrawled_records(spark, sf):
+    """D6 over pages that were crawled again: every third document a second time with a longer text, every fifth a second
+    time unchanged, under the same ids.  One document stays per key; the citations of all captures count."""
+    root = scratch_path(spark, "recrawled")
+    first = _extract_input(spark, sf)
+    longer = first.where("doc_id % 3 = 0").withColumn("xml", F.replace("xml", F.lit("</pdf2xml>"), F.lit(X.LAST_PAGE)))
+    first.unionByName(longer).unionByName(first.where("doc_id % 5 = 0")).write.parquet(f"{root}/xml")
+    t = run_pipeline(spark, f"{root}/xml", f"{root}/out")
+    return t["inverted"].select("id", "doc_id", "title", "n_merged", "citations", F.contains("text", F.lit(X.LAST_LINE)).alias("longest"))
+
+
+def q_incremental_inversion(spark, sf):
+    """D3 + S14: three crawl epochs (by id), inverted one by one; then the second is delivered again: every fifth of its
+    documents is gone, every seventh is longer, second references are gone and each document cites itself."""
+    p = _papers(spark, sf)
+    refs, docs = X.refs(p), _docs(p).withColumn("size", F.col("n_chars").cast("long"))
+    again = X.delivered_again(p, refs)
+
+    def parsed(rows):
+        bib = X.bibliographies(p, rows, "acm").withColumnRenamed("doc_id", "citing_id")
+        return extract_citations(bib, "bib", "acm", keys=("citing_id",))
+
+    first = _stored(parsed(refs), "edges")
+    inv = Inversion(spark, scratch_path(spark, "inversion"))
+    for e in range(3):
+        inv.deliver(str(e), docs.where(F.col("doc_id") % 3 == e), first.where(F.col("citing_id") % 3 == e))
+    longer = docs.where("doc_id % 3 = 1 and doc_id % 5 <> 0").withColumn("size", F.when(F.col("doc_id") % 7 == 0, F.col("size") * 3).otherwise(F.col("size")))
+    inv.deliver("1", longer, parsed(again.where("citing_id % 3 = 1")))
+    lst = F.col("incoming")
+    listed = inv.table("incoming").groupBy("id").agg(
+        F.sum(F.size(lst)).alias("n_listed"), F.sum(F.aggregate(lst, F.lit(0).cast("bigint"), lambda a, x: a + x["citing_id"] * 7 + x["pos"])).alias("mark"))
+    return inv.inverted().join(listed, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_listed", "mark")})
+
+
 # ------------------------------------------------------------------ layout
 def _layout(spark, sf, **wanted):
     d = with_layout(X.layout_documents(spark, sf), "xml", "pages")
@@ -294,19 +329,20 @@ def q_citation_histogram(spark, sf):
 
 
 def q_incoming_lists(spark, sf):
-    """A13 + W1: all incoming citations, in chunks; every paper also cites the first one, whose key is hot."""
+    """A13 + W1: all incoming citations, in chunks; every paper also cites the first one, whose key is hot, and its id is
+    drawn out to steps of 3000, so that ids alone would not deal the chunks."""
     p, edges, ded = _graph(spark, sf)
     first = p.where("i = 0").select("title").scalar()  # one value, planned as a scalar subquery
     hot = p.select(
         F.col("doc_id").alias("citing_id"), F.lit(100).alias("pos"), title_id(first).alias("cited_id"), first.alias("cited_title"),
         F.lit(None).cast("array<array<string>>").alias("authors"),
     )
-    every = edges.select("citing_id", "pos", "cited_id", "cited_title", "authors").unionByName(hot)
+    every = edges.select("citing_id", "pos", "cited_id", "cited_title", "authors").unionByName(hot).withColumn("citing_id", F.col("citing_id") * 3000)
     lst = F.col("incoming")
     return G.incoming_chunks(ded, every).select(
         "id", "chunk", "n_chunks", F.size(lst).alias("n_listed"),
         F.get(lst, 0)["citing_id"].alias("first_citing"), F.get(lst, 0)["pos"].alias("first_pos"),
-        F.aggregate(lst, F.lit(0).cast("bigint"), lambda a, x: a + x["citing_id"] % 1000).alias("citing_mod_sum"),
+        F.aggregate(lst, F.lit(0).cast("bigint"), lambda a, x: a + x["citing_id"] % 1001).alias("citing_mod_sum"),
         F.md5(F.array_join(F.transform(lst, lambda x: x["title"]), "|")).alias("titles_md5"),
     )
 
@@ -487,6 +523,13 @@ def q_nb_model(spark, sf):
     return L.train(docs, edges)
 
 
+def q_nb_score(spark, sf):
+    """L4 applied: a fifth of the documents scored under the model that the others' texts give."""
+    docs, edges = _learning(spark, sf)
+    scored = L.score_held_out(docs.select("id", "doc_id", "title", "text"), edges)
+    return scored.withColumn("log_odds", F.round("log_odds", R6))
+
+
 # ------------------------------------------------------------------ index and search
 def _indexed(spark, sf, stored: bool = True):
     """Inverted documents and their postings; ``index_postings`` is the build."""
@@ -596,6 +639,8 @@ QUERIES = {
     "first_references": q_first_references,
     "token_flags": q_token_flags,
     "pipeline_records": q_pipeline_records,
+    "recrawled_records": q_recrawled_records,
+    "incremental_inversion": q_incremental_inversion,
     "incoming_lists": q_incoming_lists,
     "matches_in_corpus": q_matches_in_corpus,
     "dangling_references": q_dangling_references,
@@ -613,6 +658,7 @@ QUERIES = {
     "nb_positives": q_nb_positives,
     "nb_negatives": q_nb_negatives,
     "nb_model": q_nb_model,
+    "nb_score": q_nb_score,
     "index_postings": q_index_postings,
     "index_positions": q_index_positions,
     "stored_index": q_stored_index,

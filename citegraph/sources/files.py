@@ -74,12 +74,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
 
 
-def _has_folders(spark: SparkSession, path: str, column: str) -> bool:
-    """Whether a table partitioned by ``column`` has a committed folder (they appear when a write is committed)."""
+def committed(spark: SparkSession, path: str, glob: str, marked: bool = True) -> list[str]:
+    """The folders ``path/glob``; with ``marked``, those whose write Spark's committer has marked as complete."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}=*")
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}/_SUCCESS" if marked else f"{path}/{glob}")
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    return sorted((f.getPath().getParent() if marked else f.getPath()).toString() for f in found or [])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _has_folders(spark: SparkSession, path: str, column: str) -> bool:
+    """Whether a table partitioned by ``column`` has a committed folder (they appear when a write is committed)."""
+    return bool(committed(spark, path, f"{column}=*", marked=False))
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

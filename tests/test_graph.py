@@ -47,6 +47,25 @@ def test_wide_documents_merge_like_narrow_ones(spark):
     assert {r.id: (r.doc_id, r.n_merged) for r in wide} == narrow
 
 
+def test_repeated_captures_leave_one_document(spark):
+    """Captures of one page share its id: other titles, other texts of equal length, and equal rows."""
+    rows = [(1, 10, "One", "u", 50, "aaa"), (1, 10, "Two", "u", 50, "bbb"), (2, 10, "Old", "v", 9, "c"), (3, 20, "Same", "w", 5, "x"), (3, 20, "Same", "w", 5, "y"),
+            (3, 20, "Same", "w", 5, "y"), (4, None, "No key", "z", 1, "q"), (None, 30, "No id", None, None, None), (None, 30, "No id", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, id long, title string, url string, doc_len long, text string")
+    for parts in (1, 3):
+        wide = {r.id: (r.doc_id, r.title, r.text, r.n_merged) for r in G.dedup_documents(df.repartition(parts)).collect()}
+        assert wide.keys() == {10, 20, 30, None} and G.dedup_documents(df).count() == 4
+        assert wide[10][::3] == (1, 3) and wide[20][::3] == (3, 3) and wide[20][2] in "xy" and wide[30][::3] == (None, 2)
+        narrow = {r.id: (r.doc_id, r.n_merged) for r in G.dedup_documents(df.drop("text").repartition(parts)).collect()}
+        assert narrow == {k: v[::3] for k, v in wide.items()}
+
+
+def test_chunks_of_ids_with_a_common_step(spark):
+    edges = spark.range(3000).select((F.col("id") * 3).alias("citing_id"), F.lit(0).alias("pos"), F.lit("T").alias("cited_title"), F.lit(7).cast("long").alias("cited_id"), F.lit(None).cast("array<array<string>>").alias("authors"))
+    got = G.incoming_chunks(spark.createDataFrame([(7,)], "id long"), edges).collect()
+    assert len(got) == 3 and sum(len(r.incoming) for r in got) == 3000 and max(len(r.incoming) for r in got) < 2000
+
+
 def test_test_set_counts(spark):
     inv = G.invert_citations(G.dedup_documents(docs_df(spark)), edges_df(spark))
     got = {r.status: r.n for r in G.test_set_counts(inv, edges_df(spark), lo=2, hi=2).collect()}

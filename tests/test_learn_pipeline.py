@@ -1,5 +1,6 @@
 """Learner on hand-made rows and the batch pipeline end to end."""
 
+import math
 import os
 import tempfile
 
@@ -23,6 +24,30 @@ def test_nb_model_counts_and_total(spark):
     assert all(r.cnt > 1 for r in model)
 
 
+def test_total_without_the_ngram_table(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta alpha"), (2, "beta"), (3, ""), (4, None)], "id long, text string")
+    mults = spark.createDataFrame([("good-cite", i, i) for i in (1, 2, 3, 4)] + [("bad-cite", 1, 4)], "label string, doc long, mult long")
+    counted = L.nb_counts(mults, docs).agg(F.sum("cnt")).first()[0]
+    assert spark.range(1).select(L.ngram_total(mults, docs)).first()[0] == counted == 5 * 5 + 2
+
+
+def test_scores_by_hand(spark, tmp_path):
+    rows = [("good-cite", "a", 4.0), ("bad-cite", "a", 2.0), ("good-cite", "a b", 3.0), ("bad-cite", "c", 6.0)]
+    model = spark.createDataFrame(rows, "label string, ngram string, cnt double")
+    L.write_model(model, str(tmp_path / "model"))
+    docs = spark.createDataFrame([(1, "a b"), (2, "x a a"), (3, ""), (4, None), (5, "y z")], "id long, text string")
+    got = {r.id: (r.n_ngrams, r.n_known, r.log_odds) for r in L.nb_score(spark.read.parquet(str(tmp_path / "model")), docs).collect()}
+    p = {"a": (5 / 11, 3 / 12), "a b": (4 / 11, 1 / 12), "c": (1 / 11, 7 / 12)}  # counts and one, over N + V + 1 = 7 + 3 + 1 and 8 + 3 + 1
+
+    def odds(*grams):
+        return sum(math.log(p.get(g, (1 / 11, 1 / 12))[0]) - math.log(p.get(g, (1 / 11, 1 / 12))[1]) for g in grams)
+
+    want = {1: (3, 2, odds("a", "b", "a b")), 2: (5, 2, odds("x", "a", "a", "x a", "a a")), 3: (0, 0, 0.0), 4: (0, 0, 0.0), 5: (3, 0, odds("y", "z", "y z"))}
+    assert got.keys() == want.keys()
+    for i, (n, known, value) in want.items():
+        assert got[i][:2] == (n, known) and abs(got[i][2] - value) < 1e-12
+
+
 def test_positives_by_exact_title(spark):
     docs = spark.createDataFrame([(10, 1, "Paper A"), (20, 2, "Paper B")], "id long, doc_id long, title string")
     edges = spark.createDataFrame([(2, 0, "Paper A", 10), (2, 1, "PAPER A", 10), (1, 0, "Paper B", 20)],
