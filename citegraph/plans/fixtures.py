@@ -208,6 +208,42 @@ def long_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rows.select("doc_id", F.concat(head, F.array_join(F.transform("ls", node), ""), F.lit("</page></pdf2xml>")).alias("xml"))
 
 
+#: lines in a cycle of `untidy_layouts`
+UNTIDY = 9
+
+
+def untidy_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, xml)``: each document's lines, five a page, in turn: capital tags with unquoted attributes, a bare `<`, a
+    comment that holds a node, a plain node, character data with tags in it, a processing instruction, bold inside another
+    element, an unclosed node, bold with an unclosed element inside.  Every second page is unclosed; a font stands in a comment."""
+    docs = table(spark, sf_dir, "documents")
+
+    def node(line, i):
+        k = i % UNTIDY
+        body = xml_escape(line)
+        values = [("top", 80 + 20 * (i % 5)), ("left", F.lit(100)), ("width", F.least(8 * F.length(line), F.lit(300))), ("height", F.lit(12)), ("font", F.lit(0))]
+        attrs = F.concat(*[F.concat(F.lit(f' {n}="'), v.cast("string"), F.lit('"')) for n, v in values])
+        bare = F.concat(*[F.concat(F.lit(f" {n}="), v.cast("string")) for n, v in values])
+        body = (
+            F.when(k == 1, F.concat(body, F.lit(" 1 < 2")))
+            .when(k == 4, F.concat(F.lit("<![CDATA["), line, F.lit(" a <b> c</text> &amp; d]]>")))
+            .when(k == 5, F.concat(F.lit('<?render mode="<text>"?>'), body))
+            .when(k == 6, F.concat(F.lit("<i><b>"), body, F.lit("</b></i>")))
+            .when(k == 8, F.concat(F.lit("</i><b><i>"), body, F.lit("</b><br>")))
+            .otherwise(body)
+        )
+        ghost = F.when(k == 2, F.lit(f'<!-- <text top="1" left="1" width="1" height="1" font="0">ghost</text> <!DOCTYPE x> -->')).otherwise(F.lit(""))
+        whole = F.when(k == 0, F.concat(F.lit("<TEXT"), bare, F.lit(">"), body, F.lit("</Text >"))).when(k == 7, F.concat(F.lit("<text"), attrs, F.lit(">"), body))
+        whole = whole.otherwise(F.concat(F.lit("<text"), attrs, F.lit(">"), body, F.lit("</text>")))
+        page = F.floor(i / 5)
+        close = F.when((i > 0) & (page % 2 == 1), F.lit("</page>")).otherwise(F.lit(""))
+        open_page = F.when(i % 5 == 0, F.concat(close, F.lit('<page number="'), (page + 1).cast("string"), F.lit('">'))).otherwise(F.lit(""))
+        return F.concat(open_page, ghost, whole)
+
+    head = F.lit('<?xml version="1.0"?><!DOCTYPE pdf2xml SYSTEM "pdf2xml.dtd"><pdf2xml><fontspec id="0" size="10"/><!-- <fontspec id="0" size="99"/> -->')
+    return docs.select("doc_id", F.concat(head, F.array_join(F.transform(F.split("text", "\n"), node), ""), F.lit("</page></pdf2xml>")).alias("xml"))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CAPTURE rows ``(page_id, url, length, payload)`` from ``pages``: the URL gets a
     .pdf/.ps/no suffix and every 17th page loses its URL, so all admission branches occur."""

@@ -373,6 +373,17 @@ FROM (SELECT CAST(range AS INTEGER) AS n FROM range(10, 100)) ns"""
 
 ORACLE["similar_overlap"] = EVAL + "\nSELECT focus_id, id, round(score, 6) AS score, rank FROM r_overlap"
 ORACLE["similar_tfidf"] = EVAL + "\nSELECT focus_id, id, round(score, 6) AS score, rank FROM r_tfidf"
+ORACLE["similar_all"] = with_graph(ctes(
+    "corpus AS (SELECT d.id, p.text FROM ded d JOIN papers p ON p.doc_id = d.doc_id)",
+    bow("cbow", "corpus", "id"),
+    "cidf AS (SELECT term, ln((SELECT count(*) FROM corpus) / count(*)) AS idf FROM cbow GROUP BY term)",
+    "wts AS MATERIALIZED (SELECT b.id, b.term, b.cnt * i.idf AS weight FROM cbow b JOIN cidf i ON i.term = b.term WHERE b.cnt * i.idf <> 0)",
+    "dots AS (SELECT f.id, c.id AS other, sum(f.weight * c.weight) AS dot FROM wts f JOIN wts c ON c.term = f.term GROUP BY 1, 2)",
+    "sums AS (SELECT id, sum(weight) AS total FROM wts GROUP BY 1)",
+)) + """
+SELECT id, other, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other) AS rank
+  FROM (SELECT d.id, d.other, d.dot / s.total AS score FROM dots d JOIN sums s ON s.id = d.other)) WHERE rank <= 10"""
 ORACLE["recall_curve"] = EVAL + curve("overlap", "r_overlap") + "\nUNION ALL" + curve("tfidf", "r_tfidf")
 ORACLE["evaluation_report"] = EVAL + """
 SELECT f.id, d.title, CAST(coalesce(a.matched, 0) AS BIGINT) AS matched, coalesce(a.found, 0) AS found,
@@ -697,6 +708,16 @@ SELECT n.doc_id, CAST(CASE WHEN bad THEN 0 ELSE (n + 4) // 5 END AS INTEGER) AS
 FROM n JOIN doc_text t ON t.doc_id = n.doc_id"""
 
 
+# ------------------------------------------------------------------ untidy layouts
+ORACLE["layout_untidy"] = r"""
+WITH nodes AS (
+  SELECT doc_id, CAST(k AS BIGINT) AS i, CASE k % 9 WHEN 1 THEN ls[k + 1] || ' 1 < 2' WHEN 4 THEN ls[k + 1] || ' a <b> c</text> &amp; d' ELSE ls[k + 1] END AS text
+  FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))
+SELECT doc_id, CAST(max(i) // 5 + 1 AS INTEGER) AS n_pages, CAST(count(*) AS INTEGER) AS n_nodes, coalesce(string_agg(CAST(i + 1 AS VARCHAR), ',' ORDER BY i) FILTER (WHERE i % 9 = 8), '') AS bold_ids,
+       CAST(sum(CASE WHEN i % 9 = 8 THEN 20 ELSE 10 END * (i + 1) + 80 + 20 * (i % 5)) AS BIGINT) AS mark, md5(string_agg(text, '|' ORDER BY i)) AS texts_md5
+FROM nodes GROUP BY doc_id"""
+
+
 # ------------------------------------------------------------------ file round trips
 ORACLE["stored_index"] = ORACLE["index_postings"]
 ORACLE["table_round_trip"] = "SELECT doc_id, n_chars, source FROM documents"

@@ -17,6 +17,7 @@ from citegraph.operators.citations import extract_citations
 from citegraph.operators import index as Q
 from citegraph.operators import learn as L
 from citegraph.operators import similarity as S
+from citegraph.operators.topk import similar_all
 from citegraph.operators.sampling import first_n, random_doc
 from citegraph.operators.layout import all_nodes, layout_nodes, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
@@ -291,6 +292,19 @@ def q_layout_long(spark, sf):
     )
 
 
+def q_layout_untidy(spark, sf):
+    """P2-P7 on layouts as a lenient reader must take them: comments, character data, processing instructions, bare signs,
+    unquoted attributes, nested and unclosed elements."""
+    d = with_layout(X.untidy_layouts(spark, sf), "xml", "pages")
+    n = d.withColumn("n_pages", F.size("pages")).withColumn("_all", all_nodes("pages")).drop("pages", "xml")
+    return n.select(
+        "doc_id", "n_pages", F.size("_all").alias("n_nodes"),
+        F.array_join(F.transform(F.filter("_all", lambda x: x["bold"]), lambda x: x["node_id"].cast("string")), ",").alias("bold_ids"),
+        F.aggregate("_all", F.lit(0).cast("bigint"), lambda a, x: a + x["font_size"] * x["node_id"] + x["top"]).alias("mark"),
+        F.md5(F.array_join(F.transform("_all", lambda x: x["text"]), "|")).alias("texts_md5"),
+    )
+
+
 def q_layout_nodes(spark, sf):
     """P2-P7 (+P5 geometry): the NODE table of every rendered document."""
     n = layout_nodes(X.layout_documents(spark, sf), "xml")
@@ -473,6 +487,14 @@ def _similar_query(kind):
     return q
 
 
+def q_similar_all(spark, sf):
+    """E2 for every document as focus: its ten most similar documents by tf-idf weights."""
+    corpus = _merged(spark, sf).select("id", "doc_id").join(_texts(spark, sf), "doc_id")
+    bow = _stored(S.bag_of_words(corpus, "id"), "bow")
+    weights = S.tfidf(bow, _stored(S.idf(bow, corpus, "id"), "idf"), "id", drop_zero=True)
+    return similar_all(weights, k=10).withColumn("score", F.round("score", R6))
+
+
 def q_recall_curve(spark, sf):
     ev = _evaluation(spark, sf, "counts", "weights")
     out = None
@@ -621,6 +643,7 @@ QUERIES = {
     "title_gate_counts": q_title_gate_counts,
     "layout_nodes": q_layout_nodes,
     "layout_long": q_layout_long,
+    "layout_untidy": q_layout_untidy,
     "title_key": q_title_key,
     "title_key_dedup": q_title_key_dedup,
     "extract_year": q_extract_year,
@@ -652,6 +675,7 @@ QUERIES = {
     "tfidf": q_tfidf,
     "similar_overlap": _similar_query("overlap"),
     "similar_tfidf": _similar_query("tfidf"),
+    "similar_all": q_similar_all,
     "recall_curve": q_recall_curve,
     "evaluation_report": q_evaluation_report,
     "report_lines": q_report_lines,
