@@ -625,6 +625,17 @@ SELECT m.id, m.doc_id, m.title, m.n_merged, coalesce(c.n, 0) AS citations,
 FROM merged m LEFT JOIN cites c ON c.cited_id = m.id""").replace("sized AS (", XML_LEN.strip().replace("xml_len AS", "xml_chars AS").replace("strlen(", "length(") + ",\nsized AS (", 1)
 
 
+ORACLE["pipeline_counters"] = with_graph(_EXTRACT + """,
+good AS (SELECT t.doc_id FROM doc_title t WHERE length(t.title) >= 5)
+SELECT 'GoodTitle' AS counter, (SELECT count(*) FROM good) AS n
+UNION ALL SELECT 'ShortTitle', (SELECT count(*) FROM doc_title WHERE title <> '' AND length(title) < 5)
+UNION ALL SELECT 'NoTitle', (SELECT count(*) FROM doc_title WHERE title = '')
+UNION ALL SELECT 'TooLong', (SELECT count(*) FROM xml_sizes WHERE n > 10000000)
+UNION ALL SELECT 'citations', (SELECT count(*) FROM edges e JOIN good g ON g.doc_id = e.citing_id)
+UNION ALL SELECT 'citing', (SELECT count(DISTINCT e.citing_id) FROM edges e JOIN good g ON g.doc_id = e.citing_id)""").replace("good AS (", XML_LEN.strip().replace("xml_len AS", "xml_sizes AS") + ",\ngood AS (", 1)
+ORACLE["streamed_inversion"] = ORACLE["pipeline_records"].replace("coalesce(c.n, 0) AS citations,", "coalesce(c.n, 0) AS citations", 1).replace(
+    "       CAST((SELECT count(*) FROM edges e WHERE e.citing_id = m.doc_id) AS INTEGER) AS n_outgoing, coalesce(c.n, 0) AS n_listed\n", "", 1)
+
 # every third document again with one more page, every fifth again unchanged: the copies' citations count, their keys do not
 ORACLE["recrawled_records"] = with_graph(_EXTRACT + f""",
 good AS (SELECT t.doc_id, t.title, {tid('t.title')} AS id FROM doc_title t WHERE length(t.title) >= 5),

@@ -21,10 +21,11 @@ from citegraph.operators.topk import similar_all
 from citegraph.operators.sampling import first_n, random_doc
 from citegraph.operators.layout import all_nodes, layout_nodes, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
-from citegraph.plans.pipeline import analyze_documents, extract, is_too_long, run_pipeline, title_status
+from citegraph.plans.pipeline import analyze_documents, extract, extract_counters, is_too_long, run_pipeline, title_status
 from citegraph.session import cut_lineage, scratch_path
 from citegraph.sources.captures import admit_captures, archive_states, ingest, read_captures, split_payload, write_captures
-from citegraph.sources.files import load_epochs, materialize, refresh_index, write_table
+from citegraph.sources.files import Stages, load_epochs, materialize, refresh_index, write_table
+from citegraph.streaming import invert_stream
 
 R6 = 6  # doubles are compared at 6 decimals
 
@@ -233,6 +234,28 @@ def q_pipeline_records(spark, sf):
     return inv.join(listed, "id", "left").withColumn("n_listed", F.coalesce("n_listed", F.lit(0)))
 
 
+def q_pipeline_counters(spark, sf):
+    """A1: the extract job's counters, filled while the job writes its documents."""
+    root = scratch_path(spark, "counted")
+    _extract_input(spark, sf).write.parquet(f"{root}/xml")
+    stages = Stages(spark, f"{root}/out")
+    stages.stage("document", lambda: analyze_documents(spark.read.parquet(f"{root}/xml")), [f"{root}/xml"], None, extract_counters())
+    return stages.counters("document")
+
+
+def q_streamed_inversion(spark, sf):
+    """D2 + D3 as a stream: layouts that arrive in three files, one a batch, are analysed and inverted batch by batch; the stream
+    is started again when the last file has come."""
+    root = scratch_path(spark, "stream")
+    docs = _extract_input(spark, sf).select("doc_id", "url", "xml")
+    for part in (0, 1):
+        docs.where(F.col("doc_id") % 3 == part).coalesce(1).write.parquet(f"{root}/in/{part}")
+    invert_stream(spark, f"{root}/in/*", f"{root}/out", max_files_per_trigger=1).awaitTermination()
+    docs.where("doc_id % 3 = 2").coalesce(1).write.parquet(f"{root}/in/2")
+    invert_stream(spark, f"{root}/in/*", f"{root}/out", max_files_per_trigger=1).awaitTermination()
+    return Inversion(spark, f"{root}/out").inverted()
+
+
 def q_recrawled_records(spark, sf):
     """D6 over pages that were crawled again: every third document a second time with a longer text, every fifth a second
     time unchanged, under the same ids.  One document stays per key; the citations of all captures count."""
@@ -662,6 +685,8 @@ QUERIES = {
     "first_references": q_first_references,
     "token_flags": q_token_flags,
     "pipeline_records": q_pipeline_records,
+    "pipeline_counters": q_pipeline_counters,
+    "streamed_inversion": q_streamed_inversion,
     "recrawled_records": q_recrawled_records,
     "incremental_inversion": q_incremental_inversion,
     "incoming_lists": q_incoming_lists,

@@ -7,9 +7,11 @@ re-runs its task; nothing is written to a machine-local folder.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from citegraph import schemas
@@ -95,12 +97,82 @@ def _has_folders(spark: SparkSession, path: str, column: str) -> bool:
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Build-or-load cache.  If a committed table exists at ``path`` it is read,
-    otherwise ``build()`` is written there first.  Also cuts the lineage."""
+    otherwise ``build()`` is written there first.  Also cuts the lineage.  (``Stages`` notices changed inputs, too.)"""
     if not _exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def files_mark(spark: SparkSession, path: str) -> dict:
+    """What the files below ``path`` are: their number, bytes, and a hash of every path, length and time of change.  Spark lists
+    them; no content is read and no list goes through the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    one = F.xxhash64("path", "length", F.col("modificationTime").cast("double"))
+    r = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.coalesce(F.bit_xor(one), F.lit(0)).alias("mark")).first()
+    return {"path": path, "files": r.files, "bytes": r.bytes, "mark": r.mark}
+
+
+class Stages:
+    """S12 for a chain of stages below ``root``: each is rebuilt when its inputs or parameters have changed, and loaded otherwise.
+
+    A stage's manifest holds what its input files are (``files_mark``) and its parameters; its table lies in a folder
+    named by a hash of the manifest, and counts only when Spark has committed it.  So a half-written stage is never
+    loaded, a changed input leads to new folders for the stages below it alone, and going back to old inputs finds the old
+    tables.  ``built`` and ``loaded`` name the stages of this run."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.paths: dict[str, str] = {}
+        self.built: list[str] = []
+        self.loaded: list[str] = []
+
+    def stage(self, name: str, build: Callable[[], DataFrame], inputs=(), params=None, counters: dict | None = None) -> DataFrame:
+        """The stage's table.  ``inputs`` are paths of files, or names of earlier stages; with ``counters`` (see
+        ``write_counted``) they are kept beside the table."""
+        marks = [{"stage": x, "path": self.paths[x]} if x in self.paths else files_mark(self.spark, x) for x in inputs]
+        manifest = json.dumps({"inputs": marks, "params": params}, sort_keys=True)
+        path = f"{self.root}/{name}/{hashlib.md5(manifest.encode()).hexdigest()}"
+        self.paths[name] = path
+        if _exists(self.spark, f"{path}/table") and (not counters or _exists(self.spark, f"{path}/counters")):
+            self.loaded.append(name)
+        else:
+            self.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+            if counters:
+                write_counted(build(), f"{path}/table", counters, f"{path}/counters")
+            else:
+                build().write.mode("overwrite").parquet(f"{path}/table")
+            self.built.append(name)
+        return self.spark.read.parquet(f"{path}/table")
+
+    def counters(self, name: str) -> DataFrame:
+        """``(counter, n)`` of a stage."""
+        return self.spark.read.schema("counter string, n long").parquet(f"{self.paths[name]}/counters")
+
+
+# ------------------------------------------------------------------ A1 counters during a write
+def observed(df: DataFrame, counters: dict) -> tuple[DataFrame, Observation]:
+    """``df`` with counters (name -> a condition, or a number to sum) that are filled while it is written.
+
+    They are collected in the stage that writes, whose tasks report once however often they are tried, so that lost
+    tasks do not count twice; there must be no shuffle between this and the write."""
+    seen = Observation()
+
+    def value(c):
+        return F.coalesce(F.sum(F.when(c, 1).otherwise(0) if dict(df.select(c.alias("c")).dtypes)["c"] == "boolean" else c), F.lit(0)).cast("long")
+
+    return df.observe(seen, *[value(c).alias(name) for name, c in counters.items()]), seen
+
+
+def write_counted(df: DataFrame, path: str, counters: dict, counters_path: str | None = None) -> dict[str, int]:
+    """A1: write a table and return its counters, without a second scan; with ``counters_path`` they are written, too."""
+    marked, seen = observed(df, counters)
+    marked.write.mode("overwrite").parquet(path)
+    out = seen.get
+    if counters_path:
+        df.sparkSession.createDataFrame(list(out.items()), "counter string, n long").coalesce(1).write.mode("overwrite").parquet(counters_path)
+    return out
+
+
 def refresh_index(spark: SparkSession, index_path: str, docs: DataFrame,
                   build: Callable[[DataFrame], DataFrame], version: str | None = None) -> DataFrame:
     """Rebuild only what is new.  ``docs`` carries ``epoch``; epochs the index does not have are built.

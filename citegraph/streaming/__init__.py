@@ -1,3 +1,3 @@
-from citegraph.streaming.ingest import ingest_stream
+from citegraph.streaming.ingest import ingest_stream, invert_stream
 
-__all__ = ["ingest_stream"]
+__all__ = ["ingest_stream", "invert_stream"]

@@ -8,16 +8,21 @@ citations: all stateless, so no streaming state is kept), and appended to the
 document table.  ``trigger(availableNow=True)`` processes whatever has arrived
 and stops, which gives an exactly-once incremental batch job; the checkpoint
 lives in the shared checkpoint folder so a restarted driver resumes where it
-stopped.  Inversion and indexing stay batch jobs over the accumulated table.
+stopped.  ``invert_stream`` goes on from there: every batch is inverted incrementally (``operators.incremental``) under its batch
+id, so that a batch that is run again changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from citegraph.plans.pipeline import analyze_documents
+from citegraph.operators.incremental import Inversion
+from citegraph.plans.pipeline import analyze_documents, edges_of
+from citegraph.session import scratch_path
 
 XML_SCHEMA = "doc_id long, url string, xml string"
 
@@ -39,3 +44,32 @@ def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, style: str
         .trigger(availableNow=True)
         .start()
     )
+
+
+def invert_stream(spark: SparkSession, source_dir: str, root: str, style: str = "acm", max_files_per_trigger: int | None = None,
+                  after_batch: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Analyse newly arrived layouts and keep the inverted corpus at ``root`` up to date, batch by batch.
+
+    A batch is delivered to the stored inversion as the epoch of its batch id and takes effect with that manifest's commit.
+    The stream commits the batch afterwards; if it is lost in between, the restarted stream runs the same files
+    under the same id again, which replaces the epoch by itself: all its deltas cancel out.  ``after_batch`` is
+    called between the two commits."""
+    reader = spark.readStream.schema(XML_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        session = rows.sparkSession
+        path = scratch_path(session, "batch")  # analysed once for documents and edges
+        analyze_documents(rows, style).where("status = 'GoodTitle'").drop("xml", "text").write.parquet(path)
+        docs = session.read.parquet(path)
+        Inversion(session, root).deliver(f"batch-{batch_id}", docs.select("id", "doc_id", "title", F.col("doc_len").cast("long").alias("size")), edges_of(docs))
+        if after_batch:
+            after_batch(batch_id)
+
+    return (
+        reader.parquet(source_dir).writeStream.foreachBatch(batch)
+        .option("checkpointLocation", f"{root.rstrip('/')}-checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )

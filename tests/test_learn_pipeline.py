@@ -2,13 +2,14 @@
 
 import math
 import os
-import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from citegraph.operators import learn as L
 from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import run_pipeline
+from citegraph.sources.files import Stages, observed
 
 
 def test_nb_model_counts_and_total(spark):
@@ -56,14 +57,92 @@ def test_positives_by_exact_title(spark):
     assert got == [(10, 10, 1), (20, 20, 1)]
 
 
-def test_run_pipeline_resumes(spark):
-    out = tempfile.mkdtemp(prefix="citegraph-pipe-")
-    src = os.path.join(out, "xml")
-    X.layout_documents(spark, "/root/testdata/sf0.001").write.parquet(src)
-    res = run_pipeline(spark, src, out + "/run")
+STAGES = ["document", "edges", "doc-plus-cites", "incoming", "index"]
+
+
+@pytest.fixture(scope="module")
+def layouts(spark, tmp_path_factory):
+    """Layouts in two files; the first run over them."""
+    root = str(tmp_path_factory.mktemp("pipe"))
+    docs = X.layout_documents(spark, "/root/testdata/sf0.001").where("doc_id < 60")
+    for part in (0, 1):
+        docs.where(F.col("doc_id") % 2 == part).coalesce(1).write.parquet(f"{root}/xml/part={part}")
+    st = Stages(spark, f"{root}/run")
+    return root, st, run_pipeline(spark, f"{root}/xml", f"{root}/run", stages=st)
+
+
+def test_run_pipeline_resumes(spark, layouts):
+    root, st, res = layouts
     n = res["inverted"].count()
-    assert n > 0 and res["postings"].count() > 0
+    assert st.built == STAGES and n > 0 and res["postings"].count() > 0
     assert res["documents"].where(F.col("status") == "GoodTitle").count() >= n
-    # a second run loads the committed stages instead of recomputing them
-    again = run_pipeline(spark, src, out + "/run")
-    assert again["inverted"].count() == n
+    again = Stages(spark, f"{root}/run")
+    assert run_pipeline(spark, f"{root}/xml", f"{root}/run", stages=again)["inverted"].count() == n
+    assert again.built == [] and again.loaded == STAGES
+
+
+def test_counters_are_those_of_the_table(spark, layouts):
+    _, _, res = layouts
+    seen = {r.counter: r.n for r in res["counters"].collect()}
+    status = {r.status: r["count"] for r in res["documents"].groupBy("status").count().collect()}
+    good = res["documents"].where("status = 'GoodTitle'").select(F.size("outgoing").alias("n"))
+    assert {k: v for k, v in seen.items() if k.endswith("Title") and v} == status
+    assert (seen["citations"], seen["citing"], seen["TooLong"]) == (*good.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first(), 0)
+
+
+def test_counters_need_no_second_scan(spark, layouts):
+    root, _, _ = layouts
+    df, seen = observed(spark.read.parquet(f"{root}/xml").select("doc_id"), {"rows": F.lit(1), "even": F.col("doc_id") % 2 == 0})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "CollectMetrics" in plan and "Exchange" not in plan
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 60, "even": 30}
+
+
+def test_counters_count_a_retried_task_once(spark, tmp_path):
+    """A task that fails after some rows is run again: its first try leaves no trace in the counters."""
+    import subprocess
+    import sys
+    import textwrap
+
+    code = textwrap.dedent(f"""
+        import os
+        from pyspark.sql import SparkSession, functions as F
+        from citegraph.sources.files import observed
+        spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+        def flaky(batches):
+            for b in batches:
+                yield b
+            if not os.path.exists({str(tmp_path / "failed")!r}):
+                open({str(tmp_path / "failed")!r}, "w").close()
+                raise RuntimeError("lost once")
+        df, seen = observed(spark.range(0, 1000, 1, 1).mapInArrow(flaky, "id long"), {{"rows": F.lit(1)}})
+        df.write.format("noop").mode("overwrite").save()
+        print("rows", seen.get["rows"])
+    """)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=300)
+    assert "rows 1000" in out.stdout and os.path.exists(tmp_path / "failed"), out.stderr[-2000:]
+
+
+def test_a_changed_file_rebuilds_what_lies_below_it(spark, layouts):
+    root, _, _ = layouts
+    one, two = f"{root}/xml/part=0", f"{root}/xml/part=1"
+    st = Stages(spark, f"{root}/two")
+
+    def build(st):
+        a = st.stage("a", lambda: spark.read.parquet(one), [one])
+        b = st.stage("b", lambda: spark.read.parquet(two), [two], {"x": 1})
+        return st.stage("c", lambda: a.select("doc_id").union(b.select("doc_id")), ["a", "b"])
+
+    assert build(st).count() == 60 and st.built == ["a", "b", "c"]
+    spark.createDataFrame([(500, "u", "<x/>")], "doc_id long, url string, xml string").coalesce(1).write.mode("append").parquet(two)
+    st = Stages(spark, f"{root}/two")
+    assert build(st).count() == 61 and (st.loaded, st.built) == (["a"], ["b", "c"])
+    # a stage that was lost before its commit is not loaded
+    os.remove(f"{st.paths['b']}/table/_SUCCESS")
+    st = Stages(spark, f"{root}/two")
+    assert build(st).count() == 61 and (st.loaded, st.built) == (["a", "c"], ["b"])
+    # another parameter is another table
+    st = Stages(spark, f"{root}/two")
+    st.stage("b", lambda: spark.read.parquet(two).limit(1), [two], {"x": 2})
+    assert st.built == ["b"]
