@@ -39,6 +39,8 @@ SHARDS = 100                       # reducers of the indexing job
 HISTOGRAM_LOG_BASE = 1.1
 
 # --- Fixed values: citation parser keyword tables -------------------------------------
+# (the original writes the first three conference words with a backslash before the full stop, so that no token equals
+# them; here they are the words that were meant)
 KEY_WORDS = ("and", "or", "the", "if", "our")
 CONFERENCE_WORDS = ("proc.", "inc.", "pp.", "proceedings", "conference", "acm", "ieee", "usenix")
 

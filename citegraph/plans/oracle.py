@@ -692,9 +692,11 @@ SELECT citing_id, CAST(rank AS INTEGER) AS rank, cited_title, pos FROM (
   SELECT *, row_number() OVER (PARTITION BY citing_id ORDER BY cited_title, pos) AS rank FROM refs) WHERE rank <= 2""")
 
 ORACLE["token_flags"] = with_graph("""
-SELECT doc_id, pos, token, token = upper(token) AS is_upper, regexp_matches(token, '[0-9]') AS is_numeric,
-       token = upper(token) AND length(token) = 1 AS is_initial, regexp_matches(token, '[0-9]{4}') AS has_date
-FROM (SELECT doc_id, unnest(ts) AS token, CAST(unnest(range(len(ts))) AS INTEGER) AS pos FROM (SELECT doc_id, string_split(title, ' ') AS ts FROM papers))""")
+SELECT doc_id, pos, token, lower(token) AS lower, token = upper(token) AS is_upper, lower(token) IN ('and', 'or', 'the', 'if', 'our') AS is_key_word,
+       lower(token) IN ('proc.', 'inc.', 'pp.', 'proceedings', 'conference', 'acm', 'ieee', 'usenix') AS is_conference,
+       regexp_matches(token, '[0-9]') AS is_numeric, token = upper(token) AND length(token) = 1 AS is_initial, regexp_matches(token, '[0-9]{4}') AS has_date
+FROM (SELECT doc_id, unnest(ts) AS token, CAST(unnest(range(len(ts))) AS INTEGER) AS pos
+      FROM (SELECT doc_id, string_split(title || ' and THE Proc. of IEEE pp. 1999 X ' || doc_id, ' ') AS ts FROM papers))""")
 
 ORACLE["report_lines"] = ORACLE["evaluation_report"].replace(
     "SELECT f.id, d.title,", "SELECT id, printf('%-60.60s %3d/%3d (%3d) %.2f%%', title, matched, found, total, "
@@ -735,4 +737,7 @@ ORACLE["table_round_trip"] = "SELECT doc_id, n_chars, source FROM documents"
 ORACLE["epoch_refresh"] = """
 SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN -n_chars ELSE n_chars END AS n_chars, 'e' || CAST(doc_id % 3 + 1 AS VARCHAR) AS epoch,
        CAST(CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS INTEGER) AS version FROM documents"""
+ORACLE["wanted_epochs"] = """
+WITH d AS (SELECT doc_id, n_chars, 'e' || (doc_id % 7) AS epoch FROM documents)
+SELECT * FROM d WHERE epoch IN (SELECT epoch FROM d GROUP BY epoch ORDER BY sum(n_chars) DESC, epoch LIMIT 2)"""
 ORACLE["epoch_documents"] = "SELECT doc_id, n_chars, CAST(doc_id % 3 + 1 AS VARCHAR) AS epoch FROM documents"

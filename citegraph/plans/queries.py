@@ -24,7 +24,7 @@ from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import analyze_documents, extract, extract_counters, is_too_long, run_pipeline, title_status
 from citegraph.session import cut_lineage, scratch_path
 from citegraph.sources.captures import admit_captures, archive_states, ingest, read_captures, split_payload, write_captures
-from citegraph.sources.files import Stages, load_epochs, materialize, refresh_index, write_table
+from citegraph.sources.files import Stages, load_epochs, load_wanted_epochs, materialize, refresh_index, write_table
 from citegraph.streaming import invert_stream
 
 R6 = 6  # doubles are compared at 6 decimals
@@ -224,6 +224,26 @@ def q_extract_edges(spark, sf):
     return edges.select("citing_id", "pos", "cited_title", "cited_id", F.size("authors").alias("n_authors"))
 
 
+def q_extract_prose(spark, sf):
+    """C5 + D2 over the documents' own texts, unchanged: what the extract job takes for citations in prose (no SQL: a test
+    holds it against a parser written out by hand)."""
+    docs = X.table(spark, sf, "documents").select("doc_id", F.lit(None).cast("string").alias("url"), X.layout_xml(F.coalesce("text", F.lit(""))).alias("xml"))
+    a = analyze_documents(docs, "acm")
+    lines = F.transform("outgoing", lambda c: F.concat_ws("|", c["title"], F.array_join(F.transform(c["authors"], lambda x: F.array_join(x, " ")), ";")))
+    return a.select("doc_id", "status", "year", F.size("outgoing").alias("n_citations"), F.array_join(lines, "\n").alias("citations"))
+
+
+def q_wanted_epochs(spark, sf):
+    """Documents stored by epoch; of them the epochs that a table of epochs asks for (those with the most
+    characters), whose other folders are not read."""
+    root = scratch_path(spark, "by-epoch")
+    docs = X.table(spark, sf, "documents").select("doc_id", "n_chars", F.concat(F.lit("e"), F.col("doc_id") % 7).alias("epoch"))
+    docs.write.partitionBy("epoch").parquet(root)
+    sizes = docs.groupBy("epoch").agg(F.sum("n_chars").alias("size"))
+    wanted = sizes.orderBy(F.desc("size"), "epoch").limit(2).select("epoch")
+    return load_wanted_epochs(spark, root, wanted).select("doc_id", "n_chars", "epoch")
+
+
 def q_pipeline_records(spark, sf):
     """D6 end to end over stored inputs: the merged documents with their incoming and outgoing citations and postings."""
     root = scratch_path(spark, "pipeline")
@@ -413,9 +433,11 @@ def q_first_references(spark, sf):
 
 
 def q_token_flags(spark, sf):
-    """The token predicates over the words of all titles."""
-    p = _papers(spark, sf).select("doc_id", F.posexplode(F.split("title", " ")).alias("pos", "token"))
-    return p.select("doc_id", "pos", "token", token_flags("token").alias("f")).select("doc_id", "pos", "token", "f.is_upper", "f.is_numeric", "f.is_initial", "f.has_date")
+    """The token predicates over the words of all titles, and of each document's reference line, which holds
+    key words, conference words, dates and initials."""
+    line = F.concat(F.col("title"), F.lit(" and THE Proc. of IEEE pp. 1999 X "), F.col("doc_id").cast("string"))
+    p = _papers(spark, sf).select("doc_id", F.posexplode(F.split(line, " ")).alias("pos", "token"))
+    return p.select("doc_id", "pos", "token", token_flags("token").alias("f")).select("doc_id", "pos", "token", "f.*")
 
 
 def q_matches_in_corpus(spark, sf):
@@ -583,7 +605,8 @@ def _indexed(spark, sf, stored: bool = True):
         return None, Q.build_index(ded.join(_texts(spark, sf), "doc_id"))
     _, edges, ded = _graph(spark, sf)
     inv = G.invert_citations(ded, edges)
-    post = Q.build_index(inv.select("id", "doc_id", "title").join(_texts(spark, sf), "doc_id"))
+    # queries are analysed into words: shingles, three quarters of the postings, would not be asked for
+    post = Q.build_index(inv.select("id", "doc_id", "title").join(_texts(spark, sf), "doc_id"), max_shingle=1)
     # search reads only the query terms' postings (materialised by the search itself)
     return cut_lineage(inv.select("id", "doc_id", "title", "citations")), post
 
@@ -661,6 +684,8 @@ QUERIES = {
     "table_round_trip": q_table_round_trip,
     "extract_documents": q_extract_documents,
     "extract_edges": q_extract_edges,
+    "extract_prose": q_extract_prose,
+    "wanted_epochs": q_wanted_epochs,
     "layout_text": q_layout_text,
     "layout_title": q_layout_title,
     "title_gate_counts": q_title_gate_counts,

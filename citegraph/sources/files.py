@@ -32,6 +32,12 @@ def load_epochs(spark: SparkSession, glob: str, fmt: str = "parquet") -> DataFra
     return df.withColumn("epoch", F.regexp_extract(F.input_file_name(), r"epoch-([^/]+)", 1))
 
 
+def load_wanted_epochs(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """S6 for a table written by ``epoch`` (``partitionBy``): the rows of the epochs in ``wanted``.  Spark discovers the
+    epochs from the folders and, once ``wanted`` is computed, reads the files of these alone (dynamic partition pruning)."""
+    return spark.read.parquet(root).join(F.broadcast(wanted.select("epoch").distinct()), "epoch")  # at most a row an epoch
+
+
 def union_inputs(*frames: DataFrame) -> DataFrame:
     """Several inputs, each already mapped by its own select, as one table."""
     out = frames[0]

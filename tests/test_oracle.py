@@ -18,7 +18,7 @@ def con():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ORACLE) == {"extract_prose"}  # held against a parser of its own (test_prose.py)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

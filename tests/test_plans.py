@@ -69,3 +69,16 @@ def test_hot_key_results_are_exact(spark):
     bow = spark.createDataFrame([(i, "the " * 5 + f"w{i}") for i in range(300)], "id long, text string")
     counts = S.bag_of_words(bow).where("term = 'the'").agg(F.sum("cnt"), F.count(F.lit(1))).first()
     assert tuple(counts) == (1500.0, 300)
+
+
+def test_unwanted_epochs_are_not_read(spark, tmp_path):
+    from citegraph.sources.files import load_wanted_epochs
+
+    spark.range(1000).withColumn("epoch", F.concat(F.lit("e"), F.col("id") % 10)).write.partitionBy("epoch").parquet(f"{tmp_path}/t")
+    wanted = spark.createDataFrame([("e3", 5), ("e7", 1), ("e8", 9)], "epoch string, size int").where("size > 3")
+    df = load_wanted_epochs(spark, f"{tmp_path}/t", wanted)
+    for f in tmp_path.glob("t/epoch=*/*.parquet"):  # a file that is gone cannot be read
+        if f.parent.name not in ("epoch=e3", "epoch=e8"):
+            f.unlink()
+    assert sorted({r.epoch for r in df.collect()}) == ["e3", "e8"] and df.count() == 200
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString().lower()
