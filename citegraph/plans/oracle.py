@@ -147,6 +147,7 @@ SELECT url, CAST(length(xml) AS INTEGER) AS xml_len, md5(xml) AS xml_md5 FROM (
   SELECT url, substr(payload, pos + 4) AS xml FROM adm WHERE ends_with(outcome, '.success'))"""
 ORACLE["archive_records"] = captures_sql("strlen(payload)") + (
     "SELECT url, length, status, filetype, outcome, body_len FROM adm")
+ORACLE["archive_members"] = ORACLE["archive_records"]
 ORACLE["capture_status_counts"] = CAPTURES + "SELECT coalesce(outcome, status) AS status, count(*) AS n FROM adm GROUP BY 1"
 
 

@@ -23,6 +23,7 @@ from citegraph.operators.layout import all_nodes, layout_nodes, with_layout, wit
 from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import analyze_documents, extract, extract_counters, is_too_long, run_pipeline, title_status
 from citegraph.session import cut_lineage, scratch_path
+from citegraph.sources.archives import read_archives, write_archives
 from citegraph.sources.captures import admit_captures, archive_states, ingest, read_captures, split_payload, write_captures
 from citegraph.sources.files import Stages, load_epochs, load_wanted_epochs, materialize, refresh_index, write_table
 from citegraph.streaming import invert_stream
@@ -187,6 +188,14 @@ def q_archive_records(spark, sf):
     return d.select("url", "length", "status", "filetype", "outcome", "body_len")
 
 
+def q_archive_members(spark, sf):
+    """S1+S4: captures written as archives with a gzip member a record, read back by runs of members."""
+    path = scratch_path(spark, "member-archives")
+    write_archives(X.captures(spark, sf).coalesce(2), path)
+    recs = read_archives(spark, path + "/*.gz", run_bytes=64 << 10)
+    return split_payload(admit_captures(recs)).select("url", "length", "status", "filetype", "outcome", "body_len")
+
+
 def q_archive_states(spark, sf):
     """Whether every written archive file reads back whole, summed over the files."""
     path = scratch_path(spark, "archives")
@@ -677,6 +686,7 @@ QUERIES = {
     "capture_admission": q_capture_admission,
     "capture_status_counts": q_capture_status_counts,
     "archive_records": q_archive_records,
+    "archive_members": q_archive_members,
     "archive_states": q_archive_states,
     "ingest_documents": q_ingest_documents,
     "epoch_documents": q_epoch_documents,
