@@ -20,10 +20,10 @@ segments, and each fragment can be worked on without the others:
    and the partial counts are summed per pair; the pair links if the sum says so.
 
 Identical sets are one class from the start.  Inside a key's group no full set of pairs is
-emitted: first each node is paired with one other only, the head (smallest member) of most of its groups, and verified
-links are contracted to components; then only pairs that lie in different components
-are tried.  Small groups send pairs, which are merged before parities are attached, once a pair; members of large
-groups carry their parities and are compared in the task.
+emitted: first each node is paired with one other only, the head of most of its groups (the smallest member, in later
+rounds the first in another order), and verified links are contracted to components; then only pairs that lie in different
+components are tried.  Small groups send pairs, which are merged before parities are attached, once a pair; members of large
+groups carry folded parities and are compared in the task.
 """
 
 from __future__ import annotations
@@ -44,7 +44,11 @@ COUNT_FRAGMENTS = 8
 #: rows of a large group that are compared with as many others at once
 BLOCK = 512
 #: members of a key's group that are compared in one task, and members of a head that are counted in one task
-GROUP = 512
+GROUP = 2048
+#: rounds in which each node is paired with one head before pairs of different components are tried
+ROUNDS = 3
+#: halvings of the parities that members of a large group carry
+FOLDS = 2
 #: members of a key's group up to which its pairs are emitted before they are compared
 SMALL = 32
 
@@ -289,10 +293,24 @@ def _many_pairs(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "comp",
         F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"), "node",
     )
-    out = dealt.join(sets, "node").select("key", "comp", "side", "node", "n", "parity").repartition("key").sortWithinPartitions("key", "node")
+    def folded(b: pa.RecordBatch) -> pa.RecordBatch:
+        parity = [(p if p is None else _folded([p], np.array([max(1, len(p) // 8 >> FOLDS)]))[0].tobytes()) for p in b.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parity, pa.binary())], names=["node", "n", "parity"])
+
+    short = map_batches(sets, folded, "node long, n long, parity binary")
+    out = dealt.join(short, "node").select("key", "comp", "side", "node", "n", "parity").repartition("key").sortWithinPartitions("key", "node")
     return out.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def _heads(rest: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node of `rest` (key, node, comp) with one node of another component, the head of most of its groups
+    in the order of this turn."""
+    first = rest.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("head"), F.col("comp").alias("head_comp")), F.xxhash64("node", F.lit(turn))).alias("h")).select("key", "h.*")
+    asked = rest.join(first, "key").where("comp <> head_comp").groupBy("node", "head").count()
+    best = asked.groupBy("node").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
+    return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, pct: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair.
 
@@ -384,18 +402,27 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     reps = stored(reps.select("cls", "node", "doc", "s.n", "s.parity"), "classes")
     sets = reps.select("node", "n", "parity")
 
-    # each node with the head of most of its groups
-    tried = shared.where("node <> head").groupBy("node", "head").count().groupBy("node").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("a"))
-    tried = stored(_plausible(tried.select("a", F.col("node").alias("b")), sets, pct), "pairs")
+    # each node with the head of most of its groups, in several orders
+    first = shared.where("node <> head").groupBy("node", "head").count().groupBy("node").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("a"))
+    tried = stored(_plausible(first.select("a", F.col("node").alias("b")), sets, pct), "pairs")
     links = stored(_verified(tried, reps, docs, id_col, text_col, k, pct), "links")
-    comps = connected_components(links)
-    joined = shared.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("count")).where("lo < hi").select("key", "count")
-    rest = stored(joined.join(mixed, "key"), "mixed")
-    few = _few_pairs(rest.where(F.col("count") <= SMALL)).join(tried, ["a", "b"], "left_anti")
-    more = _plausible(stored(few, "few"), sets, pct).union(_many_pairs(rest.where(F.col("count") > SMALL), sets, pct)).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(more, "more"), reps, docs, id_col, text_col, k, pct), "links")
-    discard(shared, rest)
+    left = shared
+    for turn in range(1, ROUNDS + 1):
+        comps = connected_components(links)
+        joined = left.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("count")).where("lo < hi").select("key", "count")
+        rest = stored(joined.join(mixed, "key"), "mixed")
+        discard(left)
+        left = rest
+        if turn < ROUNDS:
+            more = stored(_plausible(_heads(rest, turn).join(tried, ["a", "b"], "left_anti"), sets, pct), "pairs")
+            tried = tried.union(more)
+            links = links.union(stored(_verified(more, reps, docs, id_col, text_col, k, pct), "links"))
+    few = _few_pairs(rest.where(F.col("count") <= SMALL))
+    many = _many_pairs(rest.where(F.col("count") > SMALL), sets, pct)
+    asked = stored(few.union(many).distinct().join(tried, ["a", "b"], "left_anti"), "asked")
+    more = stored(_verified(stored(_plausible(asked, sets, pct), "more"), reps, docs, id_col, text_col, k, pct), "links")
+    discard(rest)
     # an id that occurs with several texts joins their classes
     split = full.groupBy("doc").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc", "lo")
     same_id = full.join(split, "doc").select("lo", "node")
