@@ -439,6 +439,14 @@ c AS (SELECT label, ngram, CAST(sum(mult) AS DOUBLE) AS cnt FROM g GROUP BY 1, 2
 _NB_WORD = "[\\p{L}\\p{N}]+(?:[''’.][\\p{L}\\p{N}]+)*"
 _FOLD = "CAST('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 15) AS UBIGINT) % 5"
 ORACLE["nb_model"] = stored_once(_nb("") + "\nSELECT label, ngram, cnt, total, cnt / total AS weight FROM c, tot WHERE cnt > 1")
+ORACLE["learned_naive_bayes"] = ORACLE["nb_model"]
+ORACLE["learned_lengths"] = LEARN + ctes(
+    "mult AS (SELECT positive_id AS doc, 'good-cite' AS label, sum(mult) AS mult FROM pos GROUP BY 1 UNION ALL SELECT sampled_id, 'bad-cite', count(*) FROM neg GROUP BY 1)",
+    "x AS (SELECT m.label, m.mult, CAST(length(p.text) AS HUGEINT) AS size FROM mult m JOIN ded d ON d.id = m.doc JOIN papers p ON p.doc_id = d.doc_id)",
+) + """
+SELECT label, CAST(sum(mult) AS BIGINT) AS n, round(sum(mult * size) / sum(mult), 6) AS mean,
+       round(sum(mult * size * size) / sum(mult) - (sum(mult * size) / sum(mult)) * (sum(mult * size) / sum(mult)), 6) AS variance
+FROM x GROUP BY label"""
 ORACLE["nb_score"] = stored_once(_nb(" WHERE " + _FOLD.format(x="doc") + " <> 0") + ctes(
     "m AS (SELECT ngram, coalesce(sum(cnt) FILTER (WHERE label = 'good-cite'), 0) AS good, coalesce(sum(cnt) FILTER (WHERE label = 'bad-cite'), 0) AS bad FROM c WHERE cnt > 1 GROUP BY 1)",
     "s AS (SELECT ln(sum(bad) + count(*) + 1) - ln(sum(good) + count(*) + 1) AS unseen FROM m)",

@@ -19,6 +19,7 @@ from citegraph.operators import learn as L
 from citegraph.operators import similarity as S
 from citegraph.operators.topk import similar_all
 from citegraph.operators.sampling import first_n, random_doc
+from citegraph.operators.learners import Lengths, NaiveBayes, learn, training_texts
 from citegraph.operators.layout import all_nodes, layout_nodes, with_layout, with_text_and_title
 from citegraph.plans import fixtures as X
 from citegraph.plans.pipeline import analyze_documents, extract, extract_counters, is_too_long, run_pipeline, title_status
@@ -606,6 +607,19 @@ def q_nb_score(spark, sf):
     return scored.withColumn("log_odds", F.round("log_odds", R6))
 
 
+def _learned(learner):
+    def q(spark, sf):
+        docs, edges = _learning(spark, sf)
+        return learn(learner(), training_texts(docs.select("id", "doc_id", "title", "text"), edges))
+
+    return q
+
+
+def q_learned_lengths(spark, sf):
+    """A second learner under the same interface."""
+    return _learned(Lengths)(spark, sf).withColumns({c: F.round(c, R6) for c in ("mean", "variance")})
+
+
 # ------------------------------------------------------------------ index and search
 def _indexed(spark, sf, stored: bool = True):
     """Inverted documents and their postings; ``index_postings`` is the build."""
@@ -743,6 +757,8 @@ QUERIES = {
     "nb_negatives": q_nb_negatives,
     "nb_model": q_nb_model,
     "nb_score": q_nb_score,
+    "learned_naive_bayes": _learned(NaiveBayes),
+    "learned_lengths": q_learned_lengths,
     "index_postings": q_index_postings,
     "index_positions": q_index_positions,
     "stored_index": q_stored_index,
