@@ -23,7 +23,7 @@ Identical sets are one class from the start.  Inside a key's group no full set o
 emitted: first each node is paired with one other only, the head of most of its groups (the smallest member, in later
 rounds the first in another order), and verified links are contracted to components; then only pairs that lie in different
 components are tried.  Small groups send pairs, which are merged before parities are attached, once a pair; members of large
-groups carry folded parities and are compared in the task.
+groups carry folded parities and are compared in the task (before, each is tried with its nearest one there).
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ BLOCK = 512
 GROUP = 2048
 #: rounds in which each node is paired with one head before pairs of different components are tried
 ROUNDS = 3
-#: halvings of the parities that members of a large group carry
-FOLDS = 2
+#: halvings of the parities that members of a large group carry, and words (of 64 cells) that they keep at least
+FOLDS, WORDS = 1, 8
 #: members of a key's group up to which its pairs are emitted before they are compared
 SMALL = 32
 
@@ -192,12 +192,14 @@ def _folded(parity: list[bytes], width: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs_of_group(comp, side, node, n, parity, pct: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of_group(comp, side, node, n, parity, pct: int, nearest: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Possible pairs (the smaller and the larger node) of different components in one large group, by blocks of rows
-    against blocks of earlier rows."""
+    against blocks of earlier rows; with `nearest`, of each larger node the pair whose parities differ least."""
     words = np.fromiter(map(len, parity), np.int64, len(parity)) // 8
     par, found = _folded(parity, np.full(len(parity), words.min())), []
     for i in range(0, len(node), BLOCK):
+        least = np.full(min(BLOCK, len(node) - i), np.iinfo(np.int64).max)
+        to = np.zeros(len(least), np.int64)
         for j in range(0, i + 1, BLOCK):
             x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
             need = max_difference(n[x][:, None], n[y][None, :], pct)
@@ -206,8 +208,18 @@ def _pairs_of_group(comp, side, node, n, parity, pct: int) -> list[tuple[np.ndar
             far = np.zeros(need.shape, np.int64)
             for w in range(par.shape[1]):
                 far += np.bitwise_count(par[x, w][:, None] ^ par[y, w][None, :])
-            r, c = np.nonzero(ok & (far <= need))
-            found.append((node[y][c], node[x][r]))
+            ok &= far <= need
+            if nearest:
+                far[~ok] = np.iinfo(np.int64).max
+                c = far.argmin(axis=1)
+                closer = far[np.arange(len(c)), c] < least
+                least[closer], to[closer] = far[closer, c[closer]], node[y][c[closer]]
+            else:
+                r, c = np.nonzero(ok)
+                found.append((node[y][c], node[x][r]))
+        if nearest:
+            has = least < np.iinfo(np.int64).max
+            found.append((to[has], node[i : i + BLOCK][has]))
     return found
 
 
@@ -271,8 +283,9 @@ def _plausible(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "par_a", "n_b", "par_b"), run, "a long, b long")
 
 
-def _many_pairs(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The possible pairs (a, b), a < b, of different components within each large group of `rows` (key, node, comp, count).
+def _many_pairs(rows: DataFrame, sets: DataFrame, pct: int, nearest: bool) -> DataFrame:
+    """The possible pairs (a, b), a < b, of different components within each large group of `rows` (key, node, comp, count);
+    with `nearest`, one for each member and task at most.
 
     Members carry their parities.  A group of more than `GROUP` members is split into blocks by a hash of the member, and
     pairs of blocks become groups of their own, so that no task holds more than about twice `GROUP` members at once."""
@@ -282,7 +295,7 @@ def _many_pairs(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             key, comp, side, node, n = (part.column(i).to_numpy() for i in range(5))
             parity, starts = part.column(5).to_pylist(), _starts(key)
             for s in map(slice, starts[:-1], starts[1:]):
-                pairs = np.concatenate([np.stack(p, axis=1) for p in _pairs_of_group(comp[s], side[s], node[s], n[s], parity[s], pct)])
+                pairs = np.concatenate([np.stack(p, axis=1) for p in _pairs_of_group(comp[s], side[s], node[s], n[s], parity[s], pct, nearest)])
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -294,7 +307,7 @@ def _many_pairs(rows: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"), "node",
     )
     def folded(b: pa.RecordBatch) -> pa.RecordBatch:
-        parity = [(p if p is None else _folded([p], np.array([max(1, len(p) // 8 >> FOLDS)]))[0].tobytes()) for p in b.column(2).to_pylist()]
+        parity = [(p if p is None else _folded([p], np.array([max(min(WORDS, len(p) // 8), len(p) // 8 >> FOLDS)]))[0].tobytes()) for p in b.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parity, pa.binary())], names=["node", "n", "parity"])
 
     short = map_batches(sets, folded, "node long, n long, parity binary")
@@ -407,7 +420,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     tried = stored(_plausible(first.select("a", F.col("node").alias("b")), sets, pct), "pairs")
     links = stored(_verified(tried, reps, docs, id_col, text_col, k, pct), "links")
     left = shared
-    for turn in range(1, ROUNDS + 1):
+    for turn in range(1, ROUNDS + 2):
         comps = connected_components(links)
         joined = left.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("count")).where("lo < hi").select("key", "count")
@@ -415,11 +428,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         discard(left)
         left = rest
         if turn < ROUNDS:
-            more = stored(_plausible(_heads(rest, turn).join(tried, ["a", "b"], "left_anti"), sets, pct), "pairs")
-            tried = tried.union(more)
-            links = links.union(stored(_verified(more, reps, docs, id_col, text_col, k, pct), "links"))
+            more = _heads(rest, turn)
+        elif turn == ROUNDS:  # members of large groups with their nearest ones
+            more = _many_pairs(rest.where(F.col("count") > SMALL), sets, pct, nearest=True)
+        else:
+            break
+        more = stored(_plausible(more.join(tried, ["a", "b"], "left_anti"), sets, pct), "pairs")
+        tried = tried.union(more)
+        links = links.union(stored(_verified(more, reps, docs, id_col, text_col, k, pct), "links"))
     few = _few_pairs(rest.where(F.col("count") <= SMALL))
-    many = _many_pairs(rest.where(F.col("count") > SMALL), sets, pct)
+    many = _many_pairs(rest.where(F.col("count") > SMALL), sets, pct, nearest=False)
     asked = stored(few.union(many).distinct().join(tried, ["a", "b"], "left_anti"), "asked")
     more = stored(_verified(stored(_plausible(asked, sets, pct), "more"), reps, docs, id_col, text_col, k, pct), "links")
     discard(rest)
