@@ -38,44 +38,132 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 TRACKED = frozenset("article main nav header footer aside form section div ul ol table dialog menu head button fieldset details figure blockquote body".split())
 #: enclosing elements that hold no main text
 OUTSIDE = frozenset("nav footer aside form dialog menu head button fieldset".split())
-#: words of a class, id or role that mark an enclosing element as no main text
+#: words of a class, id or role that mark an enclosing element as no main text ...
 MARKED = frozenset(
-    "ad ads advert adverts advertisement adbox banner sponsor sponsored promo promotion sidebar side nav navbar navigation menu breadcrumb breadcrumbs crumbs "
-    "footer header masthead topbar toolbar cookie cookies consent gdpr notice notification alert warning popup modal overlay dialog comment comments disqus respond reply replies "
-    "discussion related recommended recommendations more share sharing social follow subscribe newsletter signup login search form pagination pager widget "
-    "copyright legal disclaimer skip contentinfo complementary hidden".split()
+    "ad ads advert adverts advertisement adbox banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs crumbs "
+    "footer masthead topbar toolbar cookie cookies consent gdpr notification warning popup modal overlay dialog comment comments disqus respond reply replies "
+    "discussion recommended recommendations sharing subscribe newsletter signup login pagination pager widget copyright disclaimer contentinfo complementary hidden".split()
 )
+#: ... those that do so only alone or beside other marking words and `FRAME` (``legal-advice`` or ``social-policy`` names a topic) ...
+WEAK = frozenset("side header notice alert related more share social follow search form legal skip".split())
+FRAME = frozenset("bar box link links list block container wrapper wrap button buttons icon icons area section panel inner outer top bottom page site main global column col media us to for".split())
+#: ... those that an inner article keeps (an inner main element is the page's text whatever encloses it) ...
+KEPT = frozenset(
+    "ad ads advert adverts advertisement adbox sponsor sponsored promo promotion sidebar side nav navbar navigation menu footer comment comments disqus respond reply replies "
+    "discussion related recommended recommendations popup modal overlay dialog widget complementary hidden".split()
+)
+#: ... and first words of a name that tells of the layout around (``has-sidebar``), not of the element
+LAYOUT = frozenset("has no not with without".split())
+REPLIES = frozenset("comment comments disqus respond reply replies".split())
 #: words of a class, id or role that mark an enclosing element as main text
 MAIN = frozenset("article post entry story content main body".split())
+#: what only a page has: a form around it is no form of the page
+PAGE_PARTS = frozenset("article main nav footer h1".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEAD_TAGS = frozenset("meta link base script style title noscript template html head".split())
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "in_outside", "in_marked", "heading", "in_list")
 
 
 # ------------------------------------------------------------------ blocks
+#: an element that is not shown
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|\Z)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_VALUE = re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+def is_hidden(attrs: str) -> bool:
+    m = _HIDDEN.search(attrs)
+    # a value that only mentions the word (title="a hidden place") hides nothing
+    return bool(m) and (m[0].strip().lower().startswith(("aria", "style")) or bool(_HIDDEN.search(_VALUE.sub('""', attrs))))
+
+
+def marks_of(attrs: str) -> set[str]:
+    """The words of an element's class, id or role that mark it as no main text."""
+    marks, names = set(), set()
+    for x in _CLASS.findall(attrs):
+        for name in "".join(x).split():
+            words = [w.lower() for w in _PART.findall(name)]
+            if words and words[0] in LAYOUT:
+                continue
+            names.update(words)
+            marks.update(w for w in words if w in MARKED)
+            if all(w in MARKED or w in WEAK or w in FRAME for w in words):
+                marks.update(w for w in words if w in WEAK)
+    return set() if names & MAIN and not names & {"comment", "comments", "sidebar", "ad", "ads", "related", "footer", "nav"} else marks
+
+
+class Elements:
+    """The tracked elements of a page in order of their start tags.  What an element encloses is decided when the page
+    has been read: a form turns out to be a wrapper only behind its start."""
+
+    def __init__(self):
+        self.tag, self.parent, self.main, self.outside, self.marks, self.hidden, self.labelled = [], [], [], [], [], [], []
+        self.open_forms: list[int] = []
+
+    def start(self, tag: str, attrs: str, parent: int) -> int:
+        inside = parent >= 0 and self.main[parent]
+        marks = set() if tag in ("body", "article", "main") else marks_of(attrs)
+        if tag == "article":
+            names = [w for x in _CLASS.findall(attrs) for w in "".join(x).lower().split()]
+            if not any(w in ("post", "entry", "story", "hentry") for w in names):
+                marks = {"comment"} if any(w in REPLIES or w.split("-")[0] in REPLIES for w in names) else set()
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.main.append(inside or tag in ("article", "main"))
+        self.outside.append(tag in OUTSIDE or tag == "header" and not inside)
+        self.marks.append(marks)
+        self.hidden.append(tag != "body" and is_hidden(attrs))
+        self.labelled.append("data-main" in attrs)
+        if tag == "form":
+            self.open_forms.append(len(self.tag) - 1)
+        return len(self.tag) - 1
+
+    def page_part(self):
+        """A part that only pages have begins: the open forms are around the page."""
+        for i in self.open_forms:
+            self.outside[i] = False
+        self.open_forms = []
+
+    def end(self, element: int):
+        if self.open_forms and self.tag[element] == "form" and element in self.open_forms:
+            self.open_forms.remove(element)
+
+    def enclosed(self) -> list[tuple]:
+        """Per element (main, outside, marked, in a list, hidden, labelled), what encloses it counted in; the last entry, for no
+        element, is all False."""
+        out = []
+        kept = []  # whether marks that an article does not lift enclose the element
+        for i, tag in enumerate(self.tag):
+            p = self.parent[i]
+            _, outside, marked, listed, hidden, labelled = out[p] if p >= 0 else (False,) * 6
+            firm = p >= 0 and kept[p]
+            if tag == "main":
+                outside = marked = firm = False
+            elif tag == "article" and not firm:
+                marked = False
+            outside, marked = outside or self.outside[i], marked or bool(self.marks[i])
+            kept.append(firm or bool(self.marks[i] & KEPT))
+            out.append((self.main[i], outside, marked, listed or tag in ("ul", "ol", "menu"), hidden or self.hidden[i], labelled or self.labelled[i]))
+        return [*out, (False,) * 6]
+
+
 def blocks_of(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
-    """(texts, feature matrix, labels) of a page's non-empty blocks, in order.  Labels come from
+    """(texts, feature matrix, labels) of a page's non-empty blocks that are shown, in order.  Labels come from
     ``data-main`` attributes and matter only for the labelled table."""
-    texts, rows, labels = [], [], []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, main, outside, marked, labelled
+    found: list[tuple] = []  # text, words, share of linked words, in a heading, element
+    elements = Elements()
+    stack: list[int] = []
     pieces: list[str] = []
-    linked = words_linked = 0
-    in_link = False
+    words_linked = 0
+    in_link = hide = False
     heading = None
-    has_main = False
 
     def close_block():
         nonlocal words_linked
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
-        if text:
+        if text and not hide:
             n = text.count(" ") + 1
-            texts.append(text)
-            rows.append((
-                n, min(1.0, words_linked / n), any(s[1] for s in stack), any(s[2] for s in stack), any(s[3] for s in stack),
-                heading is not None, any(s[0] in ("ul", "ol", "menu") for s in stack),
-            ))
-            labels.append(any(s[4] for s in stack))
+            found.append((text, n, min(1.0, words_linked / n), heading is not None, stack[-1] if stack else -1))
         words_linked = 0
 
     def add(text: str):
@@ -112,34 +200,36 @@ def blocks_of(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
             if tag == "br":
                 pieces.append(" ")
             continue
-        if stack and stack[-1][0] == "head" and tag not in _HEAD_TAGS:
+        if stack and elements.tag[stack[-1]] == "head" and tag not in _HEAD_TAGS:
             close_block()
             stack.pop()
         close_block()
+        hide = not end and tag not in TRACKED and tag not in ("html", "body") and is_hidden(attrs)
         if tag in HEADINGS:
             heading = None if end else tag
+        if tag in PAGE_PARTS and not end:
+            elements.page_part()
         if tag not in TRACKED:
             continue
         in_link = False
         if end:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if elements.tag[stack[i]] == tag:
+                    elements.end(stack[i])
                     del stack[i:]
                     break
         elif not attrs.rstrip().endswith("/"):
-            names = {w.lower() for x in _CLASS.findall(attrs) for w in _PART.findall("".join(x))}
-            main = tag in ("article", "main")
-            inside = main or any(s[1] for s in stack)
-            outside = tag in OUTSIDE or tag == "header" and not inside
-            marked = tag not in ("body", "article", "main") and bool(names & MARKED) and not (names & MAIN and not names & {"comment", "comments", "sidebar", "ad", "ads", "related", "footer", "nav"})
-            stack.append((tag, main, outside, marked, "data-main" in attrs))
-            has_main |= main
+            stack.append(elements.start(tag, attrs, stack[-1] if stack else -1))
     if at < len(page):
         add(page[at:])
     close_block()
-    if not rows:
+    around = elements.enclosed()
+    found = [x for x in found if not around[x[4]][4]]
+    texts, labels = [x[0] for x in found], [around[x[4]][5] for x in found]
+    if not found:
         return texts, np.zeros((0, len(FEATURES))), labels
-    own = np.array(rows, float)
+    has_main = any(t in ("article", "main") for t in elements.tag)
+    own = np.array([(n, links, *around[e][:3], head, around[e][3]) for _, n, links, head, e in found], float)
     size = np.pad(own[:, :2], ((1, 1), (0, 0)))
     place = np.where(own[:, 2] > 0, 1, -1 if has_main else 0)  # inside, outside of, or without an article or main element
     return texts, np.column_stack((own[:, :2], size[:-2], size[2:], place, own[:, 3:])), labels
@@ -229,7 +319,7 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"),
 
     A null or empty page, or one without main text, gives the empty text and 0.  Character references are
     decoded once, white space within a block (no-break spaces too) becomes one blank, and the main blocks are
-    joined by one blank in page order; whole pages are read.  Unclosed elements, comments and scripts end with the page.  Repeated
+    joined by one blank in page order; whole pages are read; what is hidden is not text.  Unclosed elements, comments and scripts end with the page.  Repeated
     rows and null ids are pages like others; further columns are not read; an empty table gives no rows.
     """
     short_batches(pages.sparkSession)

@@ -51,6 +51,36 @@ def test_skipped_elements_end_where_they_do(tree, page, text):
     assert main_text(page, tree) == text
 
 
+BODY = f"<h1>T</h1><p>{LINE * 2}</p><p>Hi.</p>"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class=no-sidebar", "div class='left-side'", "section class='search-results'", "div id='legal-advice'", "div class=social-policy", "form id=aspnetForm", "div class='with-nav container'"])
+@pytest.mark.parametrize("inner", ["article", "main", "div class=post-content", "div"])
+def test_wrappers_keep_their_text(tree, wrapper, inner):
+    tags = wrapper.split()[0], inner.split()[0]
+    page = f"<body><{wrapper}><nav><a href=/>Home</a></nav><{inner}>{BODY}</{tags[1]}><footer>{LINE}</footer></{tags[0]}></body>"
+    assert main_text(page, tree) == f"T {LINE * 2}Hi."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class=header><article>{BODY}</article></div>", f"T {LINE * 2}Hi."),
+        (f"<div class='content-sidebar-wrap'><main>{BODY}</main><div class=sidebar><article><p>{LINE}</p></article></div></div>", f"T {LINE * 2}Hi."),
+        (f"<article>{BODY}</article><div id=comments><article><p>{LINE}</p></article></div>", f"T {LINE * 2}Hi."),
+        (f"<article>{BODY}</article><article class='comment-body'><p>{LINE}</p></article>", f"T {LINE * 2}Hi."),
+        (f"<article>{BODY}<form class=search><p>{LINE}</p></form></article>", f"T {LINE * 2}Hi."),
+        (f"<article>{BODY}<div hidden><p>{LINE}</p></div><p hidden>no</p><div style='color:red; display: none'>no</div><section aria-hidden=true>no</section><p title='a hidden place'>end</p></article>", f"T {LINE * 2}Hi. end"),
+    ],
+)
+def test_marks_and_hidden_elements(tree, page, text):
+    assert main_text(page, tree) == text
+
+
+def test_deep_pages_are_read_in_one_pass(tree):
+    assert main_text("<article>" + "<div>a " * 100_000, tree) == " ".join(["a"] * 100_000)
+
+
 def test_many_unclosed_elements_are_read_in_one_pass(tree):
     assert main_text("<article><p>" + "<svg>a " * 200_000 + "</p></article>", tree) == " ".join(["a"] * 200_000)
 
