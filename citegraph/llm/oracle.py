@@ -50,7 +50,12 @@ _PLAIN = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x
 
 OP8 = f"""
 WITH items AS (SELECT item_id, len(s) AS n, unnest(s) AS sh FROM (SELECT item_id, {_shingles(5)} AS s FROM (SELECT item_id, {_PLAIN} AS w FROM benchmark))),
-docs AS (SELECT doc_id, unnest(s) AS sh FROM (SELECT doc_id, {_shingles(5)} AS s FROM (SELECT doc_id, {_PLAIN} AS w FROM documents)))
+plain AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+short AS (SELECT DISTINCT len(w) AS k FROM (SELECT {_PLAIN} AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND 4),
+docs AS (SELECT doc_id, unnest(s) AS sh FROM (SELECT doc_id, {_shingles(5)} AS s FROM plain WHERE len(w) >= 5)
+         UNION ALL
+         SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')))) AS sh
+         FROM plain JOIN short ON len(w) >= k)
 SELECT d.doc_id, i.item_id, count(*) AS n_shared, CAST(i.n AS BIGINT) AS n_item, count(*) / i.n AS containment
 FROM docs d JOIN items i ON i.sh = d.sh GROUP BY d.doc_id, i.item_id, i.n HAVING 100 * count(*) >= 80 * i.n
 """

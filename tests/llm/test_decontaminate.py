@@ -13,13 +13,18 @@ def sets(text, k=5):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}
 
 
+def holds(words, item):
+    return any(words[i : i + len(item)] == item for i in range(len(words) - len(item) + 1))
+
+
 def brute(docs, items, k=5, pct=80):
     out = {}
     for d, t in docs:
         s = sets(t, k)
         for i, x in items:
             q = sets(x, k)
-            n = len(q & s)
+            w = D.plain_words(x)
+            n = len(q & s) if len(w) >= k else int(bool(w) and holds(D.plain_words(t), w))
             if q and 100 * n >= pct * len(q) and out.get((d, i), (0,))[0] <= n / len(q):
                 out[d, i] = max(out.get((d, i), (0, 0, 0)), (n / len(q), n, len(q)))
     return out
@@ -56,6 +61,13 @@ def test_equals_brute_force(frame, data, monkeypatch, block):
     assert len(got) > 80
 
 
+def test_short_items_are_found_at_any_place(frame):
+    docs = [(1, "She said: the ANSWER is forty-two, and left the room."), (2, "the answer is forty"), (3, "answer is forty two"), (4, "forty two is the answer is"), (5, None), (6, ""), (7, "two")]
+    items = [(1, "answer is forty two"), (2, "two"), (3, "Two!"), (4, "is the answer is left the room and more")]
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item, r.containment) for r in D.contained_items(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i, 1, 1, 1.0) for d, i in [(1, 1), (3, 1), *((d, i) for d in (1, 3, 4, 7) for i in (2, 3))]}
+
+
 def test_empty_tables(frame):
     docs, items = frame([(1, "a b c d e f")], "doc_id long, text string"), frame([(1, "a b c d e f")], "item_id long, text string")
     assert len(D.contained_items(docs, items).collect()) == 1
