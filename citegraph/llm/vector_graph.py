@@ -43,10 +43,16 @@ VISITS, SEEN = 20_000, 500_000
 #: audited queries, the share of links that must be found, and the number of links from which a query counts as one of a dense group
 AUDIT, MIN_RECALL, DENSE = 1000, 0.95, 100
 #: tries with doubled overlap and beam, before everything is compared
+#: bytes of the centroids, at most: they go to the driver and to all tasks
+CENTROID_BYTES = 200_000_000
 TRIES = 3
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row is divided by its largest component first, whose square could leave the range of doubles."""
+    if not x.size:
+        return x
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -165,10 +171,12 @@ def _nodes(vectors: DataFrame) -> DataFrame:
 
 def _centroids(nodes: DataFrame, count: int) -> dict[tuple, np.ndarray]:
     """Unit centroids per (label, length), drawn by a hash of the node; a near one of a kept one is left out."""
-    share = min(1 / PER_CENTROID, MAX_CENTROIDS / max(count, 1))
+    longest = nodes.agg(F.max(F.size("x"))).first()[0] or 1
+    most = max(1, min(MAX_CENTROIDS, CENTROID_BYTES // (16 * longest)))
+    share = min(1 / PER_CENTROID, most / max(count, 1))
     drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit("centroid")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("node", "label", "x")
     groups: dict[tuple, list] = {}
-    for r in drawn.orderBy("node").limit(2 * MAX_CENTROIDS).collect():
+    for r in drawn.orderBy("node").limit(2 * most).collect():
         groups.setdefault((r.label, len(r.x)), []).append(r.x)
     out = {}
     for key, xs in groups.items():

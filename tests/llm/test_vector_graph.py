@@ -115,6 +115,12 @@ def test_repeated_rows_null_ids_and_clashing_columns(frame):
     assert V.near_vectors(frame([], SCHEMA)).collect() == []
 
 
+def test_very_large_and_very_small_components(frame):
+    rows = [(1, 1, [1e200, 1e200]), (2, 1, [2e200, 2e200]), (3, 2, [1e-200, 1e-200]), (4, 2, [1.0, 0.01]), (5, 2, [5e-324, 5e-324]), (6, 2, [1e308, 0.0]), (7, 3, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_vectors(frame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 4), 5: (1, 3), 6: (1, 4), 7: (0, 7)}
+
+
 def test_graph_search_finds_whole_range():
     r = np.random.default_rng(2)
     x = V.unit_rows(np.vstack((r.normal(size=(300, 24)), r.normal(size=24) + r.normal(size=(100, 24)) * 0.15)))
