@@ -1,18 +1,19 @@
 """Operator 1: stupid-backoff scores against count tables of the whole corpus.
 
-An n-gram's score is ``count(ngram) / count(context)`` if the n-gram was counted at least `MIN_COUNT` times, else
+An n-gram's score is ``count(ngram) / count(context)`` if the n-gram is in the count tables, else
 `BACKOFF` times the score of the n-gram without its first word; a word's score is its share of all words.
+The tables hold all n-grams; a caller may prune those counted fewer than `min_count` times.
 A document's score is the sum of the logarithms over its words, each with up to ``order - 1`` words before it.
 
 Rows of (document, n-gram) would be many times the texts, so n-grams travel pre-aggregated:
 
 1. Documents are read once and stored as batches: word numbers within the batch and the words' hashes.
 2. Level by level (words, pairs, ...) each batch sends its distinct n-gram hashes with their counts, cut into shards by
-   hash.  Only n-grams whose two parts were counted `MIN_COUNT` times are sent: no other can reach it.
+   hash.  Where tables are pruned, n-grams with a pruned part are not sent: they cannot reach `min_count`.
 3. A shard adds up the counts of all batches (the count table, partitioned by hash) and answers each batch with the
    totals of what it sent, in the order sent.
-4. The answers are joined to the batches, which are stored bucketed by the scan's task, so batches are
-   not shuffled; words are scored and summed per document.
+4. The answers are joined to the batches, one group a batch; batches are stored bucketed by their number, so they are
+   not shuffled.  Words are scored and summed per document.
 
 A frequent n-gram is one entry per batch, whatever its count, so no shard gets a hot key.
 """
@@ -31,7 +32,7 @@ from citegraph.llm.common import short_batches, stored, tidy
 from citegraph.llm.shingles import hash_words, mix, words_of
 from citegraph.session import scratch_path
 
-ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
+ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 1
 #: words of a batch (a document is never cut) and entries of a shard, about
 BATCH_WORDS, SHARD_ENTRIES = 2_000_000, 1_500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -217,25 +218,27 @@ def _answers(sent: DataFrame) -> DataFrame:
     return sent.groupBy("level", "shard").applyInArrow(add, "task int, seq int, level int, shard int, totals binary")
 
 
+def _one(batches: pa.Table) -> dict:
+    """The row of a batch's group."""
+    return batches.to_pylist()[0]
+
+
 def _with_answers(kept: DataFrame, answers: DataFrame, order: int, min_count: int, known: int, each, schema: str) -> DataFrame:
-    """`each(batch, task, seq)` over the batches that know the totals up to level `known`; a task's batches and
-    answers are brought together by the task's number."""
+    """`each(batch, task, seq)` over the batches that know the totals up to level `known`; a batch and its answers are
+    brought together by the batch's number."""
 
     def run(batches: pa.Table, totals: pa.Table) -> pa.Table:
         np.seterr(over="ignore", divide="ignore")
-        answered = sorted(zip(*(totals.column(c).to_pylist() for c in ("seq", "level", "shard", "totals"))), key=lambda r: r[:3])
-        out = [_table(schema)]
-        for row in batches.to_batches(max_chunksize=1):
-            row = row.to_pylist()[0]
-            batch = Batch(row, order)
-            for k in range(1, known + 1):
-                parts = [unpack_counts(x) for seq, level, _, x in answered if (seq, level) == (row["seq"], k)]
-                batch.learn(k, np.concatenate([np.empty(0, np.int64), *parts]), min_count)
-            if (result := each(batch, row["task"], row["seq"])) is not None:
-                out.append(pa.Table.from_batches([result]))
-        return pa.concat_tables(out)
+        row = _one(batches)
+        batch = Batch(row, order)
+        answered = sorted(zip(*(totals.column(c).to_pylist() for c in ("level", "shard", "totals"))), key=lambda r: r[:2])
+        for k in range(1, known + 1):
+            parts = [unpack_counts(x) for level, _, x in answered if level == k]
+            batch.learn(k, np.concatenate([np.empty(0, np.int64), *parts]), min_count)
+        result = each(batch, row["task"], row["seq"])
+        return _table(schema) if result is None else pa.Table.from_batches([result])
 
-    return kept.groupBy("task").cogroup(answers.groupBy("task")).applyInArrow(run, schema)
+    return kept.groupBy("task", "seq").cogroup(answers.groupBy("task", "seq")).applyInArrow(run, schema)
 
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
@@ -249,21 +252,19 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short_batches(spark)
     name = f"citegraph_batches_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _batches(docs, id_col, text_col).write.bucketBy(buckets, "task").option("compression", "zstd").option("path", scratch_path(spark, "batches")).saveAsTable(name)
+    _batches(docs, id_col, text_col).write.bucketBy(buckets, "task", "seq").option("compression", "zstd").option("path", scratch_path(spark, "batches")).saveAsTable(name)
     kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only its entry: the files are read on
     words = kept.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     shards = max(buckets, -(-words // SHARD_ENTRIES))
 
     def first(batches: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        out = [_table(_SENT)]
-        for row in batches.to_batches(max_chunksize=1):
-            row = row.to_pylist()[0]
-            if (x := _sent(Batch(row, order), row["task"], row["seq"], 1, shards, min_count)) is not None:
-                out.append(pa.Table.from_batches([x]))
-        return pa.concat_tables(out)
-
-    answers = stored(_answers(kept.groupBy("task").applyInArrow(first, _SENT)), "answers")
+        row = _one(batches)
+        x = _sent(Batch(row, order), row["task"], row["seq"], 1, shards, min_count)
+        return _table(_SENT) if x is None else pa.Table.from_batches([x])
+
+    answers = stored(_answers(kept.groupBy("task", "seq").applyInArrow(first, _SENT)), "answers")
     for k in range(2, order + 1):
         more = _with_answers(kept, answers, order, min_count, k - 1, lambda b, task, seq, k=k: _sent(b, task, seq, k, shards, min_count), _SENT)
         answers = answers.union(stored(_answers(more), "answers"))

@@ -34,8 +34,8 @@ n2 AS (SELECT b, c, count(*) AS n FROM pos WHERE i > 1 GROUP BY b, c),
 n3 AS (SELECT a, b, c, count(*) AS n FROM pos WHERE i > 2 GROUP BY a, b, c),
 total AS (SELECT count(*) AS n FROM pos),
 s AS (
-  SELECT p.doc_id, CASE WHEN n3.n >= 2 THEN ln(n3.n / ctx2.n)
-                        WHEN n2.n >= 2 THEN ln(n2.n / ctx1.n) + CASE WHEN p.i > 2 THEN ln(0.4) ELSE 0 END
+  SELECT p.doc_id, CASE WHEN n3.n >= 1 THEN ln(n3.n / ctx2.n)
+                        WHEN n2.n >= 1 THEN ln(n2.n / ctx1.n) + CASE WHEN p.i > 2 THEN ln(0.4) ELSE 0 END
                         ELSE ln(n1.n / total.n) + (least(p.i, 3) - 1) * ln(0.4) END AS score
   FROM pos p JOIN n1 ON n1.c = p.c CROSS JOIN total
   LEFT JOIN n1 ctx1 ON ctx1.c = p.b

@@ -7,7 +7,7 @@ from citegraph.llm.lm_scoring import backoff_scores, pack_counts, pack_sorted, u
 from citegraph.llm.shingles import words_of
 
 
-def brute(texts, order=3, backoff=0.4, least=2):
+def brute(texts, order=3, backoff=0.4, least=1):
     words = [words_of(t) for t in texts]
     n = Counter(g for w in words for k in range(1, order + 1) for g in zip(*[w[j:] for j in range(k)]))
     total, out = sum(map(len, words)), []
@@ -37,6 +37,14 @@ def test_scores_equal_brute_force(frame, texts):
         assert (got[i].mean_score is None) == (n == 0)
 
 
+def test_pruned_tables(spark, frame, texts):
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.score for r in backoff_scores(frame(rows, "doc_id long, text string").repartition(3), min_count=2).collect()}
+    for i, (_, s) in enumerate(brute(texts, least=2)):
+        assert abs(got[i] - s) < 1e-6 * max(1, abs(s))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("citegraph_batches")]
+
+
 def test_orders_repeats_and_null_ids(frame):
     rows = [(1, "a b a b a b c"), (1, "a b a b a b c"), (None, "a b d"), (2, None)]
     for order in (1, 2, 4):
