@@ -9,7 +9,8 @@ Rows of (document, n-gram) would be many times the texts, so n-grams travel pre-
 
 1. Documents are read once and stored as batches: word numbers within the batch and the words' hashes.
 2. Level by level (words, pairs, ...) each batch sends its distinct n-gram hashes with their counts, cut into shards by
-   hash.  Where tables are pruned, n-grams with a pruned part are not sent: they cannot reach `min_count`.
+   hash.  An n-gram with a part that occurs once in the corpus occurs once itself: its count is known and not
+   sent.  (Where tables are pruned, one with a pruned part is not sent either: it cannot reach `min_count`.)
 3. A shard adds up the counts of all batches (the count table, partitioned by hash) and answers each batch with the
    totals of what it sent, in the order sent.
 4. The answers are joined to the batches, one group a batch; batches are stored bucketed by their number, so they are
@@ -110,7 +111,7 @@ def _batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 class Batch:
     """A batch's words with the counts known so far: `counts[1]` per word of the vocabulary, `counts[k]` per position
-    of the k-gram that ends there, 0 if it was not kept."""
+    of the k-gram that ends there, 0 if there is none or it was pruned."""
 
     def __init__(self, row: dict, order: int):
         self.docs, self.sizes = row["docs"], np.asarray(row["sizes"], np.int64)
@@ -120,13 +121,11 @@ class Batch:
         self.order, self.counts = order, {}
 
     def candidates(self, k: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, hashes) of the k-grams whose two parts were kept; of k = 1, the words of the vocabulary."""
+        """(positions, hashes) of the k-grams whose two parts were kept and occur more than once; of k = 1, the words of the
+        vocabulary."""
         if k == 1:
             return np.arange(len(self.vocabulary)), mix(self.vocabulary)
-        if k == 2:
-            kept = self.counts[1][self.number] >= min_count
-        else:
-            kept = self.counts[k - 1] > 0
+        kept = (self.counts[1][self.number] if k == 2 else self.counts[k - 1]) >= max(min_count, 2)
         kept[1:] &= kept[:-1].copy()
         at = np.flatnonzero(kept & (self.place >= k - 1))
         h = np.full(len(at), k, np.uint64)
@@ -147,13 +146,13 @@ class Batch:
         return h[starts], np.diff(starts, append=len(h))
 
     def learn(self, k: int, totals: np.ndarray, min_count: int):
-        """Take the totals of the distinct k-grams in order of their hashes."""
+        """Take the totals of the distinct k-grams in order of their hashes; k-grams that were not sent occur once."""
         at, h = self.candidates(k, min_count)
         order = h.argsort()
         h = h[order]
         rank = np.cumsum(np.concatenate((np.zeros(min(len(h), 1), bool), h[1:] != h[:-1])))
         del h
-        out = np.zeros(len(self.vocabulary if k == 1 else self.number), np.int64)
+        out = np.zeros(len(self.vocabulary), np.int64) if k == 1 else ((self.place >= k - 1) & (min_count <= 1)).astype(np.int64)
         n = totals[rank]
         out[at[order]] = n if k == 1 else np.where(n >= min_count, n, 0)
         self.counts[k] = out
