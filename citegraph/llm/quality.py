@@ -3,8 +3,8 @@
 The model is an interpolated modified Kneser-Ney model of character n-grams, trained on trusted texts.  Its tables are built
 by Spark: n-gram counts are summed by n-gram, each lower order counts the distinct left neighbours of
 its n-grams, and probabilities come from joins of a count table with its contexts' totals and with the next lower
-order, all partitioned by n-gram.  Training reads a sample of the trusted rows of about `TRAIN_CHARS` characters, which bounds
-the tables; they are sent to all workers as hash shards, and every whole text is scored in one pass: a
+order, all partitioned by n-gram.  Training reads all trusted texts.  The tables hold each different n-gram once, so they grow with
+the kinds of n-grams, not with the texts; they are sent to all workers as hash shards, and every whole text is scored in one pass: a
 position's longest known n-gram, times the weights of the contexts that did not know theirs.
 
 A document is kept if its rating is at most the `QUANTILE` of the trusted documents' ratings in its language.  The rating
@@ -23,8 +23,6 @@ from citegraph.llm.common import map_batches, short_batches, stored
 from citegraph.llm.shingles import mix
 
 ORDER = 5
-#: characters of trusted text that are learned from, about
-TRAIN_CHARS = 12_000_000
 #: share of a language's trusted documents that its threshold keeps
 QUANTILE = 0.995
 #: characters of trusted text by which a rating is steadied
@@ -161,7 +159,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model | None:
 
 
 def _shards(table: DataFrame, k: int) -> Shards:
-    """A model table, bounded by the training sample, on the driver."""
+    """A model table, one row for each different n-gram, on the driver."""
     t = table.toArrow()
     c = codes("".join(t.column("gram").to_pylist()))
     return Shards(gram_hashes(c, np.arange(k - 1, len(c), k), k), t.column("v").to_numpy())
@@ -208,7 +206,7 @@ def perplexities(docs: DataFrame, model: Model | None, keep: list[str], text_col
 
 def quality_by_perplexity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    order: int = ORDER, train_chars: int = TRAIN_CHARS, quantile: float = QUANTILE,
+    order: int = ORDER, train_chars: int | None = None, quantile: float = QUANTILE,
 ) -> DataFrame:
     """One row per row of `docs`: `id_col`, `lang_col`, perplexity (of a character), rating, threshold of its language (both
     as perplexities), keep.
@@ -217,15 +215,17 @@ def quality_by_perplexity(
     once, and a document with both good and bad ones is not trusted.  A null language is a language of its own;
     one without trusted documents takes the threshold of all trusted documents.  Texts that are null, empty or white space have no perplexity and
     are not kept.  Without trusted documents nothing is scored and every document with a text is kept.  Repeated rows are
-    scored alike, null ids are never trusted; whole texts are scored; further columns are not read; an empty table gives no rows.
+    scored alike, null ids are never trusted; all trusted texts are learned (with `train_chars`, about so many characters of them); whole texts are scored; further columns are not read; an empty table gives no rows.
     """
     trusted = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
     trusted = trusted.agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("id")
     trusted = stored(trusted, "trusted")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    size = rows.select("id", F.length("text").alias("n")).join(trusted, "id", "left_semi").agg(F.sum("n").alias("n")).first().n or 0
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(min(1.0, train_chars / max(size, 1)) * (1 << 40)))
-    model = train(rows.where(draw).join(trusted, "id", "left_semi").select("text"), order)
+    learned = rows.join(trusted, "id", "left_semi")
+    if train_chars is not None:
+        size = learned.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+        learned = learned.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(min(1.0, train_chars / max(size, 1)) * (1 << 40))))
+    model = train(learned.select("text"), order)
     has_text = F.length(F.btrim("text")) > 0
     scored = stored(perplexities(rows.withColumn("has_text", F.coalesce(has_text, F.lit(False))), model, ["id", "lang", "has_text"]), "perplexities")
     good = stored(scored.join(trusted, "id", "left_semi").where("log_perplexity is not null").select("lang", "log_perplexity", "n_scored"), "trusted")

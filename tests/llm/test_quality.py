@@ -101,3 +101,15 @@ def test_probabilities_sum_to_one(frame):
         unknown = np.array([*c, 0x1F600], np.uint64)
         total += math.exp(m.log_probs(unknown, np.arange(len(unknown)))[-1])
         assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_all_trusted_texts_are_learned(frame):
+    """Also with many more characters than the twelve million that a sample once held: no row is drawn by its id."""
+    import inspect
+
+    assert inspect.signature(quality_by_perplexity).parameters["train_chars"].default is None
+    docs = frame([(i, f"{'ab' * 20} {chr(0x4E00 + i)}{chr(0x5E00 + i)}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = frame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    whole = {r.doc_id: r.perplexity for r in quality_by_perplexity(docs, labels).collect()}
+    part = {r.doc_id: r.perplexity for r in quality_by_perplexity(docs, labels, train_chars=600).collect()}
+    assert max(whole.values()) < max(part.values())
