@@ -27,6 +27,8 @@ ORDER = 5
 QUANTILE = 0.995
 #: characters of trusted text by which a rating is steadied
 PRIOR = 50
+#: trusted ids that are broadcast at most (some 40 bytes each), so that texts are not shuffled to find theirs
+BROADCAST_IDS = 5_000_000
 #: hash shards of a model table; positions scored at once
 SHARDS, SLICE = 64, 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -220,6 +222,8 @@ def quality_by_perplexity(
     trusted = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
     trusted = trusted.agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("id")
     trusted = stored(trusted, "trusted")
+    if trusted.count() <= BROADCAST_IDS:
+        trusted = F.broadcast(trusted)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     learned = rows.join(trusted, "id", "left_semi")
     if train_chars is not None:

@@ -113,3 +113,25 @@ def test_all_trusted_texts_are_learned(frame):
     whole = {r.doc_id: r.perplexity for r in quality_by_perplexity(docs, labels).collect()}
     part = {r.doc_id: r.perplexity for r in quality_by_perplexity(docs, labels, train_chars=600).collect()}
     assert max(whole.values()) < max(part.values())
+
+
+def test_texts_are_not_shuffled_to_find_the_trusted_ones(spark, monkeypatch):
+    """The ids of trusted documents go to the texts, whatever size Spark broadcasts by itself."""
+    from citegraph.llm import quality as Q
+
+    plans = []
+
+    def trained(texts, order):
+        plans.append(texts._jdf.queryExecution().executedPlan().toString())
+        return train(texts, order)
+
+    monkeypatch.setattr(Q, "train", trained)
+    docs = spark.createDataFrame([(i, "en", f"some words {i}") for i in range(20)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality_by_perplexity(docs, labels, order=2).count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
