@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.session import cut_lineage
+from citegraph.llm.common import discard, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,13 +32,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     repeated links, nulls (ignored) and either direction are allowed.
     """
     a, b = links.columns[:2]
-    now = cut_lineage(
-        links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"`{a}` is not null and `{b}` is not null and hi > lo").distinct()
+    now = stored(
+        links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"`{a}` is not null and `{b}` is not null and hi > lo").distinct(), "links"
     )
     mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).alias("mark")
     before = now.agg(mark).first().mark
     while True:
-        now = cut_lineage(_small_star(_large_star(now)))
+        last, now = now, stored(_small_star(_large_star(now)), "links")
+        discard(last)
         after = now.agg(mark).first().mark
         if after == before:
             break
