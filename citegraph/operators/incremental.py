@@ -68,7 +68,10 @@ class Inversion:
         return F.pmod(F.xxhash64(F.col(key)), F.lit(self.buckets)).cast("int")
 
     def _read(self, paths, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if paths:
+            return self.spark.read.schema(schema).parquet(*paths)
+        # no rows, as Spark's planner can see: joins and unions with them fall away, and no Python worker makes them
+        return self.spark.range(1).select(F.from_json(F.lit(None).cast("string"), schema).alias("x")).select("x.*").where(F.lit(False))
 
     def table(self, name: str, only: list[int] | None = None) -> DataFrame:
         """A stored table, or its buckets ``only``."""
@@ -97,10 +100,11 @@ class Inversion:
         ).select("id", "d.doc_id", "d.title", F.col("d.size").cast("long").alias("size"), "n")
         own.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/documents")
 
-        delta = self._signed(self._read([f"{at}/edges"], EDGE), self.edges(epoch), EDGE, f"{at}/edge-delta", "cited_id")
+        again = epoch in self.state["epochs"]
+        delta = self._signed(self._read([f"{at}/edges"], EDGE), self.edges(epoch) if again else None, EDGE, f"{at}/edge-delta", "cited_id")
         filled = [int(p.rsplit("=", 1)[1]) for p in committed(self.spark, f"{at}/documents", "bucket=*", marked=False)]
         fresh = self._read([f"{at}/documents/bucket={b}" for b in filled], DOC)
-        changed = self._signed(fresh, self.documents([epoch]), DOC, f"{at}/document-delta", "id").select("id", "bucket").distinct()
+        changed = self._signed(fresh, self.documents([epoch]) if again else None, DOC, f"{at}/document-delta", "id").select("id", "bucket").distinct()
 
         # at most `buckets` numbers each
         edge_buckets = sorted(r.bucket for r in delta.select("bucket").distinct().collect())
@@ -118,8 +122,11 @@ class Inversion:
         delete(self.spark, f"{at}/document-delta")
         return {"counts": edge_buckets, "incoming": edge_buckets, "merged": doc_buckets}
 
-    def _signed(self, new: DataFrame, old: DataFrame, schema: str, path: str, key: str) -> DataFrame:
-        """What is in ``new`` and not in ``old`` with a positive ``sign`` (its multiplicity), and the reverse with a negative one."""
+    def _signed(self, new: DataFrame, old: DataFrame | None, schema: str, path: str, key: str) -> DataFrame:
+        """What is in ``new`` and not in ``old`` with a positive ``sign`` (its multiplicity), and the reverse with a negative
+        one.  Without ``old`` (none) every row of ``new`` stands for itself: readers add the signs up."""
+        if old is None:
+            return new.withColumn("sign", F.lit(1).cast("long")).withColumn("bucket", self._bucket(key))
         both = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
         cols = [c for c in both.columns if c != "sign"]
         delta = both.groupBy(*cols).agg(F.sum("sign").alias("sign")).where("sign <> 0").withColumn("bucket", self._bucket(key))

@@ -110,3 +110,16 @@ def test_an_epoch_can_become_empty(spark, tmp_path):
     deliver(spark, inv, "a", made(1, 5))
     deliver(spark, inv, "a", ([], []))
     assert stored(inv) == ([], {})
+
+
+def test_missing_tables_are_seen_to_be_empty(spark, tmp_path):
+    """A first delivery joins nothing with tables that are not there, and writes no delta of them."""
+    inv = Inversion(spark, str(tmp_path / "empty"))
+    none = inv.table("incoming")
+    assert none.columns == ["id", "chunk", "n_chunks", "incoming"] and none.collect() == []
+    assert "LocalRelation <empty>" in none._jdf.queryExecution().optimizedPlan().toString()
+    edges = spark.createDataFrame([(1, 0, 7, "t", None)] * 3 + [(2, 0, 7, "t", None)], EDGES)
+    delta = inv._signed(edges.selectExpr("citing_id", "pos", "cited_id", "cited_title title", "authors"), None, "", "", "cited_id")
+    assert delta.agg(F.sum("sign")).first()[0] == 4 and "Exchange" not in delta._jdf.queryExecution().executedPlan().toString()
+    inv.deliver("a", spark.createDataFrame([(7, 70, "t", 1)], DOCS), edges)
+    assert stored(inv) == ([(7, 70, "t", 1, 4)], {7: [(1, 0, "t")] * 3 + [(2, 0, "t")]})
