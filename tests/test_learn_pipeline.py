@@ -146,3 +146,17 @@ def test_a_changed_file_rebuilds_what_lies_below_it(spark, layouts):
     st = Stages(spark, f"{root}/two")
     st.stage("b", lambda: spark.read.parquet(two).limit(1), [two], {"x": 2})
     assert st.built == ["b"]
+
+
+def test_wide_model_is_the_written_model(spark, tmp_path):
+    texts = ["red boat red boat", "red sea", "", None, "boat sea boat", "red boat on the sea"]
+    docs = spark.createDataFrame([(i, i, f"title {i}", t) for i, t in enumerate(texts)], "id long, doc_id long, title string, text string")
+    edges = spark.createDataFrame([(0, 1, "title 2"), (2, 0, "title 4"), (5, 4, "title 1")], "citing_id long, cited_id long, cited_title string")
+    for training in (None, docs.where("id > 1")):
+        L.write_model(L.train(docs, edges, training=training), str(tmp_path / f"{training is None}"))
+        want = sorted(map(tuple, spark.read.parquet(str(tmp_path / f"{training is None}")).collect()))
+        wide = L.wide_model(docs, edges, training=training)
+        assert sorted(map(tuple, wide.collect())) == want and want
+        # one exchange by n-gram: the counts are not dealt out by label and grouped again
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode(array" not in plan
