@@ -28,14 +28,16 @@ groups carry folded parities and are compared in the task (before, each is tried
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import discard, map_batches, short_batches, stored, tidy, whole_row
+from citegraph.llm.common import discard, map_batches, short_batches, stored, text_runs, tidy, whole_row
 from citegraph.llm.components import connected_components
-from citegraph.llm.shingles import mix, shingle_set
+from citegraph.llm.shingles import mix, shingle_set, shingle_sets
 
 #: upper size of a class over its lower size
 CLASS_RATIO = 1.5
@@ -49,6 +51,8 @@ GROUP = 2048
 ROUNDS = 3
 #: halvings of the parities that members of a large group carry, and words (of 64 cells) that they keep at least
 FOLDS, WORDS = 1, 8
+#: characters whose sets are made at once
+RUN_CHARS = 500_000
 #: members of a key's group up to which its pairs are emitted before they are compared
 SMALL = 32
 
@@ -63,6 +67,7 @@ def max_difference(size_a, size_b, pct: int):
     return size_a + size_b - 2 * min_overlap(size_a, size_b, pct)
 
 
+@lru_cache(1 << 16)
 def size_classes(n: int, pct: int) -> list[tuple[int, int, int]]:
     """(class, fragments, parity cells) under which a set of `n` shingles sends keys:
     its own class and, if a linked set can lie there, the one below."""
@@ -80,33 +85,77 @@ def size_classes(n: int, pct: int) -> list[tuple[int, int, int]]:
 
 def segments(s: np.ndarray, parts: int) -> np.ndarray:
     """Positions at which `parts` equal hash ranges cut the sorted set `s`."""
-    step = (1 << 64) // parts
-    bounds = np.arange(1, parts, dtype=np.uint64) * np.uint64(step)
-    return np.concatenate(([0], np.searchsorted(s, bounds), [len(s)]))
+    return np.concatenate(([0], np.searchsorted(s, _bounds(parts)), [len(s)]))
+
+
+@lru_cache(256)
+def _bounds(parts: int) -> np.ndarray:
+    return np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
+
+
+@lru_cache(256)
+def _places(size_class: int, parts: int) -> np.ndarray:
+    return mix(np.arange(parts, dtype=np.uint64) + np.uint64(size_class * 1_000_003 + 1))
 
 
 def segment_keys(s: np.ndarray, size_class: int, parts: int) -> np.ndarray:
-    """One 64-bit key per fragment: class, fragment and the segment's content."""
+    """One 64-bit key per fragment of one class: class, fragment and the segment's content."""
     cut = segments(s, parts)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)))
-    content = sums[cut[1:]] - sums[cut[:-1]]
     size = (cut[1:] - cut[:-1]).astype(np.uint64)
-    place = mix(np.arange(parts, dtype=np.uint64) + np.uint64(size_class * 1_000_003 + 1))
-    keys = mix(mix(content + size) ^ place)
+    keys = mix(mix(sums[cut[1:]] - sums[cut[:-1]] + size) ^ _places(size_class, parts))
     return keys if (size == 0).sum() >= 2 else keys[size > 0]
 
 
-def parity(s: np.ndarray, cells: int) -> bytes:
-    """Bit j: whether an odd number of shingles falls into cell j of `cells`."""
-    bits = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def keys_and_parities(sets: list[np.ndarray], pct: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(keys, ends, parities) of non-empty sorted sets; set i has the keys from `ends[i]` to `ends[i + 1]`.
+
+    A set has the keys (see ``segment_keys``) of each of its classes.  Bit j of its parity says whether an odd number of
+    shingles falls into cell j.  All sets are worked on at once."""
+    if not sets:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64), []
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets)])
+    lows, highs, places, owner, cells = [], [], [], [], []
+    for i, s in enumerate(sets):
+        classes = size_classes(len(s), pct)
+        cells.append(max(c for _, _, c in classes))
+        for x, parts, _ in classes:
+            cut = segments(s, parts) + starts[i]
+            lows.append(cut[:-1])
+            highs.append(cut[1:])
+            places.append(_places(x, parts))
+            owner.append(i)
+    parts = np.fromiter(map(len, places), np.int64, len(places))
+    low, high = np.concatenate(lows), np.concatenate(highs)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat), dtype=np.uint64)))
+    size = (high - low).astype(np.uint64)
+    keys = mix(mix(sums[high] - sums[low] + size) ^ np.concatenate(places))
+    empty = np.add.reduceat((size == 0).astype(np.int64), np.cumsum(parts) - parts)
+    kept = (size > 0) | np.repeat(empty >= 2, parts)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(owner, parts)[kept], minlength=len(sets)))))
+
+    cells = np.array(cells)
+    first = np.cumsum(cells) - cells
+    count = np.diff(starts)
+    cell = (mix(flat ^ np.uint64(0x5851F42D4C957F2D)) & np.repeat(cells - 1, count).astype(np.uint64)).astype(np.int64) + np.repeat(first, count)
+    bits = np.packbits((np.bincount(cell, minlength=int(cells.sum())) & 1).astype(np.uint8)).tobytes()
+    return keys[kept], ends, [bits[a // 8 : (a + c) // 8] for a, c in zip(first.tolist(), cells.tolist())]
+
+
+def set_classes(flat: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """128-bit names of the shingle sets ``flat[starts[i]:starts[i + 1]]``."""
+    out, n = np.zeros((len(starts) - 1, 2), np.uint64), np.diff(starts)
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some, 0] = np.bitwise_xor.reduceat(mix(flat + np.repeat(n, n).astype(np.uint64)), starts[some])
+        out[some, 1] = np.add.reduceat(mix(mix(flat) ^ np.uint64(0xD6E8FEB86659FD93)), starts[some])
+    return [x.tobytes() for x in out]
 
 
 def set_class(s: np.ndarray) -> bytes:
     """128-bit name of a shingle set."""
-    a = np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))) if len(s) else np.uint64(0)
-    b = np.add.reduce(mix(mix(s) ^ np.uint64(0xD6E8FEB86659FD93))) if len(s) else np.uint64(0)
-    return np.array([a, b], np.uint64).tobytes()
+    return set_classes(s, np.array([0, len(s)]))[0]
 
 
 def node_of(cls: bytes) -> int:
@@ -120,29 +169,27 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, pct: int) ->
     before (with an id)."""
 
     def run(batches):
-        np.seterr(over="ignore")
         seen: set[bytes] = set()  # 16 bytes a document of the task
         for b in batches:
-            n, cls, node, keys, par = [], [], [], [], []
-            for doc, text in zip(b.column(0), b.column(1)):
-                s = shingle_set(text.as_py(), k)
-                c = set_class(s)
-                n.append(len(s))
-                cls.append(c)
-                node.append(node_of(c))
-                send = doc.is_valid and len(s) > 0 and max_difference(len(s), len(s) + 1, pct) >= 1 and c not in seen
-                if not send:
-                    keys.append(None)
-                    par.append(None)
-                    continue
-                seen.add(c)
-                classes = size_classes(len(s), pct)
-                keys.append(np.concatenate([segment_keys(s, x, parts) for x, parts, _ in classes]).view(np.int64))
-                par.append(parity(s, max(cells for _, _, cells in classes)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(par, pa.binary())],
-                names=["doc", "n", "cls", "node", "keys", "parity"],
-            )
+            texts = b.column(1).to_pylist()
+            for at in text_runs([len(t) if t else 0 for t in texts], RUN_CHARS):
+                flat, starts = shingle_sets([texts[i] for i in at], k)
+                n = np.diff(starts)
+                cls, doc = set_classes(flat, starts), b.column(0).slice(at.start, len(at))
+                sent = []
+                for i in np.flatnonzero(doc.is_valid().to_numpy(zero_copy_only=False) & (n > 0) & (max_difference(n, n + 1, pct) >= 1)).tolist():
+                    if cls[i] not in seen:
+                        seen.add(cls[i])
+                        sent.append(i)
+                own = np.full(len(at), -1)
+                own[sent] = np.arange(len(sent))
+                keys, ends, par = keys_and_parities([flat[starts[i] : starts[i + 1]] for i in sent], pct)
+                count = np.zeros(len(at) + 1, np.int32)
+                count[1:][sent] = np.diff(ends)
+                keys = pa.ListArray.from_arrays(pa.array(np.cumsum(count, dtype=np.int32)), pa.array(keys.view(np.int64)), mask=pa.array(own < 0))
+                par = pa.array([par[i] if i >= 0 else None for i in own.tolist()], pa.binary())
+                node = np.frombuffer(b"".join(cls), np.int64)[::2]
+                yield pa.RecordBatch.from_arrays([doc, pa.array(n), pa.array(cls, pa.binary()), pa.array(node), keys, par], names=["doc", "n", "cls", "node", "keys", "parity"])
 
     cols = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return cols.mapInArrow(tidy(run), "doc long, n long, cls binary, node long, keys array<long>, parity binary")

@@ -14,6 +14,8 @@ import xxhash
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: words whose hashes a process keeps, about 15 MB
+KNOWN = 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -21,8 +23,21 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class _Hashes(dict):
+    """Hashes of words met before; at most `KNOWN` are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = xxhash.xxh64_intdigest(word)
+        if len(self) < KNOWN and len(word) <= 32:
+            self[word] = out
+        return out
+
+
+_known = _Hashes()
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,4 +68,21 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct k-word shingles of a text."""
-    return np.unique(shingles(hash_words(words_of(text)), k))
+    return shingle_sets([text], k)[0]
+
+
+def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, starts): the sorted distinct k-word shingles of text i are ``flat[starts[i]:starts[i + 1]]``."""
+    hashed = [hash_words(words_of(t)) for t in texts]
+    n = np.fromiter(map(len, hashed), np.int64, len(hashed))
+    h, first = np.concatenate(hashed) if hashed else np.empty(0, np.uint64), np.cumsum(n) - n
+    grams = ngram_hashes(h, k)  # those that begin in one text and end in the next are not read
+    sets = [grams[a : a + m - k + 1] if m >= k else shingles(h[a : a + m], k) for a, m in zip(first.tolist(), n.tolist())]
+    for s in sets:
+        s.sort()  # no shingle lies in two texts' parts
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    count = np.fromiter(map(len, sets), np.int64, len(sets))
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[(np.cumsum(count) - count)[count > 0]] = True
+    return flat[new], np.concatenate(([0], np.cumsum(new)))[np.concatenate(([0], np.cumsum(count)))]

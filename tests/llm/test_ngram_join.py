@@ -117,3 +117,24 @@ def test_every_linked_pair_shares_a_key():
             n_ab = len(np.intersect1d(a, b))
             if 100 * n_ab >= 90 * (len(a) + len(b) - n_ab):
                 assert keys[0] & keys[1]
+
+
+def test_sets_of_many_texts_are_those_of_each_text(near):
+    """Sets, names, keys and parities made for many texts at once are those that each text has by itself."""
+    from citegraph.llm.shingles import ngram_hashes, hash_words, mix, shingle_sets
+
+    texts = [t for _, t in near][:60] + ["", None, "  ", "one", "one two", "a b c d e", "a a a a a a a"]
+    flat, starts = shingle_sets(texts, 5)
+    sets = [flat[a:b] for a, b in zip(starts[:-1], starts[1:])]
+    for text, s in zip(texts, sets):
+        h = hash_words(words_of(text))
+        assert s.tolist() == np.unique(ngram_hashes(h, min(5, len(h)))).tolist() if len(h) else not len(s)
+    assert J.set_classes(flat, starts) == [J.set_class(s) for s in sets]
+    some = [s for s in sets if len(s)]
+    keys, ends, parities = J.keys_and_parities(some, 80)
+    for i, s in enumerate(some):
+        classes = J.size_classes(len(s), 80)
+        assert keys[ends[i] : ends[i + 1]].tolist() == [k for c, f, _ in classes for k in J.segment_keys(s, c, f).tolist()]
+        cells = max(x for _, _, x in classes)
+        odd = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(cells - 1)).astype(int), minlength=cells) & 1
+        assert parities[i] == np.packbits(odd.astype(np.uint8)).tobytes()
