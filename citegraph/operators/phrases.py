@@ -3,7 +3,7 @@
 A phrase is its words at their offsets.  The batch's phrases form a trie: a node is a run of first words, and a step leads on by
 the distance to the next word and that word.  A task walks the trie over all places of its documents at once, and a place is left
 as soon as its words begin no phrase; so what is looked at grows with the documents and with what is found, not with phrases
-times documents.  The trie is broadcast: some 50 bytes a word of the batch."""
+times documents.  The trie is broadcast: a few numbers a word of the batch."""
 
 from __future__ import annotations
 
